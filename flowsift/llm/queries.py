@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from flowsift.llm import decontaminate, exact_dedup, language_model, packing, pii, quality, simhash, token_counts, toxicity, warc
 from flowsift.llm.common import fold
 
 
@@ -29,16 +29,40 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("edits", token_counts.review_edits(F.col("text")))
+    return token_counts.count_edits(docs)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_simhash_near_dedup, op3_benchmark_decontamination, op5_best_fit_packing, op7_toxicity)
+    f.__name__: f for f in (op1_exact_dedup, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_context_tree_lm, op5_best_fit_packing, op6_quality_classifier, op7_toxicity, op8_token_counts, op9_warc, op10_pii)
 }

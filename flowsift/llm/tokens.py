@@ -1,7 +1,7 @@
 """Byte-pair token ids of texts, with a cache of space-delimited pieces.
 
-The pre-tokenizer of the byte-level vocabularies never joins what stands on two sides of a single space or newline that has
-other characters around it, so a text's ids are those of its pieces put one after another. Texts with runs of white space are encoded whole.
+The pre-tokenizer of the byte-level vocabularies gives a run of white space all but its last character, so a text can be cut
+before any space or newline that other characters follow; its ids are those of the parts put one after another.
 """
 
 from __future__ import annotations
@@ -40,18 +40,28 @@ class PieceEncoder(dict):
         ids = self[piece] = self.whole(piece if piece[0] == "\n" else " " + piece)
         return ids
 
+    def units(self, text: str) -> list[str]:
+        """text in parts whose ids are independent; parts but the first begin with a space, left out, or a newline."""
+        pieces = text.replace("\n", " \n").split(" ")
+        if not any(map(_joins, pieces[1:])):
+            return pieces
+        out = [pieces[0]]
+        for p in pieces[1:]:
+            if _joins(p):
+                out[-1] += p if p[:1] == "\n" else " " + p
+            else:
+                out.append(p)
+        return out
+
     def encode(self, text: str) -> bytes:
         if len(self) > CACHED_PIECES:
             self.clear()
         if not text:
             return b""
-        pieces = text.replace("\n", " \n").split(" ")
-        if any(map(_joins, pieces)):
-            return self.whole(text)
-        head = pieces[0]
-        return self.whole(head) + b"".join(map(self.__getitem__, pieces[1:]))
+        units = self.units(text)
+        return self.whole(units[0]) + b"".join(map(self.__getitem__, units[1:]))
 
 
 def _joins(piece: str) -> bool:
-    """Whether a piece may belong to a run of white space."""
+    """Whether a piece belongs to the white space before it."""
     return not piece or piece[0].isspace() and (piece[0] != "\n" or len(piece) == 1 or piece[1].isspace())

@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from flowsift.llm.common import fold, stored
 
 SAMPLE = 8192
-LEAST_EVIDENCE = 18.0
+LEAST_EVIDENCE = 13.0
 PURITY = 8.0
+#: Log lift from which a term is also sought misspelled.
+FUZZY_LIFT = 5.0
 STEMS = range(3, 8)
 WINDOW = 8
 THRESHOLD = 0.5
@@ -64,7 +66,7 @@ class Automaton:
             if stem:
                 self.stem[node] = max(self.stem[node], weight)
             else:
-                self.word[node] = (allowed_edits(len(text)), weight)
+                self.word[node] = (allowed_edits(len(text)) if weight >= FUZZY_LIFT else 0, weight)
         self.most = [0] * len(self.child)
         for node in range(len(self.child) - 1, -1, -1):
             own = self.word[node]
@@ -140,8 +142,9 @@ class Scanner:
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        for raw in set(words) - known.keys():
-            self.hit(raw)
+        for raw in set(words):
+            if raw not in known:
+                self.hit(raw)
         hits = [(i, h) for i, h in enumerate(map(known.__getitem__, words)) if h]
         sums = [0.0, 0.0, 0.0, 0.0]
         for i, (kind, weight) in hits:
@@ -248,7 +251,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x, y = np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float)
     centre, scale = x.mean(0), x.std(0) + 1e-9
     share = [totals.get(t, 0) / max(1, (y == t).sum()) for t in (0, 1)]
-    beta = _regression((x - centre) / scale, y, np.where(y == 1, share[1], share[0]) * len(y) / sum(totals.values()))
+    weight = np.where(y == 1, share[1], share[0]) * len(y) / sum(totals.values())
+    used = np.ones(x.shape[1], bool)
+    while True:  # a hit of any kind never speaks for a text
+        beta = np.zeros(x.shape[1] + 1)
+        beta[np.r_[used, True]] = _regression(((x - centre) / scale)[:, used], y, weight)
+        against = np.flatnonzero(beta[:-2] < 0)
+        if not len(against):
+            break
+        used[against] = False
     return ToxicityModel(both, beta[:-1].tolist(), float(beta[-1]), centre.tolist(), scale.tolist())
 
 
