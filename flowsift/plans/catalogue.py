@@ -1,10 +1,494 @@
-"""All queries over the network operators, with their DuckDB SQL."""
+"""All queries over the network operators, each with DuckDB SQL where SQL can express it.
+
+The tables hold no packet capture, so events stand for packets (user_id is the flow key, event_type the protocol, value the
+length, click and view are forward, signup is FIN), documents for payloads, embeddings for feature matrices, labels for verdicts, and error
+or purchase events for labelled flows of six hours.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowsift.functions import columns as C
+from flowsift.operators import engines, evaluation, flows, labels, payl, transformers
+from flowsift.plans import reporting
+from flowsift.sources import pcap
 
+TIMEOUT, SUBFLOW, SIX_HOURS = 21_600_000_000, 3_600_000_000, 21_600_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def packets(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("pkt_idx"), F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("string"), "UTC")).alias("ts_us"), "user_id", "event_type", F.col("value").alias("length"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("dst"))
+
+
+def flow_packets(spark: SparkSession, d: str) -> DataFrame:
+    return flows.sessionize(packets(spark, d), ["user_id"], TIMEOUT)
+
+
+FLOW = ["user_id", "flow_seq"]
+P = """WITH p AS (SELECT event_id AS pkt_idx, epoch_us(ts) AS ts_us, user_id, event_type, value AS length,
+ CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS dst FROM events), """
+S = P + f"""n AS (SELECT *, CASE WHEN lag(ts_us) OVER w IS NULL OR ts_us - lag(ts_us) OVER w > {TIMEOUT} THEN 1 ELSE 0 END AS new FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pkt_idx)),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY pkt_idx ROWS UNBOUNDED PRECEDING)::BIGINT AS flow_seq FROM n), """
+HEADS = "heads AS (SELECT user_id, flow_seq, min(pkt_idx) AS flow_first FROM s GROUP BY ALL), idx AS (SELECT *, row_number() OVER (ORDER BY flow_first) - 1 AS flow_idx FROM heads) "
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(S + HEADS + "SELECT s.pkt_idx, idx.flow_idx FROM s JOIN idx USING (user_id, flow_seq)")
+def q_flow_sessionize(spark, d):
+    rows = flow_packets(spark, d)
+    heads = flows.flow_index(rows.select(*FLOW, "flow_first").distinct())
+    return rows.join(heads.select(*FLOW, "flow_idx"), FLOW).select("pkt_idx", "flow_idx")
+
+
+@query(P + f"""n AS (SELECT *, CASE WHEN lag(ts_us) OVER w IS NULL OR (CASE WHEN event_type IN ('signup', 'click', 'purchase') THEN event_type = 'signup' ELSE ts_us - lag(ts_us) OVER w > {TIMEOUT} END) THEN 1 ELSE 0 END AS new FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pkt_idx))
+ SELECT pkt_idx, sum(new) OVER (PARTITION BY user_id ORDER BY pkt_idx ROWS UNBOUNDED PRECEDING)::BIGINT AS flow_seq FROM n""")
+def q_flow_fin_boundary(spark, d):
+    tcp = F.col("event_type").isin("signup", "click", "purchase")
+    return flows.sessionize(packets(spark, d), ["user_id"], TIMEOUT, F.col("event_type") == "signup", tcp).select("pkt_idx", "flow_seq")
+
+
+@query(S[:-2] + " SELECT user_id, flow_seq, round(sum(length), 4) AS total_sum_pkt_length, round(avg(length), 4) AS total_mean_pkt_length, round(min(length), 4) AS total_min_pkt_length, round(max(length), 4) AS total_max_pkt_length, round(stddev_pop(length), 4) AS total_std_pkt_length, count(length) AS total_n_packets FROM s GROUP BY ALL")
+def q_flow_length_stats(spark, d):
+    return rounded(flows.length_stats(flow_packets(spark, d), FLOW))
+
+
+@query(S[:-2] + """ , a AS (SELECT user_id, flow_seq, count(*) AS n, sum(length) AS t, (arg_max(ts_us, pkt_idx) - arg_min(ts_us, pkt_idx)) / 1e6 AS sec FROM s GROUP BY ALL)
+ SELECT user_id, flow_seq, round(CASE WHEN sec = 0 THEN n ELSE n / sec END, 4) AS total_packets_per_s, round(CASE WHEN sec = 0 THEN t ELSE t / sec END, 4) AS total_bytes_per_s FROM a""")
+def q_flow_rates(spark, d):
+    return rounded(flows.rates(flow_packets(spark, d), FLOW))
+
+
+@query(S[:-2] + """ , g AS (SELECT user_id, flow_seq, (ts_us - lag(ts_us) OVER (PARTITION BY user_id, flow_seq ORDER BY pkt_idx)) / 1e6 AS gap FROM s)
+ SELECT user_id, flow_seq, round(coalesce(stddev_pop(gap), -1), 6) AS total_iat_std, round(coalesce(min(gap), -1), 6) AS total_iat_min, round(coalesce(max(gap), -1), 6) AS total_iat_max, round(coalesce(sum(gap), -1), 6) AS total_iat_sum FROM g GROUP BY ALL""")
+def q_flow_iat(spark, d):
+    return rounded(flows.inter_arrival(flow_packets(spark, d), FLOW), 6)
+
+
+DIRECTED = "f AS (SELECT *, event_type IN ('click', 'view') AS forward FROM s) "
+
+
+@query(S + DIRECTED + """, a AS (SELECT user_id, flow_seq, forward, sum(length) AS s, avg(length) AS m, count(*) AS n FROM f GROUP BY ALL)
+ SELECT h.user_id, h.flow_seq, round(coalesce(x.s, -1), 4) AS fwd_sum, round(coalesce(x.m, -1), 4) AS fwd_mean, coalesce(x.n, 0) AS fwd_n, round(coalesce(y.s, -1), 4) AS bwd_sum, round(coalesce(y.m, -1), 4) AS bwd_mean, coalesce(y.n, 0) AS bwd_n
+ FROM (SELECT DISTINCT user_id, flow_seq FROM s) h LEFT JOIN a x ON x.user_id = h.user_id AND x.flow_seq = h.flow_seq AND x.forward LEFT JOIN a y ON y.user_id = h.user_id AND y.flow_seq = h.flow_seq AND NOT y.forward""")
+def q_flow_direction_stats(spark, d):
+    rows, fwd = flow_packets(spark, d), F.col("event_type").isin("click", "view")
+    out = []
+    for name, own in (("fwd", fwd), ("bwd", ~fwd)):
+        v = F.when(own, F.col("length"))
+        out += [flows.or_missing(F.sum(v)).alias(f"{name}_sum"), flows.or_missing(F.avg(v)).alias(f"{name}_mean"), F.count_if(own).alias(f"{name}_n")]
+    return rounded(rows.groupBy(*FLOW).agg(*out))
+
+
+@query(S[:-2] + " SELECT pkt_idx, event_type = first_value(event_type) OVER (PARTITION BY user_id, flow_seq ORDER BY pkt_idx) AS forward FROM s")
+def q_flow_orientation(spark, d):
+    return flows.with_direction(flow_packets(spark, d), FLOW, ["event_type"]).select("pkt_idx", "forward")
+
+
+SUB = f"""u AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY user_id, flow_seq ORDER BY pkt_idx) > {SUBFLOW} THEN 1 ELSE 0 END AS nw FROM s),
+ v AS (SELECT *, sum(nw) OVER (PARTITION BY user_id, flow_seq ORDER BY pkt_idx ROWS UNBOUNDED PRECEDING) AS sub FROM u),
+ sp AS (SELECT user_id, flow_seq, sub, arg_min(ts_us, pkt_idx) AS a, arg_max(ts_us, pkt_idx) AS z FROM v GROUP BY ALL),
+ ai AS (SELECT *, (z - a) / 1e6 AS active, (a - lag(z) OVER (PARTITION BY user_id, flow_seq ORDER BY sub)) / 1e6 AS idle FROM sp) """
+_AI = ", ".join(f"count({n}) AS n_{n}_times, " + ", ".join(f"round(coalesce({f}({n}), 0), 6) AS {k}_{n}_time" for k, f in (("min", "min"), ("max", "max"), ("total", "sum"), ("std", "stddev_pop"), ("mean", "avg"))) for n in ("active", "idle"))
+
+
+@query(S + SUB + f"SELECT user_id, flow_seq, count(*) AS n_subflows, {_AI} FROM ai GROUP BY ALL")
+def q_subflows_active_idle(spark, d):
+    return rounded(flows.active_idle(flow_packets(spark, d), FLOW, SUBFLOW), 6)
+
+
+@query(S + DIRECTED + f""", u AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY user_id, flow_seq, forward ORDER BY pkt_idx) > {SUBFLOW} THEN 1 ELSE 0 END AS nw FROM f),
+ v AS (SELECT *, sum(nw) OVER (PARTITION BY user_id, flow_seq, forward ORDER BY pkt_idx ROWS UNBOUNDED PRECEDING) AS sub FROM u), a AS (SELECT user_id, flow_seq, forward, sub, count(*) AS n, sum(length) AS t FROM v GROUP BY ALL)
+ SELECT user_id, flow_seq, round(coalesce(avg(n) FILTER (forward), 0), 4) AS fwd_subflow_avg_pkts, round(coalesce(avg(t) FILTER (forward), 0), 4) AS fwd_subflow_avg_length, round(coalesce(avg(n) FILTER (NOT forward), 0), 4) AS bwd_subflow_avg_pkts, round(coalesce(avg(t) FILTER (NOT forward), 0), 4) AS bwd_subflow_avg_length FROM a GROUP BY ALL""")
+def q_subflow_direction_avgs(spark, d):
+    rows = flow_packets(spark, d).withColumn("forward", F.col("event_type").isin("click", "view"))
+    return rounded(flows.subflow_averages(rows, FLOW, SUBFLOW))
+
+
+@query(S + HEADS + """, x AS (SELECT i.flow_idx, p.dst, p.event_type FROM idx i JOIN p ON p.pkt_idx = i.flow_first)
+ SELECT flow_idx, count(*) OVER (PARTITION BY dst ORDER BY flow_idx RANGE BETWEEN 100 PRECEDING AND 1 PRECEDING) AS hindsight_dst, count(*) OVER (PARTITION BY dst, event_type ORDER BY flow_idx RANGE BETWEEN 100 PRECEDING AND 1 PRECEDING) AS hindsight_dst_prot FROM x""")
+def q_hindsight_counts(spark, d):
+    heads = flow_packets(spark, d).where("pkt_idx = flow_first").select("flow_first", "dst", "event_type")
+    return flows.hindsight_counts(flows.flow_index(heads), {"dst": ["dst"], "dst_prot": ["dst", "event_type"]}, 100).select("flow_idx", "hindsight_dst", "hindsight_dst_prot")
+
+
+@query(S[:-2] + " SELECT user_id, flow_seq, round(avg(length), 4) AS tcp_fwd_win_mean, count(*) FILTER (event_type = 'error') AS tcp_fwd_total_urg, count(*) FILTER (event_type = 'signup') AS tcp_fwd_total_syn, count(*) FILTER (event_type = 'click') AS tcp_fwd_total_syn_ack, count(*) FILTER (event_type = 'purchase') AS tcp_fwd_total_ack, count(*) FILTER (event_type = 'view') AS tcp_fwd_total_fin, 0::BIGINT AS tcp_fwd_total_push, 0::BIGINT AS tcp_fwd_total_rst FROM s GROUP BY ALL")
+def q_event_flag_counters(spark, d):
+    flags = F.expr(f"CASE event_type WHEN 'error' THEN {C.URG} WHEN 'signup' THEN {C.SYN} WHEN 'click' THEN {C.SYN | C.ACK} WHEN 'purchase' THEN {C.ACK} ELSE {C.FIN} END")
+    return rounded(flows.tcp_counters(flow_packets(spark, d).withColumn("tcp_flags", flags).withColumn("tcp_win", F.col("length")), FLOW))
+
+
+@query(S[:-2] + """ , a AS (SELECT *, min(CASE WHEN event_type = 'view' THEN pkt_idx END) OVER (PARTITION BY user_id, flow_seq) AS ia FROM s),
+ b AS (SELECT *, min(CASE WHEN event_type = 'click' AND pkt_idx > ia THEN pkt_idx END) OVER (PARTITION BY user_id, flow_seq) AS ib FROM a),
+ c AS (SELECT *, min(CASE WHEN event_type = 'purchase' AND pkt_idx > ib THEN pkt_idx END) OVER (PARTITION BY user_id, flow_seq) AS ic FROM b),
+ t AS (SELECT user_id, flow_seq, max(CASE WHEN pkt_idx = ia THEN ts_us END) AS ta, max(CASE WHEN pkt_idx = ib THEN ts_us END) AS tb, max(CASE WHEN pkt_idx = ic THEN ts_us END) AS tc FROM c GROUP BY ALL)
+ SELECT user_id, flow_seq, round(coalesce(CASE WHEN tc IS NOT NULL THEN (tb - ta) / 1e6 END, -1), 6) AS tcp_syn_synack, round(coalesce(CASE WHEN tc IS NOT NULL THEN (tc - tb) / 1e6 END, -1), 6) AS tcp_synack_ack, round(coalesce(CASE WHEN tc IS NOT NULL THEN (tc - ta) / 1e6 END, -1), 6) AS tcp_rtt FROM t""")
+def q_handshake_timings(spark, d):
+    e = F.col("event_type")
+    return rounded(flows.handshake(flow_packets(spark, d), FLOW, e == "view", e == "click", e == "purchase"), 6)
+
+
+@query(P[:-2] + " SELECT pkt_idx, least(user_id, dst) AS ip_a, greatest(user_id, dst) AS ip_b, CASE WHEN user_id < dst THEN 1 ELSE 2 END AS port_a, CASE WHEN user_id < dst THEN 2 ELSE 1 END AS port_b, event_type AS protocol FROM p")
+def q_flow_key_normalised(spark, d):
+    key = C.flow_key(F.col("user_id"), F.col("dst"), F.lit(1), F.lit(2), F.col("event_type"))
+    return packets(spark, d).select("pkt_idx", key.alias("k")).select("pkt_idx", "k.*")
+
+
+@query(P[:-2] + " SELECT pkt_idx, concat_ws('-', user_id, dst, 1, 2, event_type) AS flow_id, concat_ws('-', dst, user_id, 2, 1, event_type) AS reverse_id FROM p")
+def q_flow_id_text(spark, d):
+    a = C.flow_id(F.col("user_id"), F.col("dst"), F.lit(1), F.lit(2), F.col("event_type"))
+    return packets(spark, d).select("pkt_idx", a.alias("flow_id"), C.reverse_flow_id(a).alias("reverse_id"))
+
+
+@query("SELECT event_id, " + ", ".join(f"CAST(event_id // {10**n} % 10 AS INTEGER) AS port_digit_{n}" for n in range(8)) + " FROM events")
+def q_port_digits(spark, d):
+    return table(spark, d, "events").select("event_id", *C.port_digits(F.col("event_id"), "port"))
+
+
+@query("SELECT event_id, " + ", ".join(f"CASE WHEN ip < 65536 THEN -1 ELSE {f'CAST((ip >> {8 * (k - 1)}) & 255 AS INTEGER)' if k <= 4 else '-1'} END AS src_ip_dotted_{k}" for k in range(16, 0, -1)) + " FROM (SELECT event_id, event_id * 4099 AS ip FROM events)")
+def q_ip_octets(spark, d):
+    return table(spark, d, "events").select("event_id", (F.col("event_id") * 4099).alias("ip")).select("event_id", *C.ip_octets(F.col("ip"), "src_ip"))
+
+
+@query("SELECT event_id, CAST(round_even(epoch_us(ts) / 1e6, 0) AS BIGINT) AS rounded, CAST(ceil(epoch_us(ts) / 1e6) AS BIGINT) AS ceiled FROM events")
+def q_time_round_ceil(spark, d):
+    s = F.col("ts_us") / 1e6
+    return packets(spark, d).select(F.col("pkt_idx").alias("event_id"), F.bround(s, 0).cast("long").alias("rounded"), F.ceil(s).alias("ceiled"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 6 WHEN 'click' THEN 17 WHEN 'error' THEN 1 END AS protocol, CASE WHEN event_id % 256 BETWEEN 144 AND 252 THEN 144 ELSE event_id % 256 END AS assigned FROM events")
+def q_protocol_map(spark, d):
+    name = F.expr("CASE event_type WHEN 'view' THEN ' TCP' WHEN 'click' THEN 'udp ' WHEN 'error' THEN 'icmp' ELSE 'none' END")
+    return table(spark, d, "events").select("event_id", C.protocol_number(name).alias("protocol"), C.unassigned_protocol(F.col("event_id") % 256).alias("assigned"))
+
+
+@query(S + "v AS (SELECT user_id, flow_seq, 1 AS label FROM s GROUP BY ALL HAVING count(*) >= 3) SELECT s.pkt_idx, coalesce(v.label, 0) AS label FROM s LEFT JOIN v USING (user_id, flow_seq)")
+def q_map_backwards(spark, d):
+    rows = flow_packets(spark, d)
+    verdicts = rows.groupBy(*FLOW).count().where("count >= 3").select(*FLOW, F.lit(1).alias("label"))
+    return flows.map_back(rows, verdicts, FLOW).select("pkt_idx", "label")
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    rows = packets(spark, d).where("event_type IN ('error', 'purchase')")
+    kind = F.when(F.col("event_type") == "error", 1).otherwise(0)
+    return rows.select("user_id", F.col("ts_us").alias("start_us"), (F.col("ts_us") + SIX_HOURS).alias("end_us"), kind.alias("traffic_type"), F.col("event_type").alias("info"), F.col("pkt_idx").alias("seq"), F.when(F.col("pkt_idx") % 7 == 0, F.col("dst")).alias("dst"))
+
+
+def clicks(spark: SparkSession, d: str) -> DataFrame:
+    return packets(spark, d).where("event_type = 'click'").select("pkt_idx", "ts_us", "user_id", "dst")
+
+
+LABELLED = P + f"""fl AS (SELECT user_id, ts_us AS start_us, ts_us + {SIX_HOURS} AS end_us, CASE event_type WHEN 'error' THEN 1 ELSE 0 END AS tt, event_type AS info, pkt_idx AS seq, CASE WHEN pkt_idx % 7 = 0 THEN dst END AS src FROM p WHERE event_type IN ('error', 'purchase')),
+ c AS (SELECT pkt_idx, ts_us, user_id, dst FROM p WHERE event_type = 'click') """
+
+
+def _asof_sql(extra: str) -> str:
+    return LABELLED + f""", r AS (SELECT c.pkt_idx, fl.*, row_number() OVER (PARTITION BY c.pkt_idx ORDER BY fl.start_us DESC, fl.tt ASC, fl.seq DESC) AS k FROM c JOIN fl ON fl.user_id = c.user_id AND fl.start_us <= c.ts_us {extra})
+ SELECT c.pkt_idx, coalesce(r.tt, 0) AS traffic_type, CASE WHEN r.tt = 1 THEN r.info END AS attack_type, r.tt IS NOT NULL AS matched FROM c LEFT JOIN r ON r.pkt_idx = c.pkt_idx AND r.k = 1"""
+
+
+ASOF = ["pkt_idx", "traffic_type", "attack_type", "matched"]
+
+
+@query(_asof_sql(""))
+def q_label_asof_start(spark, d):
+    return labels.asof_labels(clicks(spark, d), labelled(spark, d), "user_id").select(*ASOF)
+
+
+@query(_asof_sql("AND fl.end_us >= c.ts_us"))
+def q_label_asof_interval(spark, d):
+    return labels.asof_labels(clicks(spark, d), labelled(spark, d), "user_id", use_end=True).select(*ASOF)
+
+
+@query(_asof_sql("AND (fl.src IS NULL OR fl.src = c.dst)"))
+def q_label_unidirectional(spark, d):
+    return labels.asof_labels(clicks(spark, d), labelled(spark, d), "user_id", source="dst").select(*ASOF)
+
+
+@query(LABELLED + "SELECT a.user_id, a.seq AS first_seq, b.seq AS second_seq FROM fl a JOIN fl b ON a.user_id = b.user_id AND (b.start_us > a.start_us OR b.start_us = a.start_us AND b.seq > a.seq) AND (b.start_us < a.end_us OR b.start_us = a.start_us)")
+def q_duplicate_flows(spark, d):
+    return labels.duplicate_flows(labelled(spark, d), "user_id")
+
+
+@query(LABELLED + "SELECT seq FROM fl WHERE start_us + seq % 3 * 1000000 - 1000000 < start_us")
+def q_invalid_flows(spark, d):
+    shifted = labelled(spark, d).withColumn("end_us", F.col("start_us") + F.col("seq") % 3 * 1_000_000 - 1_000_000)
+    return labels.invalid_flows(shifted).select("seq")
+
+
+@query(LABELLED + "SELECT pkt_idx FROM c WHERE NOT EXISTS (SELECT 1 FROM fl WHERE fl.user_id = c.user_id AND fl.tt = 1)")
+def q_no_flow_diagnostics(spark, d):
+    return labels.without_flow(clicks(spark, d), labelled(spark, d).where("traffic_type = 1"), "user_id").select("pkt_idx")
+
+
+@query(P[:-2] + " SELECT dst, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'signup') AS signup, count(*) AS total, count(*) FILTER (event_type IN ('error', 'signup')) AS num_attacks, round(count(*) FILTER (event_type IN ('error', 'signup')) / count(*), 4) AS fraction_attacks FROM p GROUP BY dst")
+def q_attack_stats_pivot(spark, d):
+    rows = packets(spark, d).withColumn("attack_type", F.when(F.col("event_type").isin("error", "signup"), F.col("event_type")))
+    return rounded(labels.attack_stats(rows, "dst", ["error", "signup"]))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE value > 50 GROUP BY ALL")
+def q_flows_per_protocol(spark, d):
+    return table(spark, d, "events").where("value > 50").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL), a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+ SELECT coalesce(e.user_id, a.user_id) AS user_id, coalesce(e.n, 0) AS expected, coalesce(a.n, 0) AS actual, coalesce(a.n, 0) - coalesce(e.n, 0) AS difference, round(CASE WHEN coalesce(e.n, 0) = 0 THEN 0.0 ELSE abs(coalesce(e.n, 0) - coalesce(a.n, 0)) / e.n END, 4) AS error FROM e FULL JOIN a ON e.user_id = a.user_id""")
+def q_expected_vs_actual(spark, d):
+    n = lambda t: table(spark, d, "events").where(F.col("event_type") == t).groupBy("user_id").agg(F.count("*").alias("n"))
+    return rounded(labels.expected_actual(n("error"), n("purchase"), "user_id"))
+
+
+VERDICTS = "WITH v AS (SELECT d.doc_id, d.lang AS part, d.source AS seq, l.quality AS truth, l.toxic AS predicted FROM documents d JOIN labels l USING (doc_id)) "
+
+
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("part"), F.col("source").alias("seq"))
+    return docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("truth"), F.col("toxic").alias("predicted")), "doc_id")
+
+
+@query(VERDICTS + "SELECT 'all' AS part_name, doc_id FROM v UNION ALL SELECT part, doc_id FROM v WHERE truth = 0 UNION ALL SELECT n.part, v.doc_id FROM v, (SELECT DISTINCT part FROM v WHERE truth = 0) n WHERE v.truth = 1")
+def q_parts_membership(spark, d):
+    return labels.parts(verdicts(spark, d), "doc_id", "part", F.col("truth") == 1)
+
+
+_COUNTS = "count(*) FILTER (truth = 1 AND predicted = 1) AS tp, count(*) FILTER (truth = 0 AND predicted = 1) AS fp, count(*) FILTER (truth = 0 AND predicted = 0) AS tn, count(*) FILTER (truth = 1 AND predicted = 0) AS fn"
+
+
+@query(VERDICTS + f"SELECT part, seq, {_COUNTS} FROM v GROUP BY ALL")
+def q_confusion(spark, d):
+    return evaluation.confusion(verdicts(spark, d), ["part", "seq"])
+
+
+_sd = "CASE WHEN ({1}) = 0 THEN 'inf'::DOUBLE ELSE ({0}) / ({1}) END".format
+
+
+def _metric_sql(by: str) -> str:
+    k = f"1 - ({_sd('1 - ' + '(' + _sd('tp + tn', 'tp + fp + tn + fn') + ')', '1 - (' + _sd('(tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)', '(tp + fp + tn + fn) * (tp + fp + tn + fn)') + ')')})"
+    out = {"recall": _sd("tp", "tp + fn"), "tnr": _sd("tn", "tn + fp"), "precision": _sd("tp", "tp + fp"), "npv": _sd("tn", "tn + fn"), "fpr": _sd("fp", "tn + fp"), "fdr": _sd("fp", "fp + tp"), "fnr": _sd("fn", "fn + tp"), "accuracy": _sd("tp + tn", "tp + fp + tn + fn"), "f1_score": _sd("2 * tp", "2 * tp + fp + fn"), "kappa": k, "mcc": _sd("tp * tn - fp * fn", "sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))")}
+    return VERDICTS + f", c AS (SELECT {by}{', ' * bool(by)}{_COUNTS} FROM v GROUP BY ALL), m AS (SELECT {by}{', ' * bool(by)}tp::DOUBLE AS tp, fp::DOUBLE AS fp, tn::DOUBLE AS tn, fn::DOUBLE AS fn FROM c) SELECT {by}{', ' * bool(by)}{', '.join(f'round({v}, 4) AS {n}' for n, v in out.items())} FROM m"
+
+
+METRICS = ["recall", "tnr", "precision", "npv", "fpr", "fdr", "fnr", "accuracy", "f1_score", "kappa", "mcc"]
+
+
+@query(_metric_sql("part, seq"))
+def q_metrics(spark, d):
+    return rounded(evaluation.with_metrics(evaluation.confusion(verdicts(spark, d), ["part", "seq"])).select("part", "seq", *METRICS))
+
+
+@query(_metric_sql("part"))
+def q_metrics_total(spark, d):
+    counts = evaluation.total_confusion(evaluation.confusion(verdicts(spark, d), ["part", "seq"]), ["part"])
+    return rounded(evaluation.with_metrics(counts).select("part", *METRICS))
+
+
+@query()
+def q_byte_frequencies(spark, d):
+    rows = payl.byte_counts(table(spark, d, "documents"), "text", ["doc_id"])
+    return rows.select("doc_id", F.posexplode(payl.frequencies()).alias("byte", "freq")).where("freq > 0").select("doc_id", "byte", F.round("freq", 6).alias("freq"))
+
+
+def payloads(spark: SparkSession, d: str) -> DataFrame:
+    rows = payl.byte_counts(table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("protocol"), F.col("source").alias("port"), (F.floor(F.col("n_chars") / 500) * 500).alias("length")), "text", ["doc_id", "protocol", "port", "length"])
+    return rows.withColumn("freq", payl.frequencies())
+
+
+@query()
+def q_payl_centroids(spark, d):
+    rows = payl.centroids(payloads(spark, d))
+    return rows.select(*payl.KEY, "n", F.round(rows["mean"][32], 6).alias("mean_space"), F.round(rows["std"][32], 6).alias("std_space"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang AS protocol, source AS port, (n_chars // 500) * 500 AS length FROM documents), t AS (SELECT DISTINCT protocol, port, length FROM d WHERE doc_id % 2 = 0),
+ r AS (SELECT d.doc_id, t.length AS near_length, row_number() OVER (PARTITION BY d.doc_id ORDER BY abs(t.length - d.length), t.length) AS k FROM d LEFT JOIN t ON t.protocol = d.protocol AND t.port = d.port) SELECT doc_id, near_length FROM r WHERE k = 1""")
+def q_payl_nearest(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("protocol"), F.col("source").alias("port"), (F.floor(F.col("n_chars") / 500) * 500).alias("length"))
+    return payl.nearest_centroid(rows, rows.where("doc_id % 2 = 0").select(*payl.KEY).distinct(), ["doc_id"], []).select("doc_id", "near_length")
+
+
+def distances(spark: SparkSession, d: str) -> DataFrame:
+    rows = payloads(spark, d)
+    near = payl.nearest_centroid(rows, payl.centroids(rows.where("doc_id % 2 = 0")), ["doc_id", "protocol", "port", "freq"], ["mean", "std"])
+    return near.select("doc_id", "protocol", payl.distance(F.col("mean"), F.col("std"), F.col("freq")).alias("distance"))
+
+
+@query()
+def q_payl_distance(spark, d):
+    return rounded(distances(spark, d))
+
+
+@query()
+def q_payl_flow_agg(spark, d):
+    return rounded(payl.flow_distances(distances(spark, d), ["protocol"]))
+
+
+@query()
+def q_payl_clusters(spark, d):
+    return payl.cluster(payl.centroids(payloads(spark, d)), 0.4).select("protocol", "port", "length", "n")
+
+
+@query("SELECT event_id, " + ", ".join(f"CASE WHEN event_type = '{v}' THEN 1 ELSE 0 END AS event_type_ohe_{v}" for v in ("click", "error", "purchase", "signup", "view")) + " FROM events")
+def q_onehot(spark, d):
+    rows = table(spark, d, "events").select("event_id", "event_type")
+    return transformers.one_hot(rows, "event_type", transformers.vocabulary(rows, "event_type"))
+
+
+@query(S[:-2] + " SELECT user_id, flow_seq, round(sum(length), 4) AS fwd_sum_pkt_length, count(length) AS fwd_n_packets FROM s GROUP BY ALL")
+def q_feature_filter(spark, d):
+    stats = flows.length_stats(flow_packets(spark, d), FLOW, prefix="fwd")
+    return rounded(transformers.keep_features(stats, [*FLOW, "fwd_sum_pkt_length", "fwd_n_packets"]))
+
+
+MATRIX = "WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) "
+
+
+@query(MATRIX + ", s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS sd FROM u GROUP BY i) SELECT vec_id, CAST(i AS INTEGER) AS i, round((x - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 4) AS z FROM u JOIN s USING (i)")
+def q_standard_scale(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    z = transformers.standard_scaler(rows).column(F.col("features"))
+    return rows.select("vec_id", F.posexplode(z).alias("i", "z")).select("vec_id", "i", F.round("z", 4).alias("z"))
+
+
+@query(MATRIX + ", s AS (SELECT i, min(x) AS lo, max(x) AS hi FROM u GROUP BY i) SELECT vec_id, CAST(i AS INTEGER) AS i, round((x - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 4) AS z FROM u JOIN s USING (i)")
+def q_minmax_scale(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    z = transformers.minmax_scaler(rows).column(F.col("features"))
+    return rows.select("vec_id", F.posexplode(z).alias("i", "z")).select("vec_id", "i", F.round("z", 4).alias("z"))
+
+
+@query()
+def q_pca_variance(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    return rows.select("vec_id", transformers.pca(rows, 10).column(F.col("features")).alias("pca"))
+
+
+@query("WITH n AS (SELECT vec_id, sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])) AS v FROM embeddings), t AS (SELECT quantile_cont(v, 0.95) AS t FROM n) SELECT vec_id, CASE WHEN v > t THEN 1 ELSE 0 END AS label FROM n, t")
+def q_threshold_percentile(spark, d):
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    rows = table(spark, d, "embeddings").select("vec_id", norm.alias("v"))
+    limit = rows.agg(F.percentile("v", 0.95)).first()[0]
+    return rows.select("vec_id", F.when(F.col("v") > (limit if limit is not None else 0.0), 1).otherwise(0).alias("label"))
+
+
+@query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS point_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, point_id) AS rank FROM p) SELECT query_id, CAST(rank AS INTEGER) AS rank, round(distance, 4) AS distance FROM r WHERE rank <= 5""")
+def q_knn(spark, d):
+    points = table(spark, d, "embeddings")
+    return rounded(engines.knn(points.where("vec_id % 50 = 0"), points, 5).select("query_id", "rank", "distance"))
+
+
+def _engine(spark, d, make):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    return engines.score_rows(rows, "vec_id", "features", make(engines.sample_matrix(rows, "features", "vec_id", 2000)))
+
+
+@query()
+def q_lof(spark, d):
+    return _engine(spark, d, engines.LocalOutlierFactor.fit).withColumn("label", (F.col("score") > 1.5).cast("int"))
+
+
+@query()
+def q_isolation_forest(spark, d):
+    return _engine(spark, d, engines.IsolationForest).withColumn("label", (F.col("score") > 0.5).cast("int"))
+
+
+@query()
+def q_one_class_svm(spark, d):
+    return _engine(spark, d, lambda x: engines.OneClassSvm(x, nu=0.05, gamma=0.5)).withColumn("label", (F.col("score") < 0).cast("int"))
+
+
+@query()
+def q_autoencoder(spark, d):
+    def make(x: np.ndarray):
+        return engines.Autoencoder(x, epochs=10)
+
+    rows = _engine(spark, d, make)
+    limit = rows.agg(F.percentile("score", 0.99)).first()[0] or 0.0
+    return rows.withColumn("label", (F.col("score") > limit).cast("int"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY a.k, b.k, c.k) - 1 AS INTEGER) AS \"index\", a.v AS de_nu, b.v AS fe_timeout, c.v AS transformers FROM (VALUES (0, '0.1'), (1, '0.2')) a(k, v), (VALUES (0, '12'), (1, '60')) b(k, v), (VALUES (0, 'minmax_scaler'), (1, 'minmax_scaler,onehot_encoder')) c(k, v)")
+def q_hyperparam_grid(spark, d):
+    return reporting.grid(spark, {"nu": [0.1, 0.2]}, {"timeout": [12, 60]}, [["minmax_scaler"], ["minmax_scaler", "onehot_encoder"]])
+
+
+@query(VERDICTS + "SELECT part, count(DISTINCT seq) AS n_series FROM v GROUP BY ALL")
+def q_hyperparam_groups(spark, d):
+    counts = evaluation.confusion(verdicts(spark, d), ["part", "seq"])
+    return reporting.hyperparam_groups(counts, "seq", ["part"], ["tp", "fp"]).select("part", F.size("series").cast("long").alias("n_series"))
+
+
+@query(VERDICTS + f""", c AS (SELECT part, seq, {_COUNTS} FROM v GROUP BY ALL), m AS (SELECT part, seq, 'tp' AS metric, tp AS value FROM c UNION ALL SELECT part, seq, 'fn', fn FROM c),
+ r AS (SELECT *, row_number() OVER (PARTITION BY part, metric ORDER BY value DESC, seq) AS rank FROM m) SELECT part, seq, metric, value, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def q_report_topk(spark, d):
+    return reporting.top_by_metric(evaluation.confusion(verdicts(spark, d), ["part", "seq"]), ["part"], ["tp", "fn"], ["seq"], 3)
+
+
+@query("SELECT event_id, user_id FROM events")
+def q_report_constants(spark, d):
+    rows = table(spark, d, "events").select("event_id", "user_id", F.lit(1).alias("fixed"), F.lit(None).cast("int").alias("empty"))
+    return rows.drop(*reporting.constant_columns(rows, ["user_id", "fixed", "empty"]))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS scaler, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS encoder FROM events")
+def q_transformer_indicators(spark, d):
+    names = F.expr("CASE event_type WHEN 'click' THEN 'scaler' WHEN 'view' THEN 'scaler,encoder' ELSE '' END")
+    return reporting.transformer_indicators(table(spark, d, "events").select("event_id", names.alias("transformers")), ["scaler", "encoder"]).drop("transformers")
+
+
+@query("SELECT c.c_custkey, count(o.o_orderkey) AS n_results FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY ALL")
+def q_classification_counts(spark, d):
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_results"))
+    return table(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n_results", F.lit(0)).alias("n_results"))
+
+
+@query("SELECT o.o_orderkey, c.c_custkey, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey")
+def q_evaluations_join(spark, d):
+    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, n.n_nationkey == c.c_nationkey).select("o_orderkey", "c_custkey", "n_name")
+
+
+@query("SELECT o_orderkey, round(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 1000 * (o_totalprice - 1) / (o_orderkey % 5) END, 2) AS ms FROM orders")
+def q_ms_per_packet(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.lit("m").alias("model_id"), F.col("o_orderkey").alias("classification_id"), F.col("o_totalprice").cast("double").alias("total_time"), F.lit(1.0).alias("packet_read_time"), (F.col("o_orderkey") % 5).cast("double").alias("packet_count"))
+    model = spark.createDataFrame([("m",)], "model_id string")
+    evals = rows.select("classification_id", F.lit(1).alias("is_aggregated"))
+    out = reporting.evaluations_by_model(evals, rows, model)
+    return out.select("o_orderkey", F.round("classification_ms_per_packet", 2).alias("ms"))
+
+
+@query("SELECT event_id FROM events WHERE event_id < 20 OR event_id BETWEEN 100 AND 199 OR event_id >= 900")
+def q_packet_range_subset(spark, d):
+    return pcap.subset(table(spark, d, "events"), [(0, 20), (100, 200), (900, "end")], "event_id").select("event_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src3', 'src7')")
+def q_file_range_select(spark, d):
+    names = pcap.select_files([f"src{i}" for i in range(1, 20)], ["1-3", "7"])
+    return table(spark, d, "documents").where(F.col("source").isin(names)).select("doc_id", "source")
