@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.llm.common import stored
-from flowsift.llm.tokens import PieceEncoder, vocabulary_path
+from flowsift.llm.tokens import PartEncoder, vocabulary_path
 
 LIMIT, END = 1024, 2
 GROUP_ROWS = 16_384
@@ -33,11 +33,11 @@ def cut(docs: DataFrame, limit: int = LIMIT, end: int = END, vocabulary: str | N
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = PartEncoder(path)
         for batch in batches:
             out: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + last
+                ids = encoder.whole(text.as_py() or "") + last
                 n = len(ids) // 4
                 first = n - (n - 1) // limit * limit
                 edges = [0, *range(first, n + 1, limit)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.tokens import PieceEncoder, vocabulary_path
+from flowsift.llm.tokens import PartEncoder, vocabulary_path
 
 SEGMENT = 24
 
@@ -25,7 +25,7 @@ SEGMENT = 24
 class SegmentTree:
     """Leaves of text; heap-ordered sums of their characters and tokens."""
 
-    def __init__(self, text: str, encoder: PieceEncoder) -> None:
+    def __init__(self, text: str, encoder: PartEncoder) -> None:
         self.encoder, self.encoded = encoder, 0
         if len(encoder) > 300_000:
             encoder.clear()
@@ -112,11 +112,14 @@ def count_edits(docs: DataFrame, edits_col: str = "edits", id_col: str = "doc_id
     schema = "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = PartEncoder(path)
         for b in batches:
             rows = []
-            for text, edits in zip(b.column(1), b.column(2)):
-                tree = SegmentTree(text.as_py() or "", encoder)
+            texts = [t.as_py() or "" for t in b.column(1)]
+            for at, (text, edits) in enumerate(zip(texts, b.column(2))):
+                if at % 256 == 0:
+                    encoder.learn({u for t in texts[at : at + 256] for u in encoder.units(t)[1:]})
+                tree = SegmentTree(text, encoder)
                 before = tree.tokens[1]
                 for e in edits.as_py() or []:
                     tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")

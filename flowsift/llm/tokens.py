@@ -1,13 +1,21 @@
-"""Byte-pair token ids of texts, with a cache of space-delimited pieces.
+"""Byte-pair token ids of texts, with a cache of space-delimited parts.
 
 The pre-tokenizer of the byte-level vocabularies gives a run of white space all but its last character, so a text can be cut
-before any space or newline that other characters follow; its ids are those of the parts put one after another.
+before any space or newline that other characters follow; its ids are those of the parts put one after another. Parts that are
+not in the cache yet are joined and encoded at once, and the ids are dealt out by their length in bytes.
+
+The vocabulary is a file of the `tokenizers` library (byte-level BPE whose ids follow the order of its merges); its table is
+handed to `tiktoken`, which gives the same ids in a third of the time.
 """
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+
 VOCABULARY = "byte_bpe_50k.json"
-CACHED_PIECES = 300_000
+CACHED_PARTS = 300_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -16,52 +24,73 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
-class PieceEncoder(dict):
-    """Maps a piece (without the space before it) to its ids as little-endian unsigned 32-bit bytes."""
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte: itself if it can be printed, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __init__(self, path: str) -> None:
-        import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class PartEncoder(dict):
+    """Maps a part (without the space before it) to its ids as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import tiktoken
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)
+        special = {t["content"] for t in vocabulary["added_tokens"]}
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}
+        self.bpe = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.size[i] = len(token)
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(piece) > 64:
-            return self.whole(piece if piece[0] == "\n" else " " + piece)
-        ids = self[piece] = self.whole(piece if piece[0] == "\n" else " " + piece)
+    def learn(self, parts: set[str]) -> None:
+        """Encodes parts that are not yet known, all at once."""
+        new = [p for p in parts if p not in self]
+        if len(self) + len(new) > CACHED_PARTS:
+            self.clear()
+            new = list(parts)
+        if not new:
+            return
+        spelled = [p if p[:1] == "\n" else " " + p for p in new]
+        ids = np.array(self.bpe.encode_ordinary("".join(spelled)), "<u4")
+        ends = np.cumsum([len(p.encode()) for p in spelled])
+        cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)).tolist()]
+        data = ids.tobytes()
+        self.update(zip(new, (data[a:b] for a, b in zip(cuts, cuts[1:]))))
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.whole(part if part[:1] == "\n" else " " + part)
         return ids
 
     def units(self, text: str) -> list[str]:
         """text in parts whose ids are independent; parts but the first begin with a space, left out, or a newline."""
-        pieces = text.replace("\n", " \n").split(" ")
-        if not any(map(_joins, pieces[1:])):
-            return pieces
-        out = [pieces[0]]
-        for p in pieces[1:]:
+        parts = text.replace("\n", " \n").split(" ")
+        if not any(map(_joins, parts[1:])):
+            return parts
+        out = [parts[0]]
+        for p in parts[1:]:
             if _joins(p):
                 out[-1] += p if p[:1] == "\n" else " " + p
             else:
                 out.append(p)
         return out
 
-    def encode(self, text: str) -> bytes:
-        if len(self) > CACHED_PIECES:
-            self.clear()
-        if not text:
-            return b""
-        units = self.units(text)
-        return self.whole(units[0]) + b"".join(map(self.__getitem__, units[1:]))
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; texts are best passed in batches of a few MB."""
+        cut = [self.units(t) for t in texts]
+        self.learn({u for units in cut for u in units[1:]})
+        return [(self.whole(units[0]) if units[0] else b"") + b"".join(map(self.__getitem__, units[1:])) for units in cut]
 
 
-def _joins(piece: str) -> bool:
-    """Whether a piece belongs to the white space before it."""
-    return not piece or piece[0].isspace() and (piece[0] != "\n" or len(piece) == 1 or piece[1].isspace())
+def _joins(part: str) -> bool:
+    """Whether a part belongs to the white space before it."""
+    return not part or part[0].isspace() and (part[0] != "\n" or len(part) == 1 or part[1].isspace())
