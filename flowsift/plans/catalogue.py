@@ -113,12 +113,12 @@ SUB = f"""u AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY user_i
  v AS (SELECT *, sum(nw) OVER (PARTITION BY user_id, flow_seq ORDER BY pkt_idx ROWS UNBOUNDED PRECEDING) AS sub FROM u),
  sp AS (SELECT user_id, flow_seq, sub, arg_min(ts_us, pkt_idx) AS a, arg_max(ts_us, pkt_idx) AS z FROM v GROUP BY ALL),
  ai AS (SELECT *, (z - a) / 1e6 AS active, (a - lag(z) OVER (PARTITION BY user_id, flow_seq ORDER BY sub)) / 1e6 AS idle FROM sp) """
-_AI = ", ".join(f"count({n}) AS n_{n}_times, " + ", ".join(f"round(coalesce({f}({n}), 0), 7) AS {k}_{n}_time" for k, f in (("min", "min"), ("max", "max"), ("total", "sum"), ("std", "stddev_pop"), ("mean", "avg"))) for n in ("active", "idle"))
+_AI = ", ".join(f"count({n}) AS n_{n}_times, " + ", ".join(f"round(coalesce({f}({n}), 0), 8) AS {k}_{n}_time" for k, f in (("min", "min"), ("max", "max"), ("total", "sum"), ("std", "stddev_pop"), ("mean", "avg"))) for n in ("active", "idle"))
 
 
 @query(S + SUB + f"SELECT user_id, flow_seq, count(*) AS n_subflows, {_AI} FROM ai GROUP BY ALL")
 def q_subflows_active_idle(spark, d):
-    return rounded(flows.active_idle(flow_packets(spark, d), FLOW, SUBFLOW), 7)
+    return rounded(flows.active_idle(flow_packets(spark, d), FLOW, SUBFLOW), 8)
 
 
 @query(S + DIRECTED + f""", u AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY user_id, flow_seq, forward ORDER BY pkt_idx) > {SUBFLOW} THEN 1 ELSE 0 END AS nw FROM f),
