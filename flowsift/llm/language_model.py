@@ -6,10 +6,10 @@ probability is half its own estimate plus half the product of its children's, so
 weight of every depth, and a prediction is the weighted mixture of the estimates of all depths. Where a context has never met a
 decision, its parent's estimate stands. The model's score is the log10 probability of all bytes.
 
-No table of the corpus is broadcast. Texts are dealt to chunks of about CHUNK_BYTES. A chunk sends its distinct windows of DEPTH + 1
-bytes and its distinct words (their XXH64), with training counts, to buckets: windows by the two bytes before the last, words by hash. A
-bucket sums them over the corpus and answers each chunk for just what it sent. Only the nodes of depth 0 to 2, 65,793 at
-most, go to all tasks, so memory has a bound at any corpus size.
+Texts are dealt to chunks of about CHUNK_BYTES. A chunk sends its distinct windows of DEPTH + 1 bytes and its distinct words (their
+XXH64), with training counts, to buckets: windows by the two bytes before the last, words by hash. A bucket sums them over
+the corpus, has all contexts below its nodes of depth 2, and answers each chunk for just what it sent. Only the 257 nodes of depth 0 and 1 go
+to all tasks; their shares against their children are those of the tree cut at depth 2. Memory has a bound at any corpus size.
 
 Defined cases: null text counts as empty and has the end token alone; a null doc_id folds as empty text; repeated rows
 each count and are all returned; with no training rows every probability is that of empty counts; extra columns are ignored.
@@ -22,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import fold, stored
+from flowsift.llm.common import fold
 
 DEPTH = 6
-CHUNK_BYTES = 16 << 20
-SLICE = 1 << 20
+CHUNK_BYTES = 8 << 20
+SLICE = 2 << 20
 END = b"\n"
 _TABLE = np.array([math.lgamma(k + 0.5) for k in range(4096)]), np.array([math.lgamma(k + 1.0) for k in range(8192)])
 
@@ -51,35 +52,39 @@ def kt_block_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return half(zeros) + half(ones) - np.where(n < 8192, _TABLE[1][np.minimum(n, 8191)], _gamma_log(n + 1.0)) - math.log(math.pi)
 
 
+def paths(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions (1 to 255) that lead to the bytes `of`, and which bytes (rows) take a zero or a one at which decision."""
+    nodes = (256 + of.astype(np.int64))[:, None] >> np.arange(9)
+    decisions, at = np.unique(nodes[:, 1:], return_inverse=True)
+    zero, one = np.zeros((2, len(of), len(decisions)))
+    row = np.repeat(np.arange(len(of)), 8)
+    bit = (nodes[:, :-1] & 1).ravel().astype(bool)
+    one[row[bit], at.ravel()[bit]] = 1
+    zero[row[~bit], at.ravel()[~bit]] = 1
+    return decisions, zero, one
+
+
 class Level:
-    """Contexts of one depth (rows) by the 256 decisions: estimates, block probabilities, own share against children."""
-
-    def __init__(self, counts: np.ndarray, below: np.ndarray | None) -> None:
-        tree = np.zeros((len(counts), 512), np.int64)
-        tree[:, 256:] = counts
-        for at in (128, 64, 32, 16, 8, 4, 2, 1):
-            tree[:, at : 2 * at] = tree[:, 2 * at : 4 * at].reshape(len(counts), at, 2).sum(axis=2)
-        zeros, ones = tree[:, 0::2].copy(), tree[:, 1::2].copy()
-        zeros[:, 0] = ones[:, 0] = 0
-        self.counts, self.seen = counts, zeros + ones > 0
+    """Contexts of one depth (rows) by decisions: estimates, block probabilities, own share against children."""
+
+    def __init__(self, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> None:
+        self.zeros, self.ones, self.seen = zeros, ones, zeros + ones > 0
         self.one = (ones + 0.5) / (zeros + ones + 1.0)
-        self.block = kt_block_log(zeros, ones)
+        self.block = kt_block_log(zeros.astype(np.int64), ones.astype(np.int64))
         self.share = None
         if below is not None:
             self.share = 1 / (1 + np.exp(np.clip(below - self.block, -700, 700)))
             self.block = math.log(0.5) + np.logaddexp(self.block, below)
 
 
-def levels(contexts: np.ndarray, counts: np.ndarray, depth: int, top: int) -> list[tuple[Level, np.ndarray]]:
+def levels(contexts: np.ndarray, zeros: np.ndarray, ones: np.ndarray, depth: int, top: int) -> list[tuple[Level, np.ndarray]]:
     """The levels depth .. top of sorted contexts (nearest byte first), each with the row's node in it."""
-    own = np.arange(len(contexts))
-    out = [(Level(counts, None), own)]
+    out = [(Level(zeros, ones, None), np.arange(len(contexts)))]
     for d in range(depth - 1, top - 1, -1):
         prefix = contexts >> np.uint64(8 * (depth - d))
         first = np.r_[True, prefix[1:] != prefix[:-1]]
-        last = out[-1][0]
-        heads = np.unique(out[-1][1][first])
-        out.append((Level(np.add.reduceat(last.counts, heads), np.add.reduceat(last.block, heads)), np.cumsum(first) - 1))
+        last, heads = out[-1][0], np.unique(out[-1][1][first])
+        out.append((Level(*(np.add.reduceat(x, heads) for x in (last.zeros, last.ones, last.block))), np.cumsum(first) - 1))
     return out
 
 
@@ -88,16 +93,6 @@ def mixed(upper_one, upper_share, deeper: np.ndarray, seen: np.ndarray) -> np.nd
     return np.where(seen, upper_share * upper_one + (1 - upper_share) * deeper, upper_one)
 
 
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """Probabilities of a one at the 256 decisions (rows) to log probabilities of the 256 bytes."""
-    logs = np.zeros((len(one), 512))
-    hit, miss = np.log(one), np.log1p(-one)
-    for at in (1, 2, 4, 8, 16, 32, 64, 128):
-        logs[:, 2 * at : 4 * at : 2] = logs[:, at : 2 * at] + miss[:, at : 2 * at]
-        logs[:, 2 * at + 1 : 4 * at : 2] = logs[:, at : 2 * at] + hit[:, at : 2 * at]
-    return logs[:, 256:]
-
-
 def _packed(x: np.ndarray) -> bytes:
     """Sorted codes as byte planes of their differences, which compress."""
     return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -155,16 +150,14 @@ class Lookup:
         return out
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about SLICE bytes, with the number of their first."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > SLICE:
-            yield begin, texts[begin : i + 1]
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, texts[begin:]
+def _slices(texts: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE bytes."""
+    size = np.cumsum(np.concatenate([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in texts.chunks] or [np.zeros(0)]))
+    begin = 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + SLICE, "right")))
+        yield begin, end
+        begin = end
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -193,27 +186,28 @@ def _reader(depth: int, chunks: int):
     shift = np.uint64(8 * (depth + 1 - 2))
 
     def send(key, table):
-        words = [_words(t.as_py()) for t in table.column("text")]
         out = table.column("held_out").to_numpy()
-        texts = [b" ".join(w) for w in words]
-        trained: list = []
-        other: list = []
-        for begin, part in _slices(texts):
-            code, own = window_codes(part, depth)
-            held = out[begin + own]
-            trained.append(np.unique(code[~held], return_counts=True))
-            u = np.unique(code[held])
-            other.append((u, np.zeros(len(u), np.int64)))
-            if len(trained) >= 16:
-                trained, other = _merged(trained + other), []
-        code, n = _merged(trained + other)[0]
+        held: list = []
+        hashes: list = []
+        for begin, end in _slices(table.column("text")):
+            words = [_words(t.as_py()) for t in table.column("text")[begin:end]]
+            away = out[begin:end]
+            hashes.append((h := [_hashes(w) for w in words]) and (np.concatenate(h), np.repeat(~away, [len(x) for x in h])))
+            code, own = window_codes([b" ".join(w) for w in words], depth)
+            del words, h
+            skip = away[own]
+            held.append(np.unique(code[~skip], return_counts=True))
+            u = np.unique(code[skip])
+            held.append((u, np.zeros(len(u), np.int64)))
+            if len(held) >= 8:
+                held = _merged(held)
+        code, n = _merged(held)[0]
         bucket = _pair_bucket(code >> shift, chunks)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(chunks + 1, dtype=np.uint64))
         rows = [("g", _packed(code[at]), n[at].astype(np.uint32).tobytes()) for at in (order[a:b] for a, b in zip(cuts, cuts[1:]))]
-        hashes = [_hashes(w) for w in words]
-        u, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        n = np.bincount(at, np.repeat(~out, [len(h) for h in hashes]), len(u)).astype(np.uint32)
+        u, at = np.unique(np.concatenate([h[0] for h in hashes]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([h[1] for h in hashes]), len(u)).astype(np.uint32)
         cuts = np.r_[0, np.searchsorted(u, _edges(chunks)), len(u)]
         rows += [("w", _packed(u[a:b]), n[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
         kind, keys, counts = zip(*rows)
@@ -234,63 +228,77 @@ def _all_windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarr
     return code, n, keys
 
 
-def _pieces(code: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
-    """Ranges of the sorted codes that share the three nearest context bytes."""
-    top = code >> np.uint64(8 * (depth - 2))
+def _ranges(code: np.ndarray, shift: int) -> list[tuple[int, int]]:
+    """Ranges of the sorted codes that agree above shift bits."""
+    top = code >> np.uint64(shift)
     first = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(code) else np.zeros(0, np.int64)
-    return zip(first.tolist(), [*first[1:].tolist(), len(code)])
-
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(code)]))
 
-def _dense(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted contexts, the context of each window, and byte counts by context."""
-    context = code >> np.uint64(8)
-    first = np.r_[True, context[1:] != context[:-1]]
-    row = np.cumsum(first) - 1
-    counts = np.zeros((row[-1] + 1, 256), np.int64)
-    counts[row, (code & np.uint64(255)).astype(np.int64)] = n
-    return context[first], row, counts
 
+class Piece:
+    """Sorted windows that share three context bytes: contexts (rows), their levels down to depth 3 over the decisions of the bytes that occur."""
 
-def _pair_sums(depth: int):
-    """Bucket to (pair, block, counts): of each two context bytes, summed over the contexts of depth 3."""
+    def __init__(self, code: np.ndarray, n: np.ndarray, depth: int) -> None:
+        context = code >> np.uint64(8)
+        first = np.r_[True, context[1:] != context[:-1]]
+        self.row = np.cumsum(first) - 1
+        self.bytes, self.byte = np.unique((code & np.uint64(255)).astype(np.int64), return_inverse=True)
+        self.decisions, self.zero, self.one = paths(self.bytes)
+        counts = np.zeros((self.row[-1] + 1, len(self.bytes)))
+        counts[self.row, self.byte] = n
+        self.levels = levels(context[first], counts @ self.zero, counts @ self.one, depth, 3)
 
-    def sums(key, table):
-        code, n, _ = _all_windows(table)
-        code, n = code[n > 0], n[n > 0]
-        found: dict[int, list[np.ndarray]] = {}
-        for a, b in _pieces(code, depth):
-            contexts, _, counts = _dense(code[a:b], n[a:b])
-            level = levels(contexts, counts, depth, 3)[-1][0]
-            held = found.setdefault(int(code[a] >> np.uint64(8 * (depth - 1))), [np.zeros(256), np.zeros(256, np.int64)])
-            held[0] += level.block[0]
-            held[1] += level.counts[0]
-        return pa.table({"pair": pa.array(list(found), pa.int32()), "block": pa.array([v[0].tobytes() for v in found.values()], pa.binary()), "counts": pa.array([v[1].tobytes() for v in found.values()], pa.binary())})
-
-    return sums
+    def logs(self, two: Level, byte: int, top: Top) -> np.ndarray:
+        """The log probability of each window; two: the node of depth 2 above, byte: the last context byte."""
+        one, seen = self.levels[0][0].one, self.levels[0][0].seen
+        for level, node in self.levels[1:]:
+            one, seen = mixed(level.one[node], level.share[node], one, seen), level.seen[node]
+        at = self.decisions - 1
+        one = top.over(byte, mixed(two.one[0, at], two.share[0, at], one, seen), np.broadcast_to(two.seen[0, at], one.shape), at)
+        return (np.log(one) @ self.one.T + np.log1p(-one) @ self.zero.T)[self.row, self.byte]
 
 
 class Top:
-    """The nodes of depth 0, 1 and 2."""
+    """The nodes of depth 0 and 1 over all 255 decisions, from the counts of bytes after two bytes (pair, sorted)."""
 
-    def __init__(self, pair: np.ndarray, block: np.ndarray, counts: np.ndarray) -> None:
-        self.pair = pair
-        self.two = Level(counts, block)
+    def __init__(self, pair: np.ndarray, counts: np.ndarray) -> None:
+        _, zero, one = paths(np.arange(256))
+        two = Level(counts @ zero, counts @ one, None)
         first = np.flatnonzero(np.r_[True, (pair >> 8)[1:] != (pair >> 8)[:-1]]) if len(pair) else np.zeros(0, np.int64)
-        zero = (np.zeros((0, 256), np.int64), np.zeros((0, 256)))
-        c, b = (np.add.reduceat(counts, first), np.add.reduceat(self.two.block, first)) if len(first) else zero
-        self.byte, self.one = (pair[first] >> 8), Level(c, b)
-        self.root = Level(c.sum(axis=0)[None], self.one.block.sum(axis=0)[None])
-
-    def over(self, pair: int, deeper: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """Predictions without context from those of contexts of depth 3 that end in pair."""
-        for nodes, keys, key in ((self.two, self.pair, pair), (self.one, self.byte, pair >> 8)):
-            i = int(np.searchsorted(keys, key))
-            if i < len(keys) and keys[i] == key:
-                deeper = mixed(nodes.one[i], nodes.share[i], deeper, seen)
-                seen = np.broadcast_to(nodes.seen[i], deeper.shape)
-            else:
-                seen = np.zeros(deeper.shape, bool)
-        return mixed(self.root.one[0], self.root.share[0], deeper, seen)
+        self.byte = pair[first] >> 8
+        self.one = Level(*(np.add.reduceat(x, first) if len(first) else x for x in (two.zeros, two.ones, two.block)))
+        self.root = Level(*(x.sum(axis=0)[None] for x in (self.one.zeros, self.one.ones, self.one.block)))
+
+    def over(self, byte: int, deeper: np.ndarray, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Predictions without context, at the decisions `at`, from those of contexts of depth 2 after byte."""
+        i = int(np.searchsorted(self.byte, byte))
+        if i < len(self.byte) and self.byte[i] == byte:
+            deeper = mixed(self.one.one[i, at], self.one.share[i, at], deeper, seen)
+            seen = np.broadcast_to(self.one.seen[i, at], deeper.shape)
+        else:
+            seen = np.zeros(deeper.shape, bool)
+        return mixed(self.root.one[0, at], self.root.share[0, at], deeper, seen)
+
+
+def top_nodes(rows: DataFrame) -> Top:
+    """Counted over the training rows; at most 65,536 pairs of context bytes reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for b in batches:
+            texts = pa.chunked_array([b.column(0)])
+            for begin, end in _slices(texts):
+                code, _ = window_codes([b" ".join(_words(t.as_py())) for t in texts[begin:end]], 2)
+                held = _merged([*held, np.unique(code, return_counts=True)])
+        code, n = _merged(held)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+
+    found = rows.where("not held_out").select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = found.groupBy(F.shiftright("code", 8).cast("int").alias("pair")).agg(F.collect_list(F.col("code").bitwiseAND(F.lit(255)).cast("int")).alias("byte"), F.collect_list("n").alias("n")).orderBy("pair").collect()
+    counts = np.zeros((len(found), 256))
+    for i, r in enumerate(found):
+        counts[i, r["byte"]] = r["n"]
+    return Top(np.array([r["pair"] for r in found], np.int64), counts)
 
 
 def _answers(depth: int, sent):
@@ -300,14 +308,16 @@ def _answers(depth: int, sent):
         top: Top = sent.value
         code, n, keys = _all_windows(table)
         logs = np.zeros(len(code))
-        for a, b in _pieces(code, depth):
-            contexts, row, counts = _dense(code[a:b], n[a:b])
-            path = levels(contexts, counts, depth, 3)
-            one, seen = path[0][0].one, path[0][0].seen
-            for level, node in path[1:]:
-                one, seen = mixed(level.one[node], level.share[node], one, seen), level.seen[node]
-            one = top.over(int(code[a] >> np.uint64(8 * (depth - 1))), one, seen)
-            logs[a:b] = byte_logs(one)[row, (code[a:b] & np.uint64(255)).astype(np.int64)]
+        for start, end in _ranges(code, 8 * (depth - 1)):
+            parts = [(start + a, start + b) for a, b in _ranges(code[start:end], 8 * (depth - 2))]
+            sums = np.zeros((3, 255))
+            for a, b in parts:
+                piece = Piece(code[a:b], n[a:b], depth)
+                sums[:, piece.decisions - 1] += [getattr(piece.levels[-1][0], x)[0] for x in ("zeros", "ones", "block")]
+            two = Level(*sums[:, None])
+            for a, b in parts:
+                piece = piece if len(parts) == 1 else Piece(code[a:b], n[a:b], depth)
+                logs[a:b] = piece.logs(two, int(code[a] >> np.uint64(8 * depth)), top)
         logs = (logs / math.log(10)).astype(np.float32)
         return [logs[np.searchsorted(code, k)].tobytes() for k in keys], 0, 0
 
@@ -329,8 +339,7 @@ def _answers(depth: int, sent):
 
 def _scores(depth: int):
     def rate(key, texts, answers):
-        words = [_words(t.as_py()) for t in texts.column("text")]
-        count = len(words)
+        count = texts.num_rows
         tokens, known, logs, n = 0, 0, ([], []), []
         for r in answers.sort_by("bucket").to_pylist():
             if r["kind"] == "g":
@@ -339,16 +348,16 @@ def _scores(depth: int):
             else:
                 n.append(np.frombuffer(r["data"], "<i8"))
                 tokens, known = tokens + r["tokens"], known + r["known"]
-        score = np.zeros(count)
-        if count:
-            find = Lookup(np.concatenate(logs[0]), np.concatenate(logs[1]))
-            for begin, part in _slices([b" ".join(w) for w in words]):
-                code, own = window_codes(part, depth)
-                score[begin : begin + len(part)] = np.bincount(own, find(code), len(part))
-        size = np.array([len(w) + 1 for w in words], np.int64)
+        score, size, hashes = np.zeros(count), np.zeros(count, np.int64), [np.zeros(0, np.uint64)]
+        find = Lookup(np.concatenate(logs[0]), np.concatenate(logs[1])) if count else None
+        for begin, end in _slices(texts.column("text")):
+            words = [_words(t.as_py()) for t in texts.column("text")[begin:end]]
+            size[begin:end] = [len(w) + 1 for w in words]
+            hashes += [_hashes(w) for w in words]
+            code, own = window_codes([b" ".join(w) for w in words], depth)
+            score[begin:end] = np.bincount(own, find(code), end - begin)
         row = np.repeat(np.arange(count), size)
-        h = np.concatenate([_hashes(w) for w in words]) if count else np.zeros(0, np.uint64)
-        _, at = np.unique(h, return_inverse=True)
+        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
         n = np.concatenate(n) if n else np.zeros(0, np.int64)
         base = np.log10((n + 1.0) / (tokens + known + 1.0))
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": size, "n_known": np.bincount(row, (n > 0)[at], count).astype(np.int64), "train_tokens": np.full(count, tokens), "base_score": np.bincount(row, base[at], count).astype(float), "score": score})
@@ -362,10 +371,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
-    sent = stored(dealt.groupBy("chunk").applyInArrow(_reader(depth, chunks), "chunk int, bucket int, kind string, key binary, n binary"), "sent")
-    pairs = sent.where("kind = 'g'").groupBy("bucket").applyInArrow(_pair_sums(depth), "pair int, block binary, counts binary").toArrow().sort_by("pair")
-    block, counts = ([np.frombuffer(x, t) for x in pairs.column(c).to_pylist()] for c, t in (("block", np.float64), ("counts", np.int64)))
-    top = Top(pairs.column("pair").to_numpy(), np.array(block).reshape(-1, 256), np.array(counts, np.int64).reshape(-1, 256))
-    answers = sent.groupBy("bucket", "kind").applyInArrow(_answers(depth, docs.sparkSession.sparkContext.broadcast(top)), "chunk int, bucket int, kind string, key binary, data binary, tokens long, known long")
+    top = docs.sparkSession.sparkContext.broadcast(top_nodes(rows))
+    sent = dealt.groupBy("chunk").applyInArrow(_reader(depth, chunks), "chunk int, bucket int, kind string, key binary, n binary")
+    answers = sent.groupBy("bucket", "kind").applyInArrow(_answers(depth, top), "chunk int, bucket int, kind string, key binary, data binary, tokens long, known long")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(depth), schema)
