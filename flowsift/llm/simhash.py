@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from flowsift.llm.common import stored, within, without
 from flowsift.llm.components import connected_components
+from flowsift.llm.exact_dedup import text_digest
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 LEAF, FANOUT = 16, 16
@@ -54,15 +55,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (long) for each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, digest: bool = False) -> DataFrame:
+    """doc_id, fp (long) for each row; with digest also the text's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *["digest"] * digest])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[text_digest(text_col).alias("digest")] * digest)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary" * digest)
 
 
 def block_masks(rows: int, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> list[int]:
@@ -196,31 +198,45 @@ def linked(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROW
     return rows.mapInArrow(_forest(distance), "hi long, lo long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id (smallest doc_id reachable over links)."""
-    fps = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+def _grouped(fps: DataFrame, distance: int, block_rows: int) -> DataFrame:
+    """The rows of fps with root (one fingerprint for each component) and component_id."""
     known = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     parts = connected_components(linked(known.select("fp"), distance, block_rows))
     rooted = known.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(first, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(first, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id (smallest doc_id reachable over links)."""
+    fps = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    return _grouped(fps, distance, block_rows).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs with the document of the smallest doc_id of each component, all columns as they were.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs with one row of each component, all columns as they were: one of the smallest doc_id (null only if all are).
 
-    Rows that repeat the doc_id that stays are reduced to one by (doc_id, text).
+    Rows are told apart by (doc_id, text), so other rows with the same or no doc_id are judged by their own components.
+    Where several rows of a component carry the doc_id that stays, the text of the smallest digest does.
     """
-    groups = stored(near_groups(docs, id_col, text_col, **params), "components")
-    lost = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    left = without(docs.withColumn("__id", F.col(id_col).cast("long")), lost, ["__id"])
-    again = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    fps = stored(fingerprints(docs, id_col, text_col, shingle, seed, digest=True), "fingerprints")
+    groups = stored(_grouped(fps, distance, block_rows), "components")
+    mine = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    several = groups.where(mine).groupBy("root", "component_id", "digest").agg(F.count("*").alias("n"))
+    several = several.groupBy("root", "component_id").agg(F.sum("n").alias("rows"), F.min(F.struct("digest", "n")).alias("stays")).where("rows > 1")
+    several = stored(several.select(F.col("root").alias("__root"), F.col("component_id").alias("__id"), F.col("stays.digest").alias("__digest"), F.col("stays.n").alias("n")), "several")
+    keys = [F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")]
+    lost = groups.where(~mine).select(*keys)
+    lost = lost.unionByName(groups.where(mine).join(several.select("__root", F.col("__digest").alias("stays")), F.col("root") == F.col("__root")).where("digest != stays").select(*keys))
+    again = several.where("n > 1").select("__id", "__digest")
+    on = ["__id", "__digest"]
+    left = without(docs.select("*", F.col(id_col).cast("long").alias("__id"), text_digest(text_col).alias("__digest")), lost, on)
     if not again.isEmpty():
-        left = without(left, again, ["__id"]).unionByName(within(left, again, ["__id"]).dropDuplicates(["__id"]))
-    return left.drop("__id")
+        left = without(left, again, on).unionByName(within(left, again, on).dropDuplicates(on))
+    return left.drop(*on)

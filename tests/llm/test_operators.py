@@ -87,6 +87,16 @@ def test_more_bands_lose_no_link():
             assert any(not d & m for m in masks)
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefghijklmnop") * 3 + str(r.randrange(900)) for _ in range(60)) for _ in range(9)]
+    # different texts with null and with a repeated id; a null id and a repeated id beside copies of lower ids; rows repeated whole
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (1, texts[5]), (None, texts[5].upper()), (2, texts[6]), (7, texts[6].upper()), (8, texts[7]), (8, texts[7]), (8, texts[7].upper()), (None, texts[8]), (None, texts[8].upper())]
+    kept = [(i, t.lower()) for i, t in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(None, 0), (None, 1), (None, 2), (7, 3), (7, 4), (1, 5), (2, 6), (8, 7), (None, 8)]
+    assert Counter(kept) == Counter((i, texts[k]) for i, k in want)
+
+
 def test_leaks_whole_and_with_other_values(spark):
     item = "If a train leaves Paris at 9 and travels 120 km each hour then when does the train that left reach the old station in Lyon after 3 stops"
     other = item.replace("Paris", "Berlin").replace("Lyon", "Bremen").replace("120", "90").replace("9 and", "7 and")
