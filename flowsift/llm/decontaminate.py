@@ -3,9 +3,10 @@
 Words lose the punctuation around them and are lower-cased; numbers, units after numbers and names (capitals
 inside a sentence) become typed placeholders. Windows of `window` template tokens are hashed, and the windows of documents
 are hash-joined with those of the benchmark. Matches of one document and item on one alignment are
-one occurrence; an occurrence counts if every value in an item's slots stands for a single value in the document (slot
-consistency), so a question asked again with other names and numbers is found and a chance mixture is
-not. An item leaks into a document when consistent occurrences cover at least `coverage` of its windows.
+one occurrence. A slot conflicts if its item value mostly stands for another value in the occurrence (slot consistency). Up to
+a share of `conflicts` of an occurrence's slots, equal item values are taken for separate slots and all windows count; beyond it,
+windows with a conflicting slot don't count, unless all their values are the item's. So a question asked again with other names
+and numbers is found, also where one number fills two slots by chance, and a chance mixture is not. An item leaks into a document when consistent occurrences cover at least `coverage` of its windows.
 
 A window with fewer than `literals` plain words says little, so its hash also takes the values in its slots. The benchmark's hashes
 are sent to the tasks only up to BENCHMARK_WINDOWS, to leave out unmatched windows before the join; beyond that all windows
@@ -18,6 +19,7 @@ in decontaminate()); repeated rows count once; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from flowsift.llm.common import stored, without
 
-WINDOW, COVERAGE, LITERALS = 8, 0.5, 4
+WINDOW, COVERAGE, LITERALS, CONFLICTS = 8, 0.5, 4, 0.5
 BENCHMARK_WINDOWS = 2_000_000
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 #: Units of measure that are replaced after a number.
@@ -120,11 +122,11 @@ def _windows(token, value, kind, width: int, literals: int) -> np.ndarray:
     return out * _STEP
 
 
-_SCHEMA = "id long, h long, width int, pos int, windows int, slots array<string>"
+_SCHEMA = "id long, h long, width int, pos int, windows int, slots array<string>, places array<int>"
 
 
 def template_windows(rows: DataFrame, widths: list[int] | None, window: int = WINDOW, literals: int = LITERALS, only: np.ndarray | None = None) -> DataFrame:
-    """id, h, width, pos, windows (of the row), slots: a row for each window of rows (id, text).
+    """id, h, width, pos, windows (of the row), slots, places (of the slots in the window): a row for each window of rows (id, text).
 
     widths: of documents, all that occur in the benchmark; None for the benchmark itself, where each item has
     one width. only: sorted hashes; other windows are left out.
@@ -151,8 +153,9 @@ def template_windows(rows: DataFrame, widths: list[int] | None, window: int = WI
                             near = np.searchsorted(wanted, h[at])
                             at = at[wanted[np.minimum(near, len(wanted) - 1)] == h[at]]
                     for p, x in zip(at.tolist(), h[at].view(np.int64).tolist()):
-                        slots = [f"{'lnuN'[k]}:{w.strip('.,;:!?()').lower()}" for k, w in zip(kind[p : p + width].tolist(), raw[p : p + width]) if k != LITERAL]
-                        out.append((i, x, width, p, len(h), slots))
+                        places = np.flatnonzero(kind[p : p + width] != LITERAL).tolist()
+                        slots = [f"{'lnuN'[kind[p + k]]}:{raw[p + k].strip('.,;:!?()').lower()}" for k in places]
+                        out.append((i, x, width, p, len(h), slots, places))
                     if len(out) > 50_000:
                         yield _rows(out)
                         out = []
@@ -162,15 +165,33 @@ def template_windows(rows: DataFrame, widths: list[int] | None, window: int = WI
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["id", "h", "width", "pos", "windows", "slots"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["id", "h", "width", "pos", "windows", "slots", "places"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, literals: int = LITERALS) -> DataFrame:
+def counted_windows(windows: list[tuple], conflicts: float = CONFLICTS) -> list[tuple[int, bool]]:
+    """at, other (any value is not the item's) of the windows of one occurrence that count.
+
+    windows: at and slots (place in the item, item value, document value) of each.
+    """
+    stands: dict = defaultdict(Counter)
+    for _, i, d in (slots := {tuple(s) for _, window in windows for s in window}):
+        stands[i][d] += 1
+    most = {i: max(c, key=lambda d: (c[d], d == i, d)) for i, c in stands.items()}
+    few = sum(d != most[i] for _, i, d in slots) <= conflicts * len(slots)
+    out = []
+    for at, window in windows:
+        other = any(i != d for _, i, d in window)
+        if few or not other or all(d == most[i] for _, i, d in window):
+            out.append((at, other))
+    return out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, literals: int = LITERALS, conflicts: float = CONFLICTS) -> DataFrame:
     """doc_id, item_id, matched_windows, item_windows, coverage, reparameterised of each leaked item."""
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null")
     theirs = stored(template_windows(items, None, window, literals), "benchmark")
-    theirs = theirs.select(F.col("id").alias("item_id"), "h", "width", F.col("pos").alias("at"), F.col("windows").alias("item_windows"), F.col("slots").alias("theirs"))
+    theirs = theirs.select(F.col("id").alias("item_id"), "h", "width", F.col("pos").alias("at"), F.col("windows").alias("item_windows"), F.col("slots").alias("theirs"), F.col("places").alias("item_places"))
     widths = sorted(r[0] for r in theirs.select("width").distinct().collect())
     few = theirs.count() <= BENCHMARK_WINDOWS
     only = None
@@ -181,12 +202,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         theirs = F.broadcast(theirs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     ours = template_windows(texts, widths, window, literals, only)
-    hits = ours.withColumnRenamed("id", "doc_id").join(theirs, ["h", "width"]).where(F.size("slots") == F.size("theirs"))
-    pairs = F.arrays_zip(F.col("theirs").alias("i"), F.col("slots").alias("d"))
-    runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"), F.first("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    sound = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    other = F.exists("pairs", lambda p: p["i"] != p["d"])
-    runs = runs.where(sound).select("doc_id", "item_id", "item_windows", other.alias("other"), F.explode("ats").alias("at"))
+    hits = ours.withColumnRenamed("id", "doc_id").join(theirs, ["h", "width"])
+    # where the places differ (a capital in one text alone), the hashes are those of the values, and all values are equal
+    slots = F.transform(F.arrays_zip("places", "theirs", "slots"), lambda s: F.struct((s["places"] + F.col("at")).alias("place"), s["theirs"].alias("i"), s["slots"].alias("d")))
+    runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", F.when(F.col("places") == F.col("item_places"), slots).otherwise(F.slice(slots, 1, 0)).alias("slots"))).alias("matched"), F.first("item_windows").alias("item_windows"))
+    counted = F.udf(lambda matched: counted_windows(matched, conflicts), "array<struct<at int, other boolean>>")
+    runs = runs.select("doc_id", "item_id", "item_windows", F.explode(counted("matched")).alias("w")).select("doc_id", "item_id", "item_windows", "w.at", "w.other")
     found = runs.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("matched_windows"), F.first("item_windows").cast("long").alias("item_windows"), F.max("other").alias("reparameterised"))
     found = found.withColumn("coverage", F.col("matched_windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
     return found.select("doc_id", "item_id", "matched_windows", "item_windows", "coverage", "reparameterised")

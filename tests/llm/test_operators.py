@@ -97,6 +97,23 @@ def test_keep_one_tells_rows_of_one_id_apart(spark):
     assert Counter(kept) == Counter((i, texts[k]) for i, k in want)
 
 
+def test_leaks_where_one_value_fills_two_slots(spark):
+    item = "Each morning the baker sends 2 kg of rye flour to his shop and asks 2 dollars for every loaf that his oldest daughter sells before noon"
+    asked = item.replace("2 kg", "3 kg").replace("2 dollars", "5 dollars")
+    long = " ".join(f"the {w} keeper wrote down that 2 boats with {w} sails had left the harbour at 4" for w in "red green white black brown yellow".split())
+    altered = long.replace("2 boats with brown", "9 boats with brown")
+    named = "when did Anna walk along the river and who told Anna about the old mill so that later Anna bought it from people whom Anna had never seen"
+    mixed = named
+    for name in ("Berta", "Carla", "Doris"):
+        mixed = mixed.replace("Anna", name, 1)
+    benchmark = spark.createDataFrame([(1, item), (2, long), (3, named)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"So it goes. {asked} and more"), (2, f"So it goes. {altered} and more"), (3, f"So it goes: {mixed} and more"), (4, f"So it goes: {named.replace('Anna', 'Berta')}")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (4, 3, True)}
+    kept = decontaminate.decontaminate(docs, benchmark)
+    assert [r["doc_id"] for r in kept.collect()] == [3]
+
+
 def test_leaks_whole_and_with_other_values(spark):
     item = "If a train leaves Paris at 9 and travels 120 km each hour then when does the train that left reach the old station in Lyon after 3 stops"
     other = item.replace("Paris", "Berlin").replace("Lyon", "Bremen").replace("120", "90").replace("9 and", "7 and")
