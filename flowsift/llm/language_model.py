@@ -7,9 +7,11 @@ weight of every depth, and a prediction is the weighted mixture of the estimates
 decision, its parent's estimate stands. The model's score is the log10 probability of all bytes.
 
 Texts are dealt to chunks of about CHUNK_BYTES. A chunk sends its distinct windows of DEPTH + 1 bytes and its distinct words (their
-XXH64), with training counts, to buckets: windows by the two bytes before the last, words by hash. A bucket sums them over
-the corpus, has all contexts below its nodes of depth 2, and answers each chunk for just what it sent. Only the 257 nodes of depth 0 and 1 go
-to all tasks; their shares against their children are those of the tree cut at depth 2. Memory has a bound at any corpus size.
+XXH64), with training counts, to buckets: windows by the three bytes before the last, words by hash. A bucket sums them over
+the corpus and has all contexts from its nodes of depth 3 down. The counts and block probabilities of these are added up to the nodes of
+depth 2 in a second aggregation, of at most 256 rows a node, whose sums go back to the buckets that asked. With them, a bucket answers each
+chunk for just what it sent. Only the 257 nodes of depth 0 and 1 go to all tasks; their shares against their children are those of the tree
+cut at depth 2. A bucket merges a few chunks at a time and holds its distinct windows; those of one context of three bytes are never split.
 
 Defined cases: null text counts as empty and has the end token alone; a null doc_id folds as empty text; repeated rows
 each count and are all returned; with no training rows every probability is that of empty counts; extra columns are ignored.
@@ -31,6 +33,7 @@ from flowsift.llm.common import fold
 DEPTH = 6
 CHUNK_BYTES = 8 << 20
 SLICE = 2 << 20
+MERGED = 16
 END = b"\n"
 _TABLE = np.array([math.lgamma(k + 0.5) for k in range(4096)]), np.array([math.lgamma(k + 1.0) for k in range(8192)])
 
@@ -102,6 +105,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _packed_counts(n: np.ndarray) -> bytes:
+    """Counts as byte planes, of which the upper ones compress to nothing."""
+    return n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def window_codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all windows, the nearest context byte highest and the predicted byte lowest, and the text of each."""
     buf = np.frombuffer(b"".join(END * depth + t + END for t in texts), np.uint8)
@@ -176,14 +188,14 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.array(list(map(xxhash.xxh64_intdigest, [*words, END])), np.uint64)
 
 
-def _pair_bucket(pair: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of two context bytes."""
-    return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+def _context_bucket(context: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of three context bytes."""
+    return ((context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
 
 
 def _reader(depth: int, chunks: int):
     """Chunk to one row (chunk, bucket, kind, key, n) for each bucket and kind: "g" windows, "w" words."""
-    shift = np.uint64(8 * (depth + 1 - 2))
+    shift = np.uint64(8 * (depth + 1 - 3))
 
     def send(key, table):
         out = table.column("held_out").to_numpy()
@@ -202,14 +214,14 @@ def _reader(depth: int, chunks: int):
             if len(held) >= 8:
                 held = _merged(held)
         code, n = _merged(held)[0]
-        bucket = _pair_bucket(code >> shift, chunks)
+        bucket = _context_bucket(code >> shift, chunks)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(chunks + 1, dtype=np.uint64))
-        rows = [("g", _packed(code[at]), n[at].astype(np.uint32).tobytes()) for at in (order[a:b] for a, b in zip(cuts, cuts[1:]))]
+        rows = [("g", _packed(code[at]), _packed_counts(n[at])) for at in (order[a:b] for a, b in zip(cuts, cuts[1:]))]
         u, at = np.unique(np.concatenate([h[0] for h in hashes]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([h[1] for h in hashes]), len(u)).astype(np.uint32)
+        n = np.bincount(at, np.concatenate([h[1] for h in hashes]), len(u))
         cuts = np.r_[0, np.searchsorted(u, _edges(chunks)), len(u)]
-        rows += [("w", _packed(u[a:b]), n[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+        rows += [("w", _packed(u[a:b]), _packed_counts(n[a:b])) for a, b in zip(cuts, cuts[1:])]
         kind, keys, counts = zip(*rows)
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(rows), pa.int32()), "bucket": pa.array([*range(chunks)] * 2, pa.int32()), "kind": pa.array(kind), "key": pa.array(keys, pa.binary()), "n": pa.array(counts, pa.binary())})
 
@@ -221,11 +233,14 @@ def _edges(chunks: int) -> np.ndarray:
     return np.array([width * k for k in range(1, chunks)], np.uint64)
 
 
-def _all_windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    keys = [_unpacked(x) for x in table.column("key").to_pylist()]
-    counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("n").to_pylist()]
-    code, n = _merged(list(zip(keys, counts)))[0]
-    return code, n, keys
+def _all_windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that all chunks sent, merged MERGED chunks at a time."""
+    held: list = []
+    for key, n in zip(table.column("key"), table.column("n")):
+        held.append((_unpacked(key.as_py()), _unpacked_counts(n.as_py()).astype(np.int64)))
+        if len(held) >= MERGED:
+            held = _merged(held)
+    return _merged(held)[0]
 
 
 def _ranges(code: np.ndarray, shift: int) -> list[tuple[int, int]]:
@@ -301,36 +316,71 @@ def top_nodes(rows: DataFrame) -> Top:
     return Top(np.array([r["pair"] for r in found], np.int64), counts)
 
 
+_SUMS = "bucket int, kind string, pair int, decisions binary, sums binary"
+
+
+def _sums(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["bucket", "kind", "pair", "decisions", "sums"])
+
+
+def _parts(depth: int):
+    """Bucket to a row for each node of depth 2 above it: zeros, ones and block logs of the bucket's part of its children."""
+
+    def run(key, table):
+        rows: list = []
+        code, n = _all_windows(table) if key[1].as_py() == "g" else (np.zeros(0, np.uint64), None)
+        for start, end in _ranges(code, 8 * (depth - 1)):
+            sums, met = np.zeros((3, 255)), np.zeros(255, bool)
+            for a, b in _ranges(code[start:end], 8 * (depth - 2)):
+                piece = Piece(code[start + a : start + b], n[start + a : start + b], depth)
+                met[piece.decisions - 1] = True
+                sums[:, piece.decisions - 1] += [getattr(piece.levels[-1][0], x)[0] for x in ("zeros", "ones", "block")]
+            pair = int(code[start] >> np.uint64(8 * (depth - 1)))
+            rows.append((key[0].as_py(), "g", pair, np.flatnonzero(met).astype(np.uint8).tobytes(), sums[:, met].tobytes()))
+        return _sums(rows)
+
+    return run
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """The parts of one node of depth 2 to their sums, for each bucket at the decisions that it has."""
+    rows = table.sort_by("bucket").to_pylist()
+    total = np.zeros((3, 255))
+    at = [np.frombuffer(r["decisions"], np.uint8) for r in rows]
+    for r, d in zip(rows, at):
+        total[:, d] += np.frombuffer(r["sums"]).reshape(3, -1)
+    return _sums([(r["bucket"], "g", r["pair"], r["decisions"], total[:, d].tobytes()) for r, d in zip(rows, at)])
+
+
 def _answers(depth: int, sent):
     """Bucket to what each chunk asked for: log10 probabilities of windows, or counts, sums and kinds of words."""
 
-    def windows(table: pa.Table):
+    def windows(table: pa.Table, above: pa.Table):
         top: Top = sent.value
-        code, n, keys = _all_windows(table)
+        code, n = _all_windows(table)
         logs = np.zeros(len(code))
+        nodes = {r["pair"]: (r["decisions"], r["sums"]) for r in above.to_pylist()}
         for start, end in _ranges(code, 8 * (depth - 1)):
-            parts = [(start + a, start + b) for a, b in _ranges(code[start:end], 8 * (depth - 2))]
+            decisions, data = nodes[int(code[start] >> np.uint64(8 * (depth - 1)))]
             sums = np.zeros((3, 255))
-            for a, b in parts:
-                piece = Piece(code[a:b], n[a:b], depth)
-                sums[:, piece.decisions - 1] += [getattr(piece.levels[-1][0], x)[0] for x in ("zeros", "ones", "block")]
+            sums[:, np.frombuffer(decisions, np.uint8)] = np.frombuffer(data).reshape(3, -1)
             two = Level(*sums[:, None])
-            for a, b in parts:
-                piece = piece if len(parts) == 1 else Piece(code[a:b], n[a:b], depth)
-                logs[a:b] = piece.logs(two, int(code[a] >> np.uint64(8 * depth)), top)
+            for a, b in ((start + a, start + b) for a, b in _ranges(code[start:end], 8 * (depth - 2))):
+                logs[a:b] = Piece(code[a:b], n[a:b], depth).logs(two, int(code[a] >> np.uint64(8 * depth)), top)
         logs = (logs / math.log(10)).astype(np.float32)
-        return [logs[np.searchsorted(code, k)].tobytes() for k in keys], 0, 0
+        return [logs[np.searchsorted(code, _unpacked(k.as_py()))].tobytes() for k in table.column("key")], 0, 0
 
-    def words(table: pa.Table):
+    def words(table: pa.Table, _):
         keys = [_unpacked(x) for x in table.column("key").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.float64)
+        n = np.concatenate([_unpacked_counts(x) for x in table.column("n").to_pylist()]).astype(np.float64)
         u, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, n, len(u)).astype("<i8")
         cuts = np.cumsum([0, *map(len, keys)])
         return [total[at[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])], int(total.sum()), int((total > 0).sum())
 
-    def answer(key, table):
-        data, tokens, known = (windows if key[1].as_py() == "g" else words)(table)
+    def answer(key, table, above):
+        data, tokens, known = (windows if key[1].as_py() == "g" else words)(table, above)
         keys = table.column("key") if key[1].as_py() == "g" else pa.array([b""] * table.num_rows, pa.binary())
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": table.column("kind"), "key": keys, "data": pa.array(data, pa.binary()), "tokens": pa.array([tokens] * len(data), pa.int64()), "known": pa.array([known] * len(data), pa.int64())})
 
@@ -373,6 +423,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
     top = docs.sparkSession.sparkContext.broadcast(top_nodes(rows))
     sent = dealt.groupBy("chunk").applyInArrow(_reader(depth, chunks), "chunk int, bucket int, kind string, key binary, n binary")
-    answers = sent.groupBy("bucket", "kind").applyInArrow(_answers(depth, top), "chunk int, bucket int, kind string, key binary, data binary, tokens long, known long")
+    # both read one exchange of what was sent
+    parts = sent.groupBy("bucket", "kind").applyInArrow(_parts(depth), _SUMS)
+    above = parts.groupBy("pair").applyInArrow(_totals, _SUMS)
+    answers = sent.groupBy("bucket", "kind").cogroup(above.groupBy("bucket", "kind")).applyInArrow(_answers(depth, top), "chunk int, bucket int, kind string, key binary, data binary, tokens long, known long")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(depth), schema)

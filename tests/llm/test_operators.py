@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -149,6 +150,21 @@ def test_language_model_base_and_distribution(spark, docs):
     assert more[0] > more[1]
 
 
+def test_language_model_splits_a_hot_pair_with_equal_scores(spark):
+    words = ["".join(a) + "he" for a in product("abcdefgh", repeat=3)]
+    r = random.Random(4)
+    rows = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(150))) for i in range(40)], "doc_id long, text string").cache()
+    whole = {x["doc_id"]: x for x in language_model.score(rows).collect()}
+    dealt = {x["doc_id"]: x for x in language_model.score(rows, chunk_bytes=3000).collect()}
+    assert {i: x["score"] for i, x in dealt.items()} == pytest.approx({i: x["score"] for i, x in whole.items()}, rel=1e-6)
+    assert all(x["base_score"] == pytest.approx(whole[i]["base_score"]) for i, x in dealt.items())
+    # contexts that agree in the two nearest bytes lie in several buckets
+    code = np.unique(np.concatenate([language_model.window_codes([" ".join(words).encode()], 6)[0]]))
+    hot = code[code >> np.uint64(40) == (ord("e") << 8 | ord("h"))]
+    shift = np.uint64(8 * 4)
+    assert len(np.unique(language_model._context_bucket(hot >> shift, 50))) > 1
+
+
 def test_byte_probabilities_sum_to_one():
     of = np.arange(256)
     decisions, zero, one = language_model.paths(of)
