@@ -1,11 +1,13 @@
 """One-class engines: k nearest neighbours and local outlier factor, isolation forest, one-class SVM, autoencoder.
 
-Models are fitted on a bounded sample (a parameter), in one task's memory; every row is scored by tasks that hold the small model.
+LOF is computed over all rows by joins, and each isolation tree grows in a task from its own seeded draw of all rows. The one-class SVM and
+the autoencoder are fitted in the driver on a bounded sample (at most SAMPLE rows by default); every row is scored by tasks that hold the small model.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -88,6 +90,69 @@ def knn(queries: DataFrame, points: DataFrame, k: int, ident: str = "vec_id", fe
     return rows.select("query_id", F.posexplode("best").alias("rank", "n")).select("query_id", "n.point_id", (F.col("rank") + 1).alias("rank"), "n.distance")
 
 
+def neighbours(rows: DataFrame, ident: str, features: str, k: int, p: float = 2, block: int = 8192) -> DataFrame:
+    """query_id, point_id, rank, distance of the k nearest other rows of every row, ties to the smaller id; by pairs of blocks of rows. ident is unique."""
+    kind, blocks = dict(rows.dtypes)[ident], max(1, -(-rows.count() // block))
+    rows = rows.select(F.col(ident).alias("id"), F.col(features).cast("array<double>").alias("v"), F.pmod(F.xxhash64(ident), F.lit(blocks)).alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    queries = rows.select(F.col("own").cast("int").alias("q"), every, "id", "v").select("q", F.col("other").alias("p"), "id", "v")
+    points = rows.select(every, F.col("own").cast("int").alias("p"), "id", "v").select(F.col("other").alias("q"), "p", "id", "v")
+
+    def near(left, right):
+        names = ["query_id", "point_id", "distance"]
+        right = right.sort_by("id")
+        if not left.num_rows or not right.num_rows:
+            return pa.table([left.column("id").slice(0, 0), left.column("id").slice(0, 0), pa.array([], pa.float64())], names)
+        x, train = (np.array(t.column("v").to_pylist(), float) for t in (left, right))
+        d, i = _near(x, train, k + 1, p, False)
+        return pa.table([left.column("id").take(pa.array(np.repeat(np.arange(len(x)), i.shape[1]))), right.column("id").take(pa.array(i.ravel())), pa.array(d.ravel())], names)
+
+    best = queries.groupBy("q", "p").cogroup(points.groupBy("q", "p")).applyInArrow(near, f"query_id {kind}, point_id {kind}, distance double").where("query_id != point_id")
+    best = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "point_id"))), 1, k).alias("best"))
+    return best.select("query_id", F.posexplode("best").alias("rank", "n")).select("query_id", "n.point_id", (F.col("rank") + 1).alias("rank"), "n.distance")
+
+
+def local_outlier_factor(rows: DataFrame, ident: str, features: str, k: int = 20, p: float = 2) -> DataFrame:
+    """ident, score: the factor of every row against all rows, itself among them, as LocalOutlierFactor scores its own training rows.
+
+    Exact, so the distances of all pairs of rows are computed. ident is unique.
+    """
+    n = rows.count()
+    if n < 2:
+        return rows.select(ident, F.lit(1.0).alias("score")).limit(n)
+    k = min(k, n - 1)
+    near = neighbours(rows, ident, features, k, p).persist()
+    reach = near.groupBy("query_id").agg(F.max("distance").alias("reach")).select(F.col("query_id").alias("point_id"), "reach")
+    far = near.join(reach, "point_id")
+    density = (far.groupBy("query_id").agg((1 / (F.avg(F.greatest("distance", "reach")) + 1e-10)).alias("density")))
+    # scored as new rows, rows are their own first neighbours
+    own = near.select("query_id").distinct().select("query_id", F.col("query_id").alias("point_id"), F.lit(0.0).alias("distance"))
+    scored = near.where(F.col("rank") < k).select("query_id", "point_id", "distance").unionByName(own)
+    scored = scored.join(reach, "point_id").join(density.withColumnRenamed("query_id", "point_id"), "point_id")
+    return scored.groupBy(F.col("query_id").alias(ident)).agg((F.avg("density") * (F.avg(F.greatest("distance", "reach")) + 1e-10)).alias("score"))
+
+
+def isolation_forest(rows: DataFrame, ident: str, features: str, trees: int = 100, max_samples: int = 256, max_features: float = 0.5, seed: int = 0) -> IsolationForest:
+    """The forest whose trees each grow from max_samples rows drawn of all rows (those of the smallest seeded hash)."""
+    n = rows.count()
+    size = min(max_samples, n)
+    # a row is sent to a tree if its hash is in a share that holds twice the sample; all rows are if that is most of them
+    share = 1.0 if n <= 4 * max_samples else (2 * size + 200) / n
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col(ident)).alias("draw")))
+    drawn = rows.select(features, ident, F.explode(F.filter(draws, lambda x: x["draw"] <= F.lit(int(-(2**63) + min(share, 1.0) * (2**64 - 2049))))).alias("t"))
+    drawn = drawn.select("t.tree", "t.draw", F.col(ident).cast("string").alias("ident"), F.col(features).alias("v"))
+
+    def grow(key, table):
+        x = table.sort_by([("draw", "ascending"), ("ident", "ascending")]).slice(0, size).column("v").to_pylist()
+        forest = IsolationForest(np.array(x, float), 1, size, max_features, seed * 1_000_003 + key[0].as_py())
+        return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(forest.trees[0])], pa.binary())})
+
+    grown = drawn.groupBy("tree").applyInArrow(grow, "tree int, model binary").orderBy("tree").collect()
+    forest = IsolationForest.__new__(IsolationForest)
+    forest.size, forest.trees = size, [pickle.loads(r["model"]) for r in grown]
+    return forest
+
+
 class IsolationForest:
     """Seeded isolation trees; a score over 0.5 is an attack."""
 

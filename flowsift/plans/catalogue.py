@@ -403,19 +403,25 @@ def q_knn(spark, d):
     return rounded(engines.knn(points.where("vec_id % 50 = 0"), points, 5).select("query_id", "rank", "distance"))
 
 
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+
+
 def _engine(spark, d, make):
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
-    return engines.score_rows(rows, "vec_id", "features", make(engines.sample_matrix(rows, "features", "vec_id", 2000)))
+    rows = _matrix(spark, d)
+    return engines.score_rows(rows, "vec_id", "features", make(engines.sample_matrix(rows, "features", "vec_id")))
 
 
 @query()
 def q_lof(spark, d):
-    return _engine(spark, d, engines.LocalOutlierFactor.fit).withColumn("label", (F.col("score") > 1.5).cast("int"))
+    return engines.local_outlier_factor(_matrix(spark, d), "vec_id", "features").withColumn("label", (F.col("score") > 1.5).cast("int"))
 
 
 @query()
 def q_isolation_forest(spark, d):
-    return _engine(spark, d, engines.IsolationForest).withColumn("label", (F.col("score") > 0.5).cast("int"))
+    rows = _matrix(spark, d)
+    forest = engines.isolation_forest(rows, "vec_id", "features")
+    return engines.score_rows(rows, "vec_id", "features", forest).withColumn("label", (F.col("score") > 0.5).cast("int"))
 
 
 @query()

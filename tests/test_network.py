@@ -106,3 +106,20 @@ def test_scaler_of_a_constant(spark):
     rows = spark.createDataFrame([([1.0, 5.0],), ([3.0, 5.0],)], "features array<double>")
     assert [r[0] for r in rows.select(transformers.standard_scaler(rows).column(F.col("features"))).collect()] == [[-1.0, 0.0], [1.0, 0.0]]
     assert [r[0] for r in rows.select(transformers.minmax_scaler(rows).column(F.col("features"))).collect()] == [[0.0, 0.0], [1.0, 0.0]]
+
+
+def test_engines_take_all_rows(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(2300, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = engines.LocalOutlierFactor.fit(x)(x)
+    got = {r["vec_id"]: r["score"] for r in catalogue.QUERIES["q_lof"](spark, str(tmp_path)).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], want, rtol=1e-5)
+    blocked = {(r["query_id"], r["rank"]): r["point_id"] for r in engines.neighbours(rows, "vec_id", "embedding", 3, block=500).collect()}
+    _, at = engines._near(x, x, 3, 2, True)
+    assert blocked == {(i, k + 1): int(at[i, k]) for i in range(len(x)) for k in range(3)}
+    # the trees draw from all rows: one far row of 300 is met by most of 100 trees of 256 rows
+    far = spark.createDataFrame([(i, [0.0, 9.0 if i == 7 else i / 300]) for i in range(300)], "vec_id long, embedding array<double>")
+    forest = engines.isolation_forest(far, "vec_id", "embedding")
+    score = forest(np.array([[0.0, 9.0], [0.0, 0.5]]))
+    assert forest.size == 256 and len(forest.trees) == 100 and score[0] > score[1]
