@@ -6,15 +6,16 @@ probability is half its own estimate plus half the product of its children's, so
 weight of every depth, and a prediction is the weighted mixture of the estimates of all depths. Where a context has never met a
 decision, its parent's estimate stands. The model's score is the log10 probability of all bytes.
 
-Texts are dealt to chunks of about CHUNK_BYTES. A chunk sends its distinct windows of DEPTH + 1 bytes and its distinct words (their
-XXH64), with training counts, to buckets: windows by the three bytes before the last, words by hash. A bucket sums them over
-the corpus and has all contexts from its nodes of depth 3 down. The counts and block probabilities of these are added up to the nodes of
-depth 2 in a second aggregation, of at most 256 rows a node, whose sums go back to the buckets that asked. With them, a bucket answers each
-chunk for just what it sent. Only the 257 nodes of depth 0 and 1 go to all tasks; their shares against their children are those of the tree
-cut at depth 2. A bucket merges a few chunks at a time and holds its distinct windows; those of one context of three bytes are never split.
+Texts are dealt to chunks of about CHUNK_BYTES by a hash of id and text. A chunk sends its distinct windows of DEPTH + 1 bytes and its
+distinct words (their XXH64), with training counts, to buckets: windows by a hash of the PREFIX bytes before the last, words by their own. A bucket sums
+them over the corpus and has all contexts from its nodes of depth PREFIX down, so what one task must hold together is at most the
+2**24 windows of one context of four bytes. The counts and block probabilities of these nodes go up to the nodes of depth 2, from there to
+the 256 of depth 1 and to the root, in three small aggregations, and the mixture of the upper depths comes back to the buckets as two
+numbers for each node and decision. With them, a bucket answers each chunk for just what it sent. A bucket merges a few chunks at
+a time and holds its distinct windows, sparsely: memory is in proportion to them.
 
 Defined cases: null text counts as empty and has the end token alone; a null doc_id folds as empty text; repeated rows
-each count and are all returned; with no training rows every probability is that of empty counts; extra columns are ignored.
+each count and are all returned, but rows that agree in id and text share a chunk; with no training rows every probability is that of empty counts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from flowsift.llm.common import fold
 
-DEPTH = 6
+DEPTH, PREFIX = 6, 4
 CHUNK_BYTES = 8 << 20
 SLICE = 2 << 20
 MERGED = 16
@@ -55,45 +56,11 @@ def kt_block_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return half(zeros) + half(ones) - np.where(n < 8192, _TABLE[1][np.minimum(n, 8191)], _gamma_log(n + 1.0)) - math.log(math.pi)
 
 
-def paths(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The decisions (1 to 255) that lead to the bytes `of`, and which bytes (rows) take a zero or a one at which decision."""
-    nodes = (256 + of.astype(np.int64))[:, None] >> np.arange(9)
-    decisions, at = np.unique(nodes[:, 1:], return_inverse=True)
-    zero, one = np.zeros((2, len(of), len(decisions)))
-    row = np.repeat(np.arange(len(of)), 8)
-    bit = (nodes[:, :-1] & 1).ravel().astype(bool)
-    one[row[bit], at.ravel()[bit]] = 1
-    zero[row[~bit], at.ravel()[~bit]] = 1
-    return decisions, zero, one
-
-
-class Level:
-    """Contexts of one depth (rows) by decisions: estimates, block probabilities, own share against children."""
-
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> None:
-        self.zeros, self.ones, self.seen = zeros, ones, zeros + ones > 0
-        self.one = (ones + 0.5) / (zeros + ones + 1.0)
-        self.block = kt_block_log(zeros.astype(np.int64), ones.astype(np.int64))
-        self.share = None
-        if below is not None:
-            self.share = 1 / (1 + np.exp(np.clip(below - self.block, -700, 700)))
-            self.block = math.log(0.5) + np.logaddexp(self.block, below)
-
-
-def levels(contexts: np.ndarray, zeros: np.ndarray, ones: np.ndarray, depth: int, top: int) -> list[tuple[Level, np.ndarray]]:
-    """The levels depth .. top of sorted contexts (nearest byte first), each with the row's node in it."""
-    out = [(Level(zeros, ones, None), np.arange(len(contexts)))]
-    for d in range(depth - 1, top - 1, -1):
-        prefix = contexts >> np.uint64(8 * (depth - d))
-        first = np.r_[True, prefix[1:] != prefix[:-1]]
-        last, heads = out[-1][0], np.unique(out[-1][1][first])
-        out.append((Level(*(np.add.reduceat(x, heads) for x in (last.zeros, last.ones, last.block))), np.cumsum(first) - 1))
-    return out
-
-
-def mixed(upper_one, upper_share, deeper: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The prediction of a node given that of its child, where the child has seen the decision."""
-    return np.where(seen, upper_share * upper_one + (1 - upper_share) * deeper, upper_one)
+def mixed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+    """Of nodes with these counts and children's block logs: estimate of a one, own share against the children, block log."""
+    own = kt_block_log(zeros.astype(np.int64), ones.astype(np.int64))
+    share = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+    return (ones + 0.5) / (zeros + ones + 1.0), share, math.log(0.5) + np.logaddexp(own, below)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -189,13 +156,13 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _context_bucket(context: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of three context bytes."""
-    return ((context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+    """The bucket of the context bytes nearest to the predicted one."""
+    return ((context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
 
 
 def _reader(depth: int, chunks: int):
     """Chunk to one row (chunk, bucket, kind, key, n) for each bucket and kind: "g" windows, "w" words."""
-    shift = np.uint64(8 * (depth + 1 - 3))
+    shift = np.uint64(8 * (depth + 1 - PREFIX))
 
     def send(key, table):
         out = table.column("held_out").to_numpy()
@@ -243,131 +210,162 @@ def _all_windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _merged(held)[0]
 
 
-def _ranges(code: np.ndarray, shift: int) -> list[tuple[int, int]]:
-    """Ranges of the sorted codes that agree above shift bits."""
-    top = code >> np.uint64(shift)
-    first = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(code) else np.zeros(0, np.int64)
-    return list(zip(first.tolist(), [*first[1:].tolist(), len(code)]))
-
+class Tree:
+    """The contexts of sorted windows from depth down to PREFIX, a node for each context and decision on the path of a byte.
 
-class Piece:
-    """Sorted windows that share three context bytes: contexts (rows), their levels down to depth 3 over the decisions of the bytes that occur."""
+    keys: (context << 8 | decision) of the nodes of depth PREFIX, sorted, with their zeros, ones and block logs. node[b] and deep[b]: of
+    each window the node (its place in keys) of its decision b, and the prediction of a one there from this depth down.
+    """
 
     def __init__(self, code: np.ndarray, n: np.ndarray, depth: int) -> None:
-        context = code >> np.uint64(8)
-        first = np.r_[True, context[1:] != context[:-1]]
-        self.row = np.cumsum(first) - 1
-        self.bytes, self.byte = np.unique((code & np.uint64(255)).astype(np.int64), return_inverse=True)
-        self.decisions, self.zero, self.one = paths(self.bytes)
-        counts = np.zeros((self.row[-1] + 1, len(self.bytes)))
-        counts[self.row, self.byte] = n
-        self.levels = levels(context[first], counts @ self.zero, counts @ self.one, depth, 3)
-
-    def logs(self, two: Level, byte: int, top: Top) -> np.ndarray:
-        """The log probability of each window; two: the node of depth 2 above, byte: the last context byte."""
-        one, seen = self.levels[0][0].one, self.levels[0][0].seen
-        for level, node in self.levels[1:]:
-            one, seen = mixed(level.one[node], level.share[node], one, seen), level.seen[node]
-        at = self.decisions - 1
-        one = top.over(byte, mixed(two.one[0, at], two.share[0, at], one, seen), np.broadcast_to(two.seen[0, at], one.shape), at)
-        return (np.log(one) @ self.one.T + np.log1p(-one) @ self.zero.T)[self.row, self.byte]
-
-
-class Top:
-    """The nodes of depth 0 and 1 over all 255 decisions, from the counts of bytes after two bytes (pair, sorted)."""
-
-    def __init__(self, pair: np.ndarray, counts: np.ndarray) -> None:
-        _, zero, one = paths(np.arange(256))
-        two = Level(counts @ zero, counts @ one, None)
-        first = np.flatnonzero(np.r_[True, (pair >> 8)[1:] != (pair >> 8)[:-1]]) if len(pair) else np.zeros(0, np.int64)
-        self.byte = pair[first] >> 8
-        self.one = Level(*(np.add.reduceat(x, first) if len(first) else x for x in (two.zeros, two.ones, two.block)))
-        self.root = Level(*(x.sum(axis=0)[None] for x in (self.one.zeros, self.one.ones, self.one.block)))
-
-    def over(self, byte: int, deeper: np.ndarray, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Predictions without context, at the decisions `at`, from those of contexts of depth 2 after byte."""
-        i = int(np.searchsorted(self.byte, byte))
-        if i < len(self.byte) and self.byte[i] == byte:
-            deeper = mixed(self.one.one[i, at], self.one.share[i, at], deeper, seen)
-            seen = np.broadcast_to(self.one.seen[i, at], deeper.shape)
-        else:
-            seen = np.zeros(deeper.shape, bool)
-        return mixed(self.root.one[0, at], self.root.share[0, at], deeper, seen)
-
-
-def top_nodes(rows: DataFrame) -> Top:
-    """Counted over the training rows; at most 65,536 pairs of context bytes reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for b in batches:
-            texts = pa.chunked_array([b.column(0)])
-            for begin, end in _slices(texts):
-                code, _ = window_codes([b" ".join(_words(t.as_py())) for t in texts[begin:end]], 2)
-                held = _merged([*held, np.unique(code, return_counts=True)])
-        code, n = _merged(held)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+        levels = [(code, n.astype(np.float64), None)]  # windows of each depth, their counts, and to which one those of the depth before belong
+        for _ in range(depth - PREFIX):
+            code, n, _ = levels[-1]
+            up, to = np.unique(code >> np.uint64(16) << np.uint64(8) | code & np.uint64(255), return_inverse=True)
+            levels.append((up, np.bincount(to, n, len(up)), to))
+        found, self.node, self.deep = [], [], []
+        for b in range(8):
+            at, deep, seen, block, first = None, None, None, None, None
+            for code, n, to in levels:
+                top = code >> np.uint64(8 - b)
+                new = np.r_[True, top[1:] != top[:-1]] if len(code) else np.zeros(0, bool)
+                start, of = np.flatnonzero(new), np.cumsum(new) - 1
+                one = n * (code >> np.uint64(7 - b) & np.uint64(1))
+                ones, total = (np.add.reduceat(x, start) if len(start) else x for x in (one, n))
+                if to is None:
+                    at, below = np.arange(len(code)), None
+                    p, block = (ones + 0.5) / (total + 1.0), kt_block_log((total - ones).astype(np.int64), ones.astype(np.int64))
+                    deep = p[of]
+                else:
+                    at = to[at]
+                    below = np.bincount(of[to[first]], block, len(start))
+                    p, share, block = mixed(total - ones, ones, below)
+                    own = of[at]
+                    deep = np.where(seen, share[own] * p[own] + (1 - share[own]) * deep, p[own])
+                seen, first = (total > 0)[of[at]], start
+            decision = np.uint64(1 << b) | top[first] & np.uint64((1 << b) - 1)
+            found.append((code[first] >> np.uint64(8) << np.uint64(8) | decision, total - ones, ones, block))
+            self.node.append(of[at])
+            self.deep.append(deep)
+        keys, zeros, ones, block = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(keys)
+        self.keys, self.zeros, self.ones, self.block = keys[order], zeros[order], ones[order], block[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.cumsum([0, *(len(f[0]) for f in found)])
+        self.node = [place[before[b] + x] for b, x in enumerate(self.node)]
+
+
+#: pair: the two bytes nearest to the predicted one, or -1 for the nodes above; bucket: -1 for sums that go up.
+_NODES = "bucket int, kind string, pair int, byte int, keys binary, sums binary"
+
+
+def _nodes(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["bucket", "kind", "pair", "byte", "keys", "sums"])
+
+
+def _sums(data: bytes) -> np.ndarray:
+    return np.frombuffer(data).reshape(3, -1)
 
-    found = rows.where("not held_out").select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    found = found.groupBy(F.shiftright("code", 8).cast("int").alias("pair")).agg(F.collect_list(F.col("code").bitwiseAND(F.lit(255)).cast("int")).alias("byte"), F.collect_list("n").alias("n")).orderBy("pair").collect()
-    counts = np.zeros((len(found), 256))
-    for i, r in enumerate(found):
-        counts[i, r["byte"]] = r["n"]
-    return Top(np.array([r["pair"] for r in found], np.int64), counts)
 
+def _parts(depth: int):
+    """Bucket to a row for each node of depth 2 above it: zeros, ones and block logs of the bucket's nodes of depth PREFIX."""
 
-_SUMS = "bucket int, kind string, pair int, decisions binary, sums binary"
+    def run(key, table):
+        if key[1].as_py() != "g":
+            return _nodes([])
+        tree = Tree(*_all_windows(table), depth)
+        pair = tree.keys >> np.uint64(8 * (PREFIX - 1))
+        cuts = np.r_[np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]), len(pair)] if len(pair) else [0]
+        low = (tree.keys & np.uint64((1 << 8 * (PREFIX - 1)) - 1)).astype("<u4")
+        return _nodes([(key[0].as_py(), "g", int(pair[a]), int(pair[a]) >> 8, low[a:b].tobytes(), np.stack([tree.zeros[a:b], tree.ones[a:b], tree.block[a:b]]).tobytes()) for a, b in zip(cuts, cuts[1:])])
 
+    return run
 
-def _sums(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["bucket", "kind", "pair", "decisions", "sums"])
 
+def _under_two_bytes(table: pa.Table) -> pa.Table:
+    """All nodes of depth PREFIX below one of depth 2: its sums go up, and to each bucket goes, for each of its nodes, (x, y)
+    such that x + y * p is the prediction at depth 2 if p is the one at depth PREFIX. x is -1 where depth 2 has not met the decision."""
+    rows = table.to_pylist()
+    keys = [np.frombuffer(r["keys"], "<u4") for r in rows]
+    zeros, ones, block = np.concatenate([_sums(r["sums"]) for r in rows], axis=1)
+    key, at = np.concatenate(keys), np.arange(sum(map(len, keys)))
+    chain = [(None, None, zeros + ones > 0, at)]
+    for _ in range(PREFIX - 2):
+        key, to = np.unique(key >> 16 << 8 | key & 255, return_inverse=True)
+        zeros, ones, below = (np.bincount(to, v, len(key)) for v in (zeros, ones, block))
+        p, share, block = mixed(zeros, ones, below)
+        at = to[at]
+        chain.append((p, share, zeros + ones > 0, at))
+    seen = chain[0][2]
+    x, y = np.zeros(len(seen)), np.ones(len(seen))
+    for p, share, met, at in chain[1:]:
+        x, y = np.where(seen, share[at] * p[at] + (1 - share[at]) * x, p[at]), np.where(seen, (1 - share[at]) * y, 0.0)
+        seen = met[at]
+    x[~seen] = -1
+    pair, byte = rows[0]["pair"], rows[0]["byte"]
+    out = [(-1, "g", pair, byte, key.astype(np.uint8).tobytes(), np.stack([zeros, ones, block]).tobytes())]
+    cuts = np.cumsum([0, *map(len, keys)])
+    return _nodes(out + [(r["bucket"], "g", pair, byte, b"", np.stack([x[a:b], y[a:b]]).tobytes()) for r, a, b in zip(rows, cuts, cuts[1:])])
+
+
+def _under_one_byte(table: pa.Table) -> pa.Table:
+    """At most 256 nodes of depth 2 to the sums of the one of depth 1 above: zeros, ones and children's block logs of 255 decisions."""
+    total = np.zeros((3, 255))
+    for r in table.to_pylist():
+        total[:, np.frombuffer(r["keys"], np.uint8) - 1] += _sums(r["sums"])
+    return _nodes([(-1, "g", -1, table.column("byte")[0].as_py(), b"", total.tobytes())])
 
-def _parts(depth: int):
-    """Bucket to a row for each node of depth 2 above it: zeros, ones and block logs of the bucket's part of its children."""
 
-    def run(key, table):
-        rows: list = []
-        code, n = _all_windows(table) if key[1].as_py() == "g" else (np.zeros(0, np.uint64), None)
-        for start, end in _ranges(code, 8 * (depth - 1)):
-            sums, met = np.zeros((3, 255)), np.zeros(255, bool)
-            for a, b in _ranges(code[start:end], 8 * (depth - 2)):
-                piece = Piece(code[start + a : start + b], n[start + a : start + b], depth)
-                met[piece.decisions - 1] = True
-                sums[:, piece.decisions - 1] += [getattr(piece.levels[-1][0], x)[0] for x in ("zeros", "ones", "block")]
-            pair = int(code[start] >> np.uint64(8 * (depth - 1)))
-            rows.append((key[0].as_py(), "g", pair, np.flatnonzero(met).astype(np.uint8).tobytes(), sums[:, met].tobytes()))
-        return _sums(rows)
+def _root(buckets: int):
+    """At most 256 nodes of depth 1 to the mixture of depths 0 and 1, sent to every bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("byte")
+        sums = np.stack([_sums(x) for x in table.column("sums").to_pylist()])
+        data = top_mixture(sums).tobytes()
+        present = np.array(table.column("byte").to_pylist(), np.uint8).tobytes()
+        return _nodes([(b, "g", -1, -1, present, data) for b in range(buckets)])
 
     return run
 
 
-def _totals(table: pa.Table) -> pa.Table:
-    """The parts of one node of depth 2 to their sums, for each bucket at the decisions that it has."""
-    rows = table.sort_by("bucket").to_pylist()
-    total = np.zeros((3, 255))
-    at = [np.frombuffer(r["decisions"], np.uint8) for r in rows]
-    for r, d in zip(rows, at):
-        total[:, d] += np.frombuffer(r["sums"]).reshape(3, -1)
-    return _sums([(r["bucket"], "g", r["pair"], r["decisions"], total[:, d].tobytes()) for r, d in zip(rows, at)])
+def top_mixture(sums: np.ndarray) -> np.ndarray:
+    """sums: nodes of depth 1, three, decisions. Returns for each node, and last for bytes without one, (x, y, z): the prediction is x + y * p if p
+    is that of depth 2, and z where depth 2 has not met the decision."""
+    zeros, ones, below = sums[:, 0], sums[:, 1], sums[:, 2]
+    p, share, block = mixed(zeros, ones, below)
+    root, top, _ = mixed(zeros.sum(axis=0), ones.sum(axis=0), block.sum(axis=0))
+    under = (1 - top) * (1 - share)
+    out = np.zeros((len(sums) + 1, 3, sums.shape[2]))
+    out[:-1] = np.stack([top * root + (1 - top) * share * p, under, np.where(zeros + ones > 0, top * root + (1 - top) * p, root)], axis=1)
+    out[-1, 2] = root
+    return out
 
 
-def _answers(depth: int, sent):
+def _answers(depth: int):
     """Bucket to what each chunk asked for: log10 probabilities of windows, or counts, sums and kinds of words."""
 
     def windows(table: pa.Table, above: pa.Table):
-        top: Top = sent.value
         code, n = _all_windows(table)
+        tree = Tree(code, n, depth)
+        rows = above.sort_by("pair").to_pylist()
+        mix = np.full((1, 3, 255), 0.5)
+        slot = np.zeros(256, np.int64)
+        if rows and rows[0]["pair"] < 0:
+            mix = np.frombuffer(rows[0]["sums"]).reshape(-1, 3, 255)
+            slot[:] = len(mix) - 1
+            slot[np.frombuffer(rows[0]["keys"], np.uint8)] = np.arange(len(mix) - 1)
+        x, y = (np.concatenate(v) if v else np.zeros(0) for v in ([np.frombuffer(r["sums"]).reshape(2, -1)[i] for r in rows if r["pair"] >= 0] for i in (0, 1)))
+        near, byte = slot[(code >> np.uint64(8 * depth)).astype(np.int64)], (code & np.uint64(255)).astype(np.int64)
         logs = np.zeros(len(code))
-        nodes = {r["pair"]: (r["decisions"], r["sums"]) for r in above.to_pylist()}
-        for start, end in _ranges(code, 8 * (depth - 1)):
-            decisions, data = nodes[int(code[start] >> np.uint64(8 * (depth - 1)))]
-            sums = np.zeros((3, 255))
-            sums[:, np.frombuffer(decisions, np.uint8)] = np.frombuffer(data).reshape(3, -1)
-            two = Level(*sums[:, None])
-            for a, b in ((start + a, start + b) for a, b in _ranges(code[start:end], 8 * (depth - 2))):
-                logs[a:b] = Piece(code[a:b], n[a:b], depth).logs(two, int(code[a] >> np.uint64(8 * depth)), top)
+        for b in range(8):
+            at, decision = tree.node[b], (256 | byte) >> (8 - b)
+            base = x[at]
+            upper = mix[near, :, decision - 1]
+            p = np.where(base < 0, upper[:, 2], upper[:, 0] + upper[:, 1] * (base + y[at] * tree.deep[b]))
+            logs += np.log(np.where(byte >> (7 - b) & 1, p, 1 - p))
         logs = (logs / math.log(10)).astype(np.float32)
         return [logs[np.searchsorted(code, _unpacked(k.as_py()))].tobytes() for k in table.column("key")], 0, 0
 
@@ -398,7 +396,7 @@ def _scores(depth: int):
             else:
                 n.append(np.frombuffer(r["data"], "<i8"))
                 tokens, known = tokens + r["tokens"], known + r["known"]
-        score, size, hashes = np.zeros(count), np.zeros(count, np.int64), [np.zeros(0, np.uint64)]
+        score, size, length, hashes = np.zeros(count), np.zeros(count, np.int64), np.ones(count, np.int64), [np.zeros(0, np.uint64)]
         find = Lookup(np.concatenate(logs[0]), np.concatenate(logs[1])) if count else None
         for begin, end in _slices(texts.column("text")):
             words = [_words(t.as_py()) for t in texts.column("text")[begin:end]]
@@ -406,26 +404,29 @@ def _scores(depth: int):
             hashes += [_hashes(w) for w in words]
             code, own = window_codes([b" ".join(w) for w in words], depth)
             score[begin:end] = np.bincount(own, find(code), end - begin)
+            length[begin:end] = np.bincount(own, minlength=end - begin)
         row = np.repeat(np.arange(count), size)
         _, at = np.unique(np.concatenate(hashes), return_inverse=True)
         n = np.concatenate(n) if n else np.zeros(0, np.int64)
         base = np.log10((n + 1.0) / (tokens + known + 1.0))
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": size, "n_known": np.bincount(row, (n > 0)[at], count).astype(np.int64), "train_tokens": np.full(count, tokens), "base_score": np.bincount(row, base[at], count).astype(float), "score": score})
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": size, "n_known": np.bincount(row, (n > 0)[at], count).astype(np.int64), "train_tokens": np.full(count, tokens), "base_score": np.bincount(row, base[at], count).astype(float), "score": score, "bits_per_byte": -score * math.log2(10) / length})
 
     return rate
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Scores of every row of docs, learned from the rows outside the held-out fold. depth: 3 to 7."""
+    """Scores of every row of docs, learned from the rows outside the held-out fold. depth: PREFIX to 7."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold(id_col, folds) == held_fold).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
-    top = docs.sparkSession.sparkContext.broadcast(top_nodes(rows))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
     sent = dealt.groupBy("chunk").applyInArrow(_reader(depth, chunks), "chunk int, bucket int, kind string, key binary, n binary")
     # both read one exchange of what was sent
-    parts = sent.groupBy("bucket", "kind").applyInArrow(_parts(depth), _SUMS)
-    above = parts.groupBy("pair").applyInArrow(_totals, _SUMS)
-    answers = sent.groupBy("bucket", "kind").cogroup(above.groupBy("bucket", "kind")).applyInArrow(_answers(depth, top), "chunk int, bucket int, kind string, key binary, data binary, tokens long, known long")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    parts = sent.groupBy("bucket", "kind").applyInArrow(_parts(depth), _NODES)
+    two = parts.groupBy("pair").applyInArrow(_under_two_bytes, _NODES)
+    one = two.where("bucket < 0").groupBy("byte").applyInArrow(_under_one_byte, _NODES)
+    root = one.groupBy("pair").applyInArrow(_root(chunks), _NODES)
+    above = two.where("bucket >= 0").unionByName(root)
+    answers = sent.groupBy("bucket", "kind").cogroup(above.groupBy("bucket", "kind")).applyInArrow(_answers(depth), "chunk int, bucket int, kind string, key binary, data binary, tokens long, known long")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(depth), schema)

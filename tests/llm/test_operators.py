@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -158,19 +159,64 @@ def test_language_model_splits_a_hot_pair_with_equal_scores(spark):
     dealt = {x["doc_id"]: x for x in language_model.score(rows, chunk_bytes=3000).collect()}
     assert {i: x["score"] for i, x in dealt.items()} == pytest.approx({i: x["score"] for i, x in whole.items()}, rel=1e-6)
     assert all(x["base_score"] == pytest.approx(whole[i]["base_score"]) for i, x in dealt.items())
-    # contexts that agree in the two nearest bytes lie in several buckets
+    # contexts that agree in the three nearest bytes lie in several buckets
     code = np.unique(np.concatenate([language_model.window_codes([" ".join(words).encode()], 6)[0]]))
     hot = code[code >> np.uint64(40) == (ord("e") << 8 | ord("h"))]
-    shift = np.uint64(8 * 4)
-    assert len(np.unique(language_model._context_bucket(hot >> shift, 50))) > 1
-
-
-def test_byte_probabilities_sum_to_one():
-    of = np.arange(256)
-    decisions, zero, one = language_model.paths(of)
-    p = np.random.default_rng(0).uniform(0.01, 0.99, (3, len(decisions)))
-    logs = np.log(p) @ one.T + np.log1p(-p) @ zero.T
-    assert np.allclose(np.exp(logs).sum(axis=1), 1)
+    assert len(np.unique(language_model._context_bucket(hot >> np.uint64(8 * (7 - language_model.PREFIX)), 50))) > 1
+
+
+def _context_tree(train: list[bytes], depth: int):
+    """Context-tree weighting by recursion over a dictionary of nodes: returns the log10 probability of a text."""
+    counts: dict = {}
+    steps = lambda c: [((256 | c) >> (8 - k), c >> (7 - k) & 1) for k in range(8)]
+
+    def places(text):
+        data = b"\n" * depth + text + b"\n"
+        return [(data[i - depth : i][::-1], data[i]) for i in range(depth, len(data))]
+
+    for text in train:
+        for context, c in places(text):
+            for node, bit in steps(c):
+                for d in range(depth + 1):
+                    counts.setdefault((context[:d], node), [0, 0])[bit] += 1
+    children: dict = {}
+    for context, node in counts:
+        if context:
+            children.setdefault((context[:-1], node), []).append((context, node))
+
+    def kt(n):
+        return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+
+    blocks: dict = {}
+    for key in sorted(counts, key=lambda k: -len(k[0])):
+        own = kt(counts[key])
+        below = sum(blocks[c][0] for c in children.get(key, []))
+        blocks[key] = (own, 0.0) if len(key[0]) == depth else (math.log(0.5) + np.logaddexp(own, below), 1 / (1 + math.exp(min(700, max(-700, below - own)))))
+
+    def one(context, node, d):
+        n = counts.get((context[:d], node), [0, 0])
+        p = (n[1] + 0.5) / (sum(n) + 1)
+        if d == depth or (context[: d + 1], node) not in counts:
+            return p
+        share = blocks[context[:d], node][1]
+        return share * p + (1 - share) * one(context, node, d + 1)
+
+    return lambda text: sum(math.log10(p if bit else 1 - p) for context, c in places(text) for node, bit in steps(c) for p in [one(context, node, 0)])
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 20, 700])
+def test_language_model_against_a_plain_context_tree(spark, chunk_bytes):
+    r = random.Random(6)
+    words = ["the", "then", "theme", "a", "nathe", "xylo", "été", "them", "an"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(40)] + ["THE  the\tqq zz", "", "\u4e00 \u4e01"]
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, None)]
+    got = language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk_bytes).collect()
+    plain = [(i, b" ".join((t or "").encode().lower().split())) for i, t in rows]
+    out = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
+    score = _context_tree([t for i, t in plain if not out(i)], 6)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted([(x["doc_id"], round(x["score"], 3), x["held_out"]) for x in got], key=key) == sorted([(i, round(score(t), 3), out(i)) for i, t in plain], key=key)
+    assert sorted(x["bits_per_byte"] for x in got) == pytest.approx(sorted(-score(t) * math.log2(10) / (len(t) + 1) for _, t in plain), rel=1e-5)
 
 
 def test_packing_is_gapless_and_near_the_bound(spark):
