@@ -72,10 +72,9 @@ class SegmentTree:
             node //= 2
             self._sum(node)
 
-    @staticmethod
-    def _safe(after: str) -> bool:
+    def _safe(self, after: str) -> bool:
         """Whether the text before can be encoded without this one."""
-        return len(after) > 1 and after[0] in " \n" and not after[1].isspace()
+        return len(after) > 1 and after[0] in " \n" and not after[1].isspace() and not after.startswith(self.encoder.special, 1)
 
     def edit(self, start: int, end: int, text: str) -> None:
         """Replaces characters start .. end by text."""

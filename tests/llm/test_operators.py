@@ -219,6 +219,24 @@ def test_language_model_against_a_plain_context_tree(spark, chunk_bytes):
     assert sorted(x["bits_per_byte"] for x in got) == pytest.approx(sorted(-score(t) * math.log2(10) / (len(t) + 1) for _, t in plain), rel=1e-5)
 
 
+def test_pieces_against_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(9001, "hello <|endoftext|> world"), (9002, "\n" * 1_000_000 + "x"), (9003, "a" + " " * 2_000_000), (9004, None), (None, "one two")]
+    want = []
+    for i, text in rows:
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [2]
+        first = len(ids) % 1024 or 1024
+        for k, a in enumerate([0, *range(first, len(ids), 1024)]):
+            part = ids[a : a + (first if k == 0 else 1024)]
+            want.append((-1 if i is None else i, k, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(zip(got.doc_id.fillna(-1).astype(int), got.piece, got.start, got.length, got.ids_crc32)) == sorted(want)
+
+
 def test_packing_is_gapless_and_near_the_bound(spark):
     rows = QUERIES["op5_best_fit_packing"](spark, SMALL).toPandas()
     for _, g in rows.groupby("sequence_id"):
@@ -233,18 +251,20 @@ def test_ids_are_those_of_the_tokenizer(docs):
     plain = Tokenizer.from_file(tokens.vocabulary_path())
     encoder = tokens.PartEncoder(tokens.vocabulary_path())
     r = random.Random(1)
-    for text in [*docs.text[:40], *("".join(r.choice("ab  \n\n\t.,1é ") for _ in range(300)) for _ in range(50))]:
+    mixed = ["".join(r.choice(["a", "b", " ", "  ", "\n", "\t", ".", "1", "é", "<|endoftext|>"]) for _ in range(300)) for _ in range(30)]
+    long = ["\n" * 1_000_000, "x" + " " * 2_000_000 + "y", " " * 1500 + "a\n" + "\t" * 1300 + " b <|endoftext|>  <|endoftext|>", "hello <|endoftext|> world", "7" * 200_000, "\u3000" * 3000 + "z"]
+    for text in [*docs.text[:40], *("".join(r.choice("ab  \n\n\t.,1é ") for _ in range(300)) for _ in range(50)), *mixed, *long]:
         want = plain.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.whole(text), "<u4").tolist() == want == np.frombuffer(encoder.encode_many([text])[0], "<u4").tolist()
 
 
 def test_edits_against_encoding_again():
     encoder, r = tokens.PartEncoder(tokens.vocabulary_path()), random.Random(2)
-    for _ in range(80):
-        text = "".join(r.choice("ab  \n\n\t.,1é ") for _ in range(r.randint(0, 900)))
+    for trial in range(80):
+        text = "".join(r.choice([*"ab  \n\n\t.,1é ", *["<|endoftext|>"] * (trial % 3 == 0)]) for _ in range(r.randint(0, 900))) + " " * (3000 * (trial % 20 == 0))
         tree = token_counts.SegmentTree(text, encoder)
         for _ in range(6):
-            a, new = r.randint(0, len(text) + 3), "".join(r.choice("ab \n.") for _ in range(r.choice([0, 1, 2, 40])))
+            a, new = r.randint(0, len(text) + 3), "".join(r.choice(["a", "b", " ", "\n", ".", "<|endoftext|>"]) for _ in range(r.choice([0, 1, 2, 40])))
             b = a + r.choice([0, 1, 3, 50, 300])
             tree.edit(a, b, new)
             text = text[:a] + new + text[b:]
