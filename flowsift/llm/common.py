@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: scratch tables, row removal and id folds."""
+"""What the operators of this subpackage share: scratch tables, row removal, free column names and id folds."""
 
 from __future__ import annotations
 
@@ -18,11 +18,13 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset (tests), a temporary one."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one for local sessions; on a cluster that is an error."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="flowsift-")
         atexit.register(shutil.rmtree, _own_folder, True)
@@ -43,10 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard_stored() -> None:
-    """Deletes all scratch tables of this process; frames that still read them become unusable."""
-    while _written:
-        spark, path = _written.pop()
+def marked() -> int:
+    """How many scratch tables there are, for discard_stored()."""
+    return len(_written)
+
+
+def discard_stored(since: int = 0, keep_last: bool = False) -> None:
+    """Deletes the scratch tables written since a mark (but the last one, with keep_last); frames that still read them become unusable."""
+    end = max(since, len(_written) - keep_last)
+    gone = _written[since:end]
+    del _written[since:end]
+    for spark, path in reversed(gone):
         try:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -54,6 +63,21 @@ def discard_stored() -> None:
             return
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores before them until no column has them."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def quoted(columns: list[str]) -> list[str]:
+    return [f"`{c.replace('`', '``')}`" for c in columns]
+
+
 def fold(id_col: str = "doc_id", buckets: int = 5):
     """crc32 of the id as text, modulo buckets; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % buckets

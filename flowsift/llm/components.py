@@ -12,14 +12,14 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.where("hi != lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges: hi, lo (long). Returns node, root (the smallest node of its component) for all nodes of edges.
 
-    Every round halves the height of the stars at least; each is written to the shared folder, so that
-    neither lineage nor lost executors make it start over.
+    Rounds go on until one changes nothing; each is written to the shared folder, so that neither lineage nor lost executors
+    make it start over. No edges give no rows; edges of a node with itself are ignored; repeated edges count once; nulls are not allowed.
     """
     now, seen = stored(_tidy(edges), "edges"), None
-    for _ in range(most_rounds):
+    while True:
         both = now.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionAll(now.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = _tidy(both.where("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")))

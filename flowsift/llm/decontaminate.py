@@ -9,12 +9,12 @@ windows with a conflicting slot don't count, unless all their values are the ite
 and numbers is found, also where one number fills two slots by chance, and a chance mixture is not. An item leaks into a document when consistent occurrences cover at least `coverage` of its windows.
 
 A window with fewer than `literals` plain words says little, so its hash also takes the values in its slots. The benchmark's hashes
-are sent to the tasks only up to BENCHMARK_WINDOWS, to leave out unmatched windows before the join; beyond that all windows
-are shuffled, with equal results.
+(eight bytes each) are sent to the tasks only up to BENCHMARK_WINDOWS, to leave out unmatched windows before the join, and its windows with their slots only up to
+BENCHMARK_BYTES; beyond that windows are shuffled, with equal results.
 
-Defined cases: null text counts as empty; items of fewer than `window` tokens form one window of all their
-tokens; items without tokens match nothing; a null doc_id or item_id is dropped from the hits (and such a document stays
-in decontaminate()); repeated rows count once; extra columns are ignored.
+Rows are told apart by id and text, on both sides. Defined cases: null text counts as empty; items of fewer than `window` tokens form one
+window of all their tokens; items without tokens match nothing; null ids are ids like any other; rows that repeat id and text count once;
+different texts of one id are judged alone; extra columns are ignored, and kept by decontaminate() whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import stored, without
+from flowsift.llm.common import free_names, quoted, stored, without
 
 WINDOW, COVERAGE, LITERALS, CONFLICTS = 8, 0.5, 4, 0.5
-BENCHMARK_WINDOWS = 2_000_000
+BENCHMARK_WINDOWS, BENCHMARK_BYTES = 2_000_000, 32 << 20
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 #: Units of measure that are replaced after a number.
 UNITS = frozenset("mm cm m km g kg mg lb lbs oz ml l s sec seconds min minutes h hours days weeks months years % percent € $ £ usd eur dollars euros cents meters metres miles feet inches pounds kilograms grams liters litres degrees km/h mph".split())
@@ -122,11 +122,11 @@ def _windows(token, value, kind, width: int, literals: int) -> np.ndarray:
     return out * _STEP
 
 
-_SCHEMA = "id long, h long, width int, pos int, windows int, slots array<string>, places array<int>"
+_SCHEMA = "id long, digest long, h long, width int, pos int, windows int, slots array<string>, places array<int>"
 
 
 def template_windows(rows: DataFrame, widths: list[int] | None, window: int = WINDOW, literals: int = LITERALS, only: np.ndarray | None = None) -> DataFrame:
-    """id, h, width, pos, windows (of the row), slots, places (of the slots in the window): a row for each window of rows (id, text).
+    """id, digest, h, width, pos, windows (of the row), slots, places (of the slots in the window): a row for each window of rows (id, digest, text).
 
     widths: of documents, all that occur in the benchmark; None for the benchmark itself, where each item has
     one width. only: sorted hashes; other windows are left out.
@@ -141,7 +141,7 @@ def template_windows(rows: DataFrame, widths: list[int] | None, window: int = WI
         words, (wanted, quick) = _Words(), sent.value
         for batch in batches:
             out: list[tuple] = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw, token, value, kind = _template(text.as_py() or "", words)
                 for width in widths if widths is not None else [min(window, len(raw))] * bool(raw):
                     h = _windows(token, value, kind, width, literals)
@@ -155,7 +155,7 @@ def template_windows(rows: DataFrame, widths: list[int] | None, window: int = WI
                     for p, x in zip(at.tolist(), h[at].view(np.int64).tolist()):
                         places = np.flatnonzero(kind[p : p + width] != LITERAL).tolist()
                         slots = [f"{'lnuN'[kind[p + k]]}:{raw[p + k].strip('.,;:!?()').lower()}" for k in places]
-                        out.append((i, x, width, p, len(h), slots, places))
+                        out.append((i, digest, x, width, p, len(h), slots, places))
                     if len(out) > 50_000:
                         yield _rows(out)
                         out = []
@@ -165,8 +165,8 @@ def template_windows(rows: DataFrame, widths: list[int] | None, window: int = WI
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["id", "h", "width", "pos", "windows", "slots", "places"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], ["id", "digest", "h", "width", "pos", "windows", "slots", "places"])
 
 
 def counted_windows(windows: list[tuple], conflicts: float = CONFLICTS) -> list[tuple[int, bool]]:
@@ -187,33 +187,43 @@ def counted_windows(windows: list[tuple], conflicts: float = CONFLICTS) -> list[
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, literals: int = LITERALS, conflicts: float = CONFLICTS) -> DataFrame:
-    """doc_id, item_id, matched_windows, item_windows, coverage, reparameterised of each leaked item."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null")
+def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.col(text_col).alias("text"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, coverage: float, literals: int, conflicts: float) -> DataFrame:
+    """What find_leaks() returns, with the digest of the document's text."""
+    items = _keyed(benchmark, item_col, item_text_col).dropDuplicates(["id", "digest"])
     theirs = stored(template_windows(items, None, window, literals), "benchmark")
-    theirs = theirs.select(F.col("id").alias("item_id"), "h", "width", F.col("pos").alias("at"), F.col("windows").alias("item_windows"), F.col("slots").alias("theirs"), F.col("places").alias("item_places"))
-    widths = sorted(r[0] for r in theirs.select("width").distinct().collect())
-    few = theirs.count() <= BENCHMARK_WINDOWS
+    theirs = theirs.select(F.col("id").alias("item_id"), F.col("digest").alias("item"), "h", "width", F.col("pos").alias("at"), F.col("windows").alias("item_windows"), F.col("slots").alias("theirs"), F.col("places").alias("item_places"))
+    size = theirs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("theirs", "")) + 32 * F.size("theirs") + 64).alias("bytes"), F.sort_array(F.collect_set("width")).alias("widths")).first()
     only = None
-    if few:
-        only = np.unique(np.array([r[0] for r in theirs.select("h").distinct().collect()], np.int64).view(np.uint64))
-        if not len(only):
-            only = np.array([0], np.uint64)
+    if size["n"] <= BENCHMARK_WINDOWS:
+        only = np.unique(theirs.select("h").toArrow().column(0).to_numpy().view(np.uint64)) if size["n"] else np.array([0], np.uint64)
+    if (size["bytes"] or 0) <= BENCHMARK_BYTES:
         theirs = F.broadcast(theirs)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    ours = template_windows(texts, widths, window, literals, only)
+    ours = template_windows(_keyed(docs, id_col, text_col), size["widths"], window, literals, only)
     hits = ours.withColumnRenamed("id", "doc_id").join(theirs, ["h", "width"])
     # where the places differ (a capital in one text alone), the hashes are those of the values, and all values are equal
     slots = F.transform(F.arrays_zip("places", "theirs", "slots"), lambda s: F.struct((s["places"] + F.col("at")).alias("place"), s["theirs"].alias("i"), s["slots"].alias("d")))
-    runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", F.when(F.col("places") == F.col("item_places"), slots).otherwise(F.slice(slots, 1, 0)).alias("slots"))).alias("matched"), F.first("item_windows").alias("item_windows"))
+    pair = ["doc_id", "digest", "item_id", "item"]
+    runs = hits.groupBy(*pair, (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", F.when(F.col("places") == F.col("item_places"), slots).otherwise(F.slice(slots, 1, 0)).alias("slots"))).alias("matched"), F.first("item_windows").alias("item_windows"))
     counted = F.udf(lambda matched: counted_windows(matched, conflicts), "array<struct<at int, other boolean>>")
-    runs = runs.select("doc_id", "item_id", "item_windows", F.explode(counted("matched")).alias("w")).select("doc_id", "item_id", "item_windows", "w.at", "w.other")
-    found = runs.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("matched_windows"), F.first("item_windows").cast("long").alias("item_windows"), F.max("other").alias("reparameterised"))
+    runs = runs.select(*pair, "item_windows", F.explode(counted("matched")).alias("w")).select(*pair, "item_windows", "w.at", "w.other")
+    found = runs.groupBy(*pair).agg(F.count_distinct("at").alias("matched_windows"), F.first("item_windows").cast("long").alias("item_windows"), F.max("other").alias("reparameterised"))
     found = found.withColumn("coverage", F.col("matched_windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
-    return found.select("doc_id", "item_id", "matched_windows", "item_windows", "coverage", "reparameterised")
+    return found.select("doc_id", "item_id", "matched_windows", "item_windows", "coverage", "reparameterised", "digest")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, literals: int = LITERALS, conflicts: float = CONFLICTS) -> DataFrame:
+    """doc_id, item_id, matched_windows, item_windows, coverage, reparameterised of each leaked item."""
+    return _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, window, coverage, literals, conflicts).drop("digest")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, literals: int = LITERALS, conflicts: float = CONFLICTS) -> DataFrame:
     """docs without those that any item leaks into, all columns as they were."""
-    leaks = find_leaks(docs, benchmark, id_col, **params).select(F.col("doc_id").alias("__id"))
-    return without(docs.withColumn("__id", F.col(id_col).cast("long")), leaks, ["__id"]).drop("__id")
+    on = free_names(docs.columns, "own_id", "own_digest")
+    leaks = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, window, coverage, literals, conflicts)
+    leaks = leaks.select(F.col("doc_id").alias(on[0]), F.col("digest").alias(on[1]))
+    keyed = docs.withColumns({on[0]: F.col(id_col).cast("long"), on[1]: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return without(keyed, leaks, on).select(*quoted(docs.columns))

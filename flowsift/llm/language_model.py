@@ -149,6 +149,20 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
     return [(code[first], np.add.reduceat(n, first) if len(first) else n)]
 
 
+def _gathered(held: list, code: np.ndarray, skip: np.ndarray) -> list:
+    """held with the distinct windows of one slice more; those that are skipped count 0."""
+    held.append(np.unique(code[~skip], return_counts=True))
+    u = np.unique(code[skip])
+    held.append((u, np.zeros(len(u), np.int64)))
+    return _merged(held) if len(held) >= 8 else held
+
+
+def _by_bucket(code: np.ndarray, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each window, and the order of windows by bucket."""
+    bucket = _context_bucket(code >> np.uint64(8 * (depth + 1 - PREFIX)), buckets)
+    return bucket, np.argsort(bucket, kind="stable")
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
@@ -162,27 +176,19 @@ def _context_bucket(context: np.ndarray, buckets: int) -> np.ndarray:
 
 def _reader(depth: int, chunks: int):
     """Chunk to one row (chunk, bucket, kind, key, n) for each bucket and kind: "g" windows, "w" words."""
-    shift = np.uint64(8 * (depth + 1 - PREFIX))
 
     def send(key, table):
         out = table.column("held_out").to_numpy()
-        held: list = []
-        hashes: list = []
+        held, hashes = [], []
         for begin, end in _slices(table.column("text")):
             words = [_words(t.as_py()) for t in table.column("text")[begin:end]]
             away = out[begin:end]
             hashes.append((h := [_hashes(w) for w in words]) and (np.concatenate(h), np.repeat(~away, [len(x) for x in h])))
             code, own = window_codes([b" ".join(w) for w in words], depth)
             del words, h
-            skip = away[own]
-            held.append(np.unique(code[~skip], return_counts=True))
-            u = np.unique(code[skip])
-            held.append((u, np.zeros(len(u), np.int64)))
-            if len(held) >= 8:
-                held = _merged(held)
+            held = _gathered(held, code, away[own])
         code, n = _merged(held)[0]
-        bucket = _context_bucket(code >> shift, chunks)
-        order = np.argsort(bucket, kind="stable")
+        bucket, order = _by_bucket(code, depth, chunks)
         cuts = np.searchsorted(bucket[order], np.arange(chunks + 1, dtype=np.uint64))
         rows = [("g", _packed(code[at]), _packed_counts(n[at])) for at in (order[a:b] for a, b in zip(cuts, cuts[1:]))]
         u, at = np.unique(np.concatenate([h[0] for h in hashes]), return_inverse=True)
@@ -379,25 +385,29 @@ def _answers(depth: int):
 
     def answer(key, table, above):
         data, tokens, known = (windows if key[1].as_py() == "g" else words)(table, above)
-        keys = table.column("key") if key[1].as_py() == "g" else pa.array([b""] * table.num_rows, pa.binary())
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": table.column("kind"), "key": keys, "data": pa.array(data, pa.binary()), "tokens": pa.array([tokens] * len(data), pa.int64()), "known": pa.array([known] * len(data), pa.int64())})
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": table.column("kind"), "data": pa.array(data, pa.binary()), "tokens": pa.array([tokens] * len(data), pa.int64()), "known": pa.array([known] * len(data), pa.int64())})
 
     return answer
 
 
-def _scores(depth: int):
+def _scores(depth: int, buckets: int):
+    """A chunk's texts and the answers to it, which are in the order in which it has asked, to scores."""
+
     def rate(key, texts, answers):
         count = texts.num_rows
-        tokens, known, logs, n = 0, 0, ([], []), []
+        tokens, known, logs, n, held = 0, 0, [], [], []
         for r in answers.sort_by("bucket").to_pylist():
             if r["kind"] == "g":
-                logs[0].append(_unpacked(r["key"]))
-                logs[1].append(np.frombuffer(r["data"], np.float32))
+                logs.append(np.frombuffer(r["data"], np.float32))
             else:
                 n.append(np.frombuffer(r["data"], "<i8"))
                 tokens, known = tokens + r["tokens"], known + r["known"]
         score, size, length, hashes = np.zeros(count), np.zeros(count, np.int64), np.ones(count, np.int64), [np.zeros(0, np.uint64)]
-        find = Lookup(np.concatenate(logs[0]), np.concatenate(logs[1])) if count else None
+        for begin, end in _slices(texts.column("text")):
+            code, own = window_codes([b" ".join(_words(t.as_py())) for t in texts.column("text")[begin:end]], depth)
+            held = _gathered(held, code, np.zeros(len(code), bool))
+        code = _merged(held)[0][0]
+        find = Lookup(code[_by_bucket(code, depth, buckets)[1]], np.concatenate(logs)) if count else None
         for begin, end in _slices(texts.column("text")):
             words = [_words(t.as_py()) for t in texts.column("text")[begin:end]]
             size[begin:end] = [len(w) + 1 for w in words]
@@ -427,6 +437,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     one = two.where("bucket < 0").groupBy("byte").applyInArrow(_under_one_byte, _NODES)
     root = one.groupBy("pair").applyInArrow(_root(chunks), _NODES)
     above = two.where("bucket >= 0").unionByName(root)
-    answers = sent.groupBy("bucket", "kind").cogroup(above.groupBy("bucket", "kind")).applyInArrow(_answers(depth), "chunk int, bucket int, kind string, key binary, data binary, tokens long, known long")
+    answers = sent.groupBy("bucket", "kind").cogroup(above.groupBy("bucket", "kind")).applyInArrow(_answers(depth), "chunk int, bucket int, kind string, data binary, tokens long, known long")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(depth), schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(depth, chunks), schema)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -229,18 +230,44 @@ def fit(examples: int = EXAMPLES, seed: int = 17) -> tuple[BoostedTrees, dict[st
     return trees, thresholds
 
 
+class Spans:
+    """Disjoint spans in order; of overlapping ones their union."""
+
+    def __init__(self, spans) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return at == 0 or self.ends[at - 1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        """A span that is free."""
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 def select(text: str, base: list[tuple[str, int, int]], trees: BoostedTrees, thresholds: dict[str, float]) -> list[tuple[str, int, int]]:
     """Candidates that pass, without overlaps among themselves or with base."""
-    proposed = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)]
-    if not proposed:
-        return []
-    p = trees.probability(np.array([features(text, *c) for c in proposed], float))
-    taken: list[tuple[str, int, int]] = []
-    for i in np.argsort(-p, kind="stable").tolist():
-        kind, s, e = proposed[i]
-        if p[i] >= thresholds[kind] and not any(s < b and a < e for _, a, b in taken):
-            taken.append(proposed[i])
-    return taken
+    covered = Spans((s, e) for _, s, e in base)
+    proposed = [c for c in candidates(text) if covered.free(*c[1:])]
+    likely: list[tuple[float, int]] = []
+    for at in range(0, len(proposed), 4096):
+        p = trees.probability(np.array([features(text, *c) for c in proposed[at : at + 4096]], float))
+        likely += [(-v, at + i) for i, v in enumerate(p.tolist()) if v >= thresholds[proposed[at + i][0]]]
+    taken, out = Spans(()), []
+    for _, i in sorted(likely):
+        if taken.free(*proposed[i][1:]):
+            taken.add(*proposed[i][1:])
+            out.append(proposed[i])
+    return out
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:

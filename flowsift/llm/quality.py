@@ -4,10 +4,12 @@ score = sigmoid(bias + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_
 linear in the non-zero inputs. Words are hashed to WORDS places with log counts; each statistic is one-hot in
 quantile bins, so that its interactions with words and with other statistics are learned.
 
-At most SAMPLE labelled rows outside the held-out fold, those with the smallest hash of doc_id, are used to fit.
+At most SAMPLE labelled documents outside the held-out fold, those with the smallest hash of doc_id, are used to fit, and of these as many, in that
+order, as have PLACES non-zero inputs together; so at most 12 bytes for each of PLACES go to the driver.
 
 Defined cases: null text counts as empty; empty texts get a score like any other; without labels the score is 0.5; conflicting
-repeated labels count as the larger; null labels and ids are ignored in learning; extra columns are ignored, and labels, lang,
+repeated labels count as the larger; null labels and ids are ignored in learning; of rows that repeat a labelled id, the text of the smallest hash
+is learned from; extra columns are ignored, and labels, lang,
 source and doc_id are never inputs of a score.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from flowsift.llm.common import fold, stored
 
-SAMPLE = 12_000
+SAMPLE, PLACES = 12_000, 5_000_000
 WORDS = 1 << 14
 FACTORS, BINS, EPOCHS, BATCH, RATE, RIDGE = 6, 12, 12, 256, 0.08, 2e-5
 THRESHOLD = 0.3
@@ -129,11 +131,12 @@ def _train(machine: Machine, stats, ats, values, y: np.ndarray) -> None:
             machine.factors -= RATE * factors / np.sqrt(squares[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, places: int = PLACES) -> Machine | None:
     """The machine, from at most sample labelled rows; None without labels of both classes."""
     known = labels.select(F.col(id_col).cast("long").alias("l"), F.col(label_col).cast("int").alias("y")).where((fold(id_col) != 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     drawn = stored(known.groupBy("l").agg(F.max("y").alias("y")).orderBy(F.xxhash64("l", F.lit(5)), "l").limit(sample), "labels")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("l")).select("text", "y", "doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("l"))
+    texts = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _Hashed()
@@ -141,7 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = [inputs(t.as_py(), hashed) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array([np.array(r[0], float).tobytes() for r in rows], pa.binary()), pa.array([r[1].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.float32).tobytes() for r in rows], pa.binary())], ["doc_id", "y", "stats", "at", "value"])
 
-    got = texts.mapInArrow(run, "doc_id long, y int, stats binary, at binary, value binary").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending")])
+    rows = stored(texts.mapInArrow(run, "doc_id long, y int, stats binary, at binary, value binary"), "inputs")
+    sizes = rows.select("doc_id", (F.octet_length("at") / 4).cast("long").alias("n")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").toPandas()
+    used = sizes["doc_id"][sizes["n"].cumsum() <= places]
+    if len(used) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in used], "doc_id long")), "doc_id", "left_semi")
+    got = rows.toArrow().sort_by("doc_id")
     y = got.column("y").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return None

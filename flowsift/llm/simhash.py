@@ -1,19 +1,25 @@
 """SimHash near-dedup over a Gray-order hierarchical index.
 
-A fingerprint is the bitwise majority of the XXH64 of a text's word shingles. Fingerprints that differ in at
-most `distance` bits agree in at least one choice of whole bands of bits, so each fingerprint joins one block per choice and
-no link is lost. Within a block, fingerprints lie in the order of their Gray rank; runs of them form leaves
-and runs of nodes form upper nodes. A node holds the bits that all below it share (a mask and a pattern). Two nodes
-are compared by the shared bits alone, adding the differences in newly shared bits to those of their parents, and the pair
-is dropped as soon as the sum is over the distance. Only fingerprints of surviving leaf pairs are compared.
-A block gives a spanning forest of its links, never all its pairs.
-
-Defined cases: null text counts as empty; a text without words has fingerprint zero; fewer words than a
-shingle give one shingle; repeated rows are all returned; a null doc_id never is a component's id unless all are null.
+A fingerprint is the bitwise majority of hashes of a text's word shingles. Fingerprints meet in blocks, those that agree in some bits. Within
+a block, they lie in the order of their Gray rank; runs of them form leaves and runs of nodes form upper nodes. A node holds the bits
+that all below it share (a mask and a pattern). Two nodes are compared by the shared bits alone, adding the differences in newly
+shared bits to those of their parents, and the pair is dropped as soon as the sum is over the distance. Only fingerprints of surviving leaf pairs are
+compared. A block gives a spanning forest of its links, nearest pairs first, never all its pairs. Blocks of more than BLOCK_MOST rows
+are dealt, by pairs of parts, to several tasks.
+
+near_groups() takes 64 bits and links what differs in at most `distance` of them: blocks are choices of whole bands, so that no link is lost. keep_one()
+takes WIDE_BITS, in which the share of differing bits tells the similarity of two sets of shingles (the angle between them over pi). Blocks are bands
+of some bits, so many that two texts of the least similarity share one with probability RECALL. Links that leave doubt are
+checked against the shingles themselves; those within SURE_BITS stand for a similarity of about 0.94 and more.
+
+Defined cases: null text counts as empty; a text without words has no shingles and fingerprint zero; fewer words than a
+shingle give one shingle; repeated rows are all returned; a null doc_id never is a component's id unless all are null; extra columns are
+ignored, and kept by keep_one() whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,25 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import stored, within, without
+from flowsift.llm.common import BROADCAST_ROWS, free_names, quoted, stored, within, without
 from flowsift.llm.components import connected_components
 from flowsift.llm.exact_dedup import text_digest
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 LEAF, FANOUT = 16, 16
-#: Fingerprints that a block holds on average before more bands are taken.
-BLOCK_ROWS = 4096
+#: Fingerprints that a block holds on average before more bands are taken, and that one task takes of a block.
+BLOCK_ROWS, BLOCK_MOST = 4096, 16_384
 PAIRS_AT_ONCE = 2_000_000
+#: keep_one(): words of a shingle, least similarity (Jaccard), bits, differing bits of a sure link, share of least similar pairs that meet.
+COPY_SHINGLE, SIMILARITY, WIDE_BITS, SURE_BITS, RECALL = 5, 0.8, 512, 40, 0.95
+WORDS = [f"f{i}" for i in range(WIDE_BITS // 64)]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The signed 64-bit fingerprint."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -48,23 +57,51 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         starts, ends = starts[: 1 - shingle], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())], dtype=">u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Words of the bits that are set in over half of the hashes (rows of words)."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 255):  # sums of 255 bits fit a byte
+        ones += np.unpackbits(hashes[at : at + 255].astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The signed 64-bit fingerprint."""
+    return int(majority(shingle_hashes(text, shingle, seed)[:, None]).view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, digest: bool = False) -> DataFrame:
-    """doc_id, fp (long) for each row; with digest also the text's digest."""
+def wide_fingerprint(text: str | None, shingle: int = COPY_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """WIDE_BITS bits over distinct shingles, whose hashes are stretched by a mixing function."""
+    x = np.unique(shingle_hashes(text, shingle, seed))[:, None] + np.arange(len(WORDS), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return majority(x ^ x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fp (long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *["digest"] * digest])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, digest (of the text) and the words of the wide fingerprint of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([wide_fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], np.uint64).reshape(-1, len(WORDS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in fps.T)], ["doc_id", "digest", *WORDS])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[text_digest(text_col).alias("digest")] * digest)
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary" * digest)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, ", ".join(["doc_id long, digest binary", *(f"{w} long" for w in WORDS)]))
 
 
 def block_masks(rows: int, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> list[int]:
@@ -97,19 +134,32 @@ def _products(a0, na, b0, nb):
     return which, a0[which] + at // nb[which], b0[which] + at % nb[which]
 
 
-def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    while len(i):
-        li, lj = label[i], label[j]
-        apart = li != lj
-        i, j, li, lj = i[apart], j[apart], li[apart], lj[apart]
-        np.minimum.at(label, np.maximum(li, lj), np.minimum(li, lj))
-        while not np.array_equal(up := label[label], label):
-            label = up
-    return label
-
-
-def block_links(block: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
-    """label[i]: the first row that i is linked with inside its block. block is sorted; fp is in Gray order in each."""
+class Links:
+    """Components of the rows of some blocks (label: the first row of each), and the pairs that joined them."""
+
+    def __init__(self, rows: int) -> None:
+        self.label = np.arange(rows)
+        self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        """Joins along links (i, j) of distance d: again and again, each component along its nearest."""
+        while True:
+            a, b = self.label[i], self.label[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, d, a, b = (x[apart] for x in (i, j, d, a, b))
+            end, link = np.concatenate([a, b]), np.tile(np.arange(len(i)), 2)
+            order = np.lexsort((link, d[link], end))
+            nearest = np.unique(link[order][np.r_[True, end[order][1:] != end[order][:-1]]])
+            self.pairs.append((i[nearest], j[nearest], d[nearest]))
+            np.minimum.at(self.label, np.maximum(a, b)[nearest], np.minimum(a, b)[nearest])
+            while not np.array_equal(up := self.label[self.label], self.label):
+                self.label = up
+
+
+def block_links(block: np.ndarray, fp: np.ndarray, distances: list[int]) -> Links:
+    """The links inside blocks, those within the first distance before those within the next. block is sorted; fp (rows of words) is in Gray order in each."""
     n = len(fp)
     new = np.r_[True, block[1:] != block[:-1]]
     first = np.flatnonzero(new)
@@ -125,23 +175,23 @@ def block_links(block: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
         ands, ors = np.bitwise_and.reduceat(ands, start), np.bitwise_or.reduceat(ors, start)
         levels.append((start, np.diff(np.r_[start, len(of)]), ~(ands ^ ors), ands))
         of = of[start]
-    label = np.arange(n)
-    roots = np.arange(len(levels[-1][0]))
-    _descend(levels, len(levels) - 1, roots, roots, np.zeros(len(roots), np.uint8), np.zeros(len(roots), np.uint64), fp, distance, state := [label])
-    return state[0]
+    links, roots = Links(n), np.arange(len(levels[-1][0]))
+    for distance in distances:
+        _descend(levels, len(levels) - 1, roots, roots, np.zeros(len(roots), np.int64), np.zeros((len(roots), fp.shape[1]), np.uint64), fp, distance, links)
+    return links
 
 
-def _descend(levels, depth, a, b, differing, compared, fp, distance, state) -> None:
+def _descend(levels, depth, a, b, differing, compared, fp, distance, links: Links) -> None:
     """Goes down from the node pairs (a, b), whose shared bits `compared` differ in `differing` places."""
     start, size, mask, pattern = levels[depth]
     both = mask[a] & mask[b]
-    differing = differing + np.bitwise_count((pattern[a] ^ pattern[b]) & both & ~compared)
+    differing = differing + np.bitwise_count((pattern[a] ^ pattern[b]) & both & ~compared).sum(axis=1)
     near = differing <= distance
     a, b, differing, both = a[near], b[near], differing[near], both[near]
     order = np.argsort(differing + 2 * (a != b), kind="stable")
     a, b, differing, both = a[order], b[order], differing[order], both[order]
-    work = np.cumsum(size[a] * size[b])
-    cuts = np.searchsorted(work, np.arange(PAIRS_AT_ONCE, work[-1] + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "right") if len(work) else []
+    work, most = np.cumsum(size[a] * size[b]), PAIRS_AT_ONCE // fp.shape[1]
+    cuts = np.searchsorted(work, np.arange(most, work[-1] + most, most), "right") if len(work) else []
     at = 0
     for to in cuts:
         to = min(max(to, at + 1), len(a))
@@ -150,52 +200,69 @@ def _descend(levels, depth, a, b, differing, compared, fp, distance, state) -> N
         x, y, d, c = a[at:to], b[at:to], differing[at:to], both[at:to]
         at = to
         if depth == 0:
-            label = state[0]
-            low, high = np.minimum.reduceat(label, start), np.maximum.reduceat(label, start)
+            low, high = np.minimum.reduceat(links.label, start), np.maximum.reduceat(links.label, start)
             open_ = ~((low[x] == high[x]) & (low[y] == high[y]) & (low[x] == low[y]))
             x, y = x[open_], y[open_]
         which, i, j = _products(start[x], size[x], start[y], size[y])
         ordered = (x[which] != y[which]) | (i < j if depth == 0 else i <= j)
         which, i, j = which[ordered], i[ordered], j[ordered]
         if depth == 0:
-            hit = np.bitwise_count(fp[i] ^ fp[j]) <= distance
-            state[0] = _unite(state[0], i[hit], j[hit])
+            apart = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1)
+            hit = apart <= distance
+            links.add(i[hit], j[hit], apart[hit])
         else:
-            _descend(levels, depth - 1, i, j, d[which], c[which], fp, distance, state)
+            _descend(levels, depth - 1, i, j, d[which], c[which], fp, distance, links)
+
 
+def _forest(words: int, distances: list[int]):
+    """Rows (block, node, words), blocks together and in Gray order, to the links of their forests."""
 
-def _forest(distance: int):
-    def links(block, fp):
-        new = np.r_[True, np.any(block[1:] != block[:-1], axis=1)]
-        label = block_links(np.cumsum(new), fp, distance)
-        i = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[label[i]].view(np.int64))], ["hi", "lo"])
+    def found(block, node, fp):
+        links = block_links(block, fp, distances)
+        i, j, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*links.pairs) if links.pairs else ([], [], [])))
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(d.astype(np.int32))], ["hi", "lo", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, fp = np.empty((0, 2), np.int64), np.empty(0, np.uint64)
+        held = np.empty((0, 2 + words), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.stack([b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_numpy()], axis=1)
-            block, fp = np.concatenate([block, key]), np.concatenate([fp, b.column(2).to_numpy().view(np.uint64)])
-            change = np.flatnonzero(np.any(block[1:] != block[:-1], axis=1))
-            if len(fp) > 200_000 and len(change):
+            held = np.concatenate([held, np.stack([c.to_numpy() for c in b.columns], axis=1)])
+            change = np.flatnonzero(held[1:, 0] != held[:-1, 0])
+            if len(held) > 200_000 // words and len(change):
                 cut = change[-1] + 1
-                yield links(block[:cut], fp[:cut])
-                block, fp = block[cut:], fp[cut:]
-        if len(fp):
-            yield links(block, fp)
+                yield found(held[:cut, 0], held[:cut, 1], held[:cut, 2:].view(np.uint64))
+                held = held[cut:]
+        if len(held):
+            yield found(held[:, 0], held[:, 1], np.ascontiguousarray(held[:, 2:]).view(np.uint64))
 
     return run
 
 
-def linked(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """hi, lo: a spanning forest, in each block, of the links between distinct fingerprints (column fp)."""
-    masks = block_masks(fps.count(), distance, block_rows)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)]))
-    rows = fps.select("fp", keys.alias("b")).select("b.t", "b.k", "fp", gray_rank(F.col("fp")).alias("rank"))
-    rows = rows.repartition("t", "k").sortWithinPartitions("t", "k", "rank").select("t", "k", "fp")
-    return rows.mapInArrow(_forest(distance), "hi long, lo long")
+def forest(nodes: DataFrame, words: list[str], keys: list, distances: list[int], most: int = BLOCK_MOST) -> DataFrame:
+    """hi, lo, d: a spanning forest, in each block, of the links between the nodes of different fingerprints.
+
+    nodes: node (long) and the words of its fingerprint. keys: a column for each table; nodes of equal keys are a block.
+    """
+    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), k.alias("k")) for t, k in enumerate(keys)])).alias("b")
+    rows = nodes.select("node", *words, table).select(F.xxhash64("b.t", "b.k").alias("block"), "node", *words)
+    share = 16
+    seen = rows.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(share)) == 0).groupBy("block").agg(F.count("*").alias("n"))
+    large = stored(seen.where(F.col("n") * share > most).select(F.col("block").alias("large"), F.ceil(F.col("n") * share * 2 / most).alias("parts")), "large_blocks")
+    size = large.count()
+    if size:
+        large = F.broadcast(large) if size <= BROADCAST_ROWS else large
+        own = F.pmod(F.xxhash64("node", F.lit(2)), F.coalesce("parts", F.lit(1)))
+        rows = rows.join(large, rows["block"] == large["large"], "left").select("block", "node", *words, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
+        rows = rows.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", *words)
+    rows = rows.repartition("block").sortWithinPartitions("block", gray_rank(F.col(words[0])), "node")
+    return rows.mapInArrow(_forest(len(words), distances), "hi long, lo long, d int")
+
+
+def linked(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS, most: int = BLOCK_MOST) -> DataFrame:
+    """hi, lo: links that connect the distinct fingerprints (column fp) as all links within distance do."""
+    keys = [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in block_masks(fps.count(), distance, block_rows)]
+    return forest(fps.select(F.col("fp").alias("node"), "fp"), ["fp"], keys, [distance], most).select("hi", "lo")
 
 
 def _grouped(fps: DataFrame, distance: int, block_rows: int) -> DataFrame:
@@ -219,24 +286,94 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with one row of each component, all columns as they were: one of the smallest doc_id (null only if all are).
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two sets, as large as each other, of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def band_keys(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> list:
+    """A key for each table: width bits of the fingerprint, more for more rows; so many tables that a pair meets with probability recall."""
+    width = min(32, max(8, math.ceil(math.log2(max(2, rows))) - 6))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(similarity)) ** width))
+    words = [F.col(w) for w in WORDS]
+    views = [words]
+    for mask in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF):  # bands of other choices of bits
+        other = F.lit(_signed(mask ^ (1 << 64) - 1))
+        views += [[a.bitwiseAND(F.lit(mask)).bitwiseOR(b.bitwiseAND(other)) for a, b in zip(words, words[r:] + words[:r])] for r in range(1, len(words))]
+    keys = [F.shiftrightunsigned(w, at * width).bitwiseAND(F.lit((1 << width) - 1)) for view in views for w in view for at in range(64 // width)]
+    if tables > len(keys):
+        raise ValueError(f"{tables} tables are needed, {len(keys)} can be made")
+    return keys[:tables]
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """The rows of pairs (x, y, hi, lo) whose texts share at least `similarity` of their distinct shingles. nodes: node, sample (a text's digest)."""
+    ends = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().join(nodes.select("node", "sample"), "node")
+    ends = stored(ends, "ends")
+    texts = docs.select(text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    wanted = ends.select(F.col("sample").alias("digest")).distinct()
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "digest", "left_semi").dropDuplicates(["digest"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), shingle, seed)).tobytes() for t in b.column(1)], pa.binary())], ["sample", "set"])
+
+    known = stored(ends.join(texts.mapInArrow(sets, "sample binary, set binary"), "sample").select("node", "set"), "sets")
+    both = pairs.join(known.select(F.col("node").alias("hi"), F.col("set").alias("a")), "hi").join(known.select(F.col("node").alias("lo"), F.col("set").alias("b")), "lo")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(shared >= similarity * (len(a) + len(b) - shared))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["hi", "lo"])
+
+    return both.select(F.col("x").alias("hi"), F.col("y").alias("lo"), "a", "b").mapInArrow(check, "hi long, lo long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED, most: int = BLOCK_MOST) -> DataFrame:
+    """doc_id, digest (of the text), root, component_id of every row: components of texts whose distinct shingles have at least this Jaccard similarity."""
+    fps = stored(wide_fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    nodes = stored(fps.groupBy(*WORDS).agg(F.min("doc_id").alias("first_id"), F.min("digest").alias("sample")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    share = differing_share(similarity)
+    farthest = math.ceil(WIDE_BITS * share + 2 * math.sqrt(WIDE_BITS * share * (1 - share)))
+    steps = sorted({round(x) for x in np.linspace(min(SURE_BITS, farthest), farthest, 5)})
+    found = forest(nodes.select("node", *WORDS), WORDS, band_keys(nodes.count(), similarity), steps, most)
+    found = stored(found.groupBy(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).agg(F.min("d").alias("d")), "links")
+    sure = stored(connected_components(found.where(F.col("d") <= SURE_BITS).select("hi", "lo")), "sure")
+    root = lambda end: sure.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    rest = found.where(F.col("d") > SURE_BITS).join(root("hi"), "hi", "left").join(root("lo"), "lo", "left")
+    rest = rest.select("hi", "lo", "d", F.coalesce("hi_root", "hi").alias("a"), F.coalesce("lo_root", "lo").alias("b")).where("a != b")
+    # of the links between two components the nearest is checked
+    rest = rest.groupBy(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).agg(F.min_by(F.struct("hi", "lo"), F.struct("d", "hi", "lo")).alias("l"))
+    rest = stored(rest.select("x", "y", "l.hi", "l.lo"), "doubtful")
+    checked = _similar(rest, nodes, docs, text_col, shingle, similarity, seed)
+    upper = connected_components(checked).select(F.col("node").alias("mid"), F.col("root").alias("top"))
+    rooted = nodes.join(sure, "node", "left").withColumn("mid", F.coalesce("root", "node")).drop("root").join(upper, "mid", "left")
+    rooted = stored(rooted.select(*WORDS, "first_id", F.coalesce("top", "mid").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return fps.join(rooted.drop("first_id").join(first, "root"), WORDS).select("doc_id", "digest", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED, most: int = BLOCK_MOST) -> DataFrame:
+    """docs with one row of each component of near_copies(), all columns as they were: one of the smallest doc_id (null only if all are).
 
     Rows are told apart by (doc_id, text), so other rows with the same or no doc_id are judged by their own components.
     Where several rows of a component carry the doc_id that stays, the text of the smallest digest does.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, shingle, seed, digest=True), "fingerprints")
-    groups = stored(_grouped(fps, distance, block_rows), "components")
+    on = free_names(docs.columns, "own_id", "own_digest")
+    groups = stored(near_copies(docs, id_col, text_col, shingle, similarity, seed, most), "components")
     mine = F.col("doc_id").eqNullSafe(F.col("component_id"))
     several = groups.where(mine).groupBy("root", "component_id", "digest").agg(F.count("*").alias("n"))
     several = several.groupBy("root", "component_id").agg(F.sum("n").alias("rows"), F.min(F.struct("digest", "n")).alias("stays")).where("rows > 1")
-    several = stored(several.select(F.col("root").alias("__root"), F.col("component_id").alias("__id"), F.col("stays.digest").alias("__digest"), F.col("stays.n").alias("n")), "several")
-    keys = [F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")]
+    several = stored(several.select(F.col("root").alias("own_root"), F.col("component_id").alias(on[0]), F.col("stays.digest").alias(on[1]), F.col("stays.n").alias("n")), "several")
+    keys = [F.col("doc_id").alias(on[0]), F.col("digest").alias(on[1])]
     lost = groups.where(~mine).select(*keys)
-    lost = lost.unionByName(groups.where(mine).join(several.select("__root", F.col("__digest").alias("stays")), F.col("root") == F.col("__root")).where("digest != stays").select(*keys))
-    again = several.where("n > 1").select("__id", "__digest")
-    on = ["__id", "__digest"]
-    left = without(docs.select("*", F.col(id_col).cast("long").alias("__id"), text_digest(text_col).alias("__digest")), lost, on)
+    lost = lost.unionByName(groups.where(mine).join(several.select("own_root", F.col(on[1]).alias("stays")), F.col("root") == F.col("own_root")).where("digest != stays").select(*keys))
+    again = several.where("n > 1").select(*on)
+    left = without(docs.withColumns({on[0]: F.col(id_col).cast("long"), on[1]: text_digest(text_col)}), lost, on)
     if not again.isEmpty():
         left = without(left, again, on).unionByName(within(left, again, on).dropDuplicates(on))
-    return left.drop(*on)
+    return left.select(*quoted(docs.columns))

@@ -11,7 +11,8 @@ doc_id. The regression is fitted on one half of them with the lexicon of the oth
 their own half weigh little; the final lexicon comes from both.
 
 Defined cases: null text counts as empty; empty texts score as texts without hits; without any usable labels the
-score is 0; conflicting repeated labels count as toxic; null labels and null ids are ignored in learning; extra columns are ignored.
+score is 0; conflicting repeated labels count as toxic; null labels and null ids are ignored in learning; of rows that repeat a labelled id, the
+text of the smallest hash is learned from; extra columns are kept, but for those with the names that score() gives its own.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import fold, stored
+from flowsift.llm.common import fold, free_names, quoted, stored
 
 SAMPLE = 8192
 LEAST_EVIDENCE = 13.0
@@ -36,7 +37,7 @@ FUZZY_LIFT = 5.0
 STEMS = range(3, 8)
 WINDOW = 8
 THRESHOLD = 0.5
-CACHED_WORDS = 400_000
+CACHED_WORDS, STATES = 400_000, 200_000
 #: Verbs and nouns that announce a quotation, in four languages.
 REPORTING = frozenset("said says say saying called calls wrote writes quoted quote quotes quoting reported reports word words term slur insult dit disait écrit cité citation mot sagte sagt schrieb zitat zitiert wort dijo dice escribió cita palabra".split())
 OPENERS, MARKS = frozenset("\"“„«‚‘"), frozenset("\"“”„«»‚‘’")
@@ -71,6 +72,10 @@ class Automaton:
         for node in range(len(self.child) - 1, -1, -1):
             own = self.word[node]
             self.most[node] = max([own[0] if own else 0, *(self.most[x] for x in self.child[node].values())])
+        self._restart()
+
+    def _restart(self) -> None:
+        """Forgets all states that words have walked to."""
         self.states: list[dict[int, int]] = []
         self.number: dict[frozenset, int] = {}
         self.next: list[dict[str, int]] = []
@@ -105,6 +110,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, float] | None:
         """(0 exact, 1 misspelled, 2 stem; weight) of the best term, or None."""
+        if len(self.states) > STATES:
+            self._restart()
         state, best = self.begin, 0.0
         for at, c in enumerate(word):
             to = self.next[state].get(c)
@@ -215,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = [known.where(F.col("y") == y).orderBy("r", "doc_id").limit(sample) for y in (0, 1)]
     drawn = drawn[0].unionAll(drawn[1]).select(F.col("doc_id").alias("l"), "y", F.pmod("r", F.lit(2)).cast("int").alias("half"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = stored(texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("l")).select("doc_id", "text", "y", "half"), "labelled")
+    texts = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("l"))
+    texts = stored(texts.groupBy("doc_id", "y", "half").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "labelled")
     sizes = {(r["half"], r["y"]): r["n"] for r in texts.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,11 +271,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return ToxicityModel(both, beta[:-1].tolist(), float(beta[-1]), centre.tolist(), scale.tolist())
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted added; columns of these names are replaced."""
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """docs with score_col and predicted_col added; columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    rows = docs.select(*names, F.col(text_col).alias("__text"))
+    names = [c for c in docs.columns if c.lower() not in (score_col.lower(), predicted_col.lower())]
+    own = free_names([*names, score_col, predicted_col], "own_text")[0]
+    rows = docs.select(*quoted(names), F.col(text_col).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -275,8 +284,13 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         for b in batches:
             x = (np.array([scan.features(t.as_py()) for t in b.column(len(names))]).reshape(-1, len(w)) - m.centre) / m.scale
             p = 1 / (1 + np.exp(-np.clip(x @ w + m.bias, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, score_col, predicted_col])
+
+    kept = rows.drop(own).schema
+    return rows.mapInArrow(run, kept.add(score_col, "double").add(predicted_col, "integer"))
+
 
-    types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{n}` {types[n]}" for n in names), "score double, predicted int"])
-    return rows.mapInArrow(run, schema)
+def keep_clean(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the toxic ones, all columns as they were."""
+    verdict = free_names(docs.columns, "toxicity_score", "toxicity_verdict")
+    return score(docs, model, id_col, text_col, threshold, *verdict).where(F.col(verdict[1]) == 0).select(*quoted(docs.columns))

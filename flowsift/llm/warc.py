@@ -6,7 +6,7 @@ version, lengths, the record's end and the payload digest; anything else raises
 smallest page_id is a response and the others are revisit records that refer to it.
 
 Tasks write to the shared folder under names of their own attempt; only the archives in the committed list are read, so that a repeated
-task leaves no double records. The dictionary is trained on at most SAMPLE pages.
+task leaves no double records. The dictionary is trained on the beginnings (SAMPLE_BYTES characters) of at most SAMPLE pages; no more goes to the driver.
 
 Defined cases: null html is an empty payload; a null page_id is larger than any other and cannot be referred to; rows that repeat page_id
 and payload are all responses if that page_id is the smallest; null or odd urls are percent-encoded; extra columns are ignored.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from flowsift.llm.common import BROADCAST_ROWS, new_path, stored
 
-SAMPLE, DICTIONARY_BYTES, SAMPLE_BYTES = 512, 64 << 10, 32 << 10
+SAMPLE, DICTIONARY_BYTES, SAMPLE_BYTES = 400, 64 << 10, 16 << 10
 ARCHIVE_BYTES = 16 << 20
 #: The skippable frame of a dictionary, the revisit profile, the name space of record ids.
 SKIPPABLE = 0x184D2A5D
@@ -125,20 +125,32 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def _samples(pages: DataFrame, id_col: str, html_col: str) -> list[bytes]:
+    """The pages of the smallest hashes: first their hashes alone are compared, then the chosen pages are read."""
+    draw = F.xxhash64(id_col, html_col)
+    drawn = pages.select(draw.alias("h")).orderBy("h").limit(SAMPLE).collect()
+    if not drawn:
+        return []
+    chosen = pages.where(draw <= drawn[-1]["h"]).select(draw.alias("h"), F.substring(html_col, 1, SAMPLE_BYTES).alias("html")).dropDuplicates(["h"])
+    return [r["html"].encode("utf-8", "replace") for r in chosen.collect()]
+
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Writes a record per page to archives below folder; returns the committed list (name, records)."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
-    firsts = rows.groupBy("sha1").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("sha1", "first")
-    firsts = stored(firsts, "firsts")
-    if firsts.count() <= BROADCAST_ROWS:
-        firsts = F.broadcast(firsts.withColumn("known", F.lit(True)))
-    else:
-        firsts = firsts.withColumn("known", F.lit(True))
-    rows = rows.join(firsts, "sha1", "left").select("page_id", "url", "payload", "first", (F.col("known").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
-    drawn = pages.where(F.length(html_col) > 0).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select(F.substring(html_col, 1, SAMPLE_BYTES)).collect()
-    words = spark.sparkContext.broadcast(train_dictionary([r[0].encode() for r in drawn]))
+    firsts = rows.groupBy("sha1").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    firsts = stored(firsts.withColumn("known", F.lit(True)), "firsts")
+    if firsts.count() <= broadcast_rows:
+        rows = rows.join(F.broadcast(firsts), "sha1", "left")
+    else:  # the largest groups are settled where their rows lie, so that no key of the shuffle is hot
+        hot = F.broadcast(stored(firsts.orderBy(F.desc("n"), "sha1").limit(max(1, broadcast_rows // 8)), "hot_firsts").drop("n"))
+        near = rows.join(hot, "sha1", "left")
+        far = near.where("known is null").drop("first", "known").join(firsts.drop("n"), "sha1", "left")
+        rows = near.where("known").unionByName(far)
+    rows = rows.select("page_id", "url", "payload", "first", (F.col("known").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    words = spark.sparkContext.broadcast(train_dictionary(_samples(pages.where(F.length(html_col) > 0), id_col, html_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
