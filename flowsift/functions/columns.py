@@ -8,8 +8,149 @@ from pyspark.sql import functions as F
 TCP, UDP = 6, 17
 #: TCP flag bits.
 FIN, SYN, RST, PSH, ACK, URG = 1, 2, 4, 8, 16, 32
-#: IP protocol numbers by name.
-PROTOCOLS = {"icmp": 1, "igmp": 2, "tcp": 6, "egp": 8, "udp": 17, "ipv6": 41, "rsvp": 46, "gre": 47, "esp": 50, "ah": 51, "ospf": 89, "pim": 103, "sctp": 132}
+#: Assigned IP protocol numbers by name, and other names that labelled flows use for them.
+PROTOCOLS = {name: int(number) for number, *names in (line.split() for line in """
+0 hopopt ip
+1 icmp
+2 igmp
+3 ggp
+4 ipv4 ipencap ipip
+5 st st2
+6 tcp
+7 cbt
+8 egp
+9 igp
+10 bbn-rcc
+11 nvp
+12 pup
+13 argus
+14 emcon
+15 xnet
+16 chaos
+17 udp
+18 mux
+19 dcn
+20 hmp
+21 prm
+22 xns-idp
+23 trunk-1
+24 trunk-2
+25 leaf-1
+26 leaf-2
+27 rdp
+28 irtp
+29 iso-tp4
+30 netblt
+31 mfe-nsp
+32 merit-inp
+33 dccp
+34 3pc
+35 idpr
+36 xtp
+37 ddp
+38 idpr-cmtp
+39 tp++
+40 il
+41 ipv6
+42 sdrp
+43 ipv6-route
+44 ipv6-frag
+45 idrp
+46 rsvp
+47 gre
+48 dsr mhrp
+49 bna
+50 esp
+51 ah
+52 i-nlsp
+53 swipe
+54 narp
+55 mobile
+56 tlsp
+57 skip
+58 ipv6-icmp icmp6
+59 ipv6-no
+60 ipv6-opts
+61 any
+62 cftp
+64 sat-expak
+65 kryptolan
+66 rvd
+67 ippc
+69 sat-mon
+70 visa
+71 ipcv ipcomp
+72 cpnx
+73 cphb
+74 wsn
+75 pvp
+76 br-sat-mon
+77 sun-nd
+78 wb-mon
+79 wb-expak
+80 iso-ip
+81 vmtp
+82 secure-vmtp
+83 vines
+84 ttp iptm
+85 nsfnet-igp
+86 dgp
+87 tcf
+88 eigrp
+89 ospf ospfigp
+90 sprite-rpc
+91 larp
+92 mtp
+93 ax.25
+94 ipnip
+95 micp
+96 scc-sp aes-sp3-d
+97 etherip
+98 encap
+100 gmtp
+101 ifmp
+102 pnni
+103 pim
+104 aris
+105 scps
+106 qnx
+107 a/n
+108 ipcomp-108
+109 snp
+110 compaq-peer
+111 ipx-n-ip
+112 vrrp
+113 pgm
+115 l2tp
+116 ddx
+117 iatp
+118 stp
+119 srp
+120 uti
+121 smp
+122 sm
+123 ptp
+124 isis
+125 fire
+126 crtp
+127 crudp
+128 sccopmce sps
+129 iplt
+130 sps-130
+131 pipe
+132 sctp
+133 fc
+134 rsvp-e2e-ignore
+135 mobility-header
+136 udplite
+137 mpls-in-ip
+138 manet
+139 shim6
+140 wesp
+141 rohc
+144 unas
+255 reserved
+""".strip().splitlines()) for name in names}
 
 
 def safe_div(num: Column, den: Column) -> Column:
@@ -86,3 +227,19 @@ def traffic_type(label: Column) -> Column:
 
 def normal_info(info: Column) -> Column:
     return F.lower(F.trim(F.coalesce(info, F.lit(""))))
+
+
+def whole_seconds(seconds: Column, mode: str) -> Column:
+    """Seconds as they are (none), rounded up (ceil) or to the nearest whole, halves to the even one (round)."""
+    if mode not in ("none", "ceil", "round"):
+        raise ValueError(f"unknown mode {mode}")
+    return seconds if mode == "none" else (F.ceil(seconds) if mode == "ceil" else F.bround(seconds, 0)).cast("double")
+
+
+def percent_text(share: Column) -> Column:
+    """A share in percent with three places."""
+    return F.format_string("%3.3f%%", share * 100)
+
+
+def shortened(text: Column, most: int = 10) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(".."))).otherwise(text)

@@ -1,13 +1,15 @@
 """One-class engines: k nearest neighbours and local outlier factor, isolation forest, one-class SVM, autoencoder.
 
 LOF is computed over all rows by joins, and each isolation tree grows in a task from its own seeded draw of all rows. The one-class SVM and
-the autoencoder are fitted in the driver on a bounded sample (at most SAMPLE rows by default); every row is scored by tasks that hold the small model.
+the autoencoder are fitted by one task on a bounded sample (at most SAMPLE rows by default), of which only the fitted model goes to the
+driver; every row is scored by tasks that hold the small model. A model's state is a dictionary of parameters and one of arrays.
 """
 
 from __future__ import annotations
 
+import json
 import math
-import pickle
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,10 +21,51 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 
 
+def sampled(rows: DataFrame, features: str, ident: str, sample: int = SAMPLE) -> DataFrame:
+    """draw, id (text) and x of the rows with the smallest hash of ident, at most sample: a share of hashes that holds somewhat more is cut to size."""
+    n = rows.count()
+    share = min(1.0, (1.2 * sample + 100) / max(1, n))
+    draw = F.xxhash64(ident)
+    return rows.where(draw <= F.lit(int(-(2**63) + share * (2**64 - 2049)))).orderBy(draw, ident).limit(sample).select(draw.alias("draw"), F.col(ident).cast("string").alias("id"), F.col(features).cast("array<double>").alias("x"))
+
+
 def sample_matrix(rows: DataFrame, features: str, ident: str, sample: int = SAMPLE) -> np.ndarray:
     """At most sample rows, those with the smallest hash of ident."""
-    got = rows.orderBy(F.xxhash64(ident), ident).limit(sample).select(features).collect()
-    return np.array([r[0] for r in got], float)
+    return np.array([r["x"] for r in sampled(rows, features, ident, sample).collect()], float)
+
+
+_STATE = "params string, name string, shape array<int>, data binary"
+
+
+def state_rows(model) -> list[tuple]:
+    """A model's class and parameters, and its arrays as rows of _STATE."""
+    params, arrays = model.state()
+    kinds = [("", [], b"", "")] + [(n, list(v.shape), np.ascontiguousarray(v).tobytes(), v.dtype.str) for n, v in arrays.items()]
+    return [(json.dumps({"class": type(model).__name__, "dtype": kind, "params": params if not name else {}}), name, shape, data) for name, shape, data, kind in kinds]
+
+
+def model_of(rows: list) -> object:
+    """The model of state_rows()."""
+    arrays, head = {}, {}
+    for r in rows:
+        meta = json.loads(r["params"])
+        if r["name"]:
+            arrays[r["name"]] = np.frombuffer(bytes(r["data"]), meta["dtype"]).reshape(r["shape"]).copy()
+        else:
+            head = meta
+    return MODELS[head["class"]].restored(head["params"], arrays)
+
+
+def fit_in_task(rows: DataFrame, features: str, ident: str, make: Callable[[np.ndarray], object], sample: int = SAMPLE):
+    """make() of the sampled matrix, in one task; None without rows."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("draw", "ascending"), ("id", "ascending")])
+        model = make(np.array(table.column("x").to_pylist(), float))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*state_rows(model)), (pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()))], ["params", "name", "shape", "data"])
+
+    found = sampled(rows, features, ident, sample).withColumn("all", F.lit(1)).groupBy("all").applyInArrow(fit, _STATE).collect()
+    return model_of(found) if found else None
 
 
 def score_rows(rows: DataFrame, ident: str, features: str, fn: Callable[[np.ndarray], np.ndarray], name: str = "score") -> DataFrame:
@@ -37,17 +80,83 @@ def score_rows(rows: DataFrame, ident: str, features: str, fn: Callable[[np.ndar
     return rows.select(ident, features).mapInArrow(run, f"`{ident}` {kind}, {name} double")
 
 
-def _near(x: np.ndarray, train: np.ndarray, k: int, p: float, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
+def _counts(x, y):
+    """Of rows taken as sets of their non-zero places: in both, in one or the other alone, in neither."""
+    a, b = x != 0, y != 0
+    return [np.sum(v, axis=2).astype(float) for v in (a & b, a & ~b, ~a & b, ~a & ~b)]
+
+
+def _over(num, den):
+    return np.divide(num, den, out=np.zeros(np.broadcast_shapes(num.shape, den.shape)), where=den != 0)
+
+
+#: Distances of every row of x from every row of y (both as rows x 1 x columns and 1 x rows x columns), by name.
+_DISTANCES: dict[str, Callable] = {
+    "manhattan": lambda x, y: np.abs(x - y).sum(2),
+    "chebyshev": lambda x, y: np.abs(x - y).max(2),
+    "sqeuclidean": lambda x, y: ((x - y) ** 2).sum(2),
+    "canberra": lambda x, y: _over(np.abs(x - y), np.abs(x) + np.abs(y)).sum(2),
+    "braycurtis": lambda x, y: _over(np.abs(x - y).sum(2), np.abs(x + y).sum(2)),
+    "cosine": lambda x, y: 1 - _over((x * y).sum(2), np.sqrt((x**2).sum(2) * (y**2).sum(2))),
+    "hamming": lambda x, y: (x != y).mean(2),
+    "jaccard": lambda x, y: _over((c := _counts(x, y))[1] + c[2], c[0] + c[1] + c[2]),
+    "dice": lambda x, y: _over((c := _counts(x, y))[1] + c[2], 2 * c[0] + c[1] + c[2]),
+    "kulsinski": lambda x, y: ((c := _counts(x, y))[1] + c[2] - c[0] + x.shape[2]) / (c[1] + c[2] + x.shape[2]),
+    "rogerstanimoto": lambda x, y: 2 * ((c := _counts(x, y))[1] + c[2]) / (x.shape[2] + c[1] + c[2]),
+    "sokalmichener": lambda x, y: 2 * ((c := _counts(x, y))[1] + c[2]) / (x.shape[2] + c[1] + c[2]),
+    "russellrao": lambda x, y: (x.shape[2] - _counts(x, y)[0]) / x.shape[2],
+    "sokalsneath": lambda x, y: _over(2 * ((c := _counts(x, y))[1] + c[2]), c[0] + 2 * (c[1] + c[2])),
+    "yule": lambda x, y: _over(2 * (c := _counts(x, y))[1] * c[2], c[0] * c[3] + c[1] * c[2]),
+}
+_DISTANCES |= {"cityblock": _DISTANCES["manhattan"], "l1": _DISTANCES["manhattan"]}
+#: Those that are Euclidean distances once the columns are prepared, and those that need the training rows for it.
+_EUCLIDEAN, _FITTED = ("minkowski", "euclidean", "l2", "correlation"), ("mahalanobis", "seuclidean")
+METRICS = (*_EUCLIDEAN, *_FITTED, *_DISTANCES)
+
+
+def metric_space(train: np.ndarray, metric: str) -> np.ndarray | None:
+    """The matrix that makes a fitted metric Euclidean: for mahalanobis from the covariance, for seuclidean from the variances; else None."""
+    if metric == "mahalanobis":
+        values, vectors = np.linalg.eigh(np.atleast_2d(np.cov(train.T)))
+        return vectors * np.sqrt(_over(np.ones_like(values), np.where(values > 1e-12, values, 0)))
+    if metric == "seuclidean":
+        return np.diag(_over(np.ones(train.shape[1]), train.std(axis=0, ddof=1)))
+    return None
+
+
+def distance_block(x: np.ndarray, y: np.ndarray, metric: str = "minkowski", p: float = 2, space: np.ndarray | None = None) -> np.ndarray:
+    """Distances of all rows of x and y."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    if metric == "correlation":
+        return _DISTANCES["cosine"]((x - x.mean(1, keepdims=True))[:, None], (y - y.mean(1, keepdims=True))[None])
+    if space is not None:
+        x, y = x @ space, y @ space
+    if metric in _FITTED or metric in _EUCLIDEAN and (metric != "minkowski" or p == 2):
+        return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
+    if metric == "minkowski":
+        return (np.abs(x[:, None] - y[None]) ** p).sum(2) ** (1 / p)
+    return _DISTANCES[metric](x[:, None], y[None])
+
+
+def _near(x: np.ndarray, train: np.ndarray, k: int, p: float, skip_self: bool, metric: str = "minkowski", space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distances and places of the k nearest training rows, in blocks."""
     out_d, out_i = [], []
-    for a in range(0, len(x), 256):
-        part = x[a : a + 256]
-        d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (train**2).sum(1) - 2 * part @ train.T, 0)) if p == 2 else (np.abs(part[:, None] - train[None]) ** p).sum(2) ** (1 / p)
+    rows = 256 if metric in _EUCLIDEAN[:3] and p == 2 else max(1, 8_000_000 // max(1, train.size))
+    for a in range(0, len(x), rows):
+        part = x[a : a + rows]
+        d = distance_block(part, train, metric, p, space)
         if skip_self:
             d[np.arange(len(part)), a + np.arange(len(part))] = np.inf
         at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near = np.take_along_axis(d, at, 1)
+        if metric in _EUCLIDEAN[:3] and (metric != "minkowski" or p == 2):  # once more without the loss of digits of the product form
+            exact = np.sqrt(((part[:, None] - train[at]) ** 2).sum(2))
+            near = np.where(np.isinf(near), near, exact)
+            order = np.lexsort((at, near), axis=1)
+            at, near = np.take_along_axis(at, order, 1), np.take_along_axis(near, order, 1)
         out_i.append(at)
-        out_d.append(np.take_along_axis(d, at, 1))
+        out_d.append(near)
     return np.concatenate(out_d), np.concatenate(out_i)
 
 
@@ -60,43 +169,42 @@ class LocalOutlierFactor:
     density: np.ndarray
     k: int
     p: float
+    metric: str = "minkowski"
+    space: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, train: np.ndarray, k: int = 20, p: float = 2) -> LocalOutlierFactor:
-        k = min(k, len(train) - 1)
-        d, i = _near(train, train, k, p, True)
+    def fit(cls, train: np.ndarray, k: int = 20, p: float = 2, metric: str = "minkowski") -> LocalOutlierFactor:
+        k, space = min(k, len(train) - 1), metric_space(train, metric)
+        d, i = _near(train, train, k, p, True, metric, space)
         reach = d[:, -1]
         density = 1 / (np.maximum(d, reach[i]).mean(1) + 1e-10)
-        return cls(train, reach, density, k, p)
+        return cls(train, reach, density, k, p, metric, space)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        d, i = _near(x, self.train, self.k, self.p, False)
+        d, i = _near(x, self.train, self.k, self.p, False, self.metric, self.space)
         own = 1 / (np.maximum(d, self.reach[i]).mean(1) + 1e-10)
         return self.density[i].mean(1) / own
 
+    def state(self) -> tuple[dict, dict]:
+        space = {} if self.space is None else {"space": self.space}
+        return {"k": self.k, "p": self.p, "metric": self.metric}, {"train": self.train, "reach": self.reach, "density": self.density} | space
 
-def knn(queries: DataFrame, points: DataFrame, k: int, ident: str = "vec_id", features: str = "embedding", block: int = 2048) -> DataFrame:
-    """query_id, point_id, rank, distance of the k nearest points (itself left out), ties to the smaller id.
+    @classmethod
+    def restored(cls, params: dict, arrays: dict) -> LocalOutlierFactor:
+        return cls(**arrays, **params)
 
-    Points go to the queries in blocks; each task keeps the best k of its block, and the blocks' best are merged.
-    """
-    pts = points.select(F.col(ident).alias("point_id"), F.col(features).cast("array<double>").alias("v"), F.pmod(F.xxhash64(ident), F.lit(max(1, points.count() // block))).alias("b"))
-    pts = pts.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("point_id", "v"))).alias("block"))
-    pairs = queries.select(F.col(ident).alias("query_id"), F.col(features).cast("array<double>").alias("q")).join(F.broadcast(pts.select("b")))
-    pairs = pairs.join(pts, "b").select("query_id", "q", "block")
-    near = F.transform("block", lambda p: F.struct(F.sqrt(F.aggregate(F.zip_with(p["v"], F.col("q"), lambda a, c: (a - c) * (a - c)), F.lit(0.0), lambda s, x: s + x)).alias("distance"), p["point_id"].alias("point_id")))
-    best = F.slice(F.array_sort(F.filter(near, lambda n: n["point_id"] != F.col("query_id"))), 1, k)
-    rows = pairs.select("query_id", best.alias("best")).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return rows.select("query_id", F.posexplode("best").alias("rank", "n")).select("query_id", "n.point_id", (F.col("rank") + 1).alias("rank"), "n.distance")
 
+def knn(queries: DataFrame, points: DataFrame, k: int, ident: str = "vec_id", features: str = "embedding", p: float = 2, block: int = 8192) -> DataFrame:
+    """query_id, point_id, rank, distance of the k nearest points (itself left out) of each query, ties to the smaller id. ident is unique.
 
-def neighbours(rows: DataFrame, ident: str, features: str, k: int, p: float = 2, block: int = 8192) -> DataFrame:
-    """query_id, point_id, rank, distance of the k nearest other rows of every row, ties to the smaller id; by pairs of blocks of rows. ident is unique."""
-    kind, blocks = dict(rows.dtypes)[ident], max(1, -(-rows.count() // block))
-    rows = rows.select(F.col(ident).alias("id"), F.col(features).cast("array<double>").alias("v"), F.pmod(F.xxhash64(ident), F.lit(blocks)).alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    queries = rows.select(F.col("own").cast("int").alias("q"), every, "id", "v").select("q", F.col("other").alias("p"), "id", "v")
-    points = rows.select(every, F.col("own").cast("int").alias("p"), "id", "v").select(F.col("other").alias("q"), "p", "id", "v")
+    Queries and points are dealt to blocks by a hash; each pair of blocks is one task, which keeps the best of its points.
+    """
+    kind = dict(points.dtypes)[ident]
+    dealt = lambda rows, n, name: rows.select(F.col(ident).alias("id"), F.col(features).cast("array<double>").alias("v"), F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias(name))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine, theirs = (max(1, -(-r.count() // block)) for r in (queries, points))
+    left = dealt(queries, mine, "q").withColumn("p", every(theirs))
+    right = dealt(points, theirs, "p").withColumn("q", every(mine))
 
     def near(left, right):
         names = ["query_id", "point_id", "distance"]
@@ -107,11 +215,16 @@ def neighbours(rows: DataFrame, ident: str, features: str, k: int, p: float = 2,
         d, i = _near(x, train, k + 1, p, False)
         return pa.table([left.column("id").take(pa.array(np.repeat(np.arange(len(x)), i.shape[1]))), right.column("id").take(pa.array(i.ravel())), pa.array(d.ravel())], names)
 
-    best = queries.groupBy("q", "p").cogroup(points.groupBy("q", "p")).applyInArrow(near, f"query_id {kind}, point_id {kind}, distance double").where("query_id != point_id")
+    best = left.groupBy("q", "p").cogroup(right.groupBy("q", "p")).applyInArrow(near, f"query_id {kind}, point_id {kind}, distance double").where("query_id != point_id")
     best = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "point_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("rank", "n")).select("query_id", "n.point_id", (F.col("rank") + 1).alias("rank"), "n.distance")
 
 
+def neighbours(rows: DataFrame, ident: str, features: str, k: int, p: float = 2, block: int = 8192) -> DataFrame:
+    """query_id, point_id, rank, distance of the k nearest other rows of every row."""
+    return knn(rows, rows, k, ident, features, p, block)
+
+
 def local_outlier_factor(rows: DataFrame, ident: str, features: str, k: int = 20, p: float = 2) -> DataFrame:
     """ident, score: the factor of every row against all rows, itself among them, as LocalOutlierFactor scores its own training rows.
 
@@ -145,78 +258,110 @@ def isolation_forest(rows: DataFrame, ident: str, features: str, trees: int = 10
     def grow(key, table):
         x = table.sort_by([("draw", "ascending"), ("ident", "ascending")]).slice(0, size).column("v").to_pylist()
         forest = IsolationForest(np.array(x, float), 1, size, max_features, seed * 1_000_003 + key[0].as_py())
-        return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(forest.trees[0])], pa.binary())})
+        return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "nodes": pa.array([forest.trees[0].tobytes()], pa.binary())})
 
-    grown = drawn.groupBy("tree").applyInArrow(grow, "tree int, model binary").orderBy("tree").collect()
-    forest = IsolationForest.__new__(IsolationForest)
-    forest.size, forest.trees = size, [pickle.loads(r["model"]) for r in grown]
-    return forest
+    grown = drawn.groupBy("tree").applyInArrow(grow, "tree int, nodes binary").orderBy("tree").collect()
+    return IsolationForest.restored({"size": size}, {str(r["tree"]): np.frombuffer(r["nodes"]).reshape(-1, 5) for r in grown})
 
 
 class IsolationForest:
-    """Seeded isolation trees; a score over 0.5 is an attack."""
+    """Seeded isolation trees; a score over 0.5 is an attack. A tree is a table of nodes: column (-1 in a leaf), cut, left, right, value."""
 
     def __init__(self, train: np.ndarray, trees: int = 100, max_samples: float | int = 256, max_features: float = 0.5, seed: int = 0, bootstrap: bool = False) -> None:
         rng = np.random.default_rng(seed)
         size = int(max_samples if max_samples > 1 else max(2, max_samples * len(train)))
         self.size = min(size, len(train))
         columns = max(1, int(max_features * train.shape[1]))
-        self.trees = []
+        self.trees: list[np.ndarray] = []
         for _ in range(trees):
             rows = rng.choice(len(train), self.size, replace=bootstrap)
-            self.trees.append(self._grow(train[rows], rng.choice(train.shape[1], columns, replace=False), rng, math.ceil(math.log2(max(2, self.size)))))
+            nodes: list[list[float]] = []
+            self._grow(train[rows], rng.choice(train.shape[1], columns, replace=False), rng, math.ceil(math.log2(max(2, self.size))), nodes)
+            self.trees.append(np.array(nodes, float))
 
-    def _grow(self, x, columns, rng, depth):
+    def _grow(self, x, columns, rng, depth, nodes: list) -> int:
+        own = len(nodes)
         wide = [c for c in columns if x[:, c].min() < x[:, c].max()] if len(x) > 1 and depth else []
         if not wide:
-            return self.average(len(x))
+            nodes.append([-1, 0, 0, 0, self.average(len(x))])
+            return own
         c = int(rng.choice(wide))
         cut = float(rng.uniform(x[:, c].min(), x[:, c].max()))
+        nodes.append([c, cut, 0, 0, 0])
         left = x[:, c] <= cut
-        return c, cut, self._grow(x[left], columns, rng, depth - 1), self._grow(x[~left], columns, rng, depth - 1)
+        nodes[own][2] = self._grow(x[left], columns, rng, depth - 1, nodes)
+        nodes[own][3] = self._grow(x[~left], columns, rng, depth - 1, nodes)
+        return own
 
     @staticmethod
     def average(n: int) -> float:
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    def _depth(self, node, x, rows, at, out) -> None:
-        if not isinstance(node, tuple):
-            out[rows] += at + node
-            return
-        left = x[rows, node[0]] <= node[1]
-        for side, child in ((left, node[2]), (~left, node[3])):
-            if side.any():
-                self._depth(child, x, rows[side], at + 1, out)
-
     def __call__(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        for t in self.trees:
-            self._depth(t, x, np.arange(len(x)), 0, total)
-        return 2 ** (-total / len(self.trees) / max(self.average(self.size), 1e-9))
+        for tree in self.trees:
+            at, depth, row = np.zeros(len(x), np.int64), 0, np.arange(len(x))
+            while len(row):
+                node = tree[at[row]]
+                leaf = node[:, 0] < 0
+                total[row[leaf]] += depth + node[leaf, 4]
+                row, node, depth = row[~leaf], node[~leaf], depth + 1
+                at[row] = np.where(x[row, node[:, 0].astype(np.int64)] <= node[:, 1], node[:, 2], node[:, 3]).astype(np.int64)
+        return 2 ** (-total / max(1, len(self.trees)) / max(self.average(self.size), 1e-9))
+
+    def state(self) -> tuple[dict, dict]:
+        return {"size": self.size}, {str(i): t for i, t in enumerate(self.trees)}
+
+    @classmethod
+    def restored(cls, params: dict, arrays: dict) -> IsolationForest:
+        out = cls.__new__(cls)
+        out.size, out.trees = params["size"], [arrays[k] for k in sorted(arrays, key=int)]
+        return out
 
 
 class OneClassSvm:
-    """The nu formulation by pairwise coordinate steps; a negative value is an attack."""
+    """The nu formulation by pairwise coordinate steps; a negative value is an attack.
 
-    def __init__(self, train: np.ndarray, nu: float = 0.001, gamma: float = 0.005, kernel: str = "rbf", tol: float = 1e-3, coef0: float = 0.0, degree: int = 3, max_iter: int = 20_000) -> None:
+    Kernel columns are computed when they are needed, and the last ones kept, up to cache_mb. Steps go on until the gap is below tol; if max_iter (-1: none) ends
+    them before, a warning is given and converged is false.
+    """
+
+    def __init__(self, train: np.ndarray, nu: float = 0.001, gamma: float = 0.005, kernel: str = "rbf", tol: float = 1e-3, coef0: float = 0.0, degree: int = 3, max_iter: int = -1, cache_mb: float = 500) -> None:
         self.kernel, self.gamma, self.coef0, self.degree = kernel, gamma, coef0, degree
         n = len(train)
-        k, bound = self._k(train, train), 1 / (nu * n)
+        bound = 1 / (nu * n)
         alpha = np.zeros(n)
         full = min(n, int(nu * n))
         alpha[:full] = bound
         if full < n:
             alpha[full] = 1 - full * bound
-        g = k @ alpha
-        for _ in range(max_iter):
+        held, most = {}, max(2, int(cache_mb * 1e6 / (8 * n)))
+
+        def column(i: int) -> np.ndarray:
+            if i not in held:
+                if len(held) >= most:
+                    del held[next(iter(held))]
+                held[i] = self._k(train, train[i : i + 1])[:, 0]
+            return held[i]
+
+        g = np.zeros(n)
+        for a in range(0, min(n, full + 1), 256):
+            g += self._k(train, train[a : min(a + 256, full + 1)]) @ alpha[a : min(a + 256, full + 1)]
+        self.converged, steps = False, 0
+        while max_iter < 0 or steps < max_iter:
             up, down = np.where(alpha < bound - 1e-12, g, np.inf), np.where(alpha > 1e-12, g, -np.inf)
             i, j = int(up.argmin()), int(down.argmax())
             if down[j] - up[i] < tol:
+                self.converged = True
                 break
-            step = min((g[j] - g[i]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), bound - alpha[i], alpha[j])
+            x, y = column(i), column(j)
+            step = min((g[j] - g[i]) / max(x[i] + y[j] - 2 * x[j], 1e-12), bound - alpha[i], alpha[j])
             alpha[i] += step
             alpha[j] -= step
-            g += step * (k[i] - k[j])
+            g += step * (x - y)
+            steps += 1
+        if not self.converged:
+            warnings.warn(f"stopped after {steps} steps above the tolerance of {tol}", stacklevel=2)
         free = (alpha > 1e-9) & (alpha < bound - 1e-9)
         self.rho = float(g[free].mean() if free.any() else (g[alpha > 1e-9].max() + g[alpha <= 1e-9].min()) / 2 if (alpha <= 1e-9).any() else g.max())
         self.support, self.alpha = train[alpha > 1e-9], alpha[alpha > 1e-9]
@@ -230,14 +375,38 @@ class OneClassSvm:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return self._k(x, self.support) @ self.alpha - self.rho
 
+    def state(self) -> tuple[dict, dict]:
+        return {k: getattr(self, k) for k in ("kernel", "gamma", "coef0", "degree", "rho", "converged")}, {"support": self.support, "alpha": self.alpha}
 
-_ACTIVATIONS = {
-    "relu": (lambda z: np.maximum(z, 0), lambda z, a: (z > 0) * 1.0),
-    "tanh": (np.tanh, lambda z, a: 1 - a**2),
-    "sigmoid": (lambda z: 1 / (1 + np.exp(-z)), lambda z, a: a * (1 - a)),
-    "linear": (lambda z: z, lambda z, a: np.ones_like(z)),
-    "elu": (lambda z: np.where(z > 0, z, np.exp(np.minimum(z, 0)) - 1), lambda z, a: np.where(z > 0, 1.0, a + 1)),
-    "softplus": (lambda z: np.logaddexp(0, z), lambda z, a: 1 / (1 + np.exp(-z))),
+    @classmethod
+    def restored(cls, params: dict, arrays: dict) -> OneClassSvm:
+        out = cls.__new__(cls)
+        out.__dict__.update(params | arrays)
+        return out
+
+
+def _by_slope(slope: Callable) -> Callable:
+    return lambda grad, z, a: grad * slope(z, a)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+#: Of each activation its value at z, and the gradient at z (value a) of one behind it.
+_ACTIVATIONS: dict[str, tuple[Callable, Callable]] = {
+    "relu": (lambda z: np.maximum(z, 0), _by_slope(lambda z, a: (z > 0) * 1.0)),
+    "tanh": (np.tanh, _by_slope(lambda z, a: 1 - a**2)),
+    "sigmoid": (lambda z: 1 / (1 + np.exp(-z)), _by_slope(lambda z, a: a * (1 - a))),
+    "hard_sigmoid": (lambda z: np.clip(0.2 * z + 0.5, 0, 1), _by_slope(lambda z, a: 0.2 * (np.abs(z) < 2.5))),
+    "linear": (lambda z: z, _by_slope(lambda z, a: 1.0)),
+    "exponential": (lambda z: np.exp(np.minimum(z, 50)), _by_slope(lambda z, a: a)),
+    "elu": (lambda z: np.where(z > 0, z, np.exp(np.minimum(z, 0)) - 1), _by_slope(lambda z, a: np.where(z > 0, 1.0, a + 1))),
+    "selu": (lambda z: 1.05070098 * np.where(z > 0, z, 1.67326324 * (np.exp(np.minimum(z, 0)) - 1)), _by_slope(lambda z, a: np.where(z > 0, 1.05070098, a + 1.05070098 * 1.67326324))),
+    "softplus": (lambda z: np.logaddexp(0, z), _by_slope(lambda z, a: 1 / (1 + np.exp(-z)))),
+    "softsign": (lambda z: z / (1 + np.abs(z)), _by_slope(lambda z, a: 1 / (1 + np.abs(z)) ** 2)),
+    "softmax": (_softmax, lambda grad, z, a: a * (grad - (grad * a).sum(axis=1, keepdims=True))),
 }
 
 
@@ -249,50 +418,146 @@ def layer_sizes(pattern: str, width: int) -> list[int]:
     return sizes[1:]
 
 
+class _Dense:
+    def __init__(self, rng, a: int, b: int, activation: str) -> None:
+        self.params = {"w": rng.normal(0, math.sqrt(2 / (a + b)), (a, b)), "b": np.zeros(b)}
+        self.act, self.back = _ACTIVATIONS[activation]
+
+    def forward(self, x, rng=None):
+        self.x, self.z = x, x @ self.params["w"] + self.params["b"]
+        self.a = self.act(self.z)
+        return self.a
+
+    def backward(self, grad):
+        grad = self.back(grad, self.z, self.a)
+        self.grads = {"w": self.x.T @ grad, "b": grad.sum(0)}
+        return grad @ self.params["w"].T
+
+
+class _BatchNorm:
+    """Batch statistics while training (a generator is given), their moving averages else."""
+
+    def __init__(self, width: int) -> None:
+        self.params = {"gamma": np.ones(width), "beta": np.zeros(width)}
+        self.moving = {"mean": np.zeros(width), "var": np.ones(width)}
+
+    def forward(self, x, rng=None):
+        if rng is None:
+            return (x - self.moving["mean"]) / np.sqrt(self.moving["var"] + 1e-3) * self.params["gamma"] + self.params["beta"]
+        mean, var = x.mean(0), x.var(0)
+        for k, v in (("mean", mean), ("var", var)):
+            self.moving[k] = 0.99 * self.moving[k] + 0.01 * v
+        self.scale = 1 / np.sqrt(var + 1e-3)
+        self.hat = (x - mean) * self.scale
+        return self.hat * self.params["gamma"] + self.params["beta"]
+
+    def backward(self, grad):
+        self.grads = {"gamma": (grad * self.hat).sum(0), "beta": grad.sum(0)}
+        grad = grad * self.params["gamma"]
+        return self.scale * (grad - grad.mean(0) - self.hat * (grad * self.hat).mean(0))
+
+
+class _Dropout:
+    params: dict = {}
+    grads: dict = {}
+
+    def __init__(self, ratio: float) -> None:
+        self.ratio = ratio
+
+    def forward(self, x, rng=None):
+        self.kept = 1.0 if rng is None else (rng.random(x.shape) >= self.ratio) / (1 - self.ratio)
+        return x * self.kept
+
+    def backward(self, grad):
+        return grad * self.kept
+
+
 class Autoencoder:
-    """Dense layers trained by Adam; the value is a row's reconstruction error."""
-
-    def __init__(self, train: np.ndarray, layers: str = "*0.7,*0.8,#1", activation: str = "relu", epochs: int = 50, batch: int = 256, loss: str = "mse", rate: float = 1e-3, seed: int = 0) -> None:
-        rng, d = np.random.default_rng(seed), train.shape[1]
-        sizes = [d, d, *layer_sizes(layers, d), d]
-        self.loss, (self.act, slope) = loss, _ACTIVATIONS[activation]
-        self.w = [rng.normal(0, math.sqrt(2 / (a + b)), (a, b)) for a, b in zip(sizes, sizes[1:])]
-        self.b = [np.zeros(s) for s in sizes[1:]]
-        params = [*self.w, *self.b]
-        m, v, t, self.history = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, []
+    """Dense layers trained by Adam; the value is a row's reconstruction error.
+
+    dropout: the share dropped behind the first layer and each hidden one, none if negative. batch_norm: after the activation of each hidden
+    layer. patience: epochs without a smaller training loss after which training ends with the best weights; none if negative.
+    """
+
+    def __init__(self, train: np.ndarray, layers: str = "*0.7,*0.8,#1", activation: str = "relu", epochs: int = 50, batch: int = 256, loss: str = "mse", rate: float = 1e-3, seed: int = 0, dropout: float = -1, batch_norm: bool = False, patience: int = -1) -> None:
+        d = train.shape[1]
+        self._build(d, [d, *layer_sizes(layers, d)], activation, loss, dropout, batch_norm, seed)
+        rng = np.random.default_rng(seed + 1)
+        moments, t, self.history = {}, 0, []
+        best, waited = (math.inf, None), 0
         for _ in range(epochs):
-            order = rng.permutation(len(train))
+            order, total = rng.permutation(len(train)), 0.0
             for a in range(0, len(train), batch):
                 x = train[order[a : a + batch]]
-                zs, outs = self._forward(x)
-                diff = outs[-1] - x
+                out = self._run(x, rng)
+                diff = out - x
+                total += float((diff**2 if loss == "mse" else np.abs(diff)).mean(1).sum())
                 grad = (2 * diff if loss == "mse" else np.sign(diff)) / diff.size
-                gw, gb = [], []
-                for layer in range(len(self.w) - 1, -1, -1):
-                    if layer < len(self.w) - 1:
-                        grad = grad * slope(zs[layer], outs[layer + 1])
-                    gw.insert(0, outs[layer].T @ grad)
-                    gb.insert(0, grad.sum(0))
-                    grad = grad @ self.w[layer].T
+                for layer in reversed(self.net):
+                    grad = layer.backward(grad)
                 t += 1
-                for i, g in enumerate([*gw, *gb]):
-                    m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-                    params[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-7)
-            self.history.append(float(self(train).mean()))
-
-    def _forward(self, x):
-        zs, outs = [], [x]
-        for i, (w, b) in enumerate(zip(self.w, self.b)):
-            zs.append(outs[-1] @ w + b)
-            outs.append(self.act(zs[-1]) if i < len(self.w) - 1 else zs[-1])
-        return zs, outs
+                for i, layer in enumerate(self.net):
+                    for k, g in layer.grads.items():
+                        m, v = moments.get((i, k), (0.0, 0.0))
+                        m, v = moments[i, k] = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                        layer.params[k] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
+            self.history.append(total / len(train))
+            if patience >= 0:
+                if self.history[-1] < best[0]:
+                    best, waited = (self.history[-1], self.state()[1]), 0
+                elif (waited := waited + 1) > patience:
+                    break
+        if best[1]:
+            self._load(best[1])
+
+    def _build(self, d: int, sizes: list[int], activation: str, loss: str, dropout: float, batch_norm: bool, seed: int = 0) -> None:
+        self.params = {"d": d, "sizes": sizes, "activation": activation, "loss": loss, "dropout": dropout, "batch_norm": batch_norm}
+        rng = np.random.default_rng(seed)
+        self.net: list = []
+        for i, (a, b) in enumerate(zip([d, *sizes], sizes)):
+            self.net.append(_Dense(rng, a, b, activation))
+            if i and batch_norm:
+                self.net.append(_BatchNorm(b))
+            if dropout >= 0:
+                self.net.append(_Dropout(dropout))
+        self.net.append(_Dense(rng, sizes[-1], d, "linear"))
+
+    def _run(self, x: np.ndarray, rng=None) -> np.ndarray:
+        for layer in self.net:
+            x = layer.forward(x, rng)
+        return x
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        diff = self._forward(x)[1][-1] - x
-        return (diff**2).mean(1) if self.loss == "mse" else np.abs(diff).mean(1)
+        diff = self._run(x) - x
+        return (diff**2).mean(1) if self.params["loss"] == "mse" else np.abs(diff).mean(1)
+
+    def state(self) -> tuple[dict, dict]:
+        return self.params, {f"{i}.{k}": v.copy() for i, layer in enumerate(self.net) for k, v in (layer.params | getattr(layer, "moving", {})).items()}
+
+    def _load(self, arrays: dict) -> None:
+        for name, v in arrays.items():
+            i, k = name.split(".")
+            layer = self.net[int(i)]
+            (layer.params if k in layer.params else layer.moving)[k] = v.copy()
+
+    @classmethod
+    def restored(cls, params: dict, arrays: dict) -> Autoencoder:
+        out = cls.__new__(cls)
+        out._build(**params)
+        out._load(arrays)
+        return out
 
     def __getstate__(self):
-        return {"loss": self.loss, "w": self.w, "b": self.b, "act": next(k for k, f in _ACTIVATIONS.items() if f[0] is self.act)}
+        return self.state()
 
     def __setstate__(self, state):
-        self.loss, self.w, self.b, self.act = state["loss"], state["w"], state["b"], _ACTIVATIONS[state["act"]][0]
+        self.__dict__.update(Autoencoder.restored(*state).__dict__)
+
+
+MODELS = {c.__name__: c for c in (LocalOutlierFactor, IsolationForest, OneClassSvm, Autoencoder)}
+
+
+def over_percentile(rows: DataFrame, value: str, share: float, name: str = "label") -> DataFrame:
+    """Adds name: whether value is over its exact percentile (linear between neighbours); 0 for null."""
+    limit = rows.agg(F.percentile(value, share)).first()[0]
+    return rows.withColumn(name, F.coalesce((F.col(value) > F.lit(limit)).cast("int"), F.lit(0)))

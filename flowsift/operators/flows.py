@@ -32,13 +32,14 @@ def sessionize(packets: DataFrame, keys: list[str], timeout_us: int, fin: Column
     return rows.withColumn("flow_first", F.min("pkt_idx").over(Window.partitionBy(*keys, "flow_seq"))).drop("__new")
 
 
-def flow_index(flows: DataFrame, order: str = "flow_first", width: int = 1 << 20) -> DataFrame:
-    """Adds flow_idx, the dense 0-based rank of unique `order`, over ranges of `width` instead of one sorted partition."""
+def flow_index(flows: DataFrame, order: str = "flow_first", width: int = 1 << 20, by: list[str] = ()) -> DataFrame:
+    """Adds flow_idx, the dense 0-based rank of unique `order` (in each group of `by`), over ranges of `width` instead of one sorted partition."""
     part = flows.withColumn("__b", F.floor(F.col(order) / width))
-    sizes = part.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1
-    return part.withColumn("__r", rank).join(before, "__b").withColumn("flow_idx", F.col("__r") + F.col("__before")).drop("__b", "__r", "__before")
+    sizes = part.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    rank = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(order)) - 1
+    return part.withColumn("__r", rank).join(before, [*by, "__b"]).withColumn("flow_idx", F.col("__r") + F.col("__before")).drop("__b", "__r", "__before")
 
 
 def or_missing(c: Column, missing: float = -1.0) -> Column:
@@ -111,23 +112,43 @@ def hindsight_counts(flows: DataFrame, keys: dict[str, list[str]], previous: int
     return flows
 
 
-def tcp_counters(rows: DataFrame, by: list[str], flags: str = "tcp_flags", window: str = "tcp_win", prefix: str = "fwd") -> DataFrame:
+def tcp_counts(own: Column, flags: str = "tcp_flags", window: str = "tcp_win", prefix: str = "fwd") -> list[Column]:
+    """Aggregates over the packets that `own` picks: mean window and counts of flags; -1 without such packets. Packets that are not TCP have null flags."""
     f = F.col(flags)
     syn, ack = flag_set(f, SYN), flag_set(f, ACK)
     named = {"urg": flag_set(f, URG), "syn": syn & ~ack, "syn_ack": syn & ack, "ack": ack & ~syn, "fin": flag_set(f, FIN), "push": flag_set(f, PSH), "rst": flag_set(f, RST)}
-    return rows.groupBy(*by).agg(or_missing(F.avg(window)).alias(f"tcp_{prefix}_win_mean"), *[F.count_if(c).alias(f"tcp_{prefix}_total_{n}") for n, c in named.items()])
+    some = F.count(F.when(own, f)) > 0
+    mean = or_missing(F.avg(F.when(own & f.isNotNull(), F.col(window)))).alias(f"tcp_{prefix}_win_mean")
+    return [mean, *[F.when(some, F.count_if(own & c)).otherwise(-1).alias(f"tcp_{prefix}_total_{n}") for n, c in named.items()]]
 
 
-def handshake(rows: DataFrame, by: list[str], syn: Column, synack: Column, ack: Column) -> DataFrame:
-    """Times from the first SYN to the first later SYN-ACK to the first later ACK; all -1 unless all three exist."""
+def tcp_counters(rows: DataFrame, by: list[str], flags: str = "tcp_flags", window: str = "tcp_win", prefix: str = "fwd", own: Column | None = None) -> DataFrame:
+    """Mean window and counts of flags of the packets of one direction; -1 where a flow has none that are TCP."""
+    return rows.groupBy(*by).agg(*tcp_counts(own if own is not None else F.lit(True), flags, window, prefix))
+
+
+def with_handshake(rows: DataFrame, by: list[str], syn: Column, synack: Column, ack: Column, source: str | None = None, target: str | None = None) -> DataFrame:
+    """Adds to each packet the times __syn, __synack, __ack of its group: the first SYN, the first later SYN-ACK that goes to the SYN's source, and the
+    first later ACK that comes from it. Without source and target (columns), all packets qualify."""
     group = Window.partitionBy(*by)
-    rows = rows.withColumn("__a", F.min(F.when(syn, F.col("pkt_idx"))).over(group))
-    rows = rows.withColumn("__b", F.min(F.when(synack & (F.col("pkt_idx") > F.col("__a")), F.col("pkt_idx"))).over(group))
-    rows = rows.withColumn("__c", F.min(F.when(ack & (F.col("pkt_idx") > F.col("__b")), F.col("pkt_idx"))).over(group))
-    at = lambda c: F.max(F.when(F.col("pkt_idx") == F.col(c), F.col("ts_us")))
-    times = rows.groupBy(*by).agg(at("__a").alias("a"), at("__b").alias("b"), at("__c").alias("c"))
-    gap = lambda x, y: or_missing(F.when(F.col("c").isNotNull(), (F.col(y) - F.col(x)) / 1e6))
-    return times.select(*by, gap("a", "b").alias("tcp_syn_synack"), gap("b", "c").alias("tcp_synack_ack"), gap("a", "c").alias("tcp_rtt"))
+    place = F.struct("pkt_idx", "ts_us", (F.col(source) if source else F.lit(0)).alias("from"))
+    first = lambda c: F.min(F.when(c, place)).over(group)
+    after = lambda c: F.col("pkt_idx") > F.col(f"{c}.pkt_idx")
+    same = lambda c: F.col(c) == F.col("__syn.from") if c else F.lit(True)
+    rows = rows.withColumn("__syn", first(syn))
+    rows = rows.withColumn("__synack", first(synack & after("__syn") & same(target)))
+    return rows.withColumn("__ack", first(ack & after("__synack") & same(source)))
+
+
+def handshake_gaps() -> list[Column]:
+    """Aggregates over with_handshake(): all -1 unless all three packets exist."""
+    at = lambda c: F.max(f"__{c}.ts_us")
+    gap = lambda x, y: or_missing(F.when(at("ack").isNotNull(), (at(y) - at(x)) / 1e6))
+    return [gap("syn", "synack").alias("tcp_syn_synack"), gap("synack", "ack").alias("tcp_synack_ack"), gap("syn", "ack").alias("tcp_rtt")]
+
+
+def handshake(rows: DataFrame, by: list[str], syn: Column, synack: Column, ack: Column, source: str | None = None, target: str | None = None) -> DataFrame:
+    return with_handshake(rows, by, syn, synack, ack, source, target).groupBy(*by).agg(*handshake_gaps())
 
 
 def map_back(packets: DataFrame, verdicts: DataFrame, on: list[str], label: str = "label") -> DataFrame:

@@ -1,30 +1,103 @@
-"""Ground truth: as-of and interval joins of labelled flows to packets, diagnostics and statistics."""
+"""Ground truth: as-of and interval joins of labelled flows to packets, association by flow ids, diagnostics and statistics.
+
+Joins go by time buckets, so that a key with a large share of all rows is dealt to as many tasks as it has buckets with rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowsift.functions.columns import percent_text, protocol_number
+
+#: An hour, in microseconds.
+BUCKET = 3_600_000_000
+#: Names that parts() takes at most: kinds of traffic, not values that grow with the data.
+MOST_PARTS = 1000
 
-def asof_labels(packets: DataFrame, flows: DataFrame, on: str, use_end: bool = False, source: str | None = None) -> DataFrame:
-    """Each packet with the flow of the latest start at or before it, whose end (if use_end) is not before it.
 
-    packets: pkt_idx, ts_us and on; flows: start_us, end_us, traffic_type, info, seq and on. Expired later flows give way to an earlier one that
-    is open. Of equal starts benign wins, then the larger seq. source: flows with a source match packets of this source only.
-    Without a match the packet is benign and matched is false.
+def _rank() -> Column:
+    """Of flows that begin no later than a packet the latest counts; of equal starts benign wins, then the larger seq."""
+    return F.struct("start_us", (F.col("traffic_type") == 0).alias("benign"), "seq", "traffic_type", "info")
+
+
+def _last_start(packets: DataFrame, flows: DataFrame, on: list[str], best: str, bucket_us: int) -> DataFrame:
+    """packets with the column best: the _rank() of the last flow of equal `on` that starts at or before them.
+
+    Inside a bucket flows and packets are put in order and the last flow is carried on; what earlier buckets hand over comes from one row a bucket.
     """
-    right = flows.select(F.col(on).alias("__k"), *[F.col(c) for c in ("start_us", "end_us", "traffic_type", "info", "seq", *([source] if source else []))])
+    flows = flows.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in on]))
+    bucket = lambda t: F.floor(F.col(t) / bucket_us)
+    theirs = flows.select(*on, F.col("start_us").alias("at"), _rank().alias("flow"))
+    ours = packets.select(*on, F.col("ts_us").alias("at"), F.struct(*packets.columns).alias("packet"))
+    rows = ours.unionByName(theirs, allowMissingColumns=True).withColumn("bucket", bucket("at"))
+    order = Window.partitionBy(*on, "bucket").orderBy("at", F.col("packet").isNotNull(), "flow").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.last("flow", ignorenulls=True).over(order)).where(F.col("packet").isNotNull())
+    both = ours.select(*on, bucket("at").alias("bucket"), F.lit(None).cast(dict(theirs.dtypes)["flow"]).alias("flow")).unionByName(theirs.select(*on, bucket("at").alias("bucket"), "flow"))
+    ends = both.groupBy(*on, "bucket").agg(F.max("flow").alias("flow"))
+    earlier = Window.partitionBy(*on).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("before", F.last("flow", ignorenulls=True).over(earlier)).select(*[F.col(c).alias(f"__{c}") for c in on], F.col("bucket").alias("__bucket"), "before")
+    same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(ends[f"__{c}"]) for c in on]) & (rows["bucket"] == ends["__bucket"])
+    return rows.join(ends, same, "left").select("packet.*", F.coalesce("own", "before").alias(best))
+
+
+def _open_flow(packets: DataFrame, flows: DataFrame, on: list[str], source: str | None, bucket_us: int) -> DataFrame:
+    """packets with __best: the _rank() of the last flow that is open at their time. A flow is sent to each bucket that it touches."""
+    bucket = lambda t: F.floor(F.col(t) / bucket_us)
+    right = flows.where("end_us >= start_us").select(*[F.col(c).alias(f"__{c}") for c in on], F.explode(F.sequence(bucket("start_us"), bucket("end_us"))).alias("__bucket"), _rank().alias("__flow"), F.col("end_us").alias("__end"), *([F.col(source).alias("__source")] if source else []))
+    left = packets.withColumn("__at", bucket("ts_us"))
+    same = [left[c] == right[f"__{c}"] for c in on] + [left["__at"] == right["__bucket"], right["__flow.start_us"] <= left["ts_us"], right["__end"] >= left["ts_us"]]
     if source:
-        right = right.withColumnRenamed(source, "__src")
-    cond = (packets[on] == right["__k"]) & (right["start_us"] <= packets["ts_us"])
+        same.append(right["__source"].isNull() | (right["__source"] == left[source]))
+    return left.join(right, same, "left").groupBy(*packets.columns).agg(F.max("__flow").alias("__best"))
+
+
+def asof_labels(packets: DataFrame, flows: DataFrame, on: str | list[str], use_end: bool = False, source: str | None = None, bucket_us: int = BUCKET) -> DataFrame:
+    """Each packet with the flow of the latest start at or before it, whose end (if use_end) is not before it.
+
+    packets: pkt_idx (unique), ts_us and on; flows: start_us, end_us, traffic_type, info, seq and on. Expired later flows give way to an earlier one that
+    is open; flows that end before they start are never open. Of equal starts benign wins, then the larger seq. source: flows with a source match packets of this
+    source only. Without a match, or with a null key, the packet is benign and matched is false.
+    """
+    on = [on] if isinstance(on, str) else on
     if use_end:
-        cond &= right["end_us"] >= packets["ts_us"]
-    if source:
-        cond &= right["__src"].isNull() | (right["__src"] == packets[source])
-    best = F.max_by(F.struct("traffic_type", "info", "start_us"), F.struct(F.col("start_us"), (F.col("traffic_type") == 0), F.col("seq")))
-    found = packets.join(right, cond, "left").groupBy(*[packets[c] for c in packets.columns]).agg(best.alias("__b"))
-    found = found.withColumn("matched", F.col("__b.start_us").isNotNull())
-    return found.select(*packets.columns, F.coalesce("__b.traffic_type", F.lit(0)).alias("traffic_type"), F.when(F.col("__b.traffic_type") == 1, F.col("__b.info")).alias("attack_type"), "matched")
+        found = _open_flow(packets, flows, on, source, bucket_us)
+    elif source:
+        found = _last_start(packets, flows.where(F.col(source).isNull()), on, "__any", bucket_us)
+        found = _last_start(found, flows.where(F.col(source).isNotNull()), [*on, source], "__own", bucket_us).withColumn("__best", F.greatest("__any", "__own"))
+    else:
+        found = _last_start(packets, flows, on, "__best", bucket_us)
+    best = F.col("__best")
+    return found.select(*packets.columns, F.coalesce(best["traffic_type"], F.lit(0)).alias("traffic_type"), F.when(best["traffic_type"] == 1, best["info"]).alias("attack_type"), best.isNotNull().alias("matched"))
+
+
+def associate(packets: DataFrame, flows: DataFrame, use_end: bool = False, unidirectional: bool = True, bucket_us: int = BUCKET) -> DataFrame:
+    """packets with traffic_type, attack_type and diagnosis (no_flow_id, no_flow or null), by flow id or reverse id.
+
+    packets: packet_id (unique), ts_us, flow_id, reverse_id (both null without an id), src_ip, src_port. flows: flow_id, reverse_id, start_us, end_us, info, traffic_type,
+    src_ip, src_port, src_packets, dest_packets. Only attack flows and benign flows of their ids are looked at: a packet whose ids
+    are of no attack is benign. unidirectional: a flow without packets of its destination matches packets of its source alone.
+    """
+    attack, benign = flows.where("traffic_type = 1"), flows.where("traffic_type = 0")
+    near = relevant_flows(attack, benign).dropDuplicates().withColumn("seq", F.xxhash64("end_us", "info", "src_ip", "src_port"))
+    one_way = (F.col("src_packets") > 0) & (F.col("dest_packets") == 0)
+    near = near.withColumn("from", F.when(one_way, F.concat_ws(":", "src_ip", "src_port")) if unidirectional else F.lit(None).cast("string"))
+    ids = attack.select(F.col("flow_id").alias("key")).distinct()
+    keyed = packets.select("packet_id", "ts_us", F.concat_ws(":", "src_ip", "src_port").alias("from"), F.explode(F.array_compact(F.array_distinct(F.array("flow_id", "reverse_id")))).alias("key"))
+    suspect = keyed.join(keyed.join(ids, "key", "left_semi").select("packet_id").distinct(), "packet_id", "left_semi")
+    theirs = near.withColumnRenamed("flow_id", "key").select("key", "start_us", "end_us", "traffic_type", "info", "seq", "from")
+    if use_end:
+        found = _open_flow(suspect, theirs, ["key"], "from", bucket_us)
+    else:
+        found = _last_start(suspect, theirs.where(F.col("from").isNull()), ["key"], "any", bucket_us)
+        found = _last_start(found, theirs.where(F.col("from").isNotNull()), ["key", "from"], "own", bucket_us).withColumn("__best", F.greatest("any", "own"))
+    best = found.groupBy("packet_id").agg(F.max("__best").alias("__best"))
+    out = packets.join(best.withColumn("__suspect", F.lit(True)), "packet_id", "left")
+    flow = F.col("__best")
+    diagnosis = F.when(F.col("flow_id").isNull(), "no_flow_id").when(F.col("__suspect") & flow.isNull(), "no_flow")
+    return out.select(*packets.columns, F.coalesce(flow["traffic_type"], F.lit(0)).alias("traffic_type"), F.when(flow["traffic_type"] == 1, flow["info"]).alias("attack_type"), diagnosis.alias("diagnosis"))
 
 
 def relevant_flows(attack: DataFrame, benign: DataFrame, on: str = "flow_id", reverse: str = "reverse_id") -> DataFrame:
@@ -33,13 +106,18 @@ def relevant_flows(attack: DataFrame, benign: DataFrame, on: str = "flow_id", re
     return attack.unionByName(benign.join(ids, benign[on] == ids["__id"], "left_semi"))
 
 
-def duplicate_flows(flows: DataFrame, on: str) -> DataFrame:
-    """Pairs (first_seq, second_seq) of one key that start together or overlap; flows that end before they start are left out."""
+def duplicate_flows(flows: DataFrame, on: str, bucket_us: int = BUCKET) -> DataFrame:
+    """Pairs (first_seq, second_seq) of one key that start together or overlap; flows that end before they start are left out.
+
+    A pair meets in the bucket where the later flow starts, to which the earlier one is sent like to all that it touches.
+    """
+    bucket = lambda t: F.floor(F.col(t) / bucket_us)
     ok = flows.where("end_us >= start_us").select(F.col(on).alias("k"), "start_us", "end_us", "seq")
-    a, b = ok.alias("a"), ok.alias("b")
+    a = ok.withColumn("bucket", F.explode(F.sequence(bucket("start_us"), bucket("end_us")))).alias("a")
+    b = ok.withColumn("bucket", bucket("start_us")).alias("b")
     later = (F.col("b.start_us") > F.col("a.start_us")) | ((F.col("b.start_us") == F.col("a.start_us")) & (F.col("b.seq") > F.col("a.seq")))
     hit = (F.col("b.start_us") < F.col("a.end_us")) | (F.col("b.start_us") == F.col("a.start_us"))
-    return a.join(b, (F.col("a.k") == F.col("b.k")) & later & hit).select(F.col("a.k").alias(on), F.col("a.seq").alias("first_seq"), F.col("b.seq").alias("second_seq"))
+    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.bucket") == F.col("b.bucket")) & later & hit).select(F.col("a.k").alias(on), F.col("a.seq").alias("first_seq"), F.col("b.seq").alias("second_seq"))
 
 
 def invalid_flows(flows: DataFrame) -> DataFrame:
@@ -64,12 +142,49 @@ def expected_actual(expected: DataFrame, actual: DataFrame, on: str) -> DataFram
     return both.select(on, e.alias("expected"), a.alias("actual"), (a - e).alias("difference"), F.when(e == 0, 0.0).otherwise(F.abs(e - a) / F.nullif(e, F.lit(0))).alias("error"))
 
 
-def parts(labelled: DataFrame, ident: str, category: str, benign) -> DataFrame:
+def parts(labelled: DataFrame, ident: str, category: str, benign: Column) -> DataFrame:
     """(part_name, ident): part all, and each category's ids with all benign ids."""
-    own = labelled.where(~benign).select(F.col(category).alias("part_name"), ident)
-    names = own.select("part_name").distinct()
-    shared = labelled.where(benign).select(ident).join(F.broadcast(names))
-    return labelled.select(F.lit("all").alias("part_name"), ident).unionByName(own).unionByName(shared.select("part_name", ident))
+    names = [r[0] for r in labelled.where(~benign).select(category).distinct().orderBy(category).limit(MOST_PARTS + 1).collect()]
+    if len(names) > MOST_PARTS:
+        raise ValueError(f"over {MOST_PARTS} values of {category}")
+    every = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    mine = F.when(benign, every).otherwise(F.array(F.col(category)))
+    return labelled.select(F.explode(F.concat(F.array(F.lit("all")), F.coalesce(mine, F.array().cast("array<string>")))).alias("part_name"), ident)
+
+
+def unknown_protocols(flows: DataFrame, protocol: str = "proto") -> DataFrame:
+    """Protocol names that stand for no number, with their flows."""
+    name = F.lower(F.trim(F.col(protocol)))
+    return flows.where(protocol_number(F.col(protocol)).isNull() & F.col(protocol).isNotNull()).groupBy(name.alias(protocol)).agg(F.count("*").alias("n"))
+
+
+def without_protocols(flows: DataFrame, names: list[str], protocol: str = "proto") -> DataFrame:
+    """Flows whose protocol is none of names; nulls stay."""
+    return flows.where(~F.coalesce(F.lower(F.trim(F.col(protocol))).isin([n.strip().lower() for n in names]), F.lit(False)))
+
+
+def require_columns(rows: DataFrame, names: list[str], keep: bool = True) -> DataFrame:
+    """rows, or with keep only the named columns; missing ones are an error."""
+    if missing := [n for n in names if n not in rows.columns]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    return rows.select(*names) if keep else rows
+
+
+def split_traffic(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Attack and benign rows."""
+    return rows.where("traffic_type = 1"), rows.where("traffic_type = 0")
+
+
+def stats_text(stats: DataFrame, key: str) -> DataFrame:
+    """Statistics turned round: a row (statistic) for each column, and a column of text for each key; fractions in percent with three places, 0 for none.
+
+    stats has a row a capture, some tens; their keys become columns.
+    """
+    text = lambda c: F.coalesce(percent_text(F.col(c)) if c.startswith("fraction") else F.col(c).cast("string"), F.lit("0"))
+    values = [c for c in stats.columns if c != key]
+    long = stats.select(key, *[text(c).alias(c) for c in values]).unpivot([key], values, "statistic", "value")
+    keys = [r[0] for r in stats.select(key).orderBy(key).collect()]
+    return long.groupBy("statistic").pivot(key, keys).agg(F.first("value"))
 
 
 def first_diagnostics(rows: DataFrame, order: str, most: int = 20) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsift.functions.columns import l1_distance
@@ -15,6 +15,19 @@ from flowsift.functions.columns import l1_distance
 KEY = ["protocol", "port", "length"]
 
 
+def byte_shares(rows: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """keep and freq, the shares of the 256 bytes of each binary payload; zeros for an empty or null one."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes) + ", freq array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [np.frombuffer(x.as_py() or b"", np.uint8) for x in b.column(len(keep))]
+            shares = [np.bincount(x, minlength=256) / max(1, len(x)) for x in data]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(shares, pa.list_(pa.float64()))], [*keep, "freq"])
+
+    return rows.select(*keep, F.col(payload).cast("binary")).mapInArrow(run, schema)
+
+
 def byte_counts(rows: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     """keep and counts, an array of 256 longs, of each binary payload; null counts as empty."""
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes) + ", counts array<long>"
@@ -27,26 +40,38 @@ def byte_counts(rows: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.col(payload).cast("binary")).mapInArrow(run, schema)
 
 
-def frequencies(counts: str = "counts") -> Column:
-    """Shares of the 256 bytes; zeros for an empty payload."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.transform(counts, lambda x: F.when(total == 0, 0.0).otherwise(x / F.nullif(total, F.lit(0))))
-
-
 def centroids(rows: DataFrame, by: list[str] = KEY, freq: str = "freq") -> DataFrame:
     """mean, squares, std (arrays of 256) and n of each key, from freq."""
-    long = rows.select(*by, F.posexplode(freq).alias("byte", "x")).groupBy(*by, "byte").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
-    long = long.withColumn("s", F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))))
+    long = rows.select(*by, F.posexplode(freq).alias("byte", "x")).groupBy(*by, "byte").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("q"), F.stddev_pop("x").alias("s"), F.count("*").alias("n"))
     line = F.array_sort(F.collect_list(F.struct("byte", "m", "q", "s")))
     return long.groupBy(*by).agg(line.alias("v"), F.max("n").alias("n")).select(*by, F.col("v.m").alias("mean"), F.col("v.q").alias("squares"), F.col("v.s").alias("std"), "n")
 
 
+def nearest_lengths(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """protocol, port, length of rows, and near_length, that of the table's centroids which is nearest; ties to the shorter, null without one.
+
+    Each (protocol, port, length) is looked up once, against the sorted lengths of its protocol and port.
+    """
+    lengths = table.groupBy(F.col("protocol").alias("p"), F.col("port").alias("q")).agg(F.collect_set("length").alias("lengths"))
+    wanted = rows.select(*KEY).distinct()
+    near = F.array_min(F.transform("lengths", lambda x: F.struct(F.abs(x - F.col("length")).alias("far"), x.alias("near"))))["near"]
+    found = wanted.join(lengths, wanted["protocol"].eqNullSafe(F.col("p")) & wanted["port"].eqNullSafe(F.col("q")), "left")
+    return found.select(*KEY, near.alias("near_length"))
+
+
 def nearest_centroid(rows: DataFrame, table: DataFrame, ident: list[str], values: list[str]) -> DataFrame:
-    """Each row with the centroid of its protocol and port whose length is nearest, ties to the shorter; null without one."""
-    right = table.select(F.col("protocol").alias("__p"), F.col("port").alias("__q"), F.struct(F.col("length").alias("near_length"), *values).alias("__c"))
-    both = rows.join(right, (F.col("protocol") == F.col("__p")) & (F.col("port") == F.col("__q")), "left")
-    best = F.min_by("__c", F.struct(F.abs(F.col("__c.near_length") - F.col("length")), F.col("__c.near_length")))
-    return both.groupBy(*ident).agg(best.alias("__c")).select(*ident, "__c.*")
+    """ident, near_length and the values of the centroid of its protocol and port whose length is nearest; null without one."""
+    right = nearest_lengths(rows, table).select(*[F.col(c).alias(f"__{c}") for c in KEY], "near_length")
+    if values:
+        right = right.join(table.select(*[F.col(c).alias(f"__t_{c}") for c in KEY], *values), F.col("__protocol").eqNullSafe(F.col("__t_protocol")) & F.col("__port").eqNullSafe(F.col("__t_port")) & (F.col("near_length") == F.col("__t_length")), "left")
+    same = [rows[c].eqNullSafe(F.col(f"__{c}")) for c in KEY]
+    return rows.join(right, same, "left").select(*ident, "near_length", *values)
+
+
+def distances(rows: DataFrame, table: DataFrame, ident: list[str], smoothing: float = 1e-4, paper: bool = True) -> DataFrame:
+    """ident and distance of each row (protocol, port, length, freq) from its nearest centroid."""
+    near = nearest_centroid(rows, table, [*ident, "freq"], ["mean", "std"])
+    return near.select(*ident, distance(F.col("mean"), F.col("std"), F.col("freq"), smoothing, paper).alias("distance"))
 
 
 def distance(mean: Column, std: Column, freq: Column, smoothing: float = 1e-4, paper: bool = True) -> Column:
@@ -94,4 +119,12 @@ def flow_distances(rows: DataFrame, by: list[str], value: str = "distance") -> D
     return rows.groupBy(*by).agg(*[c.alias(f"{n}_payl_dist") for n, c in named.items()])
 
 
-__all__ = ["KEY", "byte_counts", "centroids", "cluster", "distance", "flow_distances", "frequencies", "l1_distance", "merge_neighbours", "nearest_centroid"]
+def neighbour_distances(table: DataFrame) -> DataFrame:
+    """Each centroid with the next longer one of its protocol and port and their Manhattan distance: what clustering compares."""
+    order = Window.partitionBy("protocol", "port").orderBy("length")
+    both = table.select(*KEY, "mean", F.lead("length").over(order).alias("next_length"), F.lead("mean").over(order).alias("__next")).where("next_length is not null")
+    return both.select(*KEY, "next_length", l1_distance(F.col("mean"), F.col("__next")).alias("distance"))
+
+
+def by_length(table: DataFrame) -> DataFrame:
+    return table.orderBy(*KEY)

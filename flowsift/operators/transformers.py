@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -113,3 +113,77 @@ def keep_features(rows: DataFrame, names: list[str]) -> DataFrame:
     if len(set(names)) != len(names):
         raise ValueError("feature names repeat")
     return rows.select(*[c for c in rows.columns if c in set(names)])
+
+
+@dataclass
+class OneHot:
+    """Places of the array that hold categories give way to an indicator for each of their training values, behind the other places."""
+
+    values: dict[int, list[float]]
+    width: int
+
+    def column(self, features: Column) -> Column:
+        kept = [features[i] for i in range(self.width) if i not in self.values]
+        marks = [F.coalesce((features[i] == F.lit(v)).cast("double"), F.lit(0.0)) for i, vs in self.values.items() for v in vs]
+        return F.array(*kept, *marks)
+
+    def names(self, names: list[str]) -> list[str]:
+        return [n for i, n in enumerate(names) if i not in self.values] + [f"{names[i]}_ohe_{v}" for i, vs in self.values.items() for v in vs]
+
+
+def one_hot_vectors(rows: DataFrame, categorical: list[int], features: str = "features") -> OneHot:
+    """Fitted on the distinct values (at most some hundreds) of the categorical places."""
+    first = rows.select(F.size(features)).first()
+    if first is None:
+        raise ValueError("no rows to fit on")
+    found = {i: sorted(r[0] for r in rows.select(F.col(features)[i].cast("double").alias("v")).where("v is not null").distinct().collect()) for i in categorical}
+    return OneHot(found, first[0])
+
+
+@dataclass
+class Keep:
+    """Some places of the array, in their own order."""
+
+    places: list[int]
+
+    def column(self, features: Column) -> Column:
+        return F.array(*[features[i] for i in self.places])
+
+    def names(self, names: list[str]) -> list[str]:
+        return [names[i] for i in self.places]
+
+
+def fixed_filter(names: list[str], allowed: list[str] | None = None) -> Keep:
+    """The places of names that the fixed list, or another one, allows; doubled names are refused."""
+    allowed = FIXED_FEATURES if allowed is None else allowed
+    if len(set(allowed)) != len(allowed):
+        raise ValueError("feature names repeat")
+    return Keep([i for i, n in enumerate(names) if n in set(allowed)])
+
+
+def read_names(path: str) -> list[str]:
+    """Feature names of a file, one a line; a list of one's own in place of the fixed one."""
+    with open(path, encoding="utf-8") as f:
+        return [line.strip() for line in f if line.strip()]
+
+
+STEPS = {c.__name__: c for c in (Scaler, Pca, OneHot, Keep)}
+
+
+def step_state(step) -> dict:
+    return {"class": type(step).__name__} | asdict(step)
+
+
+def step_of(state: dict):
+    state = dict(state)
+    kind = STEPS[state.pop("class")]
+    if kind is OneHot:
+        state["values"] = {int(k): v for k, v in state["values"].items()}
+    return kind(**state)
+
+
+def renamed(step, names: list[str]) -> list[str]:
+    """Feature names behind a step."""
+    if isinstance(step, Pca):
+        return [f"pca_{i}" for i in range(len(step.components))]
+    return step.names(names) if hasattr(step, "names") else names

@@ -1,7 +1,8 @@
 """Training, classification and evaluation over a result store.
 
 Flows have an id and an array of features. Training fits the transformers in their order, then the engine, on benign flows; classifying
-scores flows, gives their verdicts to their packets and stores them; evaluating compares stored verdicts with labels.
+scores flows, gives their verdicts to their packets and stores them; evaluating compares stored verdicts with labels. Fitted models are kept as JSON
+parameters and arrays in a Parquet table.
 
 Defined cases: training without benign flows is refused, as is a model or classification id that the store already has; null features and
 packets without a flow are benign; records without a label are not evaluated. A classification_info row is written after the results, so one that is not there means an unfinished run.
@@ -9,7 +10,7 @@ packets without a flow are benign; records without a label are not evaluated. A
 
 from __future__ import annotations
 
-import pickle
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.operators import engines, evaluation, flows, transformers
-from flowsift.plans.store import ResultStore
+from flowsift.operators import engines, evaluation, extractors, flows, transformers
+from flowsift.plans.store import METRICS, ResultStore
 
 #: Constructor, and whether an attack lies above the limit; a limit of None is a share of the training scores.
 ENGINES: dict[str, tuple[Callable, bool, float | None]] = {
@@ -28,11 +29,27 @@ ENGINES: dict[str, tuple[Callable, bool, float | None]] = {
     "one_class_svm": (engines.OneClassSvm, False, 0.0),
     "autoencoder": (engines.Autoencoder, True, None),
 }
-TRANSFORMERS = {
-    "minmax_scaler": lambda rows, features: transformers.minmax_scaler(rows, features),
-    "standard_scaler": lambda rows, features: transformers.standard_scaler(rows, features),
-    "pca": lambda rows, features: transformers.pca(rows, 2, features),
-}
+
+
+def _pca(k: int):
+    return lambda rows, features, names: transformers.pca(rows, k, features)
+
+
+def _one_hot(rows: DataFrame, features: str, names: list[str]):
+    return transformers.one_hot_vectors(rows, [i for i, n in enumerate(names) if extractors.feature_type(n) == "categorical"], features)
+
+
+#: Fitted from rows, the column of features and their names.
+TRANSFORMERS: dict[str, Callable] = {
+    "minmax_scaler": lambda rows, features, names: transformers.minmax_scaler(rows, features),
+    "standard_scaler": lambda rows, features, names: transformers.standard_scaler(rows, features),
+    "onehot_encoder": _one_hot,
+    "fixed_feature_name_filter": lambda rows, features, names: transformers.fixed_filter(names),
+} | {f"pca_reducer_{k}": _pca(k) for k in (2, 10, 20, 30, 50)}
+#: From packets and settings to features; those of payl_flows need centroids, made by extractors.fit_payl() of the training packets.
+EXTRACTORS: dict[str, Callable] = {"flow_extractor": extractors.flow_features, "flows_payload": extractors.payload_flows, "payl_flows": extractors.payl_flows}
+
+_FITTED = "model_id string, kind string, params string, name string, shape array<int>, data binary"
 
 
 @dataclass
@@ -58,60 +75,82 @@ class Model:
         rest = rows.where(F.col(column).isNull()).select(ident, F.lit(None).cast("double").alias("score"))
         return scored.unionAll(rest).withColumn("label", F.coalesce(over.cast("int"), F.lit(0)))
 
+    def rows(self, model_id: str) -> list[tuple]:
+        head = {"steps": [transformers.step_state(s) for s in self.steps], "limit": self.limit, "above": self.above}
+        return [(model_id, "model", json.dumps(head), "", [], b""), *[(model_id, "engine", *r) for r in engines.state_rows(self.engine)]]
+
+    @classmethod
+    def of(cls, rows: list) -> Model:
+        head = json.loads(next(r["params"] for r in rows if r["kind"] == "model"))
+        return cls([transformers.step_of(s) for s in head["steps"]], engines.model_of([r for r in rows if r["kind"] == "engine"]), head["limit"], head["above"])
 
-def train(store: ResultStore, model_id: str, benign: DataFrame, engine: str, steps: list[str] = (), params: dict | None = None, share: float = 0.99, sample: int = engines.SAMPLE, ident: str = "flow_id", features: str = "features", **info: str) -> Model:
+
+def train(store: ResultStore, model_id: str, benign: DataFrame, engine: str, steps: list[str] = (), params: dict | None = None, share: float = 1.0, sample: int = engines.SAMPLE, ident: str = "flow_id", features: str = "features", names: list[str] = (), **info: str) -> Model:
     """Fits on benign flows, stores the model and its parameters. The engine sees at most sample flows; share is the autoencoder's
-    share of training errors that count as benign. info: further columns of the model row."""
+    share of training errors that count as benign. names: of the features, which some transformers need. info: further columns of the model row."""
     if store.exists("model", model_id=model_id):
         raise ValueError(f"model {model_id} exists")
     make, above, limit = ENGINES[engine]
-    rows, fitted = benign.where(F.col(features).isNotNull()).select(ident, features), []
+    rows, fitted, names = benign.where(F.col(features).isNotNull()).select(ident, features), [], list(names)
     for name in steps:
-        fitted.append(TRANSFORMERS[name](rows, features))
+        fitted.append(TRANSFORMERS[name](rows, features, names))
+        names = transformers.renamed(fitted[-1], names)
         rows = rows.select(ident, fitted[-1].column(F.col(features)).alias(features))
-    x = engines.sample_matrix(rows, features, ident, sample)
-    if not len(x):
+    options = dict(params or {})
+    fit = engines.fit_in_task(rows, features, ident, lambda x: make(x, **options), sample)
+    if fit is None:
         raise ValueError("no benign flows to train on")
-    fit = make(x, **(params or {}))
-    model = Model(fitted, fit, float(np.quantile(fit(x), share)) if limit is None else limit, above)
-    row = {"model_id": model_id, "decision_engine": engine, "transformers": ",".join(steps), "feature_extractor": info.get("feature_extractor", ""), "dataset_name": info.get("dataset_name", ""), "train_set_name": info.get("train_set_name", ""), "params": str(params or {})}
+    if limit is None:
+        limit = float(engines.score_rows(rows, ident, features, fit).agg(F.percentile("score", share)).first()[0])
+    model = Model(fitted, fit, limit, above)
+    row = {"model_id": model_id, "decision_engine": engine, "transformers": ",".join(steps), "feature_extractor": info.get("feature_extractor", ""), "dataset_name": info.get("dataset_name", ""), "train_set_name": info.get("train_set_name", ""), "params": json.dumps(options)}
     store.append("model", store.spark.createDataFrame([row], "model_id string, decision_engine string, transformers string, feature_extractor string, dataset_name string, train_set_name string, params string"))
-    store.save_params(engine, model_id, params or {"default": True})
-    body = store.spark.createDataFrame([(model_id, bytearray(pickle.dumps(model)))], "model_id string, body binary")
-    body.write.mode("append").parquet(f"{store.folder}/fitted")
+    store.save_params(engine, model_id, options or {"default": True})
+    store.spark.createDataFrame(model.rows(model_id), _FITTED).write.mode("append").parquet(f"{store.folder}/fitted")
     return model
 
 
 def load(store: ResultStore, model_id: str) -> Model:
-    """The fitted model; the store holds pickles, so read stores of your own only."""
-    row = store.spark.read.parquet(f"{store.folder}/fitted").where(F.col("model_id") == model_id).first()
-    if row is None:
+    rows = store.spark.read.schema(_FITTED).parquet(f"{store.folder}/fitted").where(F.col("model_id") == model_id).collect()
+    if not rows:
         raise ValueError(f"no model {model_id}")
-    return pickle.loads(row["body"])
+    return Model.of(rows)
 
 
 def classify(store: ResultStore, classification_id: str, model_id: str, rows: DataFrame, packets: DataFrame, ident: str = "flow_id", record: str = "record_id", features: str = "features") -> None:
-    """Stores a verdict for each packet (record id, flow id), and after it the run's times."""
+    """Stores a verdict for each packet (record id, flow id), and after it the run's times. The time of reading is that of a pass over the packets alone."""
     if store.exists("classification_info", classification_id=classification_id):
         raise ValueError(f"classification {classification_id} exists")
     model, began = load(store, model_id), time.monotonic()
+    packets.write.format("noop").mode("overwrite").save()
+    read = time.monotonic() - began
     verdicts = model.classify(rows, ident, features).select(ident, "label")
     labelled = flows.map_back(packets.select(record, ident), verdicts, [ident])
     out = labelled.select(F.lit(classification_id).alias("classification_id"), F.col(record).cast("string").alias("record_id"), "label")
     store.append("classification_results", out)
     count = store.read("classification_results").where(F.col("classification_id") == classification_id).count()
-    done = (classification_id, model_id, 1, time.monotonic() - began, 0.0, float(count))
+    done = (classification_id, model_id, 1, time.monotonic() - began, read, float(count))
     store.append("classification_info", store.spark.createDataFrame([done], "classification_id string, model_id string, is_finished int, total_time double, packet_read_time double, packet_count double"))
 
 
-def evaluate(store: ResultStore, classification_id: str, truth: DataFrame, dataset_name: str = "", record: str = "record_id") -> DataFrame:
-    """Stores confusion counts of each traffic_name and part_name, and per part over all traffic (traffic_name '*', is_aggregated 1), and returns them with metrics.
+def run_totals(info: DataFrame, by: list[str]) -> DataFrame:
+    """Times and packets of the runs of each group."""
+    return info.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("total_time", "packet_read_time", "packet_count")])
+
+
+def evaluate(store: ResultStore, classification_id: str, truth: DataFrame, dataset_name: str = "", record: str = "record_id", traffic_names: list[str] | None = None) -> DataFrame:
+    """Stores the metrics of each traffic_name and part_name, and per part over all traffic (traffic_name '*', is_aggregated 1), and returns them with the counts tp, fp, tn, fn.
 
-    truth: record, truth (0 or 1), traffic_name, part_name, once for each part that a record is in."""
+    truth: record, truth (0 or 1), traffic_name, part_name, once for each part that a record is in. traffic_names: only these."""
     verdicts = store.read("classification_results").where(F.col("classification_id") == classification_id).select("record_id", F.col("label").alias("predicted"))
+    if traffic_names is not None:
+        truth = truth.where(F.col("traffic_name").isin(list(traffic_names)))
     marked = truth.withColumn("record_id", F.col(record).cast("string")).join(verdicts, "record_id")
     cells = evaluation.confusion(marked, ["traffic_name", "part_name"]).withColumn("is_aggregated", F.lit(0))
     total = evaluation.total_confusion(cells, ["part_name"]).withColumns({"traffic_name": F.lit("*"), "is_aggregated": F.lit(1)})
-    rows = cells.unionByName(total).select(F.lit(classification_id).alias("classification_id"), F.lit(dataset_name).alias("dataset_name"), "traffic_name", "is_aggregated", "part_name", "tp", "fp", "tn", "fn")
+    counts = {"tp": "true_positives", "fp": "false_positives", "tn": "true_negatives", "fn": "false_negatives"}
+    rows = evaluation.with_metrics(cells.unionByName(total)).withColumnsRenamed(counts)
+    rows = rows.select(F.lit(classification_id).alias("classification_id"), F.lit(dataset_name).alias("dataset_name"), "traffic_name", "is_aggregated", "part_name", *[F.col(f"`{m}`").cast("double").alias(m) for m in METRICS])
     store.append("evaluations", rows)
-    return evaluation.with_metrics(store.read("evaluations").where(F.col("classification_id") == classification_id))
+    found = store.read("evaluations").where(F.col("classification_id") == classification_id)
+    return found.withColumns({k: F.col(v).cast("long") for k, v in counts.items()})

@@ -1,20 +1,33 @@
-"""Result store: append-only Parquet tables below one folder, with keys checked before an append."""
+"""Result store: append-only Parquet tables below one folder, with keys checked before an append.
+
+Tables of older schema versions are read with defaults for the columns that they lack; migrate() records the version that readers may expect.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+VERSION = 3
+#: The columns of the stored tables; hyper-parameters have a table for each component.
+METRICS = ["precision", "balanced_accuracy", "mcc", "f1_score", "accuracy", "kappa", "fdr", "fnr", "for", "fpr", "tnr", "false_negatives", "false_positives", "true_negatives", "true_positives", "negatives", "positives", "npv", "recall", "support"]
 TABLES = {
     "model": "model_id string, decision_engine string, transformers string, feature_extractor string, dataset_name string, train_set_name string, params string",
     "classification_info": "classification_id string, model_id string, is_finished int, total_time double, packet_read_time double, packet_count double",
     "classification_results": "classification_id string, record_id string, label int",
-    "evaluations": "classification_id string, dataset_name string, traffic_name string, is_aggregated int, part_name string, tp long, fp long, tn long, fn long",
+    "extracted_features": "fe_id string, traffic_name string, path string, model_id string",
+    "evaluations": "classification_id string, dataset_name string, traffic_name string, is_aggregated int, part_name string, " + ", ".join(f"`{m}` double" for m in METRICS),
+    "db_version": "version int",
 }
-KEYS = {"model": ["model_id"], "classification_info": ["classification_id"], "classification_results": ["classification_id", "record_id"], "evaluations": ["classification_id", "traffic_name", "part_name"]}
+KEYS = {"model": ["model_id"], "classification_info": ["classification_id"], "classification_results": ["classification_id", "record_id"], "extracted_features": ["fe_id", "traffic_name"], "evaluations": ["classification_id", "traffic_name", "part_name"]}
+#: Columns that came with later versions, with what older rows have in them.
+DEFAULTS = {"is_finished": -1, "packet_count": -1.0, "packet_read_time": -1.0, "total_time": -1.0, "is_aggregated": 0}
+SINCE = {2: {"classification_info": ["is_finished", "packet_count", "packet_read_time", "total_time"]}, 3: {"evaluations": ["is_aggregated", "dataset_name"], "model": ["train_set_name", "dataset_name"]}}
 
 
 class ResultStore:
@@ -22,10 +35,19 @@ class ResultStore:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
+        """A table, empty if nothing was written; columns that its files lack have their defaults."""
         try:
-            return self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/{name}")
+            rows = self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/{name}")
         except AnalysisException:
             return self.spark.createDataFrame([], TABLES[name])
+        if name not in TABLES:
+            return rows
+        kinds = self.spark.createDataFrame([], TABLES[name]).dtypes
+        filled: list[Column] = []
+        for column, kind in kinds:
+            value = F.lit(DEFAULTS.get(column)).cast(kind)
+            filled.append((F.coalesce(F.col(f"`{column}`").cast(kind), value) if column in rows.columns else value).alias(column))
+        return rows.select(*filled, *[f"`{c}`" for c in rows.columns if c not in dict(kinds)])
 
     def append(self, name: str, rows: DataFrame) -> None:
         if name in KEYS and not rows.join(self.read(name).select(*KEYS[name]), KEYS[name], "left_semi").isEmpty():
@@ -45,5 +67,64 @@ class ResultStore:
 
     def counts(self) -> DataFrame:
         """Classifications with the number of their results."""
-        n = self.read("classification_results").groupBy("classification_id").agg(F.count("*").alias("n_results"))
-        return self.read("classification_info").join(n, "classification_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
+        return with_counts(self.read("classification_info"), self.read("classification_results"))
+
+    def evaluations(self) -> DataFrame:
+        """Every evaluation with its model's parts."""
+        return with_models(self.read("evaluations"), self.read("classification_info"), self.read("model"))
+
+    def model_info(self, model_id: str) -> dict:
+        """The model's row and its parameters by component; an error if there is none."""
+        row = self.read("model").where(F.col("model_id") == model_id).first()
+        if row is None:
+            raise ValueError(f"no model {model_id}")
+        out = {"model": row.asDict()}
+        for component in {row["decision_engine"], row["feature_extractor"]} - {"", None}:
+            try:
+                found = self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/{component}").where(F.col("model_id") == model_id).first()
+                out[component] = found.asDict() if found else {}
+            except AnalysisException:
+                out[component] = {}
+        return out
+
+    def new_id(self, table: str, base: str, digits: int = 4) -> str:
+        """base and some digits that no row of the table has as its key yet."""
+        key = KEYS[table][0]
+        while self.exists(table, **{key: (found := f"{base}{uuid.uuid4().hex[:digits]}")}):
+            pass
+        return found
+
+    def features_path(self, fe_id: str, traffic_name: str) -> str:
+        return f"{self.folder}/features/{hashlib.sha256(json.dumps([fe_id, traffic_name]).encode()).hexdigest()[:24]}"
+
+    def features(self, fe_id: str, traffic_name: str, make) -> DataFrame:
+        """The features that are kept under these names; made, written and listed if there are none."""
+        path = self.features_path(fe_id, traffic_name)
+        if not self.exists("extracted_features", fe_id=fe_id, traffic_name=traffic_name):
+            make().write.mode("overwrite").parquet(path)
+            self.append("extracted_features", self.spark.createDataFrame([(fe_id, traffic_name, path, None)], TABLES["extracted_features"]))
+        return self.spark.read.parquet(path)
+
+    def version(self) -> int:
+        """The last recorded version; stores without one are of this version."""
+        return self.read("db_version").agg(F.max("version")).first()[0] or VERSION
+
+    def migrate(self, old: int, new: int = VERSION) -> list[str]:
+        """Records the new version and names the columns that come with it; an error if nothing lies between."""
+        added = [f"{table}.{c}" for v, tables in SINCE.items() if old < v <= new for table, columns in tables.items() for c in columns]
+        if not added:
+            raise ValueError(f"cannot migrate from version {old} to {new}")
+        self.spark.createDataFrame([(new,)], "version int").write.mode("append").parquet(f"{self.folder}/db_version")
+        return added
+
+
+def with_counts(info: DataFrame, results: DataFrame, key: str = "classification_id") -> DataFrame:
+    """info with n_results, the number of results of its key; 0 without any."""
+    n = results.groupBy(key).agg(F.count("*").alias("n_results"))
+    return info.join(n, key, "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
+
+
+def with_models(evaluations: DataFrame, info: DataFrame, models: DataFrame) -> DataFrame:
+    """Evaluations with the model that made their classification: model_id, decision_engine, feature_extractor, transformers."""
+    named = models.select("model_id", "decision_engine", "feature_extractor", "transformers")
+    return evaluations.join(info.select("classification_id", "model_id"), "classification_id").join(named, "model_id")

@@ -1,72 +1,117 @@
-"""Packet captures (pcap and pcapng) as a Spark data source: spark.read.format("pcap").load(path)."""
+"""Packet captures (pcap and pcapng) as a Spark data source: spark.read.format("pcap").load(path).
+
+A task reads one capture record by record, so it holds one packet and a read buffer, however long the capture is. Options: linklayer (ethernet
+or sll) decodes frames of that layer alone, whatever the capture says; truncated=stop ends a capture that is cut inside a packet before it, which
+is an error otherwise. Frames that hold no IPv4 packet have nulls in the decoded columns.
+"""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file string, pkt_idx long, ts_us long, src_ip long, dst_ip long, src_port int, dst_port int, protocol int, ttl int, ip_len int, l4_len int, tcp_flags int, tcp_win int, payload binary"
+SCHEMA = "file string, pkt_idx long, ts_us long, src_ip long, dst_ip long, src_port int, dst_port int, protocol int, ttl int, ip_len int, l4_len int, tcp_flags int, tcp_win int, payload binary, frame_len int"
 ETHERNET, SLL = 1, 113
+LAYERS = {"ethernet": (ETHERNET,), "sll": (SLL,)}
+READ_BYTES = 1 << 20
+
+
+class Cut(ValueError):
+    """The capture ends inside a record."""
+
+
+class _Records:
+    """Exact reads from a stream."""
 
+    def __init__(self, stream: BinaryIO) -> None:
+        self.stream, self.held, self.at = stream, b"", 0
 
-def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    def take(self, size: int, may_end: bool = False) -> bytes:
+        """The next size bytes; nothing at the end if that may be here."""
+        while len(self.held) - self.at < size:
+            more = self.stream.read(max(READ_BYTES, size))
+            if not more:
+                if may_end and self.at == len(self.held):
+                    return b""
+                raise Cut("the capture ends inside a packet")
+            self.held, self.at = self.held[self.at :] + bytes(more), 0
+        self.at += size
+        return self.held[self.at - size : self.at]
+
+
+def frames(stream: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
     """(microseconds, link type, frame) of a capture of either format."""
-    if data[:4] == b"\x0a\x0d\x0d\x0a":
+    data = _Records(stream)
+    magic = data.take(4)
+    if magic == b"\x0a\x0d\x0d\x0a":
         yield from _pcapng(data)
         return
-    order = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}.get(data[:4])
+    order = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}.get(magic)
     if order is None:
         raise ValueError("neither pcap nor pcapng")
     end, divide = order
-    link, at = struct.unpack(end + "I", data[20:24])[0], 24
-    while at + 16 <= len(data):
-        sec, part, size, _ = struct.unpack(end + "IIII", data[at : at + 16])
-        yield sec * 1_000_000 + part // divide, link, data[at + 16 : at + 16 + size]
-        at += 16 + size
-
-
-def _pcapng(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    at, end, links = 0, "<", []
-    while at + 12 <= len(data):
-        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-            end, links = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">", []
-        kind, size = struct.unpack(end + "II", data[at : at + 8])
-        if size < 12:
+    link = struct.unpack(end + "I", data.take(20)[16:])[0]
+    while head := data.take(16, may_end=True):
+        sec, part, size, _ = struct.unpack(end + "IIII", head)
+        yield sec * 1_000_000 + part // divide, link, data.take(size)
+
+
+def _ticks(options: bytes, end: str) -> int:
+    """Ticks a second of an interface, from its options."""
+    at = 0
+    while at + 4 <= len(options):
+        code, length = struct.unpack(end + "HH", options[at : at + 4])
+        if code == 9 and length:
+            r = options[at + 4]
+            return 2 ** (r & 127) if r & 128 else 10**r
+        if code == 0:
+            break
+        at += 4 + (length + 3) // 4 * 4
+    return 1_000_000
+
+
+def _pcapng(data: _Records) -> Iterator[tuple[int, int, bytes]]:
+    """After the four bytes that begin the first section."""
+    kind, end, links = b"\x0a\x0d\x0d\x0a", "<", []
+    while kind:
+        size = data.take(4)
+        if kind == b"\x0a\x0d\x0d\x0a":
+            mark = data.take(4)
+            end, links = "<" if mark == b"\x4d\x3c\x2b\x1a" else ">", []
+        else:
+            mark = b""
+        length = struct.unpack(end + "I", size)[0]
+        if length < 12 + len(mark):
             raise ValueError("broken pcapng block")
-        body = data[at + 8 : at + size - 4]
-        if kind == 1:
-            ticks, o = 1_000_000, 8
-            while o + 4 <= len(body):
-                code, length = struct.unpack(end + "HH", body[o : o + 4])
-                if code == 9 and length:
-                    r = body[o + 4]
-                    ticks = 2 ** (r & 127) if r & 128 else 10**r
-                if code == 0:
-                    break
-                o += 4 + (length + 3) // 4 * 4
-            links.append((struct.unpack(end + "H", body[:2])[0], ticks))
-        elif kind == 6:
-            which, high, low, length, _ = struct.unpack(end + "IIIII", body[:20])
+        body = data.take(length - 8 - len(mark))[:-4]
+        number = struct.unpack(end + "I", kind)[0]
+        if number == 1:
+            links.append((struct.unpack(end + "H", body[:2])[0], _ticks(body[8:], end)))
+        elif number == 6:
+            which, high, low, size, _ = struct.unpack(end + "IIIII", body[:20])
             link, ticks = links[which]
-            yield ((high << 32) | low) * 1_000_000 // ticks, link, body[20 : 20 + length]
-        at += size
+            yield ((high << 32) | low) * 1_000_000 // ticks, link, body[20 : 20 + size]
+        kind = data.take(4, may_end=True)
+
+
+def _behind(frame: bytes, link: int) -> bytes | None:
+    at = 12 if link == ETHERNET else 14
+    while link == ETHERNET and frame[at : at + 2] in (b"\x81\x00", b"\x88\xa8"):
+        at += 4
+    packet = frame[at + 2 :]
+    whole = frame[at : at + 2] == b"\x08\x00" and len(packet) >= 20 and packet[0] >> 4 == 4 and 20 <= (packet[0] & 15) * 4 <= len(packet)
+    return packet if whole else None
 
 
-def ipv4(frame: bytes, link: int) -> bytes | None:
-    """The IPv4 packet in an Ethernet (with VLAN tags) or Linux cooked frame."""
-    if link == ETHERNET:
-        at = 12
-        while frame[at : at + 2] in (b"\x81\x00", b"\x88\xa8"):
-            at += 4
-    elif link == SLL:
-        at = 14
-    else:
-        return None
-    return frame[at + 2 :] if frame[at : at + 2] == b"\x08\x00" and len(frame) >= at + 22 else None
+def ipv4(frame: bytes, link: int, layer: str | None = None) -> bytes | None:
+    """The IPv4 packet in an Ethernet (with VLAN tags) or Linux cooked frame; layer: only if the frame is of that one. Unknown link types are tried as both."""
+    tried = LAYERS[layer] if layer else (link,) if link in (ETHERNET, SLL) else (ETHERNET, SLL)
+    return next((p for p in (_behind(frame, x) for x in tried) if p is not None), None)
 
 
 def decode(packet: bytes) -> tuple:
@@ -81,7 +126,9 @@ def decode(packet: bytes) -> tuple:
 
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+        self.path, self.layer, self.stop = options["path"], options.get("linklayer"), options.get("truncated") == "stop"
+        if self.layer and self.layer not in LAYERS:
+            raise ValueError(f"linklayer is one of {', '.join(LAYERS)}")
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
@@ -95,12 +142,15 @@ class PcapReader(DataSourceReader):
         from pyarrow import fs
 
         store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
-        with store.open_input_file(partition.value) as f:
-            data = f.read()
         name = partition.value.rsplit("/", 1)[-1]
-        for i, (ts, link, frame) in enumerate(frames(data)):
-            packet = ipv4(frame, link)
-            yield (name, i, ts, *(decode(packet) if packet else (None,) * 11))
+        with store.open_input_stream(partition.value, compression=None) as f:
+            try:
+                for i, (ts, link, frame) in enumerate(frames(f)):
+                    packet = ipv4(frame, link, self.layer)
+                    yield (name, i, ts, *(decode(packet) if packet else (None,) * 11), len(frame))
+            except Cut:
+                if not self.stop:
+                    raise
 
 
 class PcapSource(DataSource):
@@ -115,9 +165,9 @@ class PcapSource(DataSource):
         return PcapReader(self.options)
 
 
-def read_pcap(spark: SparkSession, path: str) -> DataFrame:
+def read_pcap(spark: SparkSession, path: str, **options: str) -> DataFrame:
     spark.dataSource.register(PcapSource)
-    return spark.read.format("pcap").load(path)
+    return spark.read.format("pcap").options(**options).load(path)
 
 
 def subset(packets: DataFrame, ranges: list[tuple[int, int | str]], order: str = "pkt_idx") -> DataFrame:

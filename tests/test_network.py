@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +9,6 @@ from pyspark.sql import functions as F
 from flowsift.functions import columns as C
 from flowsift.operators import engines, evaluation, flows, labels, payl, transformers
 from flowsift.plans import catalogue
-from flowsift.sources import pcap
 from tests.oracle import assert_same, connection
 
 SMALL = "/root/testdata/sf0.001"
@@ -74,20 +71,6 @@ def test_centroid_of_equal_payloads(spark):
     assert np.allclose(row["mean"], freq) and np.allclose(row["std"], 0, atol=1e-7) and row["n"] == 100
 
 
-def _capture() -> bytes:
-    tcp = struct.pack(">HHIIBBHHH", 443, 80, 1, 2, 0x50, 0x12, 512, 0, 0) + b"hi"
-    ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(tcp), 0, 0, 64, 6, 0, bytes([20, 1, 20, 1]), bytes([172, 168, 1, 1])) + tcp
-    frame = b"\0" * 12 + b"\x08\x00" + ip
-    return struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack("<IIII", 10, n, len(f), len(f)) + f for n, f in ((5, frame), (6, b"\0" * 60)))
-
-
-def test_capture_source(spark, tmp_path):
-    (tmp_path / "a.pcap").write_bytes(_capture())
-    rows = pcap.read_pcap(spark, str(tmp_path)).orderBy("pkt_idx").collect()
-    assert [r["ts_us"] for r in rows] == [10_000_005, 10_000_006]
-    assert (rows[0]["src_ip"], rows[0]["src_port"], rows[0]["tcp_flags"], rows[0]["tcp_win"], bytes(rows[0]["payload"][-2:])) == (0x14011401, 443, 0x12, 512, b"hi") and rows[1]["src_ip"] is None
-
-
 def test_engines_tell_outliers():
     rng = np.random.default_rng(0)
     x, far = rng.normal(0, 1, (300, 4)), np.full((3, 4), 9.0)
