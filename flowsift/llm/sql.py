@@ -6,4 +6,13 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.h AS text_sha256
         FROM d JOIN g ON d.h = g.h""",
+    # 20 bits, five hexadecimal digits, are four letters of base 32
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+        SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes,
+            list_aggregate(list_transform(range(8), lambda j: list_aggregate(list_transform(range(4), lambda k:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(p.h, CAST(5 * j + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * k AS INTEGER)) % 32 + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+            CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
+        FROM p JOIN f ON p.h = f.h""",
 }
