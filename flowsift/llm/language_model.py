@@ -33,7 +33,7 @@ from flowsift.llm.common import fold
 
 DEPTH, PREFIX = 6, 4
 CHUNK_BYTES = 8 << 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 MERGED = 16
 END = b"\n"
 _TABLE = np.array([math.lgamma(k + 0.5) for k in range(4096)]), np.array([math.lgamma(k + 1.0) for k in range(8192)])
@@ -90,9 +90,12 @@ def window_codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     for k in range(1, depth + 1):
         code = (code << np.uint64(8)) | buf[depth - k : depth - k + n]
     code = (code << np.uint64(8)) | buf[depth:]
-    own = np.repeat(np.arange(len(texts)), size)
-    real = np.arange(len(buf)) - np.repeat(np.cumsum(size) - size, size) >= depth
-    return code[real[depth:]], own[depth:][real[depth:]]
+    own = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    real = np.ones(len(buf), bool)
+    for k in range(depth):  # windows that end in what stands before a text
+        real[np.cumsum(size) - size + k] = False
+    real = real[depth:]
+    return code[real], own[depth:][real]
 
 
 class Lookup:
@@ -431,7 +434,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     chunks = max(1, -(-size // chunk_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
     sent = dealt.groupBy("chunk").applyInArrow(_reader(depth, chunks), "chunk int, bucket int, kind string, key binary, n binary")
-    # both read one exchange of what was sent
+    # both read one exchange of what was sent, a bucket or two in a task: joined partitions would fill the executors' memory
+    sent = sent.repartition(2 * chunks, "bucket", "kind")
     parts = sent.groupBy("bucket", "kind").applyInArrow(_parts(depth), _NODES)
     two = parts.groupBy("pair").applyInArrow(_under_two_bytes, _NODES)
     one = two.where("bucket < 0").groupBy("byte").applyInArrow(_under_one_byte, _NODES)
