@@ -37,7 +37,7 @@ FUZZY_LIFT = 5.0
 STEMS = range(3, 8)
 WINDOW = 8
 THRESHOLD = 0.5
-CACHED_WORDS, STATES = 400_000, 200_000
+CACHED_WORDS, STATES = 200_000, 50_000
 #: Verbs and nouns that announce a quotation, in four languages.
 REPORTING = frozenset("said says say saying called calls wrote writes quoted quote quotes quoting reported reports word words term slur insult dit disait écrit cité citation mot sagte sagt schrieb zitat zitiert wort dijo dice escribió cita palabra".split())
 OPENERS, MARKS = frozenset("\"“„«‚‘"), frozenset("\"“”„«»‚‘’")
@@ -276,17 +276,19 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c.lower() not in (score_col.lower(), predicted_col.lower())]
     own = free_names([*names, score_col, predicted_col], "own_text")[0]
-    rows = docs.select(*quoted(names), F.col(text_col).alias(own))
+    lower = [c.lower() for c in names]
+    at = lower.index(text_col.lower()) if text_col.lower() in lower else len(names)
+    rows = docs.select(*quoted(names), *[F.col(text_col).alias(own)] * (at == len(names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         scan, w = Scanner(m.terms), np.array(m.weights)
         for b in batches:
-            x = (np.array([scan.features(t.as_py()) for t in b.column(len(names))]).reshape(-1, len(w)) - m.centre) / m.scale
+            x = (np.array([scan.features(t.as_py()) for t in b.column(at)]).reshape(-1, len(w)) - m.centre) / m.scale
             p = 1 / (1 + np.exp(-np.clip(x @ w + m.bias, -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, score_col, predicted_col])
 
-    kept = rows.drop(own).schema
+    kept = docs.select(*quoted(names)).schema
     return rows.mapInArrow(run, kept.add(score_col, "double").add(predicted_col, "integer"))
 
 

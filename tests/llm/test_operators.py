@@ -19,6 +19,7 @@ import corpus_pipeline
 from flowsift.llm import decontaminate, exact_dedup, language_model, packing, pii, quality, simhash, token_counts, tokens, toxicity, warc
 from flowsift.llm.queries import QUERIES
 from flowsift.llm.sql import ORACLE_SQL
+from tests.llm.pii_sample import SAMPLE
 from tests.oracle import assert_same, connection
 
 SMALL = "/root/testdata/sf0.001"
@@ -136,6 +137,77 @@ def test_planted_passages_are_found(spark, docs):
     assert planted <= found
 
 
+def _plain_template(text: str) -> list[tuple[str, str, bool]]:
+    """(token of the template, value, is a slot) of each word, word by word."""
+    text = re.sub(r"(?<=\d)(?=[A-Za-z%€$£])", " ", text or "")
+    out, sentence, number = [], True, False
+    for raw in text.split():
+        core = raw
+        while core and not (core[-1].isalnum() or core[-1] in "%€$£"):
+            core = core[:-1]
+        while core and not (core[0].isalnum() or core[0] in "%€$£"):
+            core = core[1:]
+        ends = raw[-1:] in ".!?:" or raw[-2:-1] in ".!?"
+        if not core:
+            sentence = sentence or ends
+            continue
+        value = core.lower()
+        kind = "n" if value.lstrip("$€£").replace(",", "").replace(".", "", 1).isdigit() else "u" if number and value in decontaminate.UNITS else "N" if core[0].isupper() and not sentence else ""
+        out.append((f"<{kind}>" if kind else value, value, bool(kind), f"{kind}:{raw.strip('.,;:!?()').lower()}"))
+        sentence, number = ends, kind == "n"
+    return out
+
+
+def _plain_windows(words, width):
+    """(place, key, slots) of each window; a window with few plain words is known by its values."""
+    for p in range(len(words) - width + 1):
+        part = words[p : p + width]
+        few = sum(not w[2] for w in part) < min(decontaminate.LITERALS, width)
+        yield p, (few, *(w[1] if few else w[0] for w in part)), [(k, w[3]) for k, w in enumerate(part) if w[2]]
+
+
+def test_leak_query_against_plain_templates(spark, docs):
+    items = {}
+    for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
+        words = _plain_template(r["text"])
+        items[r["item_id"]] = (width := min(8, len(words)), [(p, key, slots) for p, key, slots in _plain_windows(words, width)] if width else [])
+    by_key: dict = {}
+    for item, (width, windows) in items.items():
+        for p, key, slots in windows:
+            by_key.setdefault((width, key), []).append((item, p, slots))
+    want = set()
+    for i, text in zip(docs.doc_id, docs.text):
+        words, runs = _plain_template(text), {}
+        for width in {w for w, _ in items.values() if w}:
+            for p, key, slots in _plain_windows(words, width):
+                for item, at, theirs in by_key.get((width, key), []):
+                    same = [k for k, _ in slots] == [k for k, _ in theirs]
+                    runs.setdefault((item, p - at), set()).add((at, tuple((k + at, a, b) for (k, a), (_, b) in zip(theirs, slots)) if same else ()))
+        counted: dict = {}
+        for (item, _), matched in runs.items():
+            for at, other in decontaminate.counted_windows([(at, list(s)) for at, s in matched]):
+                counted.setdefault(item, {}).setdefault(at, []).append(other)
+        for item, places in counted.items():
+            if len(places) >= decontaminate.COVERAGE * len(items[item][1]):
+                want.add((i, item, len(places), len(items[item][1]), any(o for os in places.values() for o in os)))
+    got = {(r["doc_id"], r["item_id"], r["matched_windows"], r["item_windows"], r["reparameterised"]) for r in QUERIES["op3_benchmark_decontamination"](spark, SMALL).collect()}
+    assert got == want and got
+
+
+def test_token_query_against_the_tokenizer(spark, docs):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    got = {r["doc_id"]: r for r in QUERIES["op8_token_counts"](spark, SMALL).collect()}
+    edits = {r["doc_id"]: r["e"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", token_counts.review_edits(F.col("text")).alias("e")).collect()}
+    for i, text in zip(docs.doc_id, docs.text):
+        edited = text
+        for e in edits[i]:
+            edited = edited[: e["start"]] + e["text"] + edited[e["end"] :]
+        r = got[i]
+        assert (r["n_tokens"], r["n_tokens_edited"], r["n_chars_edited"]) == (len(plain.encode(text, add_special_tokens=False).ids), len(plain.encode(edited, add_special_tokens=False).ids), len(edited))
+
+
 def test_language_model_base_and_distribution(spark, docs):
     got = {r["doc_id"]: r for r in QUERIES["op4_context_tree_lm"](spark, SMALL).collect()}
     words = {i: t.encode().lower().split() + [b"\n"] for i, t in zip(docs.doc_id, docs.text)}
@@ -313,6 +385,51 @@ def test_base_spans_against_plain_patterns():
         assert pii.base_spans(text) == want
 
 
+def _plain_base(text: str) -> list[tuple[str, int, int]]:
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, pattern in plain.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or kind == "ip" and all(int(x) < 256 for x in m[0].split(".")) or kind == "card" and 16 <= len(d) <= 19 and pii.luhn(d) or kind == "phone" and 8 <= len(d) <= 15:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_personal_data_query_against_plain_patterns(spark, docs):
+    got = {r["doc_id"]: r for r in QUERIES["op10_pii"](spark, SMALL).collect()}
+    for i, text in zip(docs.doc_id, docs.text):
+        base = _plain_base(text or "")
+        counts = Counter(k for k, _, _ in base)
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        r = got[i]
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(counts[k] for k in ("email", "ip", "card", "phone"))
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) <= {*r["spans"].split(","), ""}
+
+
+def test_added_spans_on_hand_written_lines():
+    """Precision and recall of the spans beside the base ones; the lines are not of the generator that the trees learn from."""
+    model, right, found, known = pii.fit(), 0, 0, 0
+    for text, want in SAMPLE:
+        got = {(k, text[s:e]) for k, s, e in pii.select(text, pii.base_spans(text), *model)}
+        right, found, known = right + len(got & set(want)), found + len(got), known + len(want)
+    assert right >= 0.9 * known and right >= 0.9 * found
+
+
+def test_spans_of_a_long_text_in_linear_time():
+    import time
+
+    model, line = pii.fit(examples=700), "call 555-867-5309 or write to joe@mail.example about 4111/1111/1111/1111 and 10:12:14, ssn 123-45-6789. "
+    took = []
+    for n in (2000, 8000):
+        text, began = line * n, time.process_time()
+        base = pii.base_spans(text)
+        spans = pii.select(text, base, *model)
+        took.append(time.process_time() - began)
+        assert len(base) == n and len(spans) % n == 0 and spans
+    assert took[1] < 7 * took[0]
+
+
 def test_added_spans_and_redaction():
     text = 'write to john.doe at mail dot com, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", order 2024-01-02'
     spans = pii._joined(pii.select(text, pii.base_spans(text), *pii.fit()))
