@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsift.operators import extractors, flows, payl
 from flowsift.operators.extractors import FlowSettings
+from flowsift.plans import extract
 from flowsift.sources import pcap
 from tests.captures import cooked, ethernet, ip_packet, pcap_file, pcapng_file
 
@@ -134,6 +135,15 @@ def test_packet_features(packets):
     assert (rows[4]["src_ip"], rows[4]["src_port"], rows[4]["frame_len"], rows[4]["tcp_flags"]) == (-1000, -1000, 60, 0)
 
 
+@pytest.mark.parametrize("extractor", ["flow_extractor", "flows_payload", "payl_flows"])
+def test_features_as_a_file(spark, tmp_path, extractor):
+    (tmp_path / "a.pcap").write_bytes(pcap_file(hand_made()))
+    rows = extract.extract_flows(spark, f"{tmp_path}/a.pcap", f"{tmp_path}/out", extractor, FlowSettings(frozenset({"tcp"})), one_hot=True)
+    back = spark.read.option("header", True).csv(f"{tmp_path}/out")
+    assert rows.count() == back.count() == 3 and {"protocol_ohe_6", "protocol_ohe_17"} <= set(back.columns) and "protocol" not in back.columns
+    assert ("freq_byte_255" in back.columns, "std_payl_dist" in back.columns) == (extractor == "flows_payload", extractor == "payl_flows")
+
+
 def test_made_up_features(spark):
     assert extractors.test_features(spark, 3, True).count() == 12
     assert [r["features"] for r in extractors.test_features(spark, 4, False).orderBy("pkt_idx").collect()] == [[-100.0, -200.0], [1.0, 1.0], [1.0, 1.0], [-100.0, -200.0]]
