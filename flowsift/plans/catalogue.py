@@ -95,12 +95,12 @@ DIRECTED = "f AS (SELECT *, event_type IN ('click', 'view') AS forward FROM s) "
 
 
 _STATS = ", ".join(
-    f"round(coalesce(sum(length) FILTER ({own}), -1), 4) AS {d}_sum_pkt_length, round(coalesce(avg(length) FILTER ({own}), -1), 4) AS {d}_mean_pkt_length, round(coalesce(min(length) FILTER ({own}), -1), 4) AS {d}_min_pkt_length, "
-    f"round(coalesce(max(length) FILTER ({own}), -1), 4) AS {d}_max_pkt_length, round(coalesce(stddev_pop(length) FILTER ({own}), -1), 4) AS {d}_std_pkt_length, count(*) FILTER ({own}) AS {d}_n_packets, "
-    f"round(count(*) FILTER ({own}) / coalesce(nullif((arg_max(ts_us, pkt_idx) FILTER ({own}) - arg_min(ts_us, pkt_idx) FILTER ({own})) / 1e6, 0), 1), 4) AS {d}_packets_per_s, "
-    f"round(coalesce(sum(length) FILTER ({own}) / coalesce(nullif((arg_max(ts_us, pkt_idx) FILTER ({own}) - arg_min(ts_us, pkt_idx) FILTER ({own})) / 1e6, 0), 1), -1), 4) AS {d}_bytes_per_s, "
-    f"round(coalesce(avg(pkt_idx % 64) FILTER ({own}), -1), 4) AS {d}_avg_ttl, round(coalesce(stddev_pop(gap) FILTER ({own}), -1), 4) AS {d}_iat_std, round(coalesce(min(gap) FILTER ({own}), -1), 4) AS {d}_iat_min, "
-    f"round(coalesce(max(gap) FILTER ({own}), -1), 4) AS {d}_iat_max, round(coalesce(sum(gap) FILTER ({own}), -1), 4) AS {d}_iat_sum"
+    f"round(coalesce(sum(length) FILTER ({own}), -1), 7) AS {d}_sum_pkt_length, round(coalesce(avg(length) FILTER ({own}), -1), 7) AS {d}_mean_pkt_length, round(coalesce(min(length) FILTER ({own}), -1), 7) AS {d}_min_pkt_length, "
+    f"round(coalesce(max(length) FILTER ({own}), -1), 7) AS {d}_max_pkt_length, round(coalesce(stddev_pop(length) FILTER ({own}), -1), 7) AS {d}_std_pkt_length, count(*) FILTER ({own}) AS {d}_n_packets, "
+    f"round(count(*) FILTER ({own}) / coalesce(nullif((arg_max(ts_us, pkt_idx) FILTER ({own}) - arg_min(ts_us, pkt_idx) FILTER ({own})) / 1e6, 0), 1), 7) AS {d}_packets_per_s, "
+    f"round(coalesce(sum(length) FILTER ({own}) / coalesce(nullif((arg_max(ts_us, pkt_idx) FILTER ({own}) - arg_min(ts_us, pkt_idx) FILTER ({own})) / 1e6, 0), 1), -1), 7) AS {d}_bytes_per_s, "
+    f"round(coalesce(avg(pkt_idx % 64) FILTER ({own}), -1), 7) AS {d}_avg_ttl, round(coalesce(stddev_pop(gap) FILTER ({own}), -1), 7) AS {d}_iat_std, round(coalesce(min(gap) FILTER ({own}), -1), 7) AS {d}_iat_min, "
+    f"round(coalesce(max(gap) FILTER ({own}), -1), 7) AS {d}_iat_max, round(coalesce(sum(gap) FILTER ({own}), -1), 7) AS {d}_iat_sum"
     for d, own in (("fwd", "forward"), ("bwd", "NOT forward"))
 )
 
@@ -110,7 +110,7 @@ def q_flow_direction_stats(spark, d):
     rows = flow_packets(spark, d).withColumns({"forward": F.col("event_type").isin("click", "view"), "ttl": F.col("pkt_idx") % 64})
     rows = rows.withColumn("gap", (F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy(*FLOW, "forward").orderBy("pkt_idx"))) / 1e6)
     parts = (("fwd", F.col("forward")), ("bwd", ~F.col("forward")))
-    return rounded(rows.groupBy(*FLOW).agg(*[c for name, own in parts for c in extractors.direction_features(name, own, "gap", "length")]))
+    return rounded(rows.groupBy(*FLOW).agg(*[c for name, own in parts for c in extractors.direction_features(name, own, "gap", "length")]), 7)
 
 
 @query(S[:-2] + " SELECT pkt_idx, event_type = first_value(event_type) OVER (PARTITION BY user_id, flow_seq ORDER BY pkt_idx) AS forward FROM s")
@@ -366,10 +366,10 @@ NEAREST = """, r AS (SELECT d.doc_id, d.protocol, d.port, t.length AS near_lengt
  g AS (SELECT f.doc_id, f.protocol, coalesce(sum(abs(c.mean - f.freq) / (c.std + 0.0001)), -1) AS distance FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = 1 LEFT JOIN c ON c.protocol = f.protocol AND c.port = f.port AND c.length = r.near_length AND c.byte = f.byte GROUP BY ALL) """
 
 
-@query(BYTES + "SELECT doc_id, byte, round(freq, 6) AS freq FROM f WHERE freq > 0")
+@query(BYTES + "SELECT doc_id, byte, freq FROM f WHERE freq > 0")
 def q_byte_frequencies(spark, d):
     rows = payl.byte_shares(table(spark, d, "documents"), "text", ["doc_id"])
-    return rows.select("doc_id", F.posexplode("freq").alias("byte", "freq")).where("freq > 0").select("doc_id", "byte", F.round("freq", 6).alias("freq"))
+    return rows.select("doc_id", F.posexplode("freq").alias("byte", "freq")).where("freq > 0")
 
 
 def payloads(spark: SparkSession, d: str) -> DataFrame:
@@ -604,7 +604,7 @@ def _flows_sql(tcp: bool) -> str:
 def _extractor_sql() -> str:
     limit = SUBFLOW / 1e6
     cols = []
-    r = lambda v, name, none="-1": cols.append(f"round(coalesce({v}, {none}), 4) AS {name}")
+    r = lambda v, name, none="-1": cols.append(f"round(coalesce({v}, {none}), {9 if name.startswith('mean_') else 7}) AS {name}")
     n = lambda v, name: cols.append(f"CAST({v} AS BIGINT) AS {name}")
     for d, own, gap in (("total", "true", "gap"), ("fwd", "forward", "own_gap"), ("bwd", "NOT forward", "own_gap")):
         on = f"FILTER ({own})"
@@ -644,7 +644,8 @@ def _extractor_sql() -> str:
 
 @query(_extractor_sql())
 def q_flow_extractor(spark, d):
-    return rounded(extractors.flow_features(captured(spark, d), SETTINGS))
+    rows = extractors.flow_features(captured(spark, d), SETTINGS)
+    return rows.select(*[F.round(c, 9 if c.startswith("mean_") else 7).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
 @query("SELECT * FROM (VALUES ('', 42), ('basic', 3), ('port_decimal', 56), ('with_ip_addr', 44), ('ip_dotted with_ip_addr', 74), ('subflows', 59), ('tcp', 61), ('hindsight', 48), ('basic tcp', 3)) v(modes, n_features)")
@@ -657,11 +658,11 @@ def q_extractor_modes(spark, d):
 
 
 @query(_flows_sql(False) + """, b AS (SELECT flow_first, ('0x' || x)::INTEGER AS byte, count(*) AS k FROM (SELECT flow_first, unnest(regexp_extract_all(hex(encode(props)), '..')) AS x FROM h) GROUP BY ALL), t AS (SELECT flow_first, sum(octet_length(encode(props))) AS total, count(*) AS n FROM h GROUP BY ALL)
- SELECT t.flow_first, t.n AS total_n_packets, byte, round(k / total, 6) AS freq FROM t JOIN b USING (flow_first)""")
+ SELECT t.flow_first, t.n AS total_n_packets, byte, k / total AS freq FROM t JOIN b USING (flow_first)""")
 def q_flows_payload(spark, d):
     rows = extractors.payload_flows(captured(spark, d), SHORT_FLOWS)
     freq = F.filter(F.array(*[F.struct(F.lit(i).alias("byte"), F.col(f"freq_byte_{i}").alias("freq")) for i in range(256)]), lambda b: b["freq"] > 0)
-    return rows.select("flow_first", "total_n_packets", F.explode(freq).alias("b")).select("flow_first", "total_n_packets", "b.byte", F.round("b.freq", 6).alias("freq"))
+    return rows.select("flow_first", "total_n_packets", F.explode(freq).alias("b")).select("flow_first", "total_n_packets", "b.byte", "b.freq")
 
 
 @query(_flows_sql(False) + """, x AS (SELECT pkt_idx, flow_first, protocol, dst_port AS port, octet_length(encode(props)) AS length, hex(encode(props)) AS hx FROM h), b AS (SELECT pkt_idx, ('0x' || y)::INTEGER AS byte, count(*) AS k FROM (SELECT pkt_idx, unnest(regexp_extract_all(hx, '..')) AS y FROM x) GROUP BY ALL),
