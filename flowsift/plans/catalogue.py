@@ -478,9 +478,9 @@ def _engine(spark, d, make):
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id AS i, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, i) AS k FROM p), n AS (SELECT * FROM r WHERE k <= 20), reach AS (SELECT q AS i, max(d) AS reach FROM n GROUP BY q),
  dens AS (SELECT n.q AS i, 1 / (avg(greatest(d, reach)) + 1e-10) AS density FROM n JOIN reach USING (i) GROUP BY n.q), s AS (SELECT q, i, d FROM n WHERE k < 20 UNION ALL SELECT vec_id, vec_id, 0 FROM e),
- o AS (SELECT s.q AS vec_id, avg(density) * (avg(greatest(d, reach)) + 1e-10) AS score FROM s JOIN reach USING (i) JOIN dens USING (i) GROUP BY s.q) SELECT vec_id, round(score, 4) AS score, CASE WHEN score > 1.5 THEN 1 ELSE 0 END AS label FROM o""")
+ o AS (SELECT s.q AS vec_id, avg(density) * (avg(greatest(d, reach)) + 1e-10) AS score FROM s JOIN reach USING (i) JOIN dens USING (i) GROUP BY s.q) SELECT vec_id, round(score, 6) AS score, CASE WHEN score > 1.5 THEN 1 ELSE 0 END AS label FROM o""")
 def q_lof(spark, d):
-    return rounded(engines.local_outlier_factor(_matrix(spark, d), "vec_id", "features").withColumn("label", (F.col("score") > 1.5).cast("int")))
+    return rounded(engines.local_outlier_factor(_matrix(spark, d), "vec_id", "features").withColumn("label", (F.col("score") > 1.5).cast("int")), 6)
 
 
 @query()
