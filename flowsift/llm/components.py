@@ -19,6 +19,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     make it start over. No edges give no rows; edges of a node with itself are ignored; repeated edges count once; nulls are not allowed.
     """
     now, seen = stored(_tidy(edges), "edges"), None
+    if now.isEmpty():
+        return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     while True:
         both = now.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionAll(now.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
