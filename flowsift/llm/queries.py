@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import decontaminate, exact_dedup, language_model, packing, pii, quality, simhash, token_counts, toxicity, warc
+from flowsift.llm import decontaminate, exact_dedup, language_model, packing, pii, quality, simhash, token_counts, toxicity, vector_codes, warc
 from flowsift.llm.common import fold
 
 
@@ -63,6 +63,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_context_tree_lm, op5_best_fit_packing, op6_quality_classifier, op7_toxicity, op8_token_counts, op9_warc, op10_pii)
+    f.__name__: f for f in (op1_exact_dedup, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_context_tree_lm, op5_best_fit_packing, op6_quality_classifier, op7_toxicity, op8_token_counts, op9_warc, op10_pii, op11_vector_codes)
 }

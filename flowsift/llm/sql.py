@@ -1,5 +1,34 @@
 """DuckDB SQL for the numbered queries that SQL can express."""
 
+
+def _vector_codes() -> str:
+    """Product codes by plain comparison with every entry: assignment and update are the same text for each round."""
+
+    def assigned(round_: int) -> str:
+        return f"""
+        d{round_} AS MATERIALIZED (SELECT p.vec_id, p.part, min({{'d': list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': c.entry}}) AS m
+            FROM p JOIN c{round_} c ON p.part = c.part GROUP BY ALL)"""
+
+    def updated(round_: int) -> str:
+        return f"""
+        s{round_} AS (SELECT d.part, d.m.e AS entry, unnest(range(1, len(p.v) + 1)) AS place, unnest(p.v) AS x FROM d{round_} d JOIN p ON d.vec_id = p.vec_id AND d.part = p.part),
+        m{round_} AS (SELECT part, entry, place, sum(x) AS s, count(*) AS n FROM s{round_} GROUP BY ALL),
+        f{round_} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS v FROM m{round_} GROUP BY ALL),
+        c{round_ + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(f.v, c.v) AS v FROM c{round_} c LEFT JOIN f{round_} f ON c.part = f.part AND c.entry = f.entry)"""
+
+    return f"""
+        WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, r.part, v[r.part * (len(v) // 16) + 1 : (r.part + 1) * (len(v) // 16)] AS v FROM k, range(16) r(part)),
+        first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 64),
+        c0 AS MATERIALIZED (SELECT p.part, first.entry, p.v FROM p JOIN first ON p.vec_id = first.vec_id),
+        {assigned(0)}, {updated(0)}, {assigned(1)}, {updated(1)}, {assigned(2)},
+        coded AS (SELECT vec_id, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM d2 GROUP BY vec_id),
+        books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+        SELECT coded.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN k ON coded.vec_id = k.vec_id, books"""
+
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS h FROM documents),
@@ -15,4 +44,5 @@ ORACLE_SQL: dict[str, str] = {
                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(p.h, CAST(5 * j + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * k AS INTEGER)) % 32 + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
             CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
         FROM p JOIN f ON p.h = f.h""",
+    "op11_vector_codes": _vector_codes(),
 }
