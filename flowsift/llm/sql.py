@@ -29,6 +29,28 @@ def _vector_codes() -> str:
 
 
 
+def _spelling() -> str:
+    """Spelling variants: CRC-32 bit by bit, pairs over words with one letter taken out, edit distance with one byte for each letter."""
+    wide, upper = "".join(map(chr, range(0xC0, 0x100))), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    bytes_ = "".join(map(chr, range(33, 97))).replace("'", "''")
+    narrow = lambda w: f"translate({w}, '{wide}', '{bytes_}')"
+    return f"""
+        WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z{wide[0]}-{wide[-1]}]+')), '{upper}', '{upper.lower()}') AS run FROM documents),
+        counted AS MATERIALIZED (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS marked, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+        bits AS (SELECT run, n, flatten(list_transform(string_split(marked, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]
+            ELSE [195, -1, -1, -1, -1, -1, -1, -1, -1, ord(c) - 64, -1, -1, -1, -1, -1, -1, -1, -1] END)) AS b FROM counted),
+        hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, CAST(b AS BIGINT[])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h FROM bits),
+        w AS MATERIALIZED (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+            FROM hashed GROUP BY 1 HAVING sum(n) >= 5 AND length(word) >= 6),
+        less AS MATERIALIZED (SELECT word, n, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)), word))) AS piece FROM w),
+        pairs AS MATERIALIZED (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.piece = b.piece AND a.word <> b.word WHERE levenshtein({narrow("a.word")}, {narrow("b.word")}) = 1),
+        near AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word),
+        f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM w LEFT JOIN near ON w.word = near.word),
+        up(word, root, depth) AS (SELECT word, word, 0 FROM f UNION ALL SELECT up.word, f.form, depth + 1 FROM up JOIN f ON up.root = f.word WHERE f.form IS NOT NULL),
+        ends AS (SELECT word, arg_max(root, depth) AS root FROM up GROUP BY word)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends ON f.word = ends.word"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS h FROM documents),
@@ -45,4 +67,5 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
         FROM p JOIN f ON p.h = f.h""",
     "op11_vector_codes": _vector_codes(),
+    "op12_spelling_variants": _spelling(),
 }
