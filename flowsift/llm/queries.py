@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import decontaminate, exact_dedup, language_model, packing, pii, quality, simhash, spelling, token_counts, toxicity, vector_codes, warc
+from flowsift.llm import decontaminate, exact_dedup, html_text, language_model, packing, pii, quality, simhash, spelling, token_counts, toxicity, vector_codes, warc
 from flowsift.llm.common import fold
 
 
@@ -71,6 +71,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_context_tree_lm, op5_best_fit_packing, op6_quality_classifier, op7_toxicity, op8_token_counts, op9_warc, op10_pii, op11_vector_codes, op12_spelling_variants)
+    f.__name__: f for f in (op1_exact_dedup, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_context_tree_lm, op5_best_fit_packing, op6_quality_classifier, op7_toxicity, op8_token_counts, op9_warc, op10_pii, op11_vector_codes, op12_spelling_variants, op13_html_extraction)
 }
