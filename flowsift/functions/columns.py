@@ -9,12 +9,13 @@ TCP, UDP = 6, 17
 #: TCP flag bits.
 FIN, SYN, RST, PSH, ACK, URG = 1, 2, 4, 8, 16, 32
 #: Assigned IP protocol numbers by name, and other names that labelled flows use for them.
+#: Labelled flows also name ip, any, isis, sccopmce, pri-enc, zero, ib, arp, udt and rtp; for them these stand for no number, so that such flows match no packet.
 PROTOCOLS = {name: int(number) for number, *names in (line.split() for line in """
-0 hopopt ip
+0 hopopt
 1 icmp
 2 igmp
 3 ggp
-4 ipv4 ipencap ipip
+4 ipv4 ipencap ipnip
 5 st st2
 6 tcp
 7 cbt
@@ -43,7 +44,7 @@ PROTOCOLS = {name: int(number) for number, *names in (line.split() for line in "
 30 netblt
 31 mfe-nsp
 32 merit-inp
-33 dccp
+33 dccp sep
 34 3pc
 35 idpr
 36 xtp
@@ -69,9 +70,8 @@ PROTOCOLS = {name: int(number) for number, *names in (line.split() for line in "
 56 tlsp
 57 skip
 58 ipv6-icmp icmp6
-59 ipv6-no
+59 ipv6-no ipv6-nonxt
 60 ipv6-opts
-61 any
 62 cftp
 64 sat-expak
 65 kryptolan
@@ -79,9 +79,9 @@ PROTOCOLS = {name: int(number) for number, *names in (line.split() for line in "
 67 ippc
 69 sat-mon
 70 visa
-71 ipcv ipcomp
+71 ipcv
 72 cpnx
-73 cphb
+73 cphb rspf
 74 wsn
 75 pvp
 76 br-sat-mon
@@ -102,7 +102,7 @@ PROTOCOLS = {name: int(number) for number, *names in (line.split() for line in "
 91 larp
 92 mtp
 93 ax.25
-94 ipnip
+94 ipip
 95 micp
 96 scc-sp aes-sp3-d
 97 etherip
@@ -115,7 +115,7 @@ PROTOCOLS = {name: int(number) for number, *names in (line.split() for line in "
 105 scps
 106 qnx
 107 a/n
-108 ipcomp-108
+108 ipcomp
 109 snp
 110 compaq-peer
 111 ipx-n-ip
@@ -130,13 +130,12 @@ PROTOCOLS = {name: int(number) for number, *names in (line.split() for line in "
 121 smp
 122 sm
 123 ptp
-124 isis
 125 fire
 126 crtp
 127 crudp
-128 sccopmce sps
+128 sscopmce
 129 iplt
-130 sps-130
+130 sps
 131 pipe
 132 sctp
 133 fc
@@ -145,9 +144,11 @@ PROTOCOLS = {name: int(number) for number, *names in (line.split() for line in "
 136 udplite
 137 mpls-in-ip
 138 manet
-139 shim6
-140 wesp
-141 rohc
+139 hip
+140 shim6
+141 wesp
+142 rohc
+143 ethernet
 144 unas
 255 reserved
 """.strip().splitlines()) for name in names}

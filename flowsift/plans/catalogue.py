@@ -192,10 +192,19 @@ def q_time_round_ceil(spark, d):
     return packets(spark, d).select(F.col("pkt_idx").alias("event_id"), C.whole_seconds(s, "round").cast("long").alias("rounded"), C.whole_seconds(s, "ceil").cast("long").alias("ceiled"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'view' THEN 6 WHEN 'click' THEN 17 WHEN 'error' THEN 1 END AS protocol, CASE WHEN event_id % 256 BETWEEN 144 AND 252 THEN 144 ELSE event_id % 256 END AS assigned FROM events")
+#: Names that labelled flows use and that stand for no number.
+NO_PROTOCOL = ("ip", "any", "isis", "sccopmce")
+PROTOCOL_NAMES = [*C.PROTOCOLS, *NO_PROTOCOL]
+
+
+@query(f"""
+WITH names(place, name, protocol) AS (VALUES {", ".join(f"({k}, '{n}', {C.PROTOCOLS.get(n, 'NULL')})" for k, n in enumerate(PROTOCOL_NAMES))})
+SELECT event_id, name, protocol, CASE WHEN event_id % 256 BETWEEN 144 AND 252 THEN 144 ELSE event_id % 256 END AS assigned
+FROM events JOIN names ON place = event_id % {len(PROTOCOL_NAMES)}""")
 def q_protocol_map(spark, d):
-    name = F.expr("CASE event_type WHEN 'view' THEN ' TCP' WHEN 'click' THEN 'udp ' WHEN 'error' THEN 'icmp' ELSE 'none' END")
-    return table(spark, d, "events").select("event_id", C.protocol_number(name).alias("protocol"), C.unassigned_protocol(F.col("event_id") % 256).alias("assigned"))
+    name = F.element_at(F.array(*map(F.lit, PROTOCOL_NAMES)), (F.col("event_id") % len(PROTOCOL_NAMES) + 1).cast("int"))
+    written = F.concat(F.lit(" "), F.upper(name), F.lit(" "))
+    return table(spark, d, "events").select("event_id", name.alias("name"), C.protocol_number(written).alias("protocol"), C.unassigned_protocol(F.col("event_id") % 256).alias("assigned"))
 
 
 @query(S + "v AS (SELECT user_id, flow_seq, 1 AS label FROM s GROUP BY ALL HAVING count(*) >= 3) SELECT s.pkt_idx, coalesce(v.label, 0) AS label FROM s LEFT JOIN v USING (user_id, flow_seq)")

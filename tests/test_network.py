@@ -106,3 +106,14 @@ def test_engines_take_all_rows(spark, tmp_path):
     forest = engines.isolation_forest(far, "vec_id", "embedding")
     score = forest(np.array([[0.0, 9.0], [0.0, 0.5]]))
     assert forest.size == 256 and len(forest.trees) == 100 and score[0] > score[1]
+
+
+def test_protocol_numbers(spark):
+    # fixed values: names of labelled flows that system tables lack or number otherwise
+    named = {"nvp": 11, "sep": 33, "ospf": 89, "swipe": 53, "ipnip": 4, "argus": 13, "bbn-rcc": 10, "st2": 5, "dcn": 19, "mhrp": 48, "ipv6-no": 59, "micp": 95, "aes-sp3-d": 96, "ipx-n-ip": 111, "sm": 122, "unas": 144}
+    none = ["ip", "any", "isis", "sccopmce", "pri-enc", "zero", "ib", "arp", "udt", "rtp"]
+    assert {n: C.PROTOCOLS.get(n) for n in named} == named and not set(none) & set(C.PROTOCOLS)
+    rest = {"tcp": 6, "udp": 17, "icmp": 1, "igmp": 2, "ggp": 3, "egp": 8, "gre": 47, "esp": 50, "ah": 51, "ipip": 94, "ipcomp": 108, "sps": 130, "sctp": 132, "l2tp": 115, "ipv6-frag": 44, "hip": 139}
+    rows = [(f" {n.upper()}", v) for n, v in (named | rest).items()] + [(n, None) for n in [*none, None]]
+    df = spark.createDataFrame(rows, "name string, want int")
+    assert df.where(~C.protocol_number(F.col("name")).eqNullSafe(F.col("want"))).collect() == []
