@@ -491,6 +491,52 @@ def test_near_copies_against_exact_similarity(spark, most):
     assert got == dict(enumerate(_jaccard_components(rows, 0.8)))
 
 
+def _changed(r: random.Random, text: list[str], places, words: list[str]) -> list[str]:
+    text = list(text)
+    for at in places:
+        text[at] = r.choice(words)
+    return text
+
+
+def test_links_beside_refuted_ones_are_tried(spark):
+    """Of each family a and b are not alike (0.79), a and b2 are (0.82), b and b2 nearly the same; in others nothing is alike but by way of a third, or not at all."""
+    r, words = random.Random(9), [f"w{i}" for i in range(20_000)]
+    rows = []
+    for k in range(150):
+        base = [r.choice(words) for _ in range(300)]
+        places = r.sample(range(2, 298, 6), 8)
+        b2 = _changed(r, base, places[:6], words)
+        rows += [base, b2, _changed(r, b2, places[6:7], words)][:: -1 if k % 2 else 1]
+    for _ in range(20):
+        base = [r.choice(words) for _ in range(300)]
+        rows += [_changed(r, base, r.sample(range(2, 298, 6), 4), words) for _ in range(7)]
+    texts = [" ".join(t) for t in rows]
+    want = _jaccard_components(texts, 0.8)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = [(i, w) for i, w in enumerate(want) if w != i]
+    assert len(linked) >= 300
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] == got[w] for i, w in linked) >= 0.95 * len(linked)
+
+
+def test_forests_find_every_pair_in_the_end():
+    """Links that are refuted are not found again, and searches end when each link between components has been seen."""
+    rng = np.random.default_rng(11)
+    fp = np.unique(rng.integers(0, 1 << 63, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)))
+    n, label, seen, forests, rounds = len(fp), np.arange(len(fp)) // 3 * 3, set(), 1, 0
+    wanted = {(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]) <= 3)) if i < j and label[i] != label[j]}
+    while True:
+        refuted = np.array([i * n + j for i, j in seen], np.int64)
+        links = simhash.block_links(np.zeros(n, np.int64), fp[:, None], [3], simhash.Forests(n, forests, label, refuted))
+        found = {(min(x, y), max(x, y)) for i, j, _ in links.pairs for x, y in zip(i.tolist(), j.tolist())}
+        if not found:
+            break
+        assert not found & seen and found <= wanted
+        seen |= found
+        forests, rounds = forests * 4, rounds + 1
+    assert seen == wanted and rounds < 12
+
+
 def test_near_copies_recall_and_precision_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").toPandas()
     texts = docs.text.tolist()
