@@ -114,14 +114,16 @@ _EUCLIDEAN, _FITTED = ("minkowski", "euclidean", "l2", "correlation"), ("mahalan
 METRICS = (*_EUCLIDEAN, *_FITTED, *_DISTANCES)
 
 
-def metric_space(train: np.ndarray, metric: str) -> np.ndarray | None:
-    """The matrix that makes a fitted metric Euclidean: for mahalanobis from the covariance, for seuclidean from the variances; else None."""
+def space_matrix(covariance: np.ndarray, metric: str) -> np.ndarray:
+    """The matrix that makes a fitted metric Euclidean: for mahalanobis from the covariance, for seuclidean from the variances."""
     if metric == "mahalanobis":
-        values, vectors = np.linalg.eigh(np.atleast_2d(np.cov(train.T)))
+        values, vectors = np.linalg.eigh(covariance)
         return vectors * np.sqrt(_over(np.ones_like(values), np.where(values > 1e-12, values, 0)))
-    if metric == "seuclidean":
-        return np.diag(_over(np.ones(train.shape[1]), train.std(axis=0, ddof=1)))
-    return None
+    return np.diag(_over(np.ones(len(covariance)), np.sqrt(np.diag(covariance))))
+
+
+def metric_space(train: np.ndarray, metric: str) -> np.ndarray | None:
+    return space_matrix(np.atleast_2d(np.cov(train.T)), metric) if metric in _FITTED else None
 
 
 def distance_block(x: np.ndarray, y: np.ndarray, metric: str = "minkowski", p: float = 2, space: np.ndarray | None = None) -> np.ndarray:
@@ -194,57 +196,6 @@ class LocalOutlierFactor:
         return cls(**arrays, **params)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, ident: str = "vec_id", features: str = "embedding", p: float = 2, block: int = 8192) -> DataFrame:
-    """query_id, point_id, rank, distance of the k nearest points (itself left out) of each query, ties to the smaller id. ident is unique.
-
-    Queries and points are dealt to blocks by a hash; each pair of blocks is one task, which keeps the best of its points.
-    """
-    kind = dict(points.dtypes)[ident]
-    dealt = lambda rows, n, name: rows.select(F.col(ident).alias("id"), F.col(features).cast("array<double>").alias("v"), F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias(name))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    mine, theirs = (max(1, -(-r.count() // block)) for r in (queries, points))
-    left = dealt(queries, mine, "q").withColumn("p", every(theirs))
-    right = dealt(points, theirs, "p").withColumn("q", every(mine))
-
-    def near(left, right):
-        names = ["query_id", "point_id", "distance"]
-        right = right.sort_by("id")
-        if not left.num_rows or not right.num_rows:
-            return pa.table([left.column("id").slice(0, 0), left.column("id").slice(0, 0), pa.array([], pa.float64())], names)
-        x, train = (np.array(t.column("v").to_pylist(), float) for t in (left, right))
-        d, i = _near(x, train, k + 1, p, False)
-        return pa.table([left.column("id").take(pa.array(np.repeat(np.arange(len(x)), i.shape[1]))), right.column("id").take(pa.array(i.ravel())), pa.array(d.ravel())], names)
-
-    best = left.groupBy("q", "p").cogroup(right.groupBy("q", "p")).applyInArrow(near, f"query_id {kind}, point_id {kind}, distance double").where("query_id != point_id")
-    best = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "point_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "n")).select("query_id", "n.point_id", (F.col("rank") + 1).alias("rank"), "n.distance")
-
-
-def neighbours(rows: DataFrame, ident: str, features: str, k: int, p: float = 2, block: int = 8192) -> DataFrame:
-    """query_id, point_id, rank, distance of the k nearest other rows of every row."""
-    return knn(rows, rows, k, ident, features, p, block)
-
-
-def local_outlier_factor(rows: DataFrame, ident: str, features: str, k: int = 20, p: float = 2) -> DataFrame:
-    """ident, score: the factor of every row against all rows, itself among them, as LocalOutlierFactor scores its own training rows.
-
-    Exact, so the distances of all pairs of rows are computed. ident is unique.
-    """
-    n = rows.count()
-    if n < 2:
-        return rows.select(ident, F.lit(1.0).alias("score")).limit(n)
-    k = min(k, n - 1)
-    near = neighbours(rows, ident, features, k, p).persist()
-    reach = near.groupBy("query_id").agg(F.max("distance").alias("reach")).select(F.col("query_id").alias("point_id"), "reach")
-    far = near.join(reach, "point_id")
-    density = (far.groupBy("query_id").agg((1 / (F.avg(F.greatest("distance", "reach")) + 1e-10)).alias("density")))
-    # scored as new rows, rows are their own first neighbours
-    own = near.select("query_id").distinct().select("query_id", F.col("query_id").alias("point_id"), F.lit(0.0).alias("distance"))
-    scored = near.where(F.col("rank") < k).select("query_id", "point_id", "distance").unionByName(own)
-    scored = scored.join(reach, "point_id").join(density.withColumnRenamed("query_id", "point_id"), "point_id")
-    return scored.groupBy(F.col("query_id").alias(ident)).agg((F.avg("density") * (F.avg(F.greatest("distance", "reach")) + 1e-10)).alias("score"))
-
-
 def isolation_forest(rows: DataFrame, ident: str, features: str, trees: int = 100, max_samples: int = 256, max_features: float = 0.5, seed: int = 0) -> IsolationForest:
     """The forest whose trees each grow from max_samples rows drawn of all rows (those of the smallest seeded hash)."""
     n = rows.count()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsift.functions import columns as C
-from flowsift.operators import engines, evaluation, extractors, flows, labels, payl, transformers
+from flowsift.operators import engines, evaluation, extractors, flows, labels, neighbours, payl, transformers
 from flowsift.plans import lifecycle, preprocess, reporting, store
 from flowsift.sources import label_csv, packet_labels, pcap
 
@@ -472,7 +472,7 @@ def q_threshold_percentile(spark, d):
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, point_id) AS rank FROM p) SELECT query_id, CAST(rank AS INTEGER) AS rank, round(distance, 4) AS distance FROM r WHERE rank <= 5""")
 def q_knn(spark, d):
     points = table(spark, d, "embeddings")
-    return rounded(engines.knn(points.where("vec_id % 50 = 0"), points, 5).select("query_id", "rank", "distance"))
+    return rounded(neighbours.knn(points.where("vec_id % 50 = 0"), points, 5).select("query_id", "rank", "distance"))
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -489,7 +489,7 @@ def _engine(spark, d, make):
  dens AS (SELECT n.q AS i, 1 / (avg(greatest(d, reach)) + 1e-10) AS density FROM n JOIN reach USING (i) GROUP BY n.q), s AS (SELECT q, i, d FROM n WHERE k < 20 UNION ALL SELECT vec_id, vec_id, 0 FROM e),
  o AS (SELECT s.q AS vec_id, avg(density) * (avg(greatest(d, reach)) + 1e-10) AS score FROM s JOIN reach USING (i) JOIN dens USING (i) GROUP BY s.q) SELECT vec_id, round(score, 6) AS score, CASE WHEN score > 1.5 THEN 1 ELSE 0 END AS label FROM o""")
 def q_lof(spark, d):
-    return rounded(engines.local_outlier_factor(_matrix(spark, d), "vec_id", "features").withColumn("label", (F.col("score") > 1.5).cast("int")), 6)
+    return rounded(neighbours.local_outlier_factor(_matrix(spark, d), "vec_id", "features").withColumn("label", (F.col("score") > 1.5).cast("int")), 6)
 
 
 @query()

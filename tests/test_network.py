@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsift.functions import columns as C
-from flowsift.operators import engines, evaluation, flows, labels, payl, transformers
+from flowsift.operators import engines, evaluation, flows, labels, neighbours, payl, transformers
 from flowsift.plans import catalogue
 from tests.oracle import assert_same, connection
 
@@ -98,7 +98,7 @@ def test_engines_take_all_rows(spark, tmp_path):
     want = engines.LocalOutlierFactor.fit(x)(x)
     got = {r["vec_id"]: r["score"] for r in catalogue.QUERIES["q_lof"](spark, str(tmp_path)).collect()}
     assert np.allclose([got[i] for i in range(len(x))], want, rtol=1e-5)
-    blocked = {(r["query_id"], r["rank"]): r["point_id"] for r in engines.neighbours(rows, "vec_id", "embedding", 3, block=500).collect()}
+    blocked = {(r["query_id"], r["rank"]): r["point_id"] for r in neighbours.neighbours(rows, "vec_id", "embedding", 3, block=500).collect()}
     _, at = engines._near(x, x, 3, 2, True)
     assert blocked == {(i, k + 1): int(at[i, k]) for i in range(len(x)) for k in range(3)}
     # the trees draw from all rows: one far row of 300 is met by most of 100 trees of 256 rows
