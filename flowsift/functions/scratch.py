@@ -26,9 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written once and read back; by: columns that get a folder for each value."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,8 @@
-"""One-class engines: k nearest neighbours and local outlier factor, isolation forest, one-class SVM, autoencoder.
+"""One-class engines: local outlier factor, isolation forest, one-class SVM, autoencoder.
 
-LOF is computed over all rows by joins, and each isolation tree grows in a task from its own seeded draw of all rows. The one-class SVM and
-the autoencoder are fitted by one task on a bounded sample (at most SAMPLE rows by default), of which only the fitted model goes to the
-driver; every row is scored by tasks that hold the small model. A model's state is a dictionary of parameters and one of arrays.
+These are the models and the fits that one task does on rows that it can hold. Fits over all rows of a table are in neighbours (the outlier factor), in
+isolation_forest() (each tree grows in a task from its own seeded draw of all rows) and in fitting (the SVM and the autoencoder). Rows are scored by tasks that hold
+the model. A model's state is a dictionary of parameters and one of arrays.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 20_000
 
-
-def sampled(rows: DataFrame, features: str, ident: str, sample: int = SAMPLE) -> DataFrame:
+def sampled(rows: DataFrame, features: str, ident: str, sample: int) -> DataFrame:
     """draw, id (text) and x of the rows with the smallest hash of ident, at most sample: a share of hashes that holds somewhat more is cut to size."""
     n = rows.count()
     share = min(1.0, (1.2 * sample + 100) / max(1, n))
@@ -29,8 +27,8 @@ def sampled(rows: DataFrame, features: str, ident: str, sample: int = SAMPLE) ->
     return rows.where(draw <= F.lit(int(-(2**63) + share * (2**64 - 2049)))).orderBy(draw, ident).limit(sample).select(draw.alias("draw"), F.col(ident).cast("string").alias("id"), F.col(features).cast("array<double>").alias("x"))
 
 
-def sample_matrix(rows: DataFrame, features: str, ident: str, sample: int = SAMPLE) -> np.ndarray:
-    """At most sample rows, those with the smallest hash of ident."""
+def sample_matrix(rows: DataFrame, features: str, ident: str, sample: int) -> np.ndarray:
+    """At most sample rows, those with the smallest hash of ident (for what needs no more than a sample, as the choice of pivots)."""
     return np.array([r["x"] for r in sampled(rows, features, ident, sample).collect()], float)
 
 
@@ -56,16 +54,9 @@ def model_of(rows: list) -> object:
     return MODELS[head["class"]].restored(head["params"], arrays)
 
 
-def fit_in_task(rows: DataFrame, features: str, ident: str, make: Callable[[np.ndarray], object], sample: int = SAMPLE):
-    """make() of the sampled matrix, in one task; None without rows."""
-
-    def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("draw", "ascending"), ("id", "ascending")])
-        model = make(np.array(table.column("x").to_pylist(), float))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*state_rows(model)), (pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()))], ["params", "name", "shape", "data"])
-
-    found = sampled(rows, features, ident, sample).withColumn("all", F.lit(1)).groupBy("all").applyInArrow(fit, _STATE).collect()
-    return model_of(found) if found else None
+def state_table(model) -> pa.Table:
+    """state_rows() for a task to return, as _STATE."""
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*state_rows(model)), (pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()))], ["params", "name", "shape", "data"])
 
 
 def score_rows(rows: DataFrame, ident: str, features: str, fn: Callable[[np.ndarray], np.ndarray], name: str = "score") -> DataFrame:
@@ -196,19 +187,21 @@ class LocalOutlierFactor:
         return cls(**arrays, **params)
 
 
-def isolation_forest(rows: DataFrame, ident: str, features: str, trees: int = 100, max_samples: int = 256, max_features: float = 0.5, seed: int = 0) -> IsolationForest:
-    """The forest whose trees each grow from max_samples rows drawn of all rows (those of the smallest seeded hash)."""
+def isolation_forest(rows: DataFrame, ident: str, features: str, trees: int = 100, max_samples: float | int = 256, max_features: float = 0.5, seed: int = 0, bootstrap: bool = False) -> IsolationForest | None:
+    """The forest whose trees each grow from max_samples rows (up to 1: that share of them) drawn of all rows: those of the smallest seeded hash, with bootstrap as many draws of these. None without rows."""
     n = rows.count()
-    size = min(max_samples, n)
+    if not n:
+        return None
+    size = min(int(max_samples if max_samples > 1 else max(2, max_samples * n)), n)
     # a row is sent to a tree if its hash is in a share that holds twice the sample; all rows are if that is most of them
-    share = 1.0 if n <= 4 * max_samples else (2 * size + 200) / n
+    share = 1.0 if n <= 4 * size else (2 * size + 200) / n
     draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col(ident)).alias("draw")))
     drawn = rows.select(features, ident, F.explode(F.filter(draws, lambda x: x["draw"] <= F.lit(int(-(2**63) + min(share, 1.0) * (2**64 - 2049))))).alias("t"))
     drawn = drawn.select("t.tree", "t.draw", F.col(ident).cast("string").alias("ident"), F.col(features).alias("v"))
 
     def grow(key, table):
         x = table.sort_by([("draw", "ascending"), ("ident", "ascending")]).slice(0, size).column("v").to_pylist()
-        forest = IsolationForest(np.array(x, float), 1, size, max_features, seed * 1_000_003 + key[0].as_py())
+        forest = IsolationForest(np.array(x, float), 1, max(2, size), max_features, seed * 1_000_003 + key[0].as_py(), bootstrap)
         return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "nodes": pa.array([forest.trees[0].tobytes()], pa.binary())})
 
     grown = drawn.groupBy("tree").applyInArrow(grow, "tree int, nodes binary").orderBy("tree").collect()
@@ -274,18 +267,26 @@ class OneClassSvm:
     """The nu formulation by pairwise coordinate steps; a negative value is an attack.
 
     Kernel columns are computed when they are needed, and the last ones kept, up to cache_mb. Steps go on until the gap is below tol; if max_iter (-1: none) ends
-    them before, a warning is given and converged is false.
+    them before, a warning is given and converged is false. total: rows that the training rows stand for (the others have no weight); start: weights to begin with, which
+    sum to 1. top is the largest kernel sum of a row with weight: a row outside whose sum is below top - tol would get weight.
     """
 
-    def __init__(self, train: np.ndarray, nu: float = 0.001, gamma: float = 0.005, kernel: str = "rbf", tol: float = 1e-3, coef0: float = 0.0, degree: int = 3, max_iter: int = -1, cache_mb: float = 500) -> None:
+    def __init__(self, train: np.ndarray, nu: float = 0.001, gamma: float = 0.005, kernel: str = "rbf", tol: float = 1e-3, coef0: float = 0.0, degree: int = 3, max_iter: int = -1, cache_mb: float = 500, total: int | None = None, start: np.ndarray | None = None) -> None:
         self.kernel, self.gamma, self.coef0, self.degree = kernel, gamma, coef0, degree
-        n = len(train)
-        bound = 1 / (nu * n)
+        n, stood_for = len(train), total or len(train)
+        bound = 1 / (nu * stood_for)
         alpha = np.zeros(n)
-        full = min(n, int(nu * n))
+        full = min(n, int(nu * stood_for))
         alpha[:full] = bound
         if full < n:
             alpha[full] = 1 - full * bound
+        if start is not None:
+            alpha = np.minimum(start / max(1.0, start.sum()), bound)
+            spare = 1 - alpha.sum()
+            for i in np.flatnonzero(alpha < bound) if spare > 1e-12 else ():
+                more = min(spare, bound - alpha[i])
+                alpha[i] += more
+                spare -= more
         held, most = {}, max(2, int(cache_mb * 1e6 / (8 * n)))
 
         def column(i: int) -> np.ndarray:
@@ -295,12 +296,12 @@ class OneClassSvm:
                 held[i] = self._k(train, train[i : i + 1])[:, 0]
             return held[i]
 
-        g = np.zeros(n)
-        for a in range(0, min(n, full + 1), 256):
-            g += self._k(train, train[a : min(a + 256, full + 1)]) @ alpha[a : min(a + 256, full + 1)]
+        g, weighted = np.zeros(n), np.flatnonzero(alpha)
+        for a in range(0, len(weighted), 256):
+            g += self._k(train, train[weighted[a : a + 256]]) @ alpha[weighted[a : a + 256]]
         self.converged, steps = False, 0
         while max_iter < 0 or steps < max_iter:
-            up, down = np.where(alpha < bound - 1e-12, g, np.inf), np.where(alpha > 1e-12, g, -np.inf)
+            up, down = np.where(alpha < bound * (1 - 1e-9), g, np.inf), np.where(alpha > bound * 1e-9, g, -np.inf)
             i, j = int(up.argmin()), int(down.argmax())
             if down[j] - up[i] < tol:
                 self.converged = True
@@ -313,9 +314,10 @@ class OneClassSvm:
             steps += 1
         if not self.converged:
             warnings.warn(f"stopped after {steps} steps above the tolerance of {tol}", stacklevel=2)
-        free = (alpha > 1e-9) & (alpha < bound - 1e-9)
-        self.rho = float(g[free].mean() if free.any() else (g[alpha > 1e-9].max() + g[alpha <= 1e-9].min()) / 2 if (alpha <= 1e-9).any() else g.max())
-        self.support, self.alpha = train[alpha > 1e-9], alpha[alpha > 1e-9]
+        least = 1e-6 * bound
+        free = (alpha > least) & (alpha < bound - least)
+        self.rho = float(g[free].mean() if free.any() else (g[alpha > least].max() + g[alpha <= least].min()) / 2 if (alpha <= least).any() else g.max())
+        self.support, self.alpha, self.top, self.kept = train[alpha > least], alpha[alpha > least], float(g[alpha > least].max()), np.flatnonzero(alpha > least)
 
     def _k(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         dot = a @ b.T
@@ -327,7 +329,7 @@ class OneClassSvm:
         return self._k(x, self.support) @ self.alpha - self.rho
 
     def state(self) -> tuple[dict, dict]:
-        return {k: getattr(self, k) for k in ("kernel", "gamma", "coef0", "degree", "rho", "converged")}, {"support": self.support, "alpha": self.alpha}
+        return {k: getattr(self, k) for k in ("kernel", "gamma", "coef0", "degree", "rho", "converged", "top")}, {"support": self.support, "alpha": self.alpha}
 
     @classmethod
     def restored(cls, params: dict, arrays: dict) -> OneClassSvm:
@@ -434,32 +436,62 @@ class Autoencoder:
         d = train.shape[1]
         self._build(d, [d, *layer_sizes(layers, d)], activation, loss, dropout, batch_norm, seed)
         rng = np.random.default_rng(seed + 1)
-        moments, t, self.history = {}, 0, []
-        best, waited = (math.inf, None), 0
+        self._begin(rate, patience)
         for _ in range(epochs):
             order, total = rng.permutation(len(train)), 0.0
             for a in range(0, len(train), batch):
-                x = train[order[a : a + batch]]
-                out = self._run(x, rng)
-                diff = out - x
-                total += float((diff**2 if loss == "mse" else np.abs(diff)).mean(1).sum())
-                grad = (2 * diff if loss == "mse" else np.sign(diff)) / diff.size
-                for layer in reversed(self.net):
-                    grad = layer.backward(grad)
-                t += 1
-                for i, layer in enumerate(self.net):
-                    for k, g in layer.grads.items():
-                        m, v = moments.get((i, k), (0.0, 0.0))
-                        m, v = moments[i, k] = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                        layer.params[k] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
-            self.history.append(total / len(train))
-            if patience >= 0:
-                if self.history[-1] < best[0]:
-                    best, waited = (self.history[-1], self.state()[1]), 0
-                elif (waited := waited + 1) > patience:
-                    break
-        if best[1]:
-            self._load(best[1])
+                error, grads = self.gradients(train[order[a : a + batch]], rng)
+                total += error
+                self.step([g / len(order[a : a + batch]) for g in grads])
+            if self.finished(total / len(train)):
+                break
+        self.end()
+
+    @classmethod
+    def untrained(cls, d: int, layers: str = "*0.7,*0.8,#1", activation: str = "relu", loss: str = "mse", rate: float = 1e-3, seed: int = 0, dropout: float = -1, batch_norm: bool = False, patience: int = -1) -> Autoencoder:
+        out = cls.__new__(cls)
+        out._build(d, [d, *layer_sizes(layers, d)], activation, loss, dropout, batch_norm, seed)
+        out._begin(rate, patience)
+        return out
+
+    def _begin(self, rate: float, patience: int) -> None:
+        self.rate, self.patience, self.history, self.steps = rate, patience, [], 0
+        self.moments: list | None = None
+        self.best, self.waited = (math.inf, None), 0
+
+    def gradients(self, x: np.ndarray, rng) -> tuple[float, list[np.ndarray]]:
+        """The summed loss of some rows, and the gradients of that sum by the weights in their order."""
+        diff = self._run(x, rng) - x
+        error = float((diff**2 if self.params["loss"] == "mse" else np.abs(diff)).mean(1).sum())
+        grad = (2 * diff if self.params["loss"] == "mse" else np.sign(diff)) / diff.shape[1]
+        for layer in reversed(self.net):
+            grad = layer.backward(grad)
+        return error, [layer.grads[k] for layer in self.net for k in layer.params]
+
+    def step(self, grads: list[np.ndarray]) -> None:
+        """One step of Adam along the gradients of the mean loss."""
+        self.steps += 1
+        self.moments = self.moments or [(np.zeros_like(g), np.zeros_like(g)) for g in grads]
+        places = [(layer, k) for layer in self.net for k in layer.params]
+        for i, ((layer, k), g) in enumerate(zip(places, grads)):
+            m, v = self.moments[i]
+            m, v = self.moments[i] = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            layer.params[k] -= self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-7)
+
+    def finished(self, loss: float) -> bool:
+        """Notes an epoch's mean loss; whether the patience is over."""
+        self.history.append(loss)
+        if self.patience >= 0:
+            if loss < self.best[0]:
+                self.best, self.waited = (loss, self.state()[1]), 0
+            else:
+                self.waited += 1
+        return self.patience >= 0 and self.waited > self.patience
+
+    def end(self) -> None:
+        """Goes back to the best weights, if there is a patience."""
+        if self.best[1]:
+            self._load(self.best[1])
 
     def _build(self, d: int, sizes: list[int], activation: str, loss: str, dropout: float, batch_norm: bool, seed: int = 0) -> None:
         self.params = {"d": d, "sizes": sizes, "activation": activation, "loss": loss, "dropout": dropout, "batch_norm": batch_norm}
@@ -494,8 +526,9 @@ class Autoencoder:
     @classmethod
     def restored(cls, params: dict, arrays: dict) -> Autoencoder:
         out = cls.__new__(cls)
-        out._build(**params)
+        out._build(**{k: v for k, v in params.items() if k != "history"})
         out._load(arrays)
+        out.history = params.get("history", [])
         return out
 
     def __getstate__(self):
@@ -508,7 +541,49 @@ class Autoencoder:
 MODELS = {c.__name__: c for c in (LocalOutlierFactor, IsolationForest, OneClassSvm, Autoencoder)}
 
 
+def exact_percentile(rows: DataFrame, value: str, share: float, most: int = 20_000) -> float | None:
+    """The percentile of the values that are not null, linear between neighbours; None without any.
+
+    Sketches narrow an interval around its ranks until at most `most` values, or equal ones, are left in it; so no task or driver holds more than that.
+    """
+    values = rows.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    n = values.count()
+    if not n:
+        return None
+    place = share * (n - 1)
+    ranks = [math.floor(place), math.ceil(place)]
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    before, inside = 0, n  # values below low, values from low to high
+    while inside > most and low < high:
+        near = values.where(F.col("v").between(low, high))
+        shares = [min(1.0, max(0.0, (r - before) / inside + move)) for r, move in zip(ranks, (-2e-4, 2e-4))]
+        a, b = near.agg(F.percentile_approx("v", shares, 10_000)).first()[0]
+        less, upto = near.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)).first()
+        new_low, new_high = a if before + less <= ranks[0] else low, b if before + upto > ranks[1] else high
+        if (new_low, new_high) == (low, high):
+            # both ends hold many equal values: go on between them, unless a rank is theirs
+            low_n, high_n = near.agg(F.count_if(F.col("v") == low), F.count_if(F.col("v") == high)).first()
+            if before + low_n > ranks[1]:
+                return low
+            if before + inside - high_n <= ranks[0]:
+                return high
+            between = near.where((F.col("v") > low) & (F.col("v") < high)).agg(F.min("v"), F.max("v")).first()
+            if between[0] is None or before + low_n > ranks[0] or before + inside - high_n <= ranks[1]:
+                pair = [low if r < before + low_n else high if r >= before + inside - high_n else (between[0] if r == before + low_n else between[1]) for r in ranks]
+                return pair[0] + (place - ranks[0]) * (pair[1] - pair[0])
+            before, inside, (low, high) = before + low_n, inside - low_n - high_n, between
+            continue
+        before += less if new_low == a else 0
+        low, high = new_low, new_high
+        inside = values.where(F.col("v").between(low, high)).count()
+    if low == high:
+        return low
+    held = sorted(r[0] for r in values.where(F.col("v").between(low, high)).collect())  # at most `most`
+    pair = [held[r - before] for r in ranks]
+    return pair[0] + (place - ranks[0]) * (pair[1] - pair[0])
+
+
 def over_percentile(rows: DataFrame, value: str, share: float, name: str = "label") -> DataFrame:
     """Adds name: whether value is over its exact percentile (linear between neighbours); 0 for null."""
-    limit = rows.agg(F.percentile(value, share)).first()[0]
+    limit = exact_percentile(rows, value, share)
     return rows.withColumn(name, F.coalesce((F.col(value) > F.lit(limit)).cast("int"), F.lit(0)))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsift.functions import columns as C
-from flowsift.operators import engines, evaluation, extractors, flows, labels, neighbours, payl, transformers
+from flowsift.operators import engines, evaluation, extractors, fitting, flows, labels, neighbours, payl, transformers
 from flowsift.plans import lifecycle, preprocess, reporting, store
 from flowsift.sources import label_csv, packet_labels, pcap
 
@@ -479,11 +479,6 @@ def _matrix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
 
 
-def _engine(spark, d, make):
-    rows = _matrix(spark, d)
-    return engines.score_rows(rows, "vec_id", "features", engines.fit_in_task(rows, "features", "vec_id", make))
-
-
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id AS i, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, i) AS k FROM p), n AS (SELECT * FROM r WHERE k <= 20), reach AS (SELECT q AS i, max(d) AS reach FROM n GROUP BY q),
  dens AS (SELECT n.q AS i, 1 / (avg(greatest(d, reach)) + 1e-10) AS density FROM n JOIN reach USING (i) GROUP BY n.q), s AS (SELECT q, i, d FROM n WHERE k < 20 UNION ALL SELECT vec_id, vec_id, 0 FROM e),
@@ -501,15 +496,16 @@ def q_isolation_forest(spark, d):
 
 @query()
 def q_one_class_svm(spark, d):
-    return _engine(spark, d, lambda x: engines.OneClassSvm(x, nu=0.05, gamma=0.5)).withColumn("label", (F.col("score") < 0).cast("int"))
+    rows = _matrix(spark, d)
+    svm = fitting.fit_one_class_svm(rows, "vec_id", "features", nu=0.05, gamma=0.5)
+    return engines.score_rows(rows, "vec_id", "features", svm).withColumn("label", (F.col("score") < 0).cast("int"))
 
 
 @query()
 def q_autoencoder(spark, d):
-    def make(x: np.ndarray):
-        return engines.Autoencoder(x, epochs=10)
-
-    return engines.over_percentile(_engine(spark, d, make), "score", 0.99)
+    rows = _matrix(spark, d)
+    auto = fitting.fit_autoencoder(rows, "vec_id", "features", epochs=10)
+    return engines.over_percentile(engines.score_rows(rows, "vec_id", "features", auto), "score", 0.99)
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY a.k, b.k, c.k) - 1 AS INTEGER) AS \"index\", a.v AS de_nu, b.v AS fe_timeout, c.v AS transformers FROM (VALUES (0, '0.1'), (1, '0.2')) a(k, v), (VALUES (0, '12'), (1, '60')) b(k, v), (VALUES (0, 'minmax_scaler'), (1, 'minmax_scaler,onehot_encoder')) c(k, v)")

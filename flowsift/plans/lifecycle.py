@@ -19,15 +19,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.operators import engines, evaluation, extractors, flows, transformers
+from flowsift.operators import engines, evaluation, extractors, fitting, flows, neighbours, transformers
 from flowsift.plans.store import METRICS, ResultStore
 
-#: Constructor, and whether an attack lies above the limit; a limit of None is a share of the training scores.
+#: Fit over all rows, and whether an attack lies above the limit; a limit of None is a share of the training scores.
 ENGINES: dict[str, tuple[Callable, bool, float | None]] = {
-    "local_outlier_factor": (engines.LocalOutlierFactor.fit, True, 1.5),
-    "isolation_forest": (engines.IsolationForest, True, 0.5),
-    "one_class_svm": (engines.OneClassSvm, False, 0.0),
-    "autoencoder": (engines.Autoencoder, True, None),
+    "local_outlier_factor": (neighbours.fit_outlier_factor, True, 1.5),
+    "isolation_forest": (engines.isolation_forest, True, 0.5),
+    "one_class_svm": (fitting.fit_one_class_svm, False, 0.0),
+    "autoencoder": (fitting.fit_autoencoder, True, None),
 }
 
 
@@ -52,6 +52,11 @@ EXTRACTORS: dict[str, Callable] = {"flow_extractor": extractors.flow_features, "
 _FITTED = "model_id string, kind string, params string, name string, shape array<int>, data binary"
 
 
+def score(rows: DataFrame, ident: str, features: str, engine) -> DataFrame:
+    """ident, score of every row: by the engine's own table, if it has one, else by tasks that hold the engine."""
+    return engine.score(rows, ident, features) if hasattr(engine, "score") else engines.score_rows(rows, ident, features, engine)
+
+
 @dataclass
 class Model:
     """Fitted transformers in their order, the engine and the score from which a flow is an attack."""
@@ -70,7 +75,7 @@ class Model:
     def classify(self, rows: DataFrame, ident: str, column: str = "features") -> DataFrame:
         """ident, score, label of each flow; null features score null and are benign."""
         ready = rows.where(F.col(column).isNotNull()).select(ident, self.features(column).alias("x"))
-        scored = engines.score_rows(ready, ident, "x", self.engine)
+        scored = score(ready, ident, "x", self.engine)
         over = F.col("score") > self.limit if self.above else F.col("score") < self.limit
         rest = rows.where(F.col(column).isNull()).select(ident, F.lit(None).cast("double").alias("score"))
         return scored.unionAll(rest).withColumn("label", F.coalesce(over.cast("int"), F.lit(0)))
@@ -85,9 +90,8 @@ class Model:
         return cls([transformers.step_of(s) for s in head["steps"]], engines.model_of([r for r in rows if r["kind"] == "engine"]), head["limit"], head["above"])
 
 
-def train(store: ResultStore, model_id: str, benign: DataFrame, engine: str, steps: list[str] = (), params: dict | None = None, share: float = 1.0, sample: int = engines.SAMPLE, ident: str = "flow_id", features: str = "features", names: list[str] = (), **info: str) -> Model:
-    """Fits on benign flows, stores the model and its parameters. The engine sees at most sample flows; share is the autoencoder's
-    share of training errors that count as benign. names: of the features, which some transformers need. info: further columns of the model row."""
+def train(store: ResultStore, model_id: str, benign: DataFrame, engine: str, steps: list[str] = (), params: dict | None = None, share: float = 1.0, ident: str = "flow_id", features: str = "features", names: list[str] = (), **info: str) -> Model:
+    """Fits on all benign flows, stores the model and its parameters. share is the autoencoder's share of training errors that count as benign. names: of the features, which some transformers need. info: further columns of the model row."""
     if store.exists("model", model_id=model_id):
         raise ValueError(f"model {model_id} exists")
     make, above, limit = ENGINES[engine]
@@ -97,11 +101,13 @@ def train(store: ResultStore, model_id: str, benign: DataFrame, engine: str, ste
         names = transformers.renamed(fitted[-1], names)
         rows = rows.select(ident, fitted[-1].column(F.col(features)).alias(features))
     options = dict(params or {})
-    fit = engines.fit_in_task(rows, features, ident, lambda x: make(x, **options), sample)
+    if make is neighbours.fit_outlier_factor:
+        options = {"path": f"{store.folder}/outlier_factor/{model_id}"} | options
+    fit = make(rows, ident, features, **options)
     if fit is None:
         raise ValueError("no benign flows to train on")
     if limit is None:
-        limit = float(engines.score_rows(rows, ident, features, fit).agg(F.percentile("score", share)).first()[0])
+        limit = engines.exact_percentile(score(rows, ident, features, fit), "score", share)
     model = Model(fitted, fit, limit, above)
     row = {"model_id": model_id, "decision_engine": engine, "transformers": ",".join(steps), "feature_extractor": info.get("feature_extractor", ""), "dataset_name": info.get("dataset_name", ""), "train_set_name": info.get("train_set_name", ""), "params": json.dumps(options)}
     store.append("model", store.spark.createDataFrame([row], "model_id string, decision_engine string, transformers string, feature_extractor string, dataset_name string, train_set_name string, params string"))
