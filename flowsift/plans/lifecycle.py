@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowsift.operators import engines, evaluation, extractors, fitting, flows, neighbours, transformers
@@ -112,30 +113,50 @@ def train(store: ResultStore, model_id: str, benign: DataFrame, engine: str, ste
     row = {"model_id": model_id, "decision_engine": engine, "transformers": ",".join(steps), "feature_extractor": info.get("feature_extractor", ""), "dataset_name": info.get("dataset_name", ""), "train_set_name": info.get("train_set_name", ""), "params": json.dumps(options)}
     store.append("model", store.spark.createDataFrame([row], "model_id string, decision_engine string, transformers string, feature_extractor string, dataset_name string, train_set_name string, params string"))
     store.save_params(engine, model_id, options or {"default": True})
-    store.spark.createDataFrame(model.rows(model_id), _FITTED).write.mode("append").parquet(f"{store.folder}/fitted")
+    store.append("fitted", store.spark.createDataFrame(model.rows(model_id), _FITTED))
     return model
 
 
 def load(store: ResultStore, model_id: str) -> Model:
-    rows = store.spark.read.schema(_FITTED).parquet(f"{store.folder}/fitted").where(F.col("model_id") == model_id).collect()
+    rows = store.spark.read.schema(_FITTED).option("recursiveFileLookup", True).parquet(f"{store.folder}/fitted").where(F.col("model_id") == model_id).collect()
     if not rows:
         raise ValueError(f"no model {model_id}")
     return Model.of(rows)
 
 
+def _timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches as they are, with the time that the task waited for them and its whole time, both in the first row of each (the rest of the time in the next)."""
+    last = time.monotonic_ns()
+    while True:
+        asked = time.monotonic_ns()
+        batch = next(batches, None)
+        if batch is None:
+            return
+        now = time.monotonic_ns()
+        spent = [np.zeros(batch.num_rows, np.int64) for _ in range(2)]
+        if batch.num_rows:
+            spent[0][0], spent[1][0] = now - asked, now - last
+            last = now
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, spent)], [*batch.schema.names, "wait_ns", "task_ns"])
+
+
 def classify(store: ResultStore, classification_id: str, model_id: str, rows: DataFrame, packets: DataFrame, ident: str = "flow_id", record: str = "record_id", features: str = "features") -> None:
-    """Stores a verdict for each packet (record id, flow id), and after it the run's times. The time of reading is that of a pass over the packets alone."""
+    """Stores a verdict for each packet (record id, flow id), and after it the run's times and packets, observed as the packets pass to be written: they are read once.
+
+    The time of reading is the share of their time that the reading tasks waited for packets, of the whole run's time."""
     if store.exists("classification_info", classification_id=classification_id):
         raise ValueError(f"classification {classification_id} exists")
-    model, began = load(store, model_id), time.monotonic()
-    packets.write.format("noop").mode("overwrite").save()
-    read = time.monotonic() - began
+    model, began, seen = load(store, model_id), time.monotonic(), Observation()
     verdicts = model.classify(rows, ident, features).select(ident, "label")
-    labelled = flows.map_back(packets.select(record, ident), verdicts, [ident])
+    kinds = dict(packets.dtypes)
+    passed = packets.select(record, ident).mapInArrow(_timed, f"`{record}` {kinds[record]}, `{ident}` {kinds[ident]}, wait_ns long, task_ns long")
+    passed = passed.observe(seen, F.count(F.lit(1)).alias("packets"), F.sum("wait_ns").alias("wait"), F.sum("task_ns").alias("task"))
+    labelled = flows.map_back(passed.select(record, ident), verdicts, [ident])
     out = labelled.select(F.lit(classification_id).alias("classification_id"), F.col(record).cast("string").alias("record_id"), "label")
     store.append("classification_results", out)
-    count = store.read("classification_results").where(F.col("classification_id") == classification_id).count()
-    done = (classification_id, model_id, 1, time.monotonic() - began, read, float(count))
+    total, found = time.monotonic() - began, seen.get
+    read = total * min(1.0, (found["wait"] or 0) / max(1, found["task"] or 0))
+    done = (classification_id, model_id, 1, total, read, float(found["packets"]))
     store.append("classification_info", store.spark.createDataFrame([done], "classification_id string, model_id string, is_finished int, total_time double, packet_read_time double, packet_count double"))
 
 

@@ -1,4 +1,8 @@
-"""Result store: append-only Parquet tables below one folder, with keys checked before an append.
+"""Result store: append-only Parquet tables below one folder.
+
+An append is written to a staging folder, which readers pass over, and becomes visible as a whole by one rename to the next commit of its table. Writers claim
+the number of a commit by making a file that must not exist yet, after their keys have been checked against all commits before it; so of two writers with the
+same keys one fails, and an append that fails leaves nothing that is read.
 
 Tables of older schema versions are read with defaults for the columns that they lack; migrate() records the version that readers may expect.
 """
@@ -7,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -37,7 +42,7 @@ class ResultStore:
     def read(self, name: str) -> DataFrame:
         """A table, empty if nothing was written; columns that its files lack have their defaults."""
         try:
-            rows = self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/{name}")
+            rows = self.parquet(name)
         except AnalysisException:
             return self.spark.createDataFrame([], TABLES[name])
         if name not in TABLES:
@@ -49,15 +54,46 @@ class ResultStore:
             filled.append((F.coalesce(F.col(f"`{column}`").cast(kind), value) if column in rows.columns else value).alias(column))
         return rows.select(*filled, *[f"`{c}`" for c in rows.columns if c not in dict(kinds)])
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        if name in KEYS and not rows.join(self.read(name).select(*KEYS[name]), KEYS[name], "left_semi").isEmpty():
-            raise ValueError(f"{name} already has some of these keys")
-        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+    def parquet(self, name: str) -> DataFrame:
+        """All commits of a table as they are; an error if there is none."""
+        return self.spark.read.options(mergeSchema=True, recursiveFileLookup=True).parquet(f"{self.folder}/{name}")
+
+    def _files(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _names(self, name: str) -> set[str]:
+        fs, path = self._files(f"{self.folder}/{name}")
+        return {f.getPath().getName() for f in fs.listStatus(path)} if fs.exists(path) else set()
+
+    def append(self, name: str, rows: DataFrame, patience: float = 60) -> None:
+        """One commit. Keys that the table has are an error; patience: seconds to wait for a commit that another writer has claimed and not made (after that it is taken for lost)."""
+        staging = f"{self.folder}/{name}/_staging-{uuid.uuid4().hex}"
+        fs, staged = self._files(staging)
+        try:
+            rows.write.parquet(staging)
+            began = time.monotonic()
+            while True:
+                names = self._names(name)
+                claimed = {int(n.removeprefix("_claim-")) for n in names if n.startswith("_claim-")}
+                open_ = {n for n in claimed if f"commit-{n:08d}" not in names}
+                if open_ and time.monotonic() - began < patience:
+                    time.sleep(0.2)
+                    continue
+                mine = max(claimed, default=-1) + 1
+                if name in KEYS and not self.spark.read.parquet(staging).join(self.read(name).select(*KEYS[name]), KEYS[name], "left_semi").isEmpty():
+                    raise ValueError(f"{name} already has some of these keys")
+                if fs.createNewFile(self._files(f"{self.folder}/{name}/_claim-{mine:08d}")[1]):
+                    break
+            if not fs.rename(staged, self._files(f"{self.folder}/{name}/commit-{mine:08d}")[1]):
+                raise OSError(f"{name}: commit {mine} failed")
+        finally:
+            fs.delete(staged, True)
 
     def save_params(self, component: str, model_id: str, params: dict) -> None:
         """One row of a component's parameters; columns may grow from model to model."""
         row = {"model_id": model_id} | {k: json.dumps(v) if isinstance(v, (list, dict)) else v for k, v in params.items()}
-        self.spark.createDataFrame([row]).write.mode("append").parquet(f"{self.folder}/{component}")
+        self.append(component, self.spark.createDataFrame([row]))
 
     def exists(self, name: str, **key) -> bool:
         rows = self.read(name)
@@ -81,7 +117,7 @@ class ResultStore:
         out = {"model": row.asDict()}
         for component in {row["decision_engine"], row["feature_extractor"]} - {"", None}:
             try:
-                found = self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/{component}").where(F.col("model_id") == model_id).first()
+                found = self.parquet(component).where(F.col("model_id") == model_id).first()
                 out[component] = found.asDict() if found else {}
             except AnalysisException:
                 out[component] = {}
@@ -114,7 +150,7 @@ class ResultStore:
         added = [f"{table}.{c}" for v, tables in SINCE.items() if old < v <= new for table, columns in tables.items() for c in columns]
         if not added:
             raise ValueError(f"cannot migrate from version {old} to {new}")
-        self.spark.createDataFrame([(new,)], "version int").write.mode("append").parquet(f"{self.folder}/db_version")
+        self.append("db_version", self.spark.createDataFrame([(new,)], TABLES["db_version"]))
         return added
 
 
