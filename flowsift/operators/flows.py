@@ -105,11 +105,19 @@ def subflow_averages(rows: DataFrame, by: list[str], timeout_us: int, length: st
     return parts.groupBy(*by).agg(*out)
 
 
-def hindsight_counts(flows: DataFrame, keys: dict[str, list[str]], previous: int) -> DataFrame:
-    """How many of the `previous` flows before, by dense flow_idx, agree in each set of columns."""
+def hindsight_counts(flows: DataFrame, keys: dict[str, list[str]], previous: int, width: int = 1 << 14) -> DataFrame:
+    """How many of the `previous` flows before, by dense flow_idx, agree in each set of columns.
+
+    Flows are counted by ranges of flow_idx (of `width`, or `previous` if that is more), each with the last `previous` flows of the range before it, so no
+    task holds more of a key than that, however many flows have it."""
+    width = max(width, previous)
+    own = F.floor(F.col("flow_idx") / width)
+    ahead = F.col("flow_idx") >= (own + 1) * width - previous
+    ranges = F.when(ahead, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = flows.withColumn("__range", F.explode(ranges))
     for name, cols in keys.items():
-        flows = flows.withColumn(f"hindsight_{name}", F.count("*").over(Window.partitionBy(*cols).orderBy("flow_idx").rangeBetween(-previous, -1)))
-    return flows
+        rows = rows.withColumn(f"hindsight_{name}", F.count("*").over(Window.partitionBy(*cols, "__range").orderBy("flow_idx").rangeBetween(-previous, -1)))
+    return rows.where(F.col("__range") == own).drop("__range")
 
 
 def tcp_counts(own: Column, flags: str = "tcp_flags", window: str = "tcp_win", prefix: str = "fwd") -> list[Column]:

@@ -43,12 +43,37 @@ def _last_start(packets: DataFrame, flows: DataFrame, on: list[str], best: str,
     return rows.join(ends, same, "left").select("packet.*", F.coalesce("own", "before").alias(best))
 
 
+def dyadic_nodes(start: str, end: str, bucket_us: int) -> Column:
+    """The fewest aligned ranges of 2^level buckets (level, node) that hold the buckets from start to end and no others: two a level at most."""
+    first, past = F.floor(F.col(start) / bucket_us), F.floor(F.col(end) / bucket_us) + 1
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(past - first + 1)).cast("int"))
+    size = lambda level: F.pow(F.lit(2.0), level).cast("long")
+
+    def at(level: Column) -> Column:
+        low, high = F.floor((first + size(level) - 1) / size(level)), F.floor(past / size(level))
+        node = lambda n, odd: F.when((low < high) & (odd.bitwiseAND(F.lit(1).cast("long")) == 1), F.struct(level.alias("level"), n.cast("long").alias("node")))
+        return F.array(node(low, low), node(high - 1, high))
+
+    return F.array_compact(F.flatten(F.transform(levels, at)))
+
+
+def _by_nodes(rows: DataFrame, at: str, levels: list[int], bucket_us: int) -> DataFrame:
+    """rows once for each level, with the node (__level, __node) that their time lies in."""
+    bucket = F.floor(F.col(at) / bucket_us)
+    nodes = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(bucket / F.lit(1 << k)).alias("node")) for k in levels])
+    return rows.withColumn("__n", F.explode(nodes)).withColumns({"__level": F.col("__n.level"), "__node": F.col("__n.node")}).drop("__n")
+
+
 def _open_flow(packets: DataFrame, flows: DataFrame, on: list[str], source: str | None, bucket_us: int) -> DataFrame:
-    """packets with __best: the _rank() of the last flow that is open at their time. A flow is sent to each bucket that it touches."""
-    bucket = lambda t: F.floor(F.col(t) / bucket_us)
-    right = flows.where("end_us >= start_us").select(*[F.col(c).alias(f"__{c}") for c in on], F.explode(F.sequence(bucket("start_us"), bucket("end_us"))).alias("__bucket"), _rank().alias("__flow"), F.col("end_us").alias("__end"), *([F.col(source).alias("__source")] if source else []))
-    left = packets.withColumn("__at", bucket("ts_us"))
-    same = [left[c] == right[f"__{c}"] for c in on] + [left["__at"] == right["__bucket"], right["__flow.start_us"] <= left["ts_us"], right["__end"] >= left["ts_us"]]
+    """packets with __best: the _rank() of the last flow that is open at their time.
+
+    A flow is sent to the dyadic nodes that its buckets make up, two for each power of two at most, so that a wrong end time costs some rows and not one an hour. Packets
+    look into the nodes that hold them, of the levels that flows have."""
+    right = flows.where("end_us >= start_us").select(*[F.col(c).alias(f"__{c}") for c in on], F.explode(dyadic_nodes("start_us", "end_us", bucket_us)).alias("__n"), _rank().alias("__flow"), F.col("end_us").alias("__end"), *([F.col(source).alias("__source")] if source else []))
+    levels = sorted(r[0] for r in right.select("__n.level").distinct().collect()) or [0]  # one for each power of two at most
+    right = right.withColumns({"__r_level": F.col("__n.level"), "__r_node": F.col("__n.node")}).drop("__n")
+    left = _by_nodes(packets, "ts_us", levels, bucket_us)
+    same = [left[c] == right[f"__{c}"] for c in on] + [left["__level"] == right["__r_level"], left["__node"] == right["__r_node"], right["__flow.start_us"] <= left["ts_us"], right["__end"] >= left["ts_us"]]
     if source:
         same.append(right["__source"].isNull() | (right["__source"] == left[source]))
     return left.join(right, same, "left").groupBy(*packets.columns).agg(F.max("__flow").alias("__best"))
@@ -109,17 +134,63 @@ def relevant_flows(attack: DataFrame, benign: DataFrame, on: str = "flow_id", re
 def duplicate_flows(flows: DataFrame, on: str, bucket_us: int = BUCKET) -> DataFrame:
     """Pairs (first_seq, second_seq) of one key that start together or overlap; flows that end before they start are left out.
 
-    A pair meets in the bucket where the later flow starts, to which the earlier one is sent like to all that it touches.
+    A pair meets in the one dyadic node of the earlier flow that holds the start of the later. For the number of a flow's duplicates without the pairs see overlaps().
     """
-    bucket = lambda t: F.floor(F.col(t) / bucket_us)
     ok = flows.where("end_us >= start_us").select(F.col(on).alias("k"), "start_us", "end_us", "seq")
-    a = ok.withColumn("bucket", F.explode(F.sequence(bucket("start_us"), bucket("end_us")))).alias("a")
-    b = ok.withColumn("bucket", bucket("start_us")).alias("b")
+    a = ok.withColumn("__n", F.explode(dyadic_nodes("start_us", "end_us", bucket_us))).withColumn("bucket", F.struct("__n.level", "__n.node"))
+    levels = sorted(r[0] for r in a.select("__n.level").distinct().collect()) or [0]
+    a = a.drop("__n").alias("a")
+    b = _by_nodes(ok, "start_us", levels, bucket_us).withColumn("bucket", F.struct(F.col("__level").alias("level"), F.col("__node").alias("node"))).alias("b")
     later = (F.col("b.start_us") > F.col("a.start_us")) | ((F.col("b.start_us") == F.col("a.start_us")) & (F.col("b.seq") > F.col("a.seq")))
     hit = (F.col("b.start_us") < F.col("a.end_us")) | (F.col("b.start_us") == F.col("a.start_us"))
     return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.bucket") == F.col("b.bucket")) & later & hit).select(F.col("a.k").alias(on), F.col("a.seq").alias("first_seq"), F.col("b.seq").alias("second_seq"))
 
 
+def _running(events: DataFrame, on: str, bucket_us: int, sums: list[str], greatest: list[str]) -> DataFrame:
+    """events (on, at, order) with running sums of some columns and running maxima of others over the events of their key before them, in the order of (at, order).
+
+    Equal (at, order) count as one moment, that none of them has behind it. Keys are dealt by time: inside a bucket by a window, between buckets by one row each.
+    """
+    rows = events.withColumn("__b", F.floor(F.col("at") / bucket_us))
+    ends = rows.groupBy(on, "__b").agg(*[F.sum(c).alias(f"__{c}") for c in sums], *[F.max(c).alias(f"__{c}") for c in greatest])
+    earlier = Window.partitionBy(on).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.col(on).alias("__on"), F.col("__b").alias("__at"), *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__before_{c}") for c in sums], *[F.max(f"__{c}").over(earlier).alias(f"__before_{c}") for c in greatest])
+    moment = F.struct("at", "order")
+    inside = Window.partitionBy(on, "__b").orderBy("__place").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__place", F.dense_rank().over(Window.partitionBy(on, "__b").orderBy(moment)))
+    rows = rows.withColumns({f"__in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums} | {f"__in_{c}": F.max(c).over(inside) for c in greatest})
+    rows = rows.join(before, rows[on].eqNullSafe(before["__on"]) & (rows["__b"] == before["__at"]))
+    done = {f"before_{c}": F.col(f"__in_{c}") + F.col(f"__before_{c}") for c in sums} | {f"before_{c}": F.greatest(f"__in_{c}", f"__before_{c}") for c in greatest}
+    return rows.withColumns(done).select(*events.columns, *done)
+
+
+def overlaps(flows: DataFrame, on: str, bucket_us: int = BUCKET) -> DataFrame:
+    """Of each flow of `on`, seq: n_overlaps, with how many flows of its key it starts together or overlaps, and group_us, the start of the first flow of the chain of overlaps it is in.
+
+    A sweep over starts and ends, so pairs are never made and no task holds a key beyond a bucket. Flows that end before they start are left out; seq is unique in its key.
+    """
+    ok = flows.where("end_us >= start_us").select(on, "start_us", "end_us", "seq")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    # at one moment: ends, then questions for what came before, then starts, then questions that count the starts of the moment
+    event = lambda at, order, begun, ended, name: ok.select(on, F.col(at).alias("at"), F.lit(order).alias("order"), begun.alias("begun"), ended.alias("ended"), F.lit(name).alias("what"), "seq", "start_us", "end_us")
+    lasting = F.when(F.col("end_us") > F.col("start_us"), one).otherwise(none)
+    events = event("end_us", 0, none, lasting, "end").unionAll(event("start_us", 1, none, none, "start?")).unionAll(event("start_us", 2, one, none, "start")).unionAll(event("start_us", 3, none, none, "together?")).unionAll(event("end_us", 1, none, none, "end?"))
+    # a flow without length is over as the next moment begins
+    events = events.unionAll(ok.where("end_us = start_us").select(on, F.col("start_us").alias("at"), F.lit(4).alias("order"), none.alias("begun"), one.alias("ended"), F.lit("end").alias("what"), "seq", "start_us", "end_us"))
+    counted = _running(events, on, bucket_us, ["begun", "ended"], [])
+    pick = lambda what, value: F.max(F.when(F.col("what") == what, value))
+    b = F.col("before_begun")
+    # open ones and those that start together, then those that start before its end
+    n = pick("start?", b - F.col("before_ended")) + pick("together?", b) - pick("start?", b) - 1 + F.greatest(pick("end?", b) - pick("together?", b), none)
+    sizes = counted.groupBy(on, "seq", "start_us", "end_us").agg(n.alias("n_overlaps"))
+    # a chain begins with a start that no earlier flow reaches beyond
+    reach = _running(ok.select(on, F.col("start_us").alias("at"), F.lit(0).alias("order"), "end_us", "seq", "start_us"), on, bucket_us, [], ["end_us"])
+    first = reach.withColumn("begins", F.when(F.coalesce(F.col("before_end_us") <= F.col("start_us"), F.lit(True)), F.col("start_us")))
+    chain = _running(first.select(on, F.col("start_us").alias("at"), F.lit(0).alias("order"), "begins", "seq"), on, bucket_us, [], ["begins"])
+    groups = chain.select(F.col(on).alias("__on"), F.col("seq").alias("__seq"), F.coalesce("begins", "before_begins").alias("group_us"))
+    return sizes.join(groups, sizes[on].eqNullSafe(groups["__on"]) & (sizes["seq"] == groups["__seq"])).select(on, "seq", "n_overlaps", "group_us")
+
+
 def invalid_flows(flows: DataFrame) -> DataFrame:
     return flows.where("end_us < start_us")
 

@@ -165,3 +165,55 @@ def test_helpers(spark):
     assert [(r["start_us"], r["seq"]) for r in labels.numbered(flows, "k").orderBy("seq").collect()] == [(1, 1), (5, 2)]
     text = spark.createDataFrame([(0.12345, "a" * 12)], "x double, t string").select(C.percent_text(F.col("x")), C.shortened(F.col("t")), C.port_or_zero(F.lit(None).cast("int"))).first()
     assert tuple(text) == ("12.345%", "a" * 10 + "..", 0)
+
+
+def _intervals(spark, n: int, key_share: float, seed: int):
+    import random
+
+    r = random.Random(seed)
+    rows = []
+    for k in range(n):
+        start = r.randrange(0, 200) * 900_000_000
+        length = r.choice([0, 0, 900_000_000, 5_400_000_000, r.randrange(20_000_000_000)])
+        rows.append(("hot" if r.random() < key_share else r.choice("abc"), start, start + length, k, k % 2, f"i{k}"))
+    rows.append(("hot", 7, 10**17, n, 1, "wrong end"))
+    rows.append(("a", -7_200_000_001, 3, n + 1, 1, "before the epoch"))
+    rows.append(("a", 10, 9, n + 2, 1, "ends before it starts"))
+    return rows, spark.createDataFrame(rows, "id string, start_us long, end_us long, seq long, traffic_type int, info string")
+
+
+def test_overlaps_without_pairs(spark):
+    rows, flows = _intervals(spark, 160, 0.6, 1)
+    ok = [r for r in rows if r[2] >= r[1]]
+    meets = lambda a, b: a[1] == b[1] or max(a[1], b[1]) < (a if a[1] < b[1] else b)[2]
+    want = {}
+    for r in ok:
+        mine = [o for o in ok if o[0] == r[0]]
+        chain, reach = r[1], None
+        for o in sorted(mine, key=lambda o: o[1]):
+            if o[1] > r[1]:
+                break
+            if reach is None or o[1] >= reach and o[1] != chain:
+                chain = o[1]
+            reach = max(reach or o[2], o[2])
+        want[r[3]] = (sum(meets(r, o) for o in mine if o[3] != r[3]), chain)
+    got = {r["seq"]: (r["n_overlaps"], r["group_us"]) for r in labels.overlaps(flows, "id").collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert got == want
+    pairs = labels.duplicate_flows(flows, "id").collect()
+    assert len(pairs) == len({(p["first_seq"], p["second_seq"]) for p in pairs}) == sum(v[0] for v in want.values()) / 2
+
+
+def test_open_flows_by_dyadic_nodes(spark):
+    rows, flows = _intervals(spark, 120, 0.5, 2)
+    packets = [(k, "hot" if k % 2 else "a", t) for k, t in enumerate([-7_200_000_001, -1, 0, 7, 10**17, 10**17 + 1, *range(3, 180_000_000_000, 1_700_000_123)])]
+    got = {r["pkt_idx"]: (r["traffic_type"], r["attack_type"], r["matched"]) for r in labels.asof_labels(spark.createDataFrame(packets, "pkt_idx long, id string, ts_us long"), flows, "id", use_end=True).collect()}
+    for k, key, t in packets:
+        best = max((r for r in rows if r[0] == key and r[1] <= t <= r[2]), key=lambda r: (r[1], r[4] == 0, r[3]), default=None)
+        assert got[k] == ((best[4], best[5] if best[4] else None, True) if best else (0, None, False)), (k, t)
+    nodes = flows.where("end_us >= start_us").select("start_us", "end_us", labels.dyadic_nodes("start_us", "end_us", labels.BUCKET).alias("n")).collect()
+    for r in nodes:
+        covered = sorted((x["node"] << x["level"], (x["node"] + 1) << x["level"]) for x in r["n"])
+        a, b = r["start_us"] // labels.BUCKET, r["end_us"] // labels.BUCKET
+        assert covered[0][0] == a and covered[-1][1] == b + 1 and all(x[1] == y[0] for x, y in zip(covered, covered[1:]))
+        assert len(covered) <= 2 * max(1, (b - a + 1).bit_length())

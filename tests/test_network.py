@@ -117,3 +117,13 @@ def test_protocol_numbers(spark):
     rows = [(f" {n.upper()}", v) for n, v in (named | rest).items()] + [(n, None) for n in [*none, None]]
     df = spark.createDataFrame(rows, "name string, want int")
     assert df.where(~C.protocol_number(F.col("name")).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_hindsight_of_a_hot_address(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "hot" if rng.random() < 0.6 else f"a{rng.integers(9)}", int(rng.integers(3))) for i in range(700)]
+    flow = spark.createDataFrame(rows, "flow_idx long, addr string, port int").repartition(3)
+    for previous, width in ((100, 128), (7, 64), (100, 1)):
+        got = {r["flow_idx"]: (r["hindsight_a"], r["hindsight_ap"]) for r in flows.hindsight_counts(flow, {"a": ["addr"], "ap": ["addr", "port"]}, previous, width).collect()}
+        want = {i: (sum(o[1] == a for o in rows[max(0, i - previous) : i]), sum(o[1:] == (a, p) for o in rows[max(0, i - previous) : i])) for i, a, p in rows}
+        assert got == want
