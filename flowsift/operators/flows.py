@@ -6,6 +6,8 @@ set of packets are -1, sums of rates excepted; they are null inside and coalesce
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,24 +16,50 @@ from flowsift.functions.columns import ACK, FIN, PSH, RST, SYN, URG, flag_set
 Boundary = Column
 
 
-def sessionize(packets: DataFrame, keys: list[str], timeout_us: int, fin: Column | None = None, is_tcp: Column | None = None, timeout_and_fin: bool = False) -> DataFrame:
+def sessionize(packets: DataFrame, keys: list[str], timeout_us: int, fin: Column | None = None, is_tcp: Column | None = None, timeout_and_fin: bool = False, width: int | None = None) -> DataFrame:
     """Adds flow_seq (in its key), flow_first (pkt_idx that opened it).
 
     A flow ends when the gap to the key's previous packet is over the timeout. With fin, packets for which is_tcp holds end
-    flows by fin alone, and the fin packet opens the next flow; timeout_and_fin lets both end a flow.
+    flows by fin alone, and the fin packet opens the next flow; timeout_and_fin lets both end a flow. width: packets of a key are dealt by ranges of so many
+    pkt_idx, for keys that hold more than a task can; ranges hand on what was open in one row each.
     """
+
+    def opens(before: Column) -> Column:
+        """Whether a packet opens a flow, by the time of the packet before it."""
+        boundary = F.col("ts_us") - before > timeout_us
+        if fin is not None:
+            tcp = is_tcp if is_tcp is not None else F.lit(True)
+            boundary = F.when(tcp, (fin | boundary) if timeout_and_fin else fin).otherwise(boundary)
+        return before.isNull() | boundary
+
+    if width:
+        return _sessions_by_ranges(packets, keys, opens, width)
     order = Window.partitionBy(*keys).orderBy("pkt_idx")
-    gap = F.col("ts_us") - F.lag("ts_us").over(order)
-    boundary = gap > timeout_us
-    if fin is not None:
-        tcp = is_tcp if is_tcp is not None else F.lit(True)
-        boundary = F.when(tcp, (fin | boundary) if timeout_and_fin else fin).otherwise(boundary)
-    new = F.when(F.lag("ts_us").over(order).isNull() | boundary, 1).otherwise(0)
-    rows = packets.withColumn("__new", new)
+    rows = packets.withColumn("__new", F.when(opens(F.lag("ts_us").over(order)), 1).otherwise(0))
     rows = rows.withColumn("flow_seq", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.withColumn("flow_first", F.min("pkt_idx").over(Window.partitionBy(*keys, "flow_seq"))).drop("__new")
 
 
+def _sessions_by_ranges(packets: DataFrame, keys: list[str], opens, width: int) -> DataFrame:
+    rows = packets.withColumn("__r", F.floor(F.col("pkt_idx") / width))
+    inside = Window.partitionBy(*keys, "__r").orderBy("pkt_idx")
+    rows = rows.withColumn("__before", F.lag("ts_us").over(inside)).withColumn("__head", F.row_number().over(inside) == 1)
+    # all but the first packet of a range know what was before them
+    rows = rows.withColumn("__new", ~F.col("__head") & F.coalesce(opens(F.col("__before")), F.lit(False)))
+    needed = [c for c in packets.columns if c not in keys]
+    ranges = rows.groupBy(*keys, "__r").agg(F.max_by("ts_us", "pkt_idx").alias("__end"), F.count_if("__new").alias("__n"), F.max(F.when(F.col("__new"), F.col("pkt_idx"))).alias("__last"), *[F.min_by(c, "pkt_idx").alias(c) for c in needed])
+    earlier = Window.partitionBy(*keys).orderBy("__r")
+    ranges = ranges.withColumn("__opens", opens(F.lag("__end").over(earlier)))
+    so_far = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    mine = F.col("__opens").cast("long")
+    opened = F.coalesce(F.col("__last"), F.when(F.col("__opens"), F.col("pkt_idx")))
+    ranges = ranges.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__r").alias("__range"), (F.coalesce(F.sum(F.col("__n") + mine).over(so_far), F.lit(0)) + mine).alias("__base"), F.coalesce(F.when(F.col("__opens"), F.col("pkt_idx")), F.last(opened, ignorenulls=True).over(so_far)).alias("__open"))
+    same = (rows["__r"] == ranges["__range"]) & reduce(lambda x, y: x & y, [rows[k].eqNullSafe(ranges[f"__k_{k}"]) for k in keys])
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__seq": F.sum(F.col("__new").cast("long")).over(upto), "__first": F.last(F.when(F.col("__new"), F.col("pkt_idx")), ignorenulls=True).over(upto)}).join(ranges, same)
+    return rows.select(*packets.columns, (F.col("__base") + F.col("__seq")).alias("flow_seq"), F.coalesce("__first", "__open").alias("flow_first"))
+
+
 def flow_index(flows: DataFrame, order: str = "flow_first", width: int = 1 << 20, by: list[str] = ()) -> DataFrame:
     """Adds flow_idx, the dense 0-based rank of unique `order` (in each group of `by`), over ranges of `width` instead of one sorted partition."""
     part = flows.withColumn("__b", F.floor(F.col(order) / width))

@@ -71,7 +71,7 @@ def q_flow_sessionize(spark, d):
  SELECT pkt_idx, sum(new) OVER (PARTITION BY user_id ORDER BY pkt_idx ROWS UNBOUNDED PRECEDING)::BIGINT AS flow_seq FROM n""")
 def q_flow_fin_boundary(spark, d):
     tcp = F.col("event_type").isin("signup", "click", "purchase")
-    return flows.sessionize(packets(spark, d), ["user_id"], TIMEOUT, F.col("event_type") == "signup", tcp).select("pkt_idx", "flow_seq")
+    return flows.sessionize(packets(spark, d), ["user_id"], TIMEOUT, F.col("event_type") == "signup", tcp, width=1 << 12).select("pkt_idx", "flow_seq")
 
 
 @query(S[:-2] + " SELECT user_id, flow_seq, round(sum(length), 4) AS total_sum_pkt_length, round(avg(length), 4) AS total_mean_pkt_length, round(min(length), 4) AS total_min_pkt_length, round(max(length), 4) AS total_max_pkt_length, round(stddev_pop(length), 4) AS total_std_pkt_length, count(length) AS total_n_packets FROM s GROUP BY ALL")
@@ -385,10 +385,10 @@ def payloads(spark: SparkSession, d: str) -> DataFrame:
     return payl.byte_shares(table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("protocol"), F.col("source").alias("port"), (F.floor(F.col("n_chars") / 500) * 500).alias("length")), "text", ["doc_id", "protocol", "port", "length"])
 
 
-@query(BYTES + "SELECT protocol, port, length, n, round(mean, 6) AS mean_space, round(std, 6) AS std_space FROM c WHERE byte = 32")
+@query(BYTES + "SELECT protocol, port, length, n, byte, round(mean, 6) AS mean, round(std, 6) AS std FROM c")
 def q_payl_centroids(spark, d):
-    rows = payl.centroids(payloads(spark, d))
-    return rows.select(*payl.KEY, "n", F.round(rows["mean"][32], 6).alias("mean_space"), F.round(rows["std"][32], 6).alias("std_space"))
+    rows = payl.centroids(payloads(spark, d)).select(*payl.KEY, "n", F.posexplode(F.arrays_zip("mean", "std")).alias("byte", "c"))
+    return rows.select(*payl.KEY, "n", "byte", F.round("c.mean", 6).alias("mean"), F.round("c.std", 6).alias("std"))
 
 
 def usual(spark: SparkSession, d: str) -> DataFrame:
@@ -508,9 +508,19 @@ def q_autoencoder(spark, d):
     return engines.over_percentile(engines.score_rows(rows, "vec_id", "features", auto), "score", 0.99)
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY a.k, b.k, c.k) - 1 AS INTEGER) AS \"index\", a.v AS de_nu, b.v AS fe_timeout, c.v AS transformers FROM (VALUES (0, '0.1'), (1, '0.2')) a(k, v), (VALUES (0, '12'), (1, '60')) b(k, v), (VALUES (0, 'minmax_scaler'), (1, 'minmax_scaler,onehot_encoder')) c(k, v)")
+@query("""
+WITH g AS (SELECT CAST(row_number() OVER (ORDER BY a.k, b.k, c.k) - 1 AS INTEGER) AS "index", a.v AS de_nu, b.v AS fe_timeout, c.v AS transformers
+    FROM (VALUES (0, '0.1'), (1, '0.2')) a(k, v), (VALUES (0, '120'), (1, '600')) b(k, v), (VALUES (0, 'minmax_scaler'), (1, 'minmax_scaler,onehot_encoder')) c(k, v)),
+n AS (SELECT user_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY event_id), ts) AS gap, value FROM events)
+SELECT "index", de_nu, fe_timeout, transformers, count_if(gap IS NULL OR gap > CAST(fe_timeout AS INTEGER) * 1000000) AS n_flows, count_if(value > CAST(de_nu AS DOUBLE) * 1000) AS n_over FROM g, n GROUP BY ALL""")
 def q_hyperparam_grid(spark, d):
-    return reporting.grid(spark, {"nu": [0.1, 0.2]}, {"timeout": [12, 60]}, [["minmax_scaler"], ["minmax_scaler", "onehot_encoder"]])
+    """Each combination applied to all events: the flows that its timeout makes, and the values over its share of 1,000."""
+    grid = reporting.grid(spark, {"nu": [0.1, 0.2]}, {"timeout": [120, 600]}, [["minmax_scaler"], ["minmax_scaler", "onehot_encoder"]])
+    gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy("user_id").orderBy("pkt_idx"))
+    rows = packets(spark, d).select("length", gap.alias("gap"))
+    combos = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, grid.dtypes)]) for r in grid.collect()]
+    tried = rows.withColumn("g", F.explode(F.array(*combos)))
+    return tried.groupBy("g").agg(F.count_if(F.col("gap").isNull() | (F.col("gap") > F.col("g.fe_timeout").cast("int") * 1_000_000)).alias("n_flows"), F.count_if(F.col("length") > F.col("g.de_nu").cast("double") * 1000).alias("n_over")).select("g.*", "n_flows", "n_over")
 
 
 @query(VERDICTS + f"SELECT part, seq, row_number() OVER (PARTITION BY part ORDER BY seq) AS place, tp, fp FROM (SELECT part, seq, {_COUNTS} FROM v GROUP BY ALL)")
@@ -653,13 +663,17 @@ def q_flow_extractor(spark, d):
     return rows.select(*[F.round(c, 9 if c.startswith("mean_") else 7).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
-@query("SELECT * FROM (VALUES ('', 42), ('basic', 3), ('port_decimal', 56), ('with_ip_addr', 44), ('ip_dotted with_ip_addr', 74), ('subflows', 59), ('tcp', 61), ('hindsight', 48), ('basic tcp', 3)) v(modes, n_features)")
+@query(_flows_sql(True) + f""", idle AS (SELECT CASE WHEN lag(ts_us) OVER k IS NULL OR ts_us - lag(ts_us) OVER k > {TIMEOUT} THEN 1 ELSE 0 END AS new FROM q WINDOW k AS (PARTITION BY usr ORDER BY pkt_idx))
+ SELECT modes, n_features, CASE WHEN modes LIKE '%tcp%' THEN by_fin ELSE by_idle END AS n_flows
+ FROM (VALUES ('', 42), ('basic', 3), ('port_decimal', 56), ('with_ip_addr', 44), ('ip_dotted with_ip_addr', 74), ('subflows', 59), ('tcp', 61), ('hindsight', 48), ('basic tcp', 3)) v(modes, n_features),
+ (SELECT count(*) AS by_fin FROM (SELECT DISTINCT usr, seq FROM s)), (SELECT CAST(sum(new) AS BIGINT) AS by_idle FROM idle)""")
 def q_extractor_modes(spark, d):
     rows, out = captured(spark, d), []
     for modes in ("", "basic", "port_decimal", "with_ip_addr", "ip_dotted with_ip_addr", "subflows", "tcp", "hindsight", "basic tcp"):
-        settings = extractors.FlowSettings(frozenset(modes.split()))
-        out.append((modes, len(extractors.feature_names(extractors.flow_features(rows, settings), settings))))
-    return spark.createDataFrame(out, "modes string, n_features int")
+        settings = extractors.FlowSettings(frozenset(modes.split()), TIMEOUT, SUBFLOW)
+        found = extractors.flow_features(rows, settings)
+        out.append(found.agg(F.count("*").alias("n_flows")).select(F.lit(modes).alias("modes"), F.lit(len(extractors.feature_names(found, settings))).alias("n_features"), "n_flows"))
+    return reduce(DataFrame.unionAll, out)
 
 
 @query(_flows_sql(False) + """, b AS (SELECT flow_first, ('0x' || x)::INTEGER AS byte, count(*) AS k FROM (SELECT flow_first, unnest(regexp_extract_all(hex(encode(props)), '..')) AS x FROM h) GROUP BY ALL), t AS (SELECT flow_first, sum(octet_length(encode(props))) AS total, count(*) AS n FROM h GROUP BY ALL)
@@ -737,7 +751,10 @@ def q_listed_evaluations(spark, d):
     return rounded(reporting.listed_evaluations(joined.withColumn("classification_id", F.col("o_orderkey"))), 2)
 
 
-@query(VERDICTS + f", c AS (SELECT part, seq, {_COUNTS} FROM v GROUP BY ALL) SELECT part, seq AS traffic_name, tp AS \"TP\", fp AS \"FP\" FROM c WHERE fp >= 0")
+@query(VERDICTS + f""", c AS (SELECT part, seq, {_COUNTS} FROM v GROUP BY ALL)
+ SELECT part, seq AS traffic_name, fp AS "FP", fn AS "FN", tp + fp + tn + fn AS "N", CASE WHEN tp + fn = 0 THEN CAST('inf' AS DOUBLE) ELSE round(tp / (tp + fn), 4) END AS "RC" FROM c WHERE fp >= 1""")
 def q_report(spark, d):
-    rows = evaluation.confusion(verdicts(spark, d), ["part", "seq"]).select(F.col("part").alias("PART"), F.col("seq").alias("traffic_name"), F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"), F.lit(1).alias("CONSTANT"), F.lit(0.0).alias("npv"))
-    return reporting.report(rows, ["PART", "CONSTANT"], "FP >= 0", all_metrics=True).drop("npv")
+    """Important metrics alone; the constant hyper-parameter and the other counts go."""
+    rows = evaluation.with_metrics(evaluation.confusion(verdicts(spark, d), ["part", "seq"]))
+    rows = rows.select(F.col("part").alias("PART"), F.col("seq").alias("traffic_name"), F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives"), "support", F.round("recall", 4).alias("recall"), F.lit(1).alias("CONSTANT"), "npv")
+    return reporting.report(rows, ["PART", "CONSTANT"], "FP >= 1")

@@ -127,3 +127,17 @@ def test_hindsight_of_a_hot_address(spark):
         got = {r["flow_idx"]: (r["hindsight_a"], r["hindsight_ap"]) for r in flows.hindsight_counts(flow, {"a": ["addr"], "ap": ["addr", "port"]}, previous, width).collect()}
         want = {i: (sum(o[1] == a for o in rows[max(0, i - previous) : i]), sum(o[1:] == (a, p) for o in rows[max(0, i - previous) : i])) for i, a, p in rows}
         assert got == want
+
+
+@pytest.mark.parametrize("mode", ["timeout", "fin", "both"])
+def test_sessions_of_a_hot_key_by_ranges(spark, mode):
+    rng = np.random.default_rng(7)
+    at = np.cumsum(rng.integers(0, 9_000_000, 900) + (rng.random(900) < 0.03) * 40_000_000)
+    rows = [(i, int(t), "hot" if rng.random() < 0.7 else None if rng.random() < 0.1 else f"k{rng.integers(6)}", bool(rng.random() < 0.1), bool(rng.random() < 0.8)) for i, t in enumerate(at)]
+    packets = spark.createDataFrame(rows, "pkt_idx long, ts_us long, host string, fin boolean, tcp boolean").repartition(3)
+    options = {} if mode == "timeout" else {"fin": F.col("fin"), "is_tcp": F.col("tcp"), "timeout_and_fin": mode == "both"}
+    want = flows.sessionize(packets, ["host"], 12_000_000, **options)
+    for width in (1, 40, 10_000):
+        got = flows.sessionize(packets, ["host"], 12_000_000, **options, width=width)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
