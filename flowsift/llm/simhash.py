@@ -10,8 +10,8 @@ are dealt, by pairs of parts, to several tasks.
 near_groups() takes 64 bits and links what differs in at most `distance` of them: blocks are choices of whole bands, so that no link is lost. keep_one()
 takes WIDE_BITS, in which the share of differing bits tells the similarity of two sets of shingles (the angle between them over pi). Blocks are bands
 of some bits, so many that two texts of the least similarity share one with probability RECALL. Links that leave doubt are
-checked against the shingles themselves; those within SURE_BITS stand for a similarity of about 0.94 and more. Where a link is refuted, the components
-around it are searched again, without the refuted links and with four times as many forests each time, until a search finds no link that has not been checked.
+checked against the shingles themselves; those within SURE_BITS stand for a similarity of about 0.94 and more. Components that refuted links hold together
+are then compared as a whole, row by row within the distance, so that a refuted link costs no other one; of each such cluster, rows of the largest component are compared with the others alone.
 
 Defined cases: null text counts as empty; a text without words has no shingles and fingerprint zero; fewer words than a
 shingle give one shingle; repeated rows are all returned; a null doc_id never is a component's id unless all are null; extra columns are
@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.llm.common import BROADCAST_ROWS, free_names, quoted, stored, within, without
@@ -136,56 +136,30 @@ def _products(a0, na, b0, nb):
 
 
 class Links:
-    """Components of the rows of some blocks (label: a row of each, at first the row itself or the one given), and the pairs that joined them."""
+    """Components of the rows of some blocks (label: the first row of each), and the pairs that joined them."""
 
-    def __init__(self, rows: int, label: np.ndarray | None = None) -> None:
-        self.label = np.arange(rows) if label is None else label.copy()
+    def __init__(self, rows: int) -> None:
+        self.label = np.arange(rows)
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """Joins along links (i, j) of distance d: again and again, each component along its nearest. Returns which links were used."""
-        used, at = np.zeros(len(i), bool), np.arange(len(i))
+    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        """Joins along links (i, j) of distance d: again and again, each component along its nearest."""
         while True:
             a, b = self.label[i], self.label[j]
             apart = a != b
             if not apart.any():
-                return used
-            i, j, d, a, b, at = (x[apart] for x in (i, j, d, a, b, at))
+                return
+            i, j, d, a, b = (x[apart] for x in (i, j, d, a, b))
             end, link = np.concatenate([a, b]), np.tile(np.arange(len(i)), 2)
             order = np.lexsort((link, d[link], end))
             nearest = np.unique(link[order][np.r_[True, end[order][1:] != end[order][:-1]]])
             self.pairs.append((i[nearest], j[nearest], d[nearest]))
-            used[at[nearest]] = True
             np.minimum.at(self.label, np.maximum(a, b)[nearest], np.minimum(a, b)[nearest])
             while not np.array_equal(up := self.label[self.label], self.label):
                 self.label = up
 
 
-class Forests:
-    """Several spanning forests: a link that the first does not need goes to the second, and so on. Pairs in `refuted` (as row numbers, i * rows + j with i < j) are no links."""
-
-    def __init__(self, rows: int, forests: int = 1, label: np.ndarray | None = None, refuted: np.ndarray | None = None) -> None:
-        self.rows, self.each, self.refuted = rows, [Links(rows, label) for _ in range(forests)], refuted
-
-    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
-        if self.refuted is not None and len(i):
-            open_ = ~np.isin(np.minimum(i, j) * self.rows + np.maximum(i, j), self.refuted)
-            i, j, d = i[open_], j[open_], d[open_]
-        for links in self.each:
-            rest = ~links.add(i, j, d)
-            i, j, d = i[rest], j[rest], d[rest]
-
-    @property
-    def label(self) -> np.ndarray:
-        """Components of the last forest: what they hold together needs no further link."""
-        return self.each[-1].label
-
-    @property
-    def pairs(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        return [p for links in self.each for p in links.pairs]
-
-
-def block_links(block: np.ndarray, fp: np.ndarray, distances: list[int], links: Links | Forests | None = None) -> Links | Forests:
+def block_links(block: np.ndarray, fp: np.ndarray, distances: list[int]) -> Links:
     """The links inside blocks, those within the first distance before those within the next. block is sorted; fp (rows of words) is in Gray order in each."""
     n = len(fp)
     new = np.r_[True, block[1:] != block[:-1]]
@@ -202,13 +176,13 @@ def block_links(block: np.ndarray, fp: np.ndarray, distances: list[int], links:
         ands, ors = np.bitwise_and.reduceat(ands, start), np.bitwise_or.reduceat(ors, start)
         levels.append((start, np.diff(np.r_[start, len(of)]), ~(ands ^ ors), ands))
         of = of[start]
-    links, roots = Links(n) if links is None else links, np.arange(len(levels[-1][0]))
+    links, roots = Links(n), np.arange(len(levels[-1][0]))
     for distance in distances:
         _descend(levels, len(levels) - 1, roots, roots, np.zeros(len(roots), np.int64), np.zeros((len(roots), fp.shape[1]), np.uint64), fp, distance, links)
     return links
 
 
-def _descend(levels, depth, a, b, differing, compared, fp, distance, links: Links | Forests) -> None:
+def _descend(levels, depth, a, b, differing, compared, fp, distance, links: Links) -> None:
     """Goes down from the node pairs (a, b), whose shared bits `compared` differ in `differing` places."""
     start, size, mask, pattern = levels[depth]
     both = mask[a] & mask[b]
@@ -241,65 +215,38 @@ def _descend(levels, depth, a, b, differing, compared, fp, distance, links: Link
             _descend(levels, depth - 1, i, j, d[which], c[which], fp, distance, links)
 
 
-def _refuted(node: np.ndarray, lists: list) -> np.ndarray:
-    """The pairs of Forests, of each row the nodes that it is not alike to; those outside the rows are passed over."""
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    one, other = np.repeat(np.arange(len(node)), size), np.array([x for own in lists for x in own], np.int64)
-    order = np.argsort(node, kind="stable")
-    at = np.minimum(np.searchsorted(node[order], other), len(node) - 1)
-    two = order[at]
-    here = node[two] == other
-    return np.unique(np.minimum(one, two)[here] * len(node) + np.maximum(one, two)[here])
-
-
-def _forest(words: int, distances: list[int], forests: int = 0):
-    """Rows (block, node, words), blocks together and in Gray order, to the links of their forests. forests: as many for each block, over rows that also have
-    the component they belong to and the nodes that they are not alike to."""
-
-    def found(rows: np.ndarray, lists: list):
-        block, node, fp = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2 : 2 + words]).view(np.uint64)
-        if forests:
-            # rows of one block and component carry the number of the first of them
-            _, first, which = np.unique(rows[:, [0, 2 + words]], axis=0, return_index=True, return_inverse=True)
-            refuted, at = [], 0
-            for to in [*(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]:
-                pairs = _refuted(node[at:to], lists[at:to])
-                refuted.append((pairs // (to - at) + at) * len(block) + pairs % (to - at) + at)
-                at = to
-            links = block_links(block, fp, distances, Forests(len(block), forests, first[which.ravel()], np.concatenate(refuted)))
-        else:
-            links = block_links(block, fp, distances)
+def _forest(words: int, distances: list[int]):
+    """Rows (block, node, words), blocks together and in Gray order, to the links of their forests."""
+
+    def found(block, node, fp):
+        links = block_links(block, fp, distances)
         i, j, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*links.pairs) if links.pairs else ([], [], [])))
         return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(d.astype(np.int32))], ["hi", "lo", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 2 + words + (forests > 0)
-        held, lists = np.empty((0, width), np.int64), []
+        held = np.empty((0, 2 + words), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            held = np.concatenate([held, np.stack([c.to_numpy() for c in b.columns[:width]], axis=1)])
-            lists += b.column(width).to_pylist() if forests else []
+            held = np.concatenate([held, np.stack([c.to_numpy() for c in b.columns], axis=1)])
             change = np.flatnonzero(held[1:, 0] != held[:-1, 0])
             if len(held) > 200_000 // words and len(change):
                 cut = change[-1] + 1
-                yield found(held[:cut], lists[:cut])
-                held, lists = held[cut:], lists[cut:]
+                yield found(held[:cut, 0], held[:cut, 1], held[:cut, 2:].view(np.uint64))
+                held = held[cut:]
         if len(held):
-            yield found(held, lists)
+            yield found(held[:, 0], held[:, 1], np.ascontiguousarray(held[:, 2:]).view(np.uint64))
 
     return run
 
 
-def forest(nodes: DataFrame, words: list[str], keys: list, distances: list[int], most: int = BLOCK_MOST, forests: int = 0) -> DataFrame:
+def forest(nodes: DataFrame, words: list[str], keys: list, distances: list[int], most: int = BLOCK_MOST) -> DataFrame:
     """hi, lo, d: a spanning forest, in each block, of the links between the nodes of different fingerprints.
 
-    nodes: node (long) and the words of its fingerprint. keys: a column for each table; nodes of equal keys are a block. With forests, as many forests
-    of links between different components: nodes also have component and cluster (long; blocks hold one cluster each) and unlike (nodes that are known not to be alike).
+    nodes: node (long) and the words of its fingerprint. keys: a column for each table; nodes of equal keys are a block.
     """
-    more = ["component", "unlike"] if forests else []
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), k.alias("k")) for t, k in enumerate(keys)])).alias("b")
-    rows = nodes.select("node", *words, *more, *["cluster"] * (forests > 0), table).select(F.xxhash64("b.t", "b.k", *["cluster"] * (forests > 0)).alias("block"), "node", *words, *more)
+    rows = nodes.select("node", *words, table).select(F.xxhash64("b.t", "b.k").alias("block"), "node", *words)
     share = 16
     seen = rows.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(share)) == 0).groupBy("block").agg(F.count("*").alias("n"))
     large = stored(seen.where(F.col("n") * share > most).select(F.col("block").alias("large"), F.ceil(F.col("n") * share * 2 / most).alias("parts")), "large_blocks")
@@ -307,10 +254,10 @@ def forest(nodes: DataFrame, words: list[str], keys: list, distances: list[int],
     if size:
         large = F.broadcast(large) if size <= BROADCAST_ROWS else large
         own = F.pmod(F.xxhash64("node", F.lit(2)), F.coalesce("parts", F.lit(1)))
-        rows = rows.join(large, rows["block"] == large["large"], "left").select("block", "node", *words, *more, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
-        rows = rows.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", *words, *more)
+        rows = rows.join(large, rows["block"] == large["large"], "left").select("block", "node", *words, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
+        rows = rows.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", *words)
     rows = rows.repartition("block").sortWithinPartitions("block", gray_rank(F.col(words[0])), "node")
-    return rows.mapInArrow(_forest(len(words), distances, forests), "hi long, lo long, d int")
+    return rows.mapInArrow(_forest(len(words), distances), "hi long, lo long, d int")
 
 
 def linked(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS, most: int = BLOCK_MOST) -> DataFrame:
@@ -362,19 +309,24 @@ def band_keys(rows: int, similarity: float = SIMILARITY, recall: float = RECALL)
     return keys[:tables]
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, seed: int) -> DataFrame:
-    """pairs (x, y, hi, lo) with alike: whether the texts of hi and lo share at least `similarity` of their distinct shingles. nodes: node, sample (a text's digest)."""
-    ends = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().join(nodes.select("node", "sample"), "node")
-    ends = stored(ends, "ends")
+def _sets(nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """nodes (with sample, a text's digest) with set: the sorted hashes of the distinct shingles of that text."""
+    nodes = stored(nodes, "ends")
     texts = docs.select(text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
-    wanted = ends.select(F.col("sample").alias("digest")).distinct()
+    wanted = nodes.select(F.col("sample").alias("digest")).distinct()
     texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "digest", "left_semi").dropDuplicates(["digest"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), shingle, seed)).tobytes() for t in b.column(1)], pa.binary())], ["sample", "set"])
 
-    known = stored(ends.join(texts.mapInArrow(sets, "sample binary, set binary"), "sample").select("node", "set"), "sets")
+    return stored(nodes.join(texts.mapInArrow(sets, "sample binary, set binary"), "sample").drop("sample"), "sets")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """pairs (x, y, hi, lo) with alike: whether the texts of hi and lo share at least `similarity` of their distinct shingles. nodes: node, sample."""
+    ends = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().join(nodes.select("node", "sample"), "node")
+    known = _sets(ends, docs, text_col, shingle, seed)
     both = pairs.join(known.select(F.col("node").alias("hi"), F.col("set").alias("a")), "hi").join(known.select(F.col("node").alias("lo"), F.col("set").alias("b")), "lo")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,6 +341,65 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     return both.select("x", "y", "hi", "lo", "a", "b").mapInArrow(check, "x long, y long, hi long, lo long, alike boolean")
 
 
+def alike_rows(fp: np.ndarray, sets: list[np.ndarray], label: np.ndarray, others: np.ndarray, other_sets: list[np.ndarray], other_label: np.ndarray, farthest: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of labels of rows and others that have alike sets, as many as join what all such pairs join. Compared are rows of different labels within a distance, the nearest
+    first, until their labels are joined or none is left."""
+    pairs, up = [], {}
+
+    def root(x: int) -> int:
+        while (above := up.get(x, x)) != x:
+            up[x] = x = up.get(above, above)
+        return x
+
+    sizes = np.array([len(x) for x in other_sets], np.int64)
+    for k, own in enumerate(sets):
+        apart = np.bitwise_count(fp[k] ^ others).sum(axis=1)
+        left = np.flatnonzero((apart <= farthest) & (other_label != label[k]) & (sizes >= similarity * len(own)) & (similarity * sizes <= len(own)) & (sizes > 0))
+        left, many = left[np.argsort(apart[left], kind="stable")], 32
+        while len(left):
+            at, left = left[:many], left[many:]
+            values = np.concatenate([other_sets[j] for j in at])
+            place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            shared = np.add.reduceat(own[place] == values, np.cumsum(sizes[at]) - sizes[at], dtype=np.int64)
+            for j in at[shared >= similarity * (len(own) + sizes[at] - shared)]:
+                a, b = root(int(label[k])), root(int(other_label[j]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    pairs.append((int(label[k]), int(other_label[j])))
+            here, many = root(int(label[k])), 4 * many
+            known: dict[int, bool] = {}
+            left = left[np.array([known[x] if x in known else known.setdefault(x, root(x) != here) for x in other_label[left].tolist()], bool)]
+    return pairs
+
+
+def _joins(members: DataFrame, farthest: int, similarity: float, rows: int = BLOCK_ROWS // 2, size: int = 16 << 20) -> DataFrame:
+    """hi, lo: pairs of components of a cluster to be joined. members: node, cluster, component, the words of the fingerprint, set.
+
+    Rows of the largest component of a cluster are compared with the others only. Both sides are dealt to parts of so many rows or bytes of sets; each pair of parts is a group."""
+    weight = lambda: F.ceil(F.greatest(F.count("*") / rows, F.sum(F.length("set")) / size))
+    large = members.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m")).select("cluster", F.col("m.component").alias("largest"))
+    marked = stored(members.join(large, "cluster").withColumn("small", F.col("component") != F.col("largest")).drop("largest"), "members")
+    parts = marked.groupBy("cluster").agg(weight().alias("all_parts"), F.ceil(F.greatest(F.count_if("small") / rows, F.sum(F.when(F.col("small"), F.length("set")).otherwise(0)) / size)).alias("small_parts"))
+    parts = stored(parts, "parts")
+    marked = marked.join(parts, "cluster")
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    kept = ["cluster", "component", *WORDS, "set"]
+    own = lambda n: F.pmod(F.xxhash64("node"), n)
+    left = marked.where("small").select(*kept, own(F.col("small_parts")).alias("l"), to(F.col("all_parts")).alias("r"))
+    right = marked.select(*[F.col(c).alias(c) for c in kept], own(F.col("all_parts")).alias("r"), to(F.col("small_parts")).alias("l"))
+
+    def check(left, right):
+        sides = []
+        for t in (left, right):
+            fp = np.stack([t.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
+            sides.append((fp, [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], t.column("component").to_numpy()))
+        pairs = alike_rows(*sides[0], *sides[1], farthest, similarity) if left.num_rows and right.num_rows else []
+        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["hi", "lo"])
+
+    key = ["cluster", "l", "r"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(check, "hi long, lo long")
+
+
 def _joined(component: DataFrame, merged: DataFrame) -> DataFrame:
     """component (node, root) after the roots in merged (node, root) have become others, and with roots that it did not have."""
     moves = merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
@@ -407,33 +418,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = forest(nodes.select("node", *WORDS), WORDS, keys, steps, most)
     found = stored(found.groupBy(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).agg(F.min("d").alias("d")), "links")
     component = stored(connected_components(found.where(F.col("d") <= SURE_BITS).select("hi", "lo")), "sure")
-    found, refuted, forests = found.where(F.col("d") > SURE_BITS), None, 1
-    while True:
-        at = lambda end: component.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-        rest = found.join(at("hi"), "hi", "left").join(at("lo"), "lo", "left")
-        rest = rest.select("hi", "lo", "d", F.coalesce("hi_root", "hi").alias("a"), F.coalesce("lo_root", "lo").alias("b")).where("a != b")
-        # of the links between two components some are checked, the nearest first
-        rest = rest.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "hi", "lo", F.row_number().over(Window.partitionBy(F.greatest("a", "b"), F.least("a", "b")).orderBy("d", "hi", "lo")).alias("nearest"))
-        rest = stored(rest.where(F.col("nearest") <= forests).drop("nearest"), "doubtful")
-        if rest.isEmpty():
-            break
-        checked = stored(_similar(rest, nodes, docs, text_col, shingle, similarity, seed), "checked")
-        component = stored(_joined(component, connected_components(checked.where("alike").select(F.col("x").alias("hi"), F.col("y").alias("lo")))), "components")
-        # a refuted link leaves room for others between the same components, or by way of a third
-        no = checked.where("NOT alike").select("hi", "lo")
-        refuted = stored(no if refuted is None else refuted.unionByName(no), "refuted")
-        open_ = refuted.join(at("hi"), "hi", "left").join(at("lo"), "lo", "left").select("hi", "lo", F.coalesce("hi_root", "hi").alias("a"), F.coalesce("lo_root", "lo").alias("b")).where("a != b")
-        refuted = stored(open_, "refuted")
-        cluster = connected_components(refuted.select(F.col("a").alias("hi"), F.col("b").alias("lo"))).select(F.col("node").alias("component"), F.col("root").alias("cluster"))
-        unlike = refuted.groupBy(F.col("hi").alias("node")).agg(F.collect_list("lo").alias("unlike"))
-        refuted = refuted.select("hi", "lo")
-        again = nodes.select("node", *WORDS).join(component, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root").join(cluster, "component").join(unlike, "node", "left")
-        again = stored(again.withColumn("unlike", F.coalesce("unlike", F.array().cast("array<long>"))), "open")
-        if again.isEmpty():
-            break
-        forests *= 4
-        found = forest(again, WORDS, keys, [farthest], most, forests)
-        found = stored(found.groupBy(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).agg(F.min("d").alias("d")), "links")
+    at = lambda end: component.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    rest = found.where(F.col("d") > SURE_BITS).join(at("hi"), "hi", "left").join(at("lo"), "lo", "left")
+    rest = rest.select("hi", "lo", "d", F.coalesce("hi_root", "hi").alias("a"), F.coalesce("lo_root", "lo").alias("b")).where("a != b")
+    # of the links between two components the nearest is checked
+    rest = rest.groupBy(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).agg(F.min_by(F.struct("hi", "lo"), F.struct("d", "hi", "lo")).alias("l"))
+    rest = stored(rest.select("x", "y", "l.hi", "l.lo"), "doubtful")
+    checked = stored(_similar(rest, nodes, docs, text_col, shingle, similarity, seed), "checked")
+    component = stored(_joined(component, connected_components(checked.where("alike").select(F.col("x").alias("hi"), F.col("y").alias("lo")))), "components")
+    # where a link is refuted, others between the same components may hold, or such by way of a third: these components are compared as a whole
+    refuted = checked.where("NOT alike").select("hi", "lo").join(at("hi"), "hi", "left").join(at("lo"), "lo", "left").select(F.coalesce("hi_root", "hi").alias("hi"), F.coalesce("lo_root", "lo").alias("lo"))
+    cluster = connected_components(refuted.where("hi != lo")).select(F.col("node").alias("component"), F.col("root").alias("cluster"))
+    members = nodes.join(component, "node", "left").select("node", "sample", *WORDS, F.coalesce("root", "node").alias("component")).join(cluster, "component")
+    joins = _joins(_sets(members, docs, text_col, shingle, seed), farthest, similarity)
+    component = stored(_joined(component, connected_components(joins)), "components")
     rooted = nodes.join(component, "node", "left").withColumn("top", F.coalesce("root", "node"))
     rooted = stored(rooted.select(*WORDS, "first_id", F.col("top").alias("root")), "rooted")
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

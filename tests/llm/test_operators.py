@@ -519,22 +519,28 @@ def test_links_beside_refuted_ones_are_tried(spark):
     assert sum(got[i] == got[w] for i, w in linked) >= 0.95 * len(linked)
 
 
-def test_forests_find_every_pair_in_the_end():
-    """Links that are refuted are not found again, and searches end when each link between components has been seen."""
-    rng = np.random.default_rng(11)
-    fp = np.unique(rng.integers(0, 1 << 63, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)))
-    n, label, seen, forests, rounds = len(fp), np.arange(len(fp)) // 3 * 3, set(), 1, 0
-    wanted = {(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]) <= 3)) if i < j and label[i] != label[j]}
-    while True:
-        refuted = np.array([i * n + j for i, j in seen], np.int64)
-        links = simhash.block_links(np.zeros(n, np.int64), fp[:, None], [3], simhash.Forests(n, forests, label, refuted))
-        found = {(min(x, y), max(x, y)) for i, j, _ in links.pairs for x, y in zip(i.tolist(), j.tolist())}
-        if not found:
-            break
-        assert not found & seen and found <= wanted
-        seen |= found
-        forests, rounds = forests * 4, rounds + 1
-    assert seen == wanted and rounds < 12
+@pytest.mark.parametrize("most", [2, 2048])
+def test_clusters_are_compared_as_a_whole(spark, most):
+    """Components of a cluster, in parts or not, are joined exactly if rows of them are alike and near."""
+    r = random.Random(most)
+    base = [r.randrange(1 << 60) for _ in range(100)]
+    rows = []
+    for k in range(60):
+        own = sorted({*r.sample(base, 100 - r.randrange(4, 30)), *(r.randrange(1 << 60) for _ in range(r.randrange(8)))})
+        rows.append((k, k // 5 % 2, (k // 3 if k % 2 else 70), r.randrange(256), np.array(own, np.uint64)))
+    frame = spark.createDataFrame([(n, c, m, *[w] * len(simhash.WORDS), bytearray(s.tobytes())) for n, c, m, w, s in rows], "node long, cluster long, component long, " + ", ".join(f"{w} long" for w in simhash.WORDS) + ", set binary")
+    joins = [(x["hi"], x["lo"]) for x in simhash._joins(frame, 30, 0.8, most).collect()]
+
+    def groups(pairs):
+        root = {m: m for _, _, m, _, _ in rows}
+        for _ in rows:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    near = [(m, m2) for n, c, m, w, s in rows for n2, c2, m2, w2, s2 in rows if c == c2 and m != m2 and 8 * (w ^ w2).bit_count() <= 30 and len(np.intersect1d(s, s2)) >= 0.8 * len(np.union1d(s, s2))]
+    # the largest component of a cluster is compared with the others alone
+    assert groups(joins) == groups(near) and set(joins) <= {*near, *((b, a) for a, b in near)} and len(near) > 20
 
 
 def test_near_copies_recall_and_precision_on_documents(spark):
