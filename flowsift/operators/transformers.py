@@ -78,9 +78,16 @@ def pca(rows: DataFrame, k: int, features: str = "features") -> Pca:
     return Pca(mean.tolist(), parts.tolist(), values[order].tolist())
 
 
-def vocabulary(rows: DataFrame, column: str) -> list:
-    """Sorted distinct values of a categorical column."""
-    return [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+#: Values that a categorical column has at most: each becomes a column, and all go to the driver.
+MOST_VALUES = 10_000
+
+
+def vocabulary(rows: DataFrame, column: str, most: int = MOST_VALUES) -> list:
+    """Sorted distinct values of a categorical column; an error if there are more than `most`, which are not fetched then."""
+    found = [r[0] for r in rows.select(F.col(f"`{column}`").alias("v")).where("v IS NOT NULL").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(found)
 
 
 def one_hot(rows: DataFrame, column: str, values: list) -> DataFrame:
@@ -132,11 +139,11 @@ class OneHot:
 
 
 def one_hot_vectors(rows: DataFrame, categorical: list[int], features: str = "features") -> OneHot:
-    """Fitted on the distinct values (at most some hundreds) of the categorical places."""
+    """Fitted on the distinct values (MOST_VALUES at most) of the categorical places."""
     first = rows.select(F.size(features)).first()
     if first is None:
         raise ValueError("no rows to fit on")
-    found = {i: sorted(r[0] for r in rows.select(F.col(features)[i].cast("double").alias("v")).where("v is not null").distinct().collect()) for i in categorical}
+    found = {i: vocabulary(rows.select(F.col(features)[i].cast("double").alias(f"feature {i}")), f"feature {i}") for i in categorical}
     return OneHot(found, first[0])
 
 

@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsift.operators import engines, fitting
+from flowsift.operators import engines, fitting, transformers
+from flowsift.plans import catalogue
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def _frame(spark, x):
@@ -74,3 +77,59 @@ def test_forest_by_a_share(spark):
     forest = engines.isolation_forest(rows, "flow_id", "features", trees=5, max_samples=0.1, bootstrap=True)
     assert forest.size == 40 and len(forest.trees) == 5
     assert engines.isolation_forest(rows.where(F.lit(False)), "flow_id", "features") is None
+
+
+def _matrix(spark) -> tuple[list[int], np.ndarray]:
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").orderBy(F.col("vec_id").cast("string")).collect()
+    return [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
+
+
+def test_engine_queries_against_plain_fits(spark):
+    """q_one_class_svm, q_autoencoder and q_isolation_forest on whole tables against models that are fitted and applied in this process."""
+    ids, x = _matrix(spark)
+    svm = engines.OneClassSvm(x, nu=0.05, gamma=0.5)
+    got = {r["vec_id"]: r for r in catalogue.QUERIES["q_one_class_svm"](spark, SMALL).collect()}
+    assert np.allclose([got[i]["score"] for i in ids], svm(x), atol=1e-9) and all(got[i]["label"] == (got[i]["score"] < 0) for i in ids)
+
+    step = {r["vec_id"]: r["s"] for r in spark.createDataFrame([(i,) for i in ids], "vec_id long").select("vec_id", F.pmod(F.xxhash64(F.lit(0), F.col("vec_id").cast("string")), F.lit(2)).alias("s")).collect()}
+    parts = [x[[step[i] == k for i in ids]] for k in (0, 1)]
+    auto = engines.Autoencoder.untrained(x.shape[1])
+    for epoch in range(10):
+        for k in np.random.default_rng([1, epoch]).permutation(2):
+            error, grads = auto.gradients(parts[k], np.random.default_rng(0))
+            auto.step([g / len(parts[k]) for g in grads])
+    want = auto(x)
+    got = {r["vec_id"]: r for r in catalogue.QUERIES["q_autoencoder"](spark, SMALL).collect()}
+    assert np.allclose([got[i]["score"] for i in ids], want)
+    assert [got[i]["label"] for i in ids] == (want > np.quantile(want, 0.99)).astype(int).tolist()
+
+    draw = {(r["t"], r["vec_id"]): r["d"] for r in spark.createDataFrame([(i,) for i in ids], "vec_id long").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("t")).select("vec_id", "t", F.xxhash64(F.lit(0), "t", "vec_id").alias("d")).collect()}
+    depths = np.zeros(len(x))
+    for t in range(100):
+        own = sorted(range(len(ids)), key=lambda k: (draw[t, ids[k]], str(ids[k])))[:256]
+        tree = engines.IsolationForest(x[own], 1, 256, 0.5, t).trees[0]
+        for k, v in enumerate(x):  # a walk from the root
+            node, depth = 0, 0
+            while tree[node][0] >= 0:
+                node, depth = int(tree[node][2] if v[int(tree[node][0])] <= tree[node][1] else tree[node][3]), depth + 1
+            depths[k] += depth + tree[node][4]
+    want = 2 ** (-depths / 100 / engines.IsolationForest.average(256))
+    got = {r["vec_id"]: r for r in catalogue.QUERIES["q_isolation_forest"](spark, SMALL).collect()}
+    assert np.allclose([got[i]["score"] for i in ids], want)
+
+
+def test_pca_query_against_plain(spark):
+    ids, x = _matrix(spark)
+    got = {r["vec_id"]: r["pca"] for r in catalogue.QUERIES["q_pca_variance"](spark, SMALL).collect()}
+    values, vectors = np.linalg.eigh(np.cov((x - x.mean(0)).T))
+    want = (x - x.mean(0)) @ vectors[:, np.argsort(-values)[:10]]
+    got = np.array([got[i] for i in ids])
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_vocabularies_have_a_bound(spark):
+    rows = spark.createDataFrame([(f"v{i % 12}", [float(i % 12)]) for i in range(40)] + [(None, None)], "a string, features array<double>")
+    assert transformers.vocabulary(rows, "a", 12) == sorted(f"v{i}" for i in range(12))
+    with pytest.raises(ValueError, match="more than 11"):
+        transformers.vocabulary(rows, "a", 11)
+    assert transformers.one_hot_vectors(rows.where("a IS NOT NULL"), [0]).values == {0: [float(i) for i in range(12)]}
