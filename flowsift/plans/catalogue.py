@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsift.functions import columns as C
-from flowsift.operators import engines, evaluation, extractors, fitting, flows, labels, neighbours, payl, transformers
+from flowsift.operators import engines, evaluation, extractors, fitting, flow_table, flows, labels, neighbours, payl, transformers
 from flowsift.plans import lifecycle, preprocess, reporting, store
 from flowsift.sources import label_csv, packet_labels, pcap
 
@@ -663,6 +663,24 @@ def q_flow_extractor(spark, d):
     return rows.select(*[F.round(c, 9 if c.startswith("mean_") else 7).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
+#: Flow features in SQL alone. Flows are numbered and looked back upon by ranges, so that no task holds all of a capture or of an address.
+FLOW_FEATURES_SQL = f"""
+WITH f AS (SELECT * FROM flow_features(TABLE({{packets}}), modes => 'subflows tcp with_ip_addr', timeout => {TIMEOUT / 1e6}, subflow => {SUBFLOW / 1e6})),
+ placed AS (SELECT *, flow_first DIV 1048576 AS span, row_number() OVER (PARTITION BY file, flow_first DIV 1048576 ORDER BY flow_first) - 1 AS place FROM f),
+ spans AS (SELECT file, span, sum(count(*)) OVER (PARTITION BY file ORDER BY span) - count(*) AS before FROM placed GROUP BY file, span),
+ numbered AS (SELECT placed.*, before + place AS flow_idx FROM placed JOIN spans USING (file, span)),
+ dealt AS (SELECT *, flow_idx DIV 16384 AS own, explode(if(flow_idx % 16384 >= 16284, array(flow_idx DIV 16384, flow_idx DIV 16384 + 1), array(flow_idx DIV 16384))) AS part FROM numbered),
+ counted AS (SELECT *, {", ".join(f"count(*) OVER (PARTITION BY file, {', '.join(cols)}, part ORDER BY flow_idx RANGE BETWEEN 100 PRECEDING AND 1 PRECEDING) AS hindsight_{n}" for n, cols in extractors.HINDSIGHT.items())} FROM dealt)
+SELECT * EXCEPT (span, place, own, part) FROM counted WHERE part = own"""
+
+
+@query(_extractor_sql())
+def q_flow_features_sql(spark, d):
+    flow_table.register(spark)
+    rows = spark.sql(FLOW_FEATURES_SQL, packets=captured(spark, d))
+    return rows.select(*[F.round(c, 9 if c.startswith("mean_") else 7).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
 @query(_flows_sql(True) + f""", idle AS (SELECT CASE WHEN lag(ts_us) OVER k IS NULL OR ts_us - lag(ts_us) OVER k > {TIMEOUT} THEN 1 ELSE 0 END AS new FROM q WINDOW k AS (PARTITION BY usr ORDER BY pkt_idx))
  SELECT modes, n_features, CASE WHEN modes LIKE '%tcp%' THEN by_fin ELSE by_idle END AS n_flows
  FROM (VALUES ('', 42), ('basic', 3), ('port_decimal', 56), ('with_ip_addr', 44), ('ip_dotted with_ip_addr', 74), ('subflows', 59), ('tcp', 61), ('hindsight', 48), ('basic tcp', 3)) v(modes, n_features),
