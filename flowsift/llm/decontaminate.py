@@ -187,6 +187,27 @@ def counted_windows(windows: list[tuple], conflicts: float = CONFLICTS) -> list[
     return out
 
 
+def _counted(conflicts: float):
+    """Leaves in ats the windows that count, and says whether one of them has another value. matched is null where no value differs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ats, other = [], []
+            for at, matched in zip(batch.column("ats"), batch.column("matched")):
+                if not matched.is_valid:
+                    ats.append(at.as_py())
+                    other.append(False)
+                    continue
+                windows = [(w["at"], [(s["place"], s["i"], s["d"]) for s in w["slots"]]) for w in matched.as_py()]
+                stay = counted_windows(windows, conflicts)
+                ats.append(sorted({a for a, _ in stay}))
+                other.append(any(o for _, o in stay))
+            rest = batch.select([n for n in batch.schema.names if n not in ("ats", "matched")])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(ats, pa.list_(pa.int32())), pa.array(other, pa.bool_())], [*rest.schema.names, "ats", "other"])
+
+    return run
+
+
 def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.col(text_col).alias("text"))
 
@@ -208,9 +229,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     slots = F.transform(F.arrays_zip("places", "theirs", "slots"), lambda s: F.struct((s["places"] + F.col("at")).alias("place"), s["theirs"].alias("i"), s["slots"].alias("d")))
     pair = ["doc_id", "digest", "item_id", "item"]
     runs = hits.groupBy(*pair, (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", F.when(F.col("places") == F.col("item_places"), slots).otherwise(F.slice(slots, 1, 0)).alias("slots"))).alias("matched"), F.first("item_windows").alias("item_windows"))
-    counted = F.udf(lambda matched: counted_windows(matched, conflicts), "array<struct<at int, other boolean>>")
-    runs = runs.select(*pair, "item_windows", F.explode(counted("matched")).alias("w")).select(*pair, "item_windows", "w.at", "w.other")
-    found = runs.groupBy(*pair).agg(F.count_distinct("at").alias("matched_windows"), F.first("item_windows").cast("long").alias("item_windows"), F.max("other").alias("reparameterised"))
+    differ = F.exists("matched", lambda w: F.exists(w["slots"], lambda s: s["i"] != s["d"]))
+    # where all values are the item's, all windows count: only other occurrences need their slots
+    runs = runs.select(*pair, "item_windows", F.array_distinct("matched.at").alias("ats"), F.when(F.coalesce(differ, F.lit(True)), F.col("matched")).alias("matched"))
+    runs = runs.mapInArrow(_counted(conflicts), ", ".join(f"{n} {t}" for n, t in runs.drop("matched").dtypes) + ", other boolean")
+    found = runs.select(*pair, "item_windows", "other", F.explode("ats").alias("at")).groupBy(*pair).agg(F.count_distinct("at").alias("matched_windows"), F.first("item_windows").cast("long").alias("item_windows"), F.max("other").alias("reparameterised"))
     found = found.withColumn("coverage", F.col("matched_windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
     return found.select("doc_id", "item_id", "matched_windows", "item_windows", "coverage", "reparameterised", "digest")
 

@@ -101,6 +101,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, end: int = END, vocabulary: str |
     schema = f"{', '.join(f'{n} {t}' for n, t in pieces.dtypes)}, sequence_id long, offset long"
     full = pieces.where(F.col("length") == limit)
     full = full.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.where(F.col("length") < limit).withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
+    # row numbers deal rows that agree in id and text to different groups; they are fixed, since the pieces are written
+    rest = pieces.withColumn("g", F.monotonically_increasing_id()).where(F.col("length") < limit).withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "g"), F.lit(groups)))
     rest = rest.repartition(groups, "g").drop("g").mapInArrow(run, schema)
     return full.unionByName(rest)

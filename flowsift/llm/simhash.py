@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from flowsift.llm.common import BROADCAST_ROWS, free_names, quoted, stored, within, without
 from flowsift.llm.components import connected_components
-from flowsift.llm.exact_dedup import text_digest
+from flowsift.llm.exact_dedup import COUNTERS, text_digest
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 LEAF, FANOUT = 16, 16
@@ -266,15 +266,24 @@ def linked(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROW
     return forest(fps.select(F.col("fp").alias("node"), "fp"), ["fp"], keys, [distance], most).select("hi", "lo")
 
 
+def with_component(rows: DataFrame, named: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the columns of named, which has one row for each value of `on` and n, how many rows have it. Values that more than one row in 1,024 has (fewer than 1,024
+    values) meet their rows by a broadcast, so no task gets all rows of such a value; the others are shuffled."""
+    least = (named.agg(F.sum("n")).first()[0] or 0) // (COUNTERS + 1)
+    hot = F.broadcast(named.where(F.col("n") > least).drop("n"))
+    cold = named.where(F.col("n") <= least).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
 def _grouped(fps: DataFrame, distance: int, block_rows: int) -> DataFrame:
     """The rows of fps with root (one fingerprint for each component) and component_id."""
-    known = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    known = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     parts = connected_components(linked(known.select("fp"), distance, block_rows))
-    rooted = known.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = known.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(first, "root").select("fp", "root", "component_id")
-    return fps.join(named, "fp")
+    named = stored(rooted.join(first, "root").select("fp", "root", "component_id", "n"), "named")
+    return with_component(fps, named, ["fp"])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -410,7 +419,7 @@ def _joined(component: DataFrame, merged: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED, most: int = BLOCK_MOST) -> DataFrame:
     """doc_id, digest (of the text), root, component_id of every row: components of texts whose distinct shingles have at least this Jaccard similarity."""
     fps = stored(wide_fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = stored(fps.groupBy(*WORDS).agg(F.min("doc_id").alias("first_id"), F.min("digest").alias("sample")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = stored(fps.groupBy(*WORDS).agg(F.min("doc_id").alias("first_id"), F.min("digest").alias("sample"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     share = differing_share(similarity)
     farthest = math.ceil(WIDE_BITS * share + 2 * math.sqrt(WIDE_BITS * share * (1 - share)))
     steps = sorted({round(x) for x in np.linspace(min(SURE_BITS, farthest), farthest, 5)})
@@ -433,9 +442,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joins = _joins(_sets(members, docs, text_col, shingle, seed), farthest, similarity)
     component = stored(_joined(component, connected_components(joins)), "components")
     rooted = nodes.join(component, "node", "left").withColumn("top", F.coalesce("root", "node"))
-    rooted = stored(rooted.select(*WORDS, "first_id", F.col("top").alias("root")), "rooted")
+    rooted = stored(rooted.select(*WORDS, "first_id", "n", F.col("top").alias("root")), "rooted")
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(rooted.drop("first_id").join(first, "root"), WORDS).select("doc_id", "digest", "root", "component_id")
+    named = stored(rooted.drop("first_id").join(first, "root"), "named")
+    return with_component(fps, named, WORDS).select("doc_id", "digest", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED, most: int = BLOCK_MOST) -> DataFrame:

@@ -72,6 +72,22 @@ def test_simhash_against_all_pairs(spark, docs):
     assert got == {i: (f"{f:016x}", ids[r]) for i, f, r in zip(ids, fp.tolist(), _components(fp))}
 
 
+def test_a_fingerprint_of_half_of_all_rows(spark):
+    """Rows of frequent fingerprints meet their component by a broadcast, the others by a shuffle: one row each, with equal results."""
+    rows = [(i, "" if i % 2 else f"{i % 1500} words that stand alone {i % 1500} times") for i in range(6000)]
+    frame = spark.createDataFrame(rows + [(None, ""), (None, None)], "doc_id long, text string")
+    got = simhash.near_groups(frame)
+    found = got.toPandas()
+    assert len(found) == 6002 and (found[found.fp == 0].component_id == 1).all() and (found.fp == 0).sum() == 3002
+    want = {}
+    for i, c in zip(*(found[found.fp != 0][c] for c in ("doc_id", "component_id"))):
+        want.setdefault(c, set()).add(int(i))
+    assert all(min(members) == c for c, members in want.items())
+    named = spark.createDataFrame([(f, 3000 if f == 0 else 1, f * 10) for f in range(1500)], "fp long, n long, root long")
+    joined = simhash.with_component(spark.range(4500).select(F.expr("if(id < 3000, 0, id - 2999)").alias("fp"), "id"), named.where("fp < 1500"), ["fp"])
+    assert joined.count() == 4499 and joined.where("root != fp * 10").count() == 0
+
+
 @pytest.mark.parametrize("spread", [2, 40])
 def test_block_links_in_dense_blocks(spread):
     rng = np.random.default_rng(spread)
@@ -310,6 +326,43 @@ def test_pieces_against_the_tokenizer(spark):
     assert sorted(zip(got.doc_id.fillna(-1).astype(int), got.piece, got.start, got.length, got.ids_crc32)) == sorted(want)
 
 
+def _plain_place(lengths: list[int], limit: int) -> list[tuple[int, int]]:
+    """Of all open bins that a piece fits into, one of the gap that makes the sum of squares smallest (ties: the smallest gap); the bin that got to its gap last."""
+    bins: list[list[int]] = []  # used, time of the last change
+    out = []
+    for at, size in enumerate(lengths):
+        best = None
+        for b, (used, last) in enumerate(bins):
+            if used + size <= limit and used < limit:
+                gaps = Counter(limit - u for j, (u, _) in enumerate(bins) if j != b)
+                gaps[limit - used - size] += 1
+                key = (sum(n * n for g, n in gaps.items() if g), limit - used, -last)
+                if best is None or key < best[0]:
+                    best = (key, b)
+        if best is None:
+            bins.append([0, at])
+            best = (None, len(bins) - 1)
+        b = best[1]
+        out.append((b, bins[b][0]))
+        bins[b] = [bins[b][0] + size, at]
+    return out
+
+
+@pytest.mark.parametrize("limit, seed", [(20, 1), (50, 2), (64, 3)])
+def test_placement_against_plain_sums_of_squares(limit, seed):
+    r = random.Random(seed)
+    lengths = sorted((r.randint(1, limit - 1) for _ in range(150)), reverse=True)
+    bins, offsets = packing.place(np.array(lengths), limit)
+    assert list(zip(bins.tolist(), offsets.tolist())) == _plain_place(lengths, limit)
+
+
+def test_rows_that_agree_go_to_many_groups(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same short text").alias("text"))
+    got = packing.pack(rows, group_rows=500).toPandas()
+    groups = (got.sequence_id // 2**36).value_counts()
+    assert len(got) == 4000 and len(groups) > 1 and groups.max() < 2500
+
+
 def test_packing_is_gapless_and_near_the_bound(spark):
     rows = QUERIES["op5_best_fit_packing"](spark, SMALL).toPandas()
     for _, g in rows.groupby("sequence_id"):
