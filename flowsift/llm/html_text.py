@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,8 +37,8 @@ from flowsift.llm.common import BROADCAST_ROWS, stored
 LEAST_PAGES, TEMPLATE_SHARE, REGION_SHARE = 5, 0.9, 0.8
 DEPTH = 100
 BROADCAST_BYTES = 64 << 20
-#: Products of two child lists that are aligned in full; beyond it children of one kind match in order, first to first.
-MATCH_CELLS = 250_000
+#: Pairs of subtrees whose match, and cells of child lists whose weights, an alignment holds before it drops them and makes them again.
+HELD_PAIRS, HELD_CELLS = 500_000, 4_000_000
 HELD_COUNTS = 200_000
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -238,64 +239,99 @@ def _lists(shape: str) -> tuple[list[str], list[list[int]]]:
     return kinds, children
 
 
+def _subtrees(kinds: list[str], children: list[list[int]], known: dict[tuple, int]) -> tuple[list[int], list[int]]:
+    """Of each node a number that equal subtrees share, and its number of nodes. known: numbers given so far."""
+    own, size = [0] * len(kinds), [1] * len(kinds)
+    for node in range(len(kinds) - 1, -1, -1):  # children come after parents
+        own[node] = known.setdefault((kinds[node], *(own[c] for c in children[node])), len(known))
+        size[node] += sum(size[c] for c in children[node])
+    return own, size
+
+
 def align(wrapper: str, shape: str) -> list[int]:
-    """Of each node of a shape the node of the wrapper that it matches, or -1: simple tree matching."""
+    """Of each node of a shape the node of the wrapper that it matches, or -1: simple tree matching.
+
+    Equal subtrees are compared once, a row of a table at a time; of a table, some rows are kept and those between two of them made again on the way
+    back, so that memory grows with the root of its cells.
+    """
     kinds_a, below_a = _lists(wrapper)
     kinds_b, below_b = _lists(shape)
     if wrapper == shape:
         return list(range(len(kinds_b)))
-    size: dict[tuple[int, int], int] = {}
-
-    def table(a: int, b: int) -> list[list[int]]:
-        x, y = below_a[a], below_b[b]
-        rows = [[0] * (len(y) + 1)]
-        for i in x:
-            above, row = rows[-1], [0]
-            for k, j in enumerate(y):
-                most = above[k + 1] if above[k + 1] > row[k] else row[k]
-                if kinds_a[i] == kinds_b[j]:
-                    most = max(most, above[k] + matched(i, j))
-                row.append(most)
-            rows.append(row)
-        return rows
+    known: dict[tuple, int] = {}
+    (own_a, size_a), (own_b, _) = _subtrees(kinds_a, below_a, known), _subtrees(kinds_b, below_b, known)
+    most: dict[tuple[int, int], int] = {}
+
+    def weigher(y: list[int]):
+        """Of a node of the wrapper, what its matches with the nodes y weigh; 0 where kinds differ."""
+        _, first, places = np.unique([own_b[j] for j in y], return_index=True, return_inverse=True)
+        alike = [y[k] for k in first]
+        rows: dict[int, np.ndarray] = {}
+
+        def weights(i: int) -> np.ndarray:
+            if own_a[i] not in rows:
+                if len(rows) * len(y) > HELD_CELLS:
+                    rows.clear()
+                rows[own_a[i]] = np.array([matched(i, j) if kinds_a[i] == kinds_b[j] else 0 for j in alike], np.int64)[places]
+            return rows[own_a[i]]
+
+        return weights
+
+    def below(above: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The row of a table behind that of the sibling before."""
+        row = above.copy()
+        np.maximum(row[1:], np.where(weight > 0, above[:-1] + weight, 0), out=row[1:])
+        return np.maximum.accumulate(row)
 
     def matched(a: int, b: int) -> int:
-        if (a, b) not in size:
-            wide = len(below_a[a]) * len(below_b[b]) > MATCH_CELLS
-            size[a, b] = 1 + (sum(matched(i, j) for i, j in in_order(a, b)) if wide else table(a, b)[-1][-1])
-        return size[a, b]
-
-    def in_order(a: int, b: int) -> list[tuple[int, int]]:
-        pairs, y = [], iter(below_b[b])
-        left = Counter(kinds_b[j] for j in below_b[b])
-        for i in below_a[a]:
-            if left[kinds_a[i]]:
-                for j in y:
-                    left[kinds_b[j]] -= 1
-                    if kinds_b[j] == kinds_a[i]:
-                        pairs.append((i, j))
-                        break
-        return pairs
+        if own_a[a] == own_b[b]:
+            return size_a[a]
+        x, y = below_a[a], below_b[b]
+        if not x or not y:
+            return 1
+        pair = own_a[a], own_b[b]
+        if pair not in most:
+            row, weights = np.zeros(len(y) + 1, np.int64), weigher(y)
+            for i in x:
+                row = below(row, weights(i))
+            if len(most) > HELD_PAIRS:
+                most.clear()
+            most[pair] = 1 + int(row[-1])
+        return most[pair]
+
+    def pairs(x: list[int], y: list[int]) -> Iterator[tuple[int, int]]:
+        """The children that match, from the last to the first."""
+        if not x or not y:
+            return
+        weights, step = weigher(y), math.isqrt(len(x)) + 1
+        row, kept = np.zeros(len(y) + 1, np.int64), []
+        for place, i in enumerate(x):
+            if place % step == 0:
+                kept.append(row)
+            row = below(row, weights(i))
+        j = len(y)
+        for part in range(len(kept) - 1, -1, -1):
+            rows = [kept.pop()]
+            for i in x[part * step : (part + 1) * step]:
+                rows.append(below(rows[-1], weights(i)))
+            k = len(rows) - 1
+            while k and j:
+                i = x[part * step + k - 1]
+                weight = weights(i)[j - 1]
+                if weight and rows[k][j] == rows[k - 1][j - 1] + weight:
+                    k, j = k - 1, j - 1
+                    yield i, y[j]
+                elif rows[k][j] == rows[k - 1][j]:
+                    k -= 1
+                else:
+                    j -= 1
 
     to = [-1] * len(kinds_b)
     todo = [(0, 0)]
     while todo:
         a, b = todo.pop()
         to[b] = a
-        x, y = below_a[a], below_b[b]
-        if len(x) * len(y) > MATCH_CELLS:
-            todo += in_order(a, b)
-            continue
-        rows = table(a, b)
-        i, j = len(x), len(y)
-        while i and j:
-            if kinds_a[x[i - 1]] == kinds_b[y[j - 1]] and rows[i][j] == rows[i - 1][j - 1] + matched(x[i - 1], y[j - 1]):
-                i, j = i - 1, j - 1
-                todo.append((x[i], y[j]))
-            elif rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+        todo += pairs(below_a[a], below_b[b])
     return to
 
 

@@ -148,3 +148,39 @@ def test_alignment_is_the_largest():
         assert len(pairs) == most(nested(a), nested(b))
         assert all(ka[x] == kb[y] and (y == 0 or to[pb[y]] == pa[x]) for x, y in pairs)
         assert [x for x, _ in pairs] == sorted({x for x, _ in pairs})
+
+
+def test_wide_trees_are_aligned_as_narrow_ones():
+    r = random.Random(9)
+    kinds = [[r.choice("abc") for _ in range(n)] for n in (560, 570)]
+    shapes = [json.dumps([[-1] + [0] * len(k), ["#", *k]]) for k in kinds]
+    row = [0] * (len(kinds[1]) + 1)
+    for a in kinds[0]:  # longest common subsequence
+        above, row = row, [0]
+        for k, b in enumerate(kinds[1]):
+            row.append(above[k] + 1 if a == b else max(above[k + 1], row[k]))
+    to = html_text.align(*shapes)
+    pairs = [(a, b) for b, a in enumerate(to) if a > 0]
+    assert len(pairs) == row[-1] and pairs == sorted(pairs) and len({a for a, _ in pairs}) == len(pairs)
+    assert all(kinds[0][a - 1] == kinds[1][b - 1] for a, b in pairs)
+
+
+def test_alignment_with_little_memory(monkeypatch):
+    r = random.Random(10)
+
+    def shape(n):
+        parents, kinds = [-1], ["#"]
+        for _ in range(n):
+            parents.append(0)
+            kinds.append(r.choice("ab"))
+            node = len(kinds) - 1
+            for _ in range(r.randrange(3)):
+                parents.append(node)
+                kinds.append(r.choice("ab"))
+        return json.dumps([parents, kinds])
+
+    shapes = shape(90), shape(80)
+    whole = html_text.align(*shapes)
+    monkeypatch.setattr(html_text, "HELD_PAIRS", 3)
+    monkeypatch.setattr(html_text, "HELD_CELLS", 200)
+    assert html_text.align(*shapes) == whole and sum(k >= 0 for k in whole) > 100
