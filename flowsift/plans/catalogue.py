@@ -382,18 +382,18 @@ def q_byte_frequencies(spark, d):
 
 
 def payloads(spark: SparkSession, d: str) -> DataFrame:
-    return payl.byte_shares(table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("protocol"), F.col("source").alias("port"), (F.floor(F.col("n_chars") / 500) * 500).alias("length")), "text", ["doc_id", "protocol", "port", "length"])
+    return table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("protocol"), F.col("source").alias("port"), (F.floor(F.col("n_chars") / 500) * 500).alias("length"))
 
 
 @query(BYTES + "SELECT protocol, port, length, n, byte, round(mean, 6) AS mean, round(std, 6) AS std FROM c")
 def q_payl_centroids(spark, d):
-    rows = payl.centroids(payloads(spark, d)).select(*payl.KEY, "n", F.posexplode(F.arrays_zip("mean", "std")).alias("byte", "c"))
+    rows = payl.payload_centroids(payloads(spark, d), "text").select(*payl.KEY, "n", F.posexplode(F.arrays_zip("mean", "std")).alias("byte", "c"))
     return rows.select(*payl.KEY, "n", "byte", F.round("c.mean", 6).alias("mean"), F.round("c.std", 6).alias("std"))
 
 
 def usual(spark: SparkSession, d: str) -> DataFrame:
     """Centroids of at least three payloads; payloads of other lengths are compared with the nearest of these."""
-    return payl.centroids(payloads(spark, d)).where("n >= 3")
+    return payl.payload_centroids(payloads(spark, d), "text").where("n >= 3")
 
 
 @query(BYTES + NEAREST + "SELECT doc_id, near_length FROM r WHERE k = 1")
@@ -404,7 +404,7 @@ def q_payl_nearest(spark, d):
 
 
 def distances(spark: SparkSession, d: str) -> DataFrame:
-    return payl.distances(payloads(spark, d), usual(spark, d), ["doc_id", "protocol"])
+    return payl.payload_distances(payloads(spark, d), usual(spark, d), ["doc_id", "protocol"], "text")
 
 
 @query(BYTES + NEAREST + "SELECT doc_id, protocol, round(distance, 4) AS distance FROM g")
@@ -419,12 +419,12 @@ def q_payl_flow_agg(spark, d):
 
 @query(BYTES + ", n AS (SELECT DISTINCT protocol, port, length, lead(length) OVER (PARTITION BY protocol, port ORDER BY length) AS next_length FROM (SELECT DISTINCT protocol, port, length FROM c)) SELECT n.*, round(sum(abs(a.mean - b.mean)), 4) AS distance FROM n JOIN c a USING (protocol, port, length) JOIN c b ON b.protocol = n.protocol AND b.port = n.port AND b.length = n.next_length AND b.byte = a.byte GROUP BY ALL")
 def q_payl_neighbours(spark, d):
-    return rounded(payl.neighbour_distances(payl.centroids(payloads(spark, d))))
+    return rounded(payl.neighbour_distances(payl.payload_centroids(payloads(spark, d), "text")))
 
 
 @query()
 def q_payl_clusters(spark, d):
-    return payl.cluster(payl.centroids(payloads(spark, d)), 0.4).select("protocol", "port", "length", "n")
+    return payl.cluster(payl.payload_centroids(payloads(spark, d), "text"), 0.4).select("protocol", "port", "length", "n")
 
 
 @query("SELECT event_id, " + ", ".join(f"CASE WHEN event_type = '{v}' THEN 1 ELSE 0 END AS event_type_ohe_{v}" for v in ("click", "error", "purchase", "signup", "view")) + " FROM events")
