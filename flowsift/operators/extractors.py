@@ -198,22 +198,22 @@ def payload_flows(packets: DataFrame, settings: FlowSettings = FlowSettings()) -
     return combine(flow_features(packets, settings), payload_shares(flow_rows(packets, settings).select(*settings.flow, "payload"), settings.flow), settings)
 
 
-def payl_packets(packets: DataFrame, settings: FlowSettings = FlowSettings()) -> DataFrame:
-    """Packets with bytes as PAYL sees them: flow, pkt_idx, protocol, port, length and freq."""
-    rows = flow_rows(packets, settings).where(F.octet_length("payload") > 0)
-    keep = [*settings.flow, "pkt_idx", "protocol", "port", "length"]
-    return payl.byte_shares(rows.withColumns({"port": F.col("dst_port"), "length": F.octet_length("payload")}), "payload", keep)
+def payl_packets(rows: DataFrame) -> DataFrame:
+    """The IPv4 packets with bytes as PAYL sees them: port is the destination's, length that of the payload."""
+    rows = rows.where(F.col("src_ip").isNotNull() & (F.octet_length("payload") > 0))
+    return rows.withColumns({"port": F.col("dst_port"), "length": F.octet_length("payload")})
 
 
 def fit_payl(packets: DataFrame, settings: FlowSettings = FlowSettings(), clustering: float = 0.0) -> DataFrame:
     """Centroids of the packets' payloads, neighbours nearer than `clustering` merged (0: none)."""
-    found = payl.centroids(payl_packets(packets, settings))
+    found = payl.payload_centroids(payl_packets(packets))
     return payl.cluster(found, clustering) if clustering > 0 else found
 
 
 def payl_flows(packets: DataFrame, centroids: DataFrame, settings: FlowSettings = FlowSettings(), smoothing: float = 1e-4, paper: bool = True) -> DataFrame:
     """Flow features and mean, min, max and deviation of the PAYL distances of a flow's packets (-1 without bytes)."""
-    far = payl.distances(payl_packets(packets, settings), centroids, settings.flow, smoothing, paper)
+    rows = payl_packets(flow_rows(packets, settings)).select(*settings.flow, *payl.KEY, "payload")
+    far = payl.payload_distances(rows, centroids, settings.flow, "payload", smoothing, paper)
     out = combine(flow_features(packets, settings), payl.flow_distances(far, settings.flow), settings)
     return out.fillna(-1.0, [f"{n}_payl_dist" for n in ("mean", "min", "max", "std")])
 

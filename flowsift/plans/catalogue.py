@@ -39,9 +39,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def packets(spark: SparkSession, d: str) -> DataFrame:
+def packets(spark: SparkSession, d: str, *more: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("pkt_idx"), F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("string"), "UTC")).alias("ts_us"), "user_id", "event_type", F.col("value").alias("length"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("dst"))
+    return e.select(F.col("event_id").alias("pkt_idx"), F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("string"), "UTC")).alias("ts_us"), "user_id", "event_type", F.col("value").alias("length"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("dst"), *more)
 
 
 def flow_packets(spark: SparkSession, d: str) -> DataFrame:
@@ -587,7 +587,7 @@ CAPTURED = """WITH p AS (SELECT *, event_id AS pkt_idx, epoch_us(ts) AS ts_us, 1
 
 
 def captured(spark: SparkSession, d: str) -> DataFrame:
-    e = packets(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("pkt_idx"), "props"), "pkt_idx")
+    e = packets(spark, d, "props")
     usr, srv, uport, out = F.col("user_id") + 100_000, F.col("user_id") % 7 + 200_000, (F.col("user_id") % 50 + 1000).cast("int"), F.col("event_type").isin("click", "view", "signup")
     pick = lambda a, b: F.when(out, a).otherwise(b)
     proto = F.when(F.col("user_id") % 3 == 0, 17).otherwise(6)

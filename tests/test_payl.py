@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsift.operators import payl
+from flowsift.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +40,9 @@ def test_distances_of_payloads_in_parts(rows, monkeypatch, paper):
     got = payl.payload_distances(rows, table, ["id"], "payload", 0.1, paper).collect()
     assert len(got) == len(want) == 2401 and all(r["distance"] == pytest.approx(want[r["id"]], abs=1e-9) for r in got)
     assert -1 in {r["distance"] for r in got}
+
+
+def test_captured_packets_are_read_once(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(20)
+    events.union(events.where("event_id < 3")).write.parquet(f"{tmp_path}/events.parquet")
+    assert catalogue.captured(spark, tmp_path).count() == events.count() + events.where("event_id < 3").count()
