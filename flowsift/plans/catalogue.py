@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsift.functions import columns as C
+from flowsift.functions.scratch import written
 from flowsift.operators import engines, evaluation, extractors, fitting, flow_table, flows, labels, neighbours, payl, transformers
 from flowsift.plans import lifecycle, preprocess, reporting, store
 from flowsift.sources import label_csv, packet_labels, pcap
@@ -664,8 +665,9 @@ def q_flow_extractor(spark, d):
 
 
 #: Flow features in SQL alone. Flows are numbered and looked back upon by ranges, so that no task holds all of a capture or of an address.
+FLOWS_SQL = f"SELECT * FROM flow_features(TABLE({{packets}}), modes => 'subflows tcp with_ip_addr', timeout => {TIMEOUT / 1e6}, subflow => {SUBFLOW / 1e6})"
 FLOW_FEATURES_SQL = f"""
-WITH f AS (SELECT * FROM flow_features(TABLE({{packets}}), modes => 'subflows tcp with_ip_addr', timeout => {TIMEOUT / 1e6}, subflow => {SUBFLOW / 1e6})),
+WITH f AS (SELECT * FROM {{flows}}),
  placed AS (SELECT *, flow_first DIV 1048576 AS span, row_number() OVER (PARTITION BY file, flow_first DIV 1048576 ORDER BY flow_first) - 1 AS place FROM f),
  spans AS (SELECT file, span, sum(count(*)) OVER (PARTITION BY file ORDER BY span) - count(*) AS before FROM placed GROUP BY file, span),
  numbered AS (SELECT placed.*, before + place AS flow_idx FROM placed JOIN spans USING (file, span)),
@@ -677,7 +679,8 @@ SELECT * EXCEPT (span, place, own, part) FROM counted WHERE part = own"""
 @query(_extractor_sql())
 def q_flow_features_sql(spark, d):
     flow_table.register(spark)
-    rows = spark.sql(FLOW_FEATURES_SQL, packets=captured(spark, d))
+    found = written(spark.sql(FLOWS_SQL, packets=captured(spark, d)), "flows")  # numbering reads them twice
+    rows = spark.sql(FLOW_FEATURES_SQL, flows=found)
     return rows.select(*[F.round(c, 9 if c.startswith("mean_") else 7).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 

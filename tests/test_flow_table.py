@@ -74,3 +74,12 @@ def test_spread_of_numbers_seen_once():
     for v in (1e9 + 4, 1e9 + 7, 1e9 + 13, 1e9 + 16):
         s.add(v)
     assert s.values(-1) == {"sum": 4e9 + 40, "mean": 1e9 + 10, "min": 1e9 + 4, "max": 1e9 + 16, "std": pytest.approx(22.5**0.5)}
+
+
+def test_query_reads_the_function_once(spark, monkeypatch):
+    from flowsift.plans import catalogue
+
+    stored = []
+    monkeypatch.setattr(catalogue, "written", lambda df, name: stored.append(name) or df)
+    plan = catalogue.QUERIES["q_flow_features_sql"](spark, "/root/testdata/sf0.001")
+    assert stored == ["flows"] and "flow_features" not in catalogue.FLOW_FEATURES_SQL and plan.columns[:2] == ["file", "flow_first"]
