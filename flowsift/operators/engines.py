@@ -132,6 +132,20 @@ def distance_block(x: np.ndarray, y: np.ndarray, metric: str = "minkowski", p: f
     return _DISTANCES[metric](x[:, None], y[None])
 
 
+def _smallest(d: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k smallest of each row in their order, ties to the smaller place, as a stable sort gives them."""
+    if d.shape[1] < 4 * k + 64:
+        return np.argsort(d, axis=1, kind="stable")[:, :k]
+    at = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+    near = np.take_along_axis(d, at, 1)
+    last = near.max(axis=1, keepdims=True)
+    at = np.take_along_axis(at, np.argsort(near, axis=1, kind="stable"), 1)
+    # of more equal ones than have a place, those that come first do
+    for i in np.flatnonzero(~((d <= last).sum(axis=1) == k)):
+        at[i] = np.argsort(d[i], kind="stable")[:k]
+    return at
+
+
 def _near(x: np.ndarray, train: np.ndarray, k: int, p: float, skip_self: bool, metric: str = "minkowski", space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distances and places of the k nearest training rows, in blocks."""
     out_d, out_i = [], []
@@ -141,7 +155,7 @@ def _near(x: np.ndarray, train: np.ndarray, k: int, p: float, skip_self: bool, m
         d = distance_block(part, train, metric, p, space)
         if skip_self:
             d[np.arange(len(part)), a + np.arange(len(part))] = np.inf
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        at = _smallest(d, k)
         near = np.take_along_axis(d, at, 1)
         if metric in _EUCLIDEAN[:3] and (metric != "minkowski" or p == 2):  # once more without the loss of digits of the product form
             exact = np.sqrt(((part[:, None] - train[at]) ** 2).sum(2))

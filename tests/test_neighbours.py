@@ -79,3 +79,15 @@ def test_few_rows(spark, tmp_path):
     assert len(model.score(one, "vec_id", "embedding").collect()) == 1
     with pytest.raises(ValueError):
         neighbours.neighbours(one, "vec_id", "embedding", 3, metric="none")
+
+
+def test_smallest_are_those_of_a_stable_sort(monkeypatch):
+    r = np.random.default_rng(5)
+    for most in (3, 40, 10**6):
+        d = r.integers(0, most, (30, 400)).astype(float)
+        d[d == 1] = np.inf
+        assert np.array_equal(engines._smallest(d, 20), np.argsort(d, axis=1, kind="stable")[:, :20])
+    x = r.normal(size=(300, 4))
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).argsort(axis=1, kind="stable")[:, :5]
+    monkeypatch.setattr(engines.np, "argsort", lambda *a, **k: pytest.fail("sorted whole") if a[0].shape[-1] == 300 else a[0].argsort(*a[1:], **k))
+    assert np.array_equal(engines._near(x, x, 5, 2, False)[1], want)
