@@ -32,6 +32,8 @@ def sample_matrix(rows: DataFrame, features: str, ident: str, sample: int) -> np
     return np.array([r["x"] for r in sampled(rows, features, ident, sample).collect()], float)
 
 
+#: Kernel values or distances that are held at a time.
+CELLS = 1 << 20
 _STATE = "params string, name string, shape array<int>, data binary"
 
 
@@ -312,7 +314,9 @@ class OneClassSvm:
 
         g, weighted = np.zeros(n), np.flatnonzero(alpha)
         for a in range(0, len(weighted), 256):
-            g += self._k(train, train[weighted[a : a + 256]]) @ alpha[weighted[a : a + 256]]
+            some = weighted[a : a + 256]
+            for b in range(0, n, CELLS // 256):
+                g[b : b + CELLS // 256] += self._k(train[b : b + CELLS // 256], train[some]) @ alpha[some]
         self.converged, steps = False, 0
         while max_iter < 0 or steps < max_iter:
             up, down = np.where(alpha < bound * (1 - 1e-9), g, np.inf), np.where(alpha > bound * 1e-9, g, -np.inf)
@@ -340,7 +344,11 @@ class OneClassSvm:
         return {"linear": lambda: dot, "poly": lambda: (self.gamma * dot + self.coef0) ** self.degree, "sigmoid": lambda: np.tanh(self.gamma * dot + self.coef0)}[self.kernel]()
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self._k(x, self.support) @ self.alpha - self.rho
+        out = np.zeros(len(x))
+        for a in range(0, len(x), 256):  # few kernel values at a time, however many rows and support vectors there are
+            for b in range(0, len(self.support), CELLS // 256):
+                out[a : a + 256] += self._k(x[a : a + 256], self.support[b : b + CELLS // 256]) @ self.alpha[b : b + CELLS // 256]
+        return out - self.rho
 
     def state(self) -> tuple[dict, dict]:
         return {k: getattr(self, k) for k in ("kernel", "gamma", "coef0", "degree", "rho", "converged", "top")}, {"support": self.support, "alpha": self.alpha}

@@ -133,3 +133,17 @@ def test_vocabularies_have_a_bound(spark):
     with pytest.raises(ValueError, match="more than 11"):
         transformers.vocabulary(rows, "a", 11)
     assert transformers.one_hot_vectors(rows.where("a IS NOT NULL"), [0]).values == {0: [float(i) for i in range(12)]}
+
+
+def test_scores_hold_few_kernel_values():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 3))
+    svm = engines.OneClassSvm(x[:3000], 0.9, 0.5)
+    want = np.exp(-0.5 * ((x[:50, None] - svm.support[None]) ** 2).sum(2)) @ svm.alpha - svm.rho
+    tracemalloc.start()
+    got = svm(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got[:50], want) and len(svm.support) > 2500 and most < 60e6
