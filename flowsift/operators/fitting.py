@@ -192,7 +192,7 @@ def fit_autoencoder(rows: DataFrame, ident: str, features: str, layers: str = "*
                 yield pa.RecordBatch.from_arrays([pa.array([error]), pa.array([size]), pa.array([_packed(grads)]), pa.array([_packed(moving) if moving else b""])], ["error", "size", "grads", "moving"])
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = [r for b in batches for r in b.to_pylist()]
+            found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["error"], r["size"]))
             if found:
                 sums = [np.sum([np.frombuffer(r[c]) for r in found], axis=0).tobytes() for c in ("grads", "moving")]
                 yield pa.RecordBatch.from_arrays([pa.array([sum(r["error"] for r in found)]), pa.array([sum(r["size"] for r in found)]), *(pa.array([s], pa.binary()) for s in sums)], ["error", "size", "grads", "moving"])
@@ -202,7 +202,7 @@ def fit_autoencoder(rows: DataFrame, ident: str, features: str, layers: str = "*
             return 0.0, 0, [], []
         sums = mine.mapInArrow(summed, kinds)
         tasks = len(mine.inputFiles())
-        while tasks > FAN_IN * FAN_IN:  # sums are added up by a tree
+        while tasks > 1:  # sums are added up by a tree, of which the driver gets the root
             tasks = math.ceil(tasks / (FAN_IN * FAN_IN))
             sums = sums.repartition(tasks).mapInArrow(added, kinds)
         found = sums.collect()

@@ -147,3 +147,10 @@ def test_scores_hold_few_kernel_values():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.allclose(got[:50], want) and len(svm.support) > 2500 and most < 60e6
+
+
+def test_a_step_sends_one_row_to_the_driver(spark, monkeypatch):
+    rows, seen, real = _frame(spark, np.random.default_rng(7).normal(size=(600, 3))), [], fitting._unpacked
+    monkeypatch.setattr(fitting, "_unpacked", lambda data, like: seen.append(len(data)) or real(data, like))
+    fitting.fit_autoencoder(rows, "flow_id", "features", epochs=2, batch=600, one_task=20)  # six files in the one step
+    assert len(seen) == 2 * 2
